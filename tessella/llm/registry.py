@@ -16,6 +16,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=80)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
