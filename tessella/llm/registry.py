@@ -34,6 +34,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .records import read_records, write_records
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return read_records(spark, *write_records(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
