@@ -73,6 +73,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
