@@ -1,9 +1,86 @@
-"""Parquet tables of a dataset folder."""
+"""Tables, record files, id lists and the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Asks the path's own file system, so any store that Spark reads will do."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Records of a JSON-lines file or folder; a missing one is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path)
+
+
+def json_document(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    r = spark.read.option("multiLine", True)
+    return (r.schema(schema) if schema else r).json(path)
+
+
+def id_list(spark: SparkSession, path: str, name: str = "asset_id") -> DataFrame:
+    """Distinct non-blank lines."""
+    return spark.read.text(path).select(F.trim("value").alias(name)).filter(F.col(name) != "").distinct()
+
+
+def write_json_lines(df: DataFrame, path: str, resume: bool = False) -> None:
+    df.write.mode("append" if resume else "overwrite").json(path)
+
+
+def snapshot(df: DataFrame, folder: str, name: str) -> str:
+    """A copy taken before a change; returns its path."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def binary_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    return files.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
+
+
+def first_existing(wanted: DataFrame, *candidates: DataFrame, on: str = "asset_id", value: str = "path") -> DataFrame:
+    """For each wanted key the value of the first candidate table that has it, else null."""
+    out = wanted
+    for i, c in enumerate(candidates):
+        out = out.join(c.select(on, F.col(value).alias(f"__{i}")).dropDuplicates([on]), on, "left")
+    return out.withColumn(value, F.coalesce(*[F.col(f"__{i}") for i in range(len(candidates))])).drop(*[f"__{i}" for i in range(len(candidates))])
+
+
+def constants(spark: SparkSession, rows: dict, key: str, columns: str) -> DataFrame:
+    """A small constant dimension, such as city -> (province, latitude, longitude)."""
+    return spark.createDataFrame([(k, *(v if isinstance(v, tuple) else (v,))) for k, v in rows.items()], f"{key} string, {columns}")
+
+
+def markdown(df: DataFrame, limit: int = 200) -> str:
+    """A report table of a small result; limit is the report's length."""
+    rows = df.limit(limit).collect()
+    head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
+    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
