@@ -188,14 +188,24 @@ def centroid_similarity(df: DataFrame, key: str, vector: str, label: str, size:
 
 def best_f1(scores: DataFrame, score: str, same: str, thresholds: int = 400) -> DataFrame:
     """threshold, f1, precision, recall that maximise F1 over so many quantiles of all scores; ties go to
-    the lower threshold. Counts above every threshold come from one cumulative pass over score bins."""
+    the lower threshold. One aggregation counts the scores between neighbouring thresholds; running sums
+    over those few rows give the counts above each."""
     qs = scores.agg(F.expr(f"percentile(`{score}`, array({', '.join(str(i / (thresholds - 1)) for i in range(thresholds))}))").alias("q")).first()["q"]
     if qs is None:
         return scores.sparkSession.createDataFrame([], "threshold double, f1 double, precision double, recall double")
     cuts = sorted(set(qs))
-    table = scores.sparkSession.createDataFrame([(c,) for c in cuts], "threshold double")
-    counted = F.broadcast(table).join(scores, F.col(score) >= F.col("threshold")).groupBy("threshold").agg(F.count_if(F.col(same)).alias("tp"), F.count_if(~F.col(same)).alias("fp"))
-    p = scores.filter(F.col(same)).count()
+    lit = F.array(*[F.lit(c) for c in cuts])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    reached = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(cuts)) & (F.get(lit, at + s - 1) <= F.col(score)), at + s).otherwise(at))
+    bins = scores.groupBy(reached.alias("at")).agg(F.count_if(F.col(same)).alias("tp"), F.count_if(~F.col(same)).alias("fp"))
+    tp = fp = 0
+    rows = []
+    for r in sorted(bins.collect(), key=lambda r: -r["at"]):  # one row per threshold
+        tp, fp = tp + r["tp"], fp + r["fp"]
+        if r["at"]:
+            rows.append((cuts[r["at"] - 1], tp, fp))
+    p = tp
+    counted = scores.sparkSession.createDataFrame(rows, "threshold double, tp bigint, fp bigint")
     m = counted.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp"), F.lit(p))})
     m = m.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
     return m.orderBy(F.col("f1").desc(), "threshold").limit(1).select("threshold", "f1", "precision", "recall")
@@ -231,7 +241,8 @@ def sample_pairs(df: DataFrame, key: str, label: str, cap: int = 400, least: int
     rows = rows.join(rows.groupBy("l").count().filter(F.col("count") >= least).select("l"), "l", "left_semi")
     w = Window.partitionBy("l").orderBy(hash_order(seed, "k"), "k")
     steps = [F.lead("k", s).over(w) for s in (1, 2, 3)]
-    same = rows.select("l", F.col("k").alias("a"), F.explode(F.array(*steps)).alias("b")).filter("b is not null").withColumn("same", F.lit(True))
+    ahead = rows.withColumn("ahead", F.array(*steps))
+    same = ahead.select("l", F.col("k").alias("a"), F.explode("ahead").alias("b")).filter("b is not null").withColumn("same", F.lit(True))
     mixed = rows.withColumn("slot", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(64)))
     v = Window.partitionBy("slot").orderBy(hash_order(seed + 1, "k"), "k")
     diff = mixed.select("l", F.col("k").alias("a"), F.lead("k").over(v).alias("b"), F.lead("l").over(v).alias("m")).filter("b is not null and l != m").select("l", "a", "b").withColumn("same", F.lit(False))

@@ -168,7 +168,7 @@ def suppress(df: DataFrame, key: str, group: str, box: tuple[str, str, str, str]
     kinds = dict(df.dtypes)
 
     def nms(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, key], ascending=[False, True])
+        pdf = pdf.sort_values(["__score", key], ascending=[False, True])
         kept: list[tuple] = []
         ids = []
         for row in pdf[[key, *box]].itertuples(index=False):
@@ -186,7 +186,7 @@ def suppress(df: DataFrame, key: str, group: str, box: tuple[str, str, str, str]
                 ids.append(i)
         return pd.DataFrame({group: [pdf[group].iloc[0]] * len(ids), key: ids})
 
-    return df.select(group, key, *box, score).groupBy(group).applyInPandas(nms, f"{group} {kinds[group]}, {key} {kinds[key]}")
+    return df.select(group, key, *box, F.col(score).alias("__score")).groupBy(group).applyInPandas(nms, f"{group} {kinds[group]}, {key} {kinds[key]}")
 
 
 def first_match(new: DataFrame, matches: list[DataFrame], key: str, group: str) -> DataFrame:
