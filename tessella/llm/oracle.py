@@ -3,8 +3,8 @@
 SQL: dict[str, str] = {}
 
 _URL = """
-u AS (SELECT page_id, url, position('://' IN coalesce(url, '')) AS at FROM pages),
-r AS (SELECT page_id, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM u),
+u AS (SELECT page_id, url, position('://' IN coalesce(url, '')) AS scheme_end FROM pages),
+r AS (SELECT page_id, CASE WHEN scheme_end > 0 THEN substr(url, scheme_end + 3) ELSE '' END AS rest FROM u),
 s AS (SELECT page_id,
         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)"""
@@ -21,3 +21,47 @@ SELECT page_id, host, path,
   CASE WHEN f2 THEN 'allow' WHEN f3 THEN 'block' WHEN f4 THEN 'allow' WHEN f1 THEN 'block' ELSE 'allow' END AS verdict
 FROM f
 """
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL["op8_quality_rules"] = rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM r) GROUP BY 1),
+f AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+b AS (SELECT doc_id, source, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+h AS (SELECT source, count(*) AS d, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS k FROM b GROUP BY 1),
+p AS (SELECT sum(k) / sum(d) AS m, var_pop(k / d) AS v, avg(1.0 / d) AS inv FROM h),
+q AS (SELECT m, CASE WHEN v > m * (1 - m) * inv THEN least(1000.0, greatest(1.0, m * (1 - m) / (v - m * (1 - m) * inv) - 1)) ELSE 1000.0 END AS s FROM p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (k + m * s) / (d + s) <= 0.5 AS kept
+FROM b JOIN h ON h.source IS NOT DISTINCT FROM b.source, q
+"""
+
+SQL["op5_substring_dedup"] = rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM g) WHERE c > 1),
+d AS (SELECT doc_id, i AS f, i + 34 AS l FROM r),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+e AS (SELECT doc_id, p, sum(x) AS x FROM (SELECT doc_id, f AS p, 1 AS x FROM d UNION ALL SELECT doc_id, l + 1, -1 FROM d) GROUP BY 1, 2),
+k AS (SELECT u.doc_id, u.p, word, sum(coalesce(x, 0)) OVER (PARTITION BY u.doc_id ORDER BY u.p) > 0 AS gone FROM u LEFT JOIN e ON e.doc_id = u.doc_id AND e.p = u.p),
+s AS (SELECT doc_id, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_removed, string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY p) AS kept FROM k GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s ON s.doc_id = w.doc_id
+"""
+
+SQL["op2_near_dedup"] = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + 3], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT m.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id
+"""

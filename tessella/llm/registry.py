@@ -61,7 +61,7 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
-    return judge(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return judge(read(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("source", "shrunk_rate")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
