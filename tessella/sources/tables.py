@@ -18,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
