@@ -24,11 +24,13 @@ from .common import ship
 from .wordhash import plain, text_chunks
 
 #: Pieces remembered per worker; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 #: Longer pieces would need a round per merge; they go through a heap, which contracts the same pairs.
 LONG_PIECE = 256
+#: Bytes of text taken at once: more give larger queries, of which each round builds tables anew.
+CHUNK = 1 << 22
 #: Bytes of new pieces in one recursive query, and tokens in one decoding query.
-QUERY_BYTES, QUERY_TOKENS = 400_000, 1_000_000
+QUERY_BYTES, QUERY_TOKENS = 1_200_000, 1_000_000
 
 
 def _class(prefix: str) -> str:
@@ -44,7 +46,36 @@ def _class(prefix: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" if b > a else f"\\U{a:08x}" for a, b in spans)
 
 
-def splitter(pattern: str) -> re.Pattern:
+#: The one pattern that `quick_splitter` knows.
+QUICK_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_QUICK = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+def splitter(pattern: str):
+    """A function from text to the pattern's matches. `re` lacks \\p, so classes are written out in full,
+    which is slow. Its own \\w, \\d and \\s differ from letters, decimal digits and white space in a few
+    characters only: numbers that aren't decimal digits, and the controls 28 to 31. A text without those
+    takes a pattern of built-in classes; with them, the full one."""
+    full = _full(pattern).findall
+    if pattern != QUICK_PATTERN:
+        return full
+    odd = {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")} | set("\x1c\x1d\x1e\x1f")
+    # Whatever else the built-in classes see otherwise than the categories, by definition none.
+    for c in map(chr, range(sys.maxunicode + 1)):
+        kind = unicodedata.category(c)[0]
+        if (c.isalnum() != (kind in "LN")) or (c.isdecimal() != (unicodedata.category(c) == "Nd")):
+            odd.add(c)
+    quick = _QUICK.findall
+
+    def split(text: str) -> list[str]:
+        if text.isascii():
+            return full(text) if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text else quick(text)
+        return quick(text) if odd.isdisjoint(text) else full(text)
+
+    return split
+
+
+def _full(pattern: str) -> re.Pattern:
     """The pattern for `re`: its letter and number classes written out, white space as Unicode has it."""
     space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
     out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{_class('L')}{_class('N')}]")
@@ -57,21 +88,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-#: seq counts rounds, so that the last state of each position that survives is known: a word's final rows
-#: are those of its highest round.
+#: One row per token: id is word * 512 + place of its first byte; nid and ntok are the id and token to its
+#: right. A round looks up every pair of the words still open, takes each word's leftmost pair of minimum
+#: rank, drops that pair's right row and mends its neighbours; a word without a pair passes once as done.
 CONTRACT = """
-WITH RECURSIVE t(seq, word, pos, tok) AS (
-  SELECT 0, word, pos, tok FROM seed
+WITH RECURSIVE t(id, tok, nid, ntok, done) AS (
+  SELECT id, tok, nid, ntok, false FROM seed
   UNION ALL
-  SELECT seq + 1, word, pos, CASE WHEN pos = best % 4294967296 THEN CAST(best // 4294967296 AS INTEGER) ELSE tok END
-  FROM (SELECT seq, word, pos, tok, before, min(pair) OVER (PARTITION BY word) AS best
-        FROM (SELECT r.seq, r.word, r.pos, r.tok, r.before, CAST(m.merged AS BIGINT) * 4294967296 + r.pos AS pair
-              FROM (SELECT seq, word, pos, tok, lead(tok) OVER w AS right_tok, lag(pos) OVER w AS before
-                    FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)) r
-              LEFT JOIN merges m ON m.a = r.tok AND m.b = r.right_tok))
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM best % 4294967296
+  (WITH r AS MATERIALIZED (
+     SELECT t.id, t.tok, t.nid, t.ntok, m.merged FROM t LEFT JOIN merges m
+     ON m.ab = CAST(t.tok AS UBIGINT) * 4294967296 + CAST(t.ntok AS UBIGINT) WHERE NOT t.done),
+   g AS (SELECT id // 512 AS word, min(CAST(merged AS BIGINT) * 512 + id % 512) AS best FROM r GROUP BY 1),
+   h AS (SELECT word, word * 512 + best % 512 AS at, CAST(best // 512 AS INTEGER) AS merged FROM g WHERE best IS NOT NULL),
+   left_row AS (SELECT h.word, h.at, h.merged, r.nid AS gone FROM h JOIN r ON r.id = h.at),
+   k AS (SELECT l.word, l.at, l.merged, l.gone, r.nid, r.ntok FROM left_row l JOIN r ON r.id = l.gone)
+   SELECT r.id, CASE WHEN r.id = k.at THEN k.merged ELSE r.tok END, CASE WHEN r.id = k.at THEN k.nid ELSE r.nid END,
+     CASE WHEN r.id = k.at THEN k.ntok WHEN r.nid = k.at THEN k.merged ELSE r.ntok END, k.word IS NULL
+   FROM r LEFT JOIN k ON k.word = r.id // 512 WHERE k.gone IS NULL OR r.id <> k.gone)
 )
-SELECT t.word, t.tok FROM t JOIN (SELECT word, max(seq) AS seq FROM t GROUP BY word) USING (word, seq) ORDER BY t.word, t.pos
+SELECT id // 512 AS word, tok FROM t WHERE done ORDER BY id
 """
 
 
@@ -82,7 +117,7 @@ class BytePairs:
         import duckdb
 
         self.ranks = read_ranks(path)
-        self.split = splitter(pattern).findall
+        self.split = splitter(pattern)
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         a, b, merged = [], [], []
         for token, rank in self.ranks.items():
@@ -93,7 +128,8 @@ class BytePairs:
                     b.append(right)
                     merged.append(rank)
         self.con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
-        self._table("merges", a=pa.array(a, pa.int32()), b=pa.array(b, pa.int32()), merged=pa.array(merged, pa.int32()))
+        pair = (np.array(a, dtype=np.uint64) << np.uint64(32)) | np.array(b, dtype=np.uint64)
+        self._table("merges", ab=pair, merged=pa.array(merged, pa.int32()))
         self._table("vocab", tok=pa.array(list(self.ranks.values()), pa.int32()), part=pa.array(list(self.ranks), pa.binary()))
         self.known: dict[str, bytes] = {}
         self.limit = cache_pieces
@@ -106,14 +142,16 @@ class BytePairs:
     def contract(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit integers."""
         size = np.array([len(p) for p in pieces])
-        word = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
-        pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        begin = np.cumsum(size) - size
+        ident = np.repeat(np.arange(len(pieces)) * 512 - begin, size) + np.arange(size.sum())
         tok = self.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        self._table("seed", word=word, pos=pos.astype(np.int32), tok=tok)
+        last = np.zeros(len(tok), dtype=bool)
+        last[begin + size - 1] = True
+        self._table("seed", id=ident, tok=tok, nid=np.where(last, -1, ident + 1), ntok=pa.array(np.append(tok[1:], 0).astype(np.int32), mask=last))
         got = self.con.sql(CONTRACT).to_arrow_table()
-        ids = got["tok"].to_numpy().astype("<u4")
-        ends = np.searchsorted(got["word"].to_numpy(), np.arange(len(pieces) + 1))
-        return [ids[ends[i] : ends[i + 1]].tobytes() for i in range(len(pieces))]
+        raw = got["tok"].to_numpy().astype("<u4").tobytes()
+        ends = (np.searchsorted(got["word"].to_numpy(), np.arange(len(pieces) + 1)) * 4).tolist()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
     def contract_long(self, piece: bytes) -> bytes:
         """The same contraction of one piece by a heap of (rank, position), for pieces of any length."""
@@ -217,7 +255,7 @@ def _run(path: str, pattern: str, digests: bool):
         bp = coder(path, pattern)
         for batch in batches:
             text = plain(batch.column(1))
-            for a, b in text_chunks(text):
+            for a, b in text_chunks(text, CHUNK):
                 ids = bp.encode(text.slice(a, b - a).to_pylist())
                 columns = [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if digests:
