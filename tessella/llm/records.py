@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,9 @@ from .common import bounds_below, partitions, range_bounds, shared_dir, ship
 from .wordhash import plain, text_chunks
 
 #: Words remembered per worker; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+#: Marks that end a word of letters; characters below this are lowered one by one.
+MARKS, LOWERS_ALIKE = ".,;:!?", "\u0130"
 #: Stands for a null id, which sorts first.
 NULL_ID = -(1 << 63)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,29 +63,92 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
 
 class WordEncoder:
     """Encodes texts with a `tokenizers` file whose pre-tokenizer drops white space, so a text's ids are
-    those of its words in a row; each word goes through the library once per memory."""
+    those of its words in a row; each word goes through the library once per memory.
+
+    A word of letters is looked up without its capitals and without one mark at its end where the library
+    itself separates and lowers them; such words are encoded many at once, as one text, and told apart by
+    the tokens that end a word. All others, and any text of words that doesn't come apart so, are encoded
+    one by one."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
         self.limit = cache_words
+        # Only a lower-casing tokenizer that separates marks may use the short cut.
+        self.short = all(self._one("Aé" + m) == self._one("aé") + self._one(m) for m in MARKS)
+        self.marks = {m: self._one(m) for m in MARKS}
+        # What str.split takes as white space but the tokenizer doesn't; texts with it are split by pattern.
+        gaps = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()]
+        self.unsafe = [c for c in gaps if self._one(f"a{c}b") != self._one("a") + self._one("b")]
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 10_000):
+            found = self.tokenizer.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False)
+            out += [np.array(x.ids, dtype=self.kind).tobytes() for x in found]
+        return out
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Words of letters, 1,000 to a text."""
+        out: list[bytes] = []
+        size = np.dtype(self.kind).itemsize
+        parts = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for part, x in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(x.ids, dtype=self.kind)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * size
+            if len(ends) != len(part) or ends[-1] != len(ids) * size:
+                out += self._each(part)
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        cores, others = {}, []
+        for w in new:
+            mark = w[-1] if w[-1] in self.marks else ""
+            core = w[:-1] if mark else w
+            if self.short and core.isalpha() and max(core) < LOWERS_ALIKE:
+                cores[w] = (core.lower(), mark)
+            else:
+                others.append(w)
+        fresh = list({c for c, _ in cores.values()}.difference(self.letters))
+        if len(fresh) + len(self.letters) > self.limit:
+            self.letters, fresh = {}, list({c for c, _ in cores.values()})
+        self.letters.update(zip(fresh, self._joined(fresh)))
+        self.known.update((w, self.letters[c] + self.marks.get(m, b"")) for w, (c, m) in cores.items())
+        self.known.update(zip(others, self._each(others)))
+
+    def words(self, text: str) -> list[str]:
+        for c in self.unsafe:
+            if c in text:
+                return _WORD.findall(text)
+        return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [_WORD.findall(t) for t in texts]
-        new = set().union(*words).difference(self.known) if words else set()
+        words = [self.words(t) for t in texts]
+        get = self.known.get
+        found = [list(map(get, w)) for w in words]
+        new = {x for w, f in zip(words, found) for x, y in zip(w, f) if y is None}
         if len(new) + len(self.known) > self.limit:
             self.known = {}
             new = set().union(*words)
-        new = list(new)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(x.ids, dtype=self.kind).tobytes()) for w, x in zip(part, found))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            found = [[None] * len(w) for w in words]
+        if new:
+            self._learn(list(new))
+            get = self.known.__getitem__
+            found = [[get(x) if y is None else y for x, y in zip(w, f)] for w, f in zip(words, found)]
+        return list(map(b"".join, found))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
