@@ -75,7 +75,7 @@ def rerank(df: DataFrame, k: int, weight: float = 0.7, candidates: int = 300) ->
     kinds = dict(df.dtypes)
     best = top(df, "query", [F.col("score").desc(), F.col("id")], candidates)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = _greedy(pdf, k, weight)
         out.insert(0, "query", key[0])
         return out
