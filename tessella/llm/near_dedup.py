@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, partitions, ship
 from .components import components
 from .wordhash import U64, mix, plain, shingle_sets, text_chunks, words_of
 
@@ -24,6 +24,12 @@ from .wordhash import U64, mix, plain, shingle_sets, text_chunks, words_of
 #: with probability (1 - 0.8**6)**47 = 6e-7.
 SLOTS, BANDS, ROWS = 283, 47, 6
 SHINGLE, PERCENT = 5, 80
+#: Members of a bucket, or of each of two blocks of one, that are compared in one group.
+BLOCK = 2_000
+#: Ids that are broadcast to pick texts, at most: 8 bytes each.
+BROADCAST_IDS = 4_000_000
+#: By so much may an estimate fall short of the similarity and the pair still be compared on whole sets.
+HOPE = 0.1
 _TOP = U64((1 << 64) - 1)
 
 
@@ -115,9 +121,18 @@ def _verifier(shingle: int, percent: int):
     return run
 
 
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids. Ids are counted: up to BROADCAST_IDS of them go to every task, so texts that
+    aren't asked for don't move; more are joined by shuffle."""
+    ids = cut(ids, "near-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def verified(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The edges (u, v) whose full shingle sets are similar enough. Texts come by two joins and stream
     through the check pair by pair; a node with many edges is a skewed join, which Spark splits."""
+    ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
+    texts = _of_ids(texts, ends)
     pairs = edges.join(texts.select(F.col("id").alias("v"), F.col("text").alias("y")), "v")
     pairs = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("x")), "u")
     return pairs.select("u", "v", "x", "y").mapInArrow(_verifier(shingle, percent), "u bigint, v bigint")
@@ -128,6 +143,178 @@ def _fits(a: str, b: str, percent: int):
     return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
 
 
+def _set_rows(shingle: int, bands: int, rows: int, slots: int):
+    """id, keys of all bands, one byte per slot with the keys folded to 32 bits behind them, and the shingle
+    set folded to 32 bits, from (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = plain(batch.column(1))
+            for a, b in text_chunks(text):
+                h, first = shingle_sets(words_of(text.slice(a, b - a), lower=True), shingle)
+                sig = superminhash(h, first, slots)
+                keys = band_keys(sig, bands, rows).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
+                tags = keys.astype(np.uint32)
+                short = pa.array([x.tobytes() + t.tobytes() for x, t in zip((mix(sig) >> U64(56)).astype(np.uint8), tags)], pa.binary())
+                sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array((h >> U64(32)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, short, sets], names=["id", "bands", "short", "set"])
+
+    return run
+
+
+def _links_inside(group: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components of one bucket, or of two blocks of one: rows of (key,
+    pair, block, id, comp, n, bands, set). Every pair that meets first in this bucket is compared on its
+    whole sets, unless its components have met already; one link is kept where two components meet."""
+    ids = [g[3] for g in group]
+    comp = np.array([g[4] for g in group])
+    names, comp = np.unique(comp, return_inverse=True)
+    n = np.array([g[5] for g in group])
+    block = np.array([g[2] for g in group])
+    keys = np.stack([g[6] for g in group])
+    band = int(np.flatnonzero(keys[0] == group[0][0])[0])
+    flat = np.concatenate([g[7] for g in group])
+    starts = np.cumsum([0] + [len(g[7]) for g in group])[:-1]
+    _, dense = np.unique(flat, return_inverse=True)
+    mark = np.zeros(int(dense.max()) + 1, dtype=np.int32)
+    ends = np.append(starts[1:], len(flat))
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    usual = int(np.bincount(comp).argmax())
+    cross = len(set(block.tolist())) > 1
+    roots = comp.copy()
+    out = []
+    done = np.zeros(len(group), dtype=bool)
+    for i in np.flatnonzero(comp != usual):
+        done[i] = True
+        ok = (roots != roots[i]) & ~done & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        if cross:
+            ok &= block != block[i]
+        at = np.flatnonzero(ok)
+        if band and len(at):
+            at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]
+        if not len(at):
+            continue
+        own = dense[starts[i] : ends[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[dense], starts)[at]
+        mark[own] = 0
+        hit = at[100 * both >= percent * (n[i] + n[at] - both)]
+        for j in hit:
+            a, b = root(int(roots[i])), root(int(roots[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        if len(hit):
+            roots = np.array([root(x) for x in range(len(names))])[comp]
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: int, more) -> Iterator[list[tuple]]:
+    """Runs of rows with equal (key, pair): their first columns and what more(batch) gives for each row."""
+    group: list[tuple] = []
+    for batch in batches:
+        firsts = zip(*(batch.column(i).to_pylist() for i in range(columns)))
+        for row, rest in zip(firsts, more(batch)):
+            if group and group[0][:2] != row[:2]:
+                yield group
+                group = []
+            group.append((*row, *rest))
+    if group:
+        yield group
+
+
+def _hopeful(percent: int, slots: int, bands: int):
+    """key, pair, id of members that meet one of another component first in this bucket and whose signature
+    is near enough to its: within HOPE of the similarity, so that a pair that has it is lost with
+    probability about 1e-5."""
+    least = max(1, int((percent / 100 - HOPE) * slots))
+
+    def found(group: list[tuple]) -> list[tuple]:
+        comp = np.array([g[4] for g in group])
+        _, comp = np.unique(comp, return_inverse=True)
+        n, block = np.array([g[5] for g in group]), np.array([g[2] for g in group])
+        raw = np.frombuffer(b"".join(g[6] for g in group), dtype=np.uint8).reshape(len(group), slots + 4 * bands)
+        short, tags = raw[:, :slots], np.ascontiguousarray(raw[:, slots:]).view("<u4")
+        band = int(np.flatnonzero(tags[0] == group[0][0] & 0xFFFFFFFF)[0])
+        cross = block.min() != block.max()
+        hope = np.zeros(len(group), dtype=bool)
+        for i in np.flatnonzero(comp != np.bincount(comp).argmax()):
+            ok = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if cross:
+                ok &= block != block[i]
+            at = np.flatnonzero(ok)
+            if band and len(at):
+                at = at[~(tags[at, :band] == tags[i, :band]).any(axis=1)]
+            if len(at):
+                at = at[(short[at] == short[i]).sum(axis=1) >= least]
+                if len(at):
+                    hope[i] = True
+                    hope[at] = True
+        return [group[i][:2] + (group[i][3],) for i in np.flatnonzero(hope)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group in _groups(batches, 7, lambda b: [()] * b.num_rows):
+            out += found(group)
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["key", "pair", "id"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["key", "pair", "id"])
+
+    return run
+
+
+def _bucket_links(percent: int):
+    def arrays(batch: pa.RecordBatch) -> list[tuple]:
+        bands, sets = batch.column(6), batch.column(7)
+        keys, flat = bands.values.to_numpy(), sets.values.to_numpy().view(np.uint32)
+        at, ends = bands.offsets.to_numpy(), sets.offsets.to_numpy()
+        return [(keys[at[i] : at[i + 1]].copy(), flat[ends[i] : ends[i + 1]].copy()) for i in range(batch.num_rows)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in _groups(batches, 6, arrays):
+            out += _links_inside(group, percent)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["u", "v"])
+
+    return run
+
+
+def open_links(shared: DataFrame, comp: DataFrame, docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, slots: int) -> DataFrame:
+    """Links across the components that buckets still hold, from (key, id, n) and (node, component). A
+    bucket is compared inside one task; one of more than BLOCK members is dealt as pairs of blocks. Short
+    signatures go first and say which members need their whole sets. No pair leaves the task unless it is a
+    link that joins two components."""
+    left = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    mixed = left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).filter("a != b")
+    left = cut(left.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key"), "near-open")
+    ids = left.select("id").distinct()
+    made = _of_ids(docs, ids).dropDuplicates(["id"])
+    sets = cut(made.mapInArrow(_set_rows(shingle, bands, rows, slots), "id bigint, bands array<bigint>, short binary, set array<int>"), "near-sets")
+    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
+    )
+    left = left.withColumn("pair", F.explode(pairs.cast("array<bigint>"))).select("key", "pair", "block", "id", "comp", "n")
+    n = partitions(docs.sparkSession)
+    light = left.join(sets.select("id", "short"), "id").select("key", "pair", "block", "id", "comp", "n", "short")
+    light = light.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "id")
+    hopeful = cut(light.mapInArrow(_hopeful(percent, slots, bands), "key bigint, pair bigint, id bigint"), "near-hopeful")
+    full = left.join(hopeful, ["key", "pair", "id"], "left_semi").join(sets.drop("short"), "id").select("key", "pair", "block", "id", "comp", "n", "bands", "set")
+    full = full.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "id")
+    return full.mapInArrow(_bucket_links(percent), "u bigint, v bigint")
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -146,8 +333,9 @@ def near_duplicates(
     through its smallest id. Rows with a null id are left out; repeated rows are repeated. An empty table
     gives no rows.
 
-    In a band's bucket every class is compared with one centre, then, once components are known, with the
-    members of other components that remain in it; classes in one component need no further comparison.
+    In a band's bucket every class is compared with the one of smallest id. Once components are known,
+    buckets that still hold several are compared across them, inside a task; classes in one component need
+    no further comparison.
     """
     ship(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null")
@@ -155,23 +343,14 @@ def near_duplicates(
     classes = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     buckets = reps.select("id", "n", F.explode("bands").alias("key"))
-    centres = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("o"), "id", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
+    centres = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
     shared = cut(buckets.join(centres.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "key"), "near-buckets")
-    edges = shared.filter("c != id").filter(_fits("n", "cn", percent)).select(F.least("c", "id").alias("u"), F.greatest("c", "id").alias("v"))
+    edges = shared.filter("c != id").filter(_fits("n", "cn", percent)).select(F.col("c").alias("u"), F.col("id").alias("v"))
     edges = cut(edges.distinct(), "near-edges")
-    ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
-    texts = docs.join(ends, "id", "left_semi")
-    links = cut(verified(edges, texts, shingle, percent), "near-links")
+    links = cut(verified(edges, docs, shingle, percent), "near-links")
     comp = cut(components(links), "near-components")
-    # What a bucket still holds of several components is compared across them.
-    left = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "id", "n", "comp")
-    open_ = left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key")
-    left = cut(left.join(open_, "key", "left_semi"), "near-open")
-    a, b = left.select("key", F.col("id").alias("u"), F.col("n").alias("un"), F.col("comp").alias("uc")), left.select("key", F.col("id").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"))
-    more = a.join(b, "key").filter("u < v and uc != vc").filter(_fits("un", "vn", percent)).select("u", "v").distinct()
-    more = cut(more.join(edges, ["u", "v"], "left_anti"), "near-more")
-    ends = more.select(F.col("u").alias("id")).union(more.select(F.col("v").alias("id"))).distinct()
-    links = links.union(cut(verified(more, docs.join(ends, "id", "left_semi"), shingle, percent), "near-links"))
+    more = cut(open_links(shared.select("key", "id", "n"), comp, docs, shingle, percent, bands, rows, slots).distinct(), "near-more")
+    links = links.union(cut(verified(more, docs, shingle, percent), "near-links"))
     comp = cut(components(links), "near-components")
     of_class = classes.join(comp, classes["rep"] == comp["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2"], "left")
