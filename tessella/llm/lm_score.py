@@ -1,11 +1,14 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in NumPy.
 
-Every word is predicted from the two words on either side, never from itself. The network predicts the
-word's class: the most frequent words have one each, others share classes by their form. The class's own
-distribution over hash buckets, from counts over the whole corpus, gives the rest:
-log P(word | window) = log P(class | window) + log P(word | class). Training covers all documents: each
-task trains on its own rows from the same start, and the results are averaged by words seen, round by
-round.
+Every word is predicted from the words on either side, never from itself:
+log P(word | window) = log P(class | window) + log P(group | class, neighbours) + log P(word | group).
+The network predicts the class from two words on either side: the most frequent words have one each,
+others share classes by their form. Groups split a class: frequent words are alone in theirs, the others
+are dealt by hash; there are the more, the more distinct words the corpus has. A group's probability mixes
+its counts beside the left and beside the right neighbour's class. Words are counted exactly, by 64-bit
+hash, in a table of the corpus's size: its frequent words go to all tasks, the others are joined by
+shuffle. Training covers all documents: each task trains on its own rows from the same start, and the
+results are averaged by words seen, round by round.
 """
 
 from __future__ import annotations
@@ -15,21 +18,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import cut, ship
 from .wordhash import U64, Words, plain, text_chunks, words_of
 
 FORMS = 24
-#: Hash buckets of a form; their counts are all that is kept of the vocabulary, whatever its size.
-FORM_BUCKETS = 1 << 13
-BUCKETS = FORMS * FORM_BUCKETS
+#: Words whose counts go to all tasks, at most; the counts of all others are joined by shuffle.
+HOT = 1 << 18
+#: Distinct words that a task holds while counting, about.
+HELD = 1 << 21
+#: Weight of a group's share in its class against its counts beside a neighbour.
+PRIOR = 10.0
 FREQUENT = 40
 CLASSES = FREQUENT + FORMS
 #: Stands for what lies outside the document.
 EDGE = CLASSES
 SIDES = (-2, -1, 1, 2)
+#: Places in SIDES of the left and the right neighbour.
+NEXT = (1, 2)
 HIDDEN = 32
 ROUNDS, BATCH, RATE = 1, 2048, 3e-3
 
@@ -39,36 +48,91 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".,;:!?"]] = True
 
 
-def buckets_of(words: Words) -> np.ndarray:
-    """A hash bucket per word; a bucket holds words of one form only. Forms: with or without bytes above
-    127, digits or signs, a final stop, in three bands of length."""
+def forms_of(words: Words) -> np.ndarray:
+    """With or without bytes above 127, digits or signs, a final stop, in three bands of length."""
     if not len(words.hash):
         return np.zeros(0, dtype=np.int64)
     high = np.concatenate([[0], np.cumsum(words.data > 127)])
     sign = np.concatenate([[0], np.cumsum(_DIGIT_OR_SIGN[words.data])])
     a, b = words.start, words.end
-    form = (high[b] > high[a]).astype(np.int64) + 2 * (sign[b] > sign[a]) + 4 * _STOP[words.data[b - 1]] + 8 * np.digitize(b - a, [4, 8])
-    return form * FORM_BUCKETS + (words.hash % U64(FORM_BUCKETS)).astype(np.int64)
+    return (high[b] > high[a]).astype(np.int64) + 2 * (sign[b] > sign[a]) + 4 * _STOP[words.data[b - 1]] + 8 * np.digitize(b - a, [4, 8])
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
 @dataclass
-class Vocabulary:
-    """class_of and log_inside by bucket, from the corpus's counts."""
+class Groups:
+    """Named words have groups 0, 1, ... by falling count; behind them each form has `spread` groups, a
+    power of two, to which its other words are dealt by hash."""
 
+    named: np.ndarray
+    number: np.ndarray
+    spread: int
     class_of: np.ndarray
-    log_inside: np.ndarray
-    class_prior: np.ndarray
 
     @classmethod
-    def from_counts(cls, counts: np.ndarray) -> Vocabulary:
-        class_of = FREQUENT + np.arange(BUCKETS) // FORM_BUCKETS
-        order = np.lexsort((np.arange(BUCKETS), -counts))[:FREQUENT]
-        order = order[counts[order] > 0]
-        class_of[order] = np.arange(len(order))
-        smooth = counts + 1.0
-        total = np.bincount(class_of, weights=smooth, minlength=CLASSES)
-        prior = np.bincount(class_of, weights=counts, minlength=CLASSES) + 1.0
-        return cls(class_of, np.log(smooth / total[class_of]).astype(np.float32), (prior / prior.sum()).astype(np.float32))
+    def of(cls, hashes: np.ndarray, forms: np.ndarray, distinct: int) -> Groups:
+        """From the frequent words by falling count and the number of distinct words: both kinds of
+        groups grow with its square root, as each has counts for all neighbours."""
+        root = int(np.ceil(np.sqrt(distinct)))
+        n = min(len(hashes), max(FREQUENT, 1 << root.bit_length()))
+        spread = 1 << max(0, (root // FORMS).bit_length())
+        order = np.argsort(hashes[:n])
+        own = np.where(np.arange(n) < FREQUENT, np.arange(n), FREQUENT + forms[:n])
+        return cls(hashes[:n][order], order, spread, np.concatenate([own, FREQUENT + np.arange(FORMS * spread) // spread]).astype(np.int64))
+
+    def __len__(self) -> int:
+        return len(self.class_of)
+
+    def groups_of(self, words: Words) -> np.ndarray:
+        at, found = _find(self.named, words.hash)
+        out = len(self.named) + forms_of(words) * self.spread + (words.hash & U64(self.spread - 1)).astype(np.int64)
+        out[found] = self.number[at[found]]
+        return out
+
+
+@dataclass
+class Vocabulary:
+    """Groups, their shares by neighbour, the frequent words' counts, and each group's words and distinct
+    words."""
+
+    groups: Groups
+    beside: np.ndarray
+    hot: np.ndarray
+    hot_count: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
+
+    @classmethod
+    def of(cls, groups: Groups, contexts: np.ndarray, hot: np.ndarray, hot_count: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> Vocabulary:
+        """contexts: words by side, group and neighbour's class."""
+        c, size = groups.class_of, np.bincount(groups.class_of, minlength=CLASSES)
+        share = (total + 1.0) / (np.bincount(c, weights=total, minlength=CLASSES) + size)[c]
+        beside = np.empty(contexts.shape, dtype=np.float32)
+        for k in range(2):
+            by_class = np.zeros((CLASSES, CLASSES + 1))
+            np.add.at(by_class, c, contexts[k])
+            beside[k] = (contexts[k] + PRIOR * share[:, None]) / (by_class[c] + PRIOR)
+        order = np.argsort(hot)
+        return cls(groups, beside, hot[order], hot_count[order], total, distinct)
+
+    def log_group(self, group: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.log(0.5 * (self.beside[0, group, left] + self.beside[1, group, right]).astype(np.float64))
+
+    def log_inside(self, group: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | group), 0 where the count isn't here, and whether it isn't."""
+        alone = group < len(self.groups.named)
+        at, found = _find(self.hot, hashes)
+        known = found & ~alone
+        out = np.zeros(len(group))
+        out[known] = np.log((self.hot_count[at[known]] - 0.5) / (self.total[group[known]] + 1.0))
+        return out, ~(found | alone)
 
 
 class WindowNetwork:
@@ -143,99 +207,165 @@ def windows(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    h, f, n = (np.concatenate(x) for x in zip(*parts))
+    u, first, back = np.unique(h, return_index=True, return_inverse=True)
+    return u, f[first], np.bincount(back, weights=n, minlength=len(u)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, dtype=np.int64)
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def rows():
+        h, f, n = _merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f.astype(np.int32)), pa.array(n)], names=["hash", "form", "n"])
+
     for batch in batches:
         text = plain(batch.column(0))
         for a, b in text_chunks(text):
-            counts += np.bincount(buckets_of(words_of(text.slice(a, b - a))), minlength=BUCKETS)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+            words = words_of(text.slice(a, b - a))
+            u, first, n = np.unique(words.hash, return_index=True, return_counts=True)
+            parts.append((u, forms_of(words)[first], n))
+            if sum(len(x[0]) for x in parts) > 2 * HELD:
+                parts = [_merged(parts)]
+                if len(parts[0][0]) > HELD:
+                    yield rows()
+                    parts = []
+    if parts:
+        yield rows()
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """Words per bucket over all texts, summed in Spark; at most BUCKETS rows come to the driver."""
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    got = docs.mapInArrow(_count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out[got["bucket"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
-    return out
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """hash, form, n of each distinct word of all texts, exact; written to the shared folder."""
+    return cut(docs.mapInArrow(_count, "hash bigint, form int, n bigint").groupBy("hash", "form").agg(F.sum("n").alias("n")), "lm-words")
 
 
-def _train(sent, rate: float):
+def frequent_words(counts: DataFrame, most: int = HOT):
+    """The words above the least count that at most `most` words exceed, by falling count."""
+    left, least = most, None
+    for r in counts.groupBy("n").count().orderBy(F.col("n").desc()).toLocalIterator():
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["n"]
+    got = counts.filter(F.col("n") >= least if least is not None else F.lit(False)).toPandas()
+    return got.sort_values(["n", "hash"], ascending=[False, True])
+
+
+def group_column(groups: Groups):
+    """The group of a word that isn't named."""
+    return F.lit(len(groups.named)) + F.col("form") * groups.spread + F.col("hash").bitwiseAND(F.lit(groups.spread - 1).cast("bigint"))
+
+
+def _train(sent, rate: float, count: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights = sent.value
+        groups, weights = sent.value
         net, seen = WindowNetwork(weights.copy()), 0
+        places = len(groups) * (CLASSES + 1)
+        contexts = np.zeros(2 * places if count else 0, dtype=np.int64)
         for batch in batches:
             text = plain(batch.column(0))
             for a, b in text_chunks(text):
                 words = words_of(text.slice(a, b - a))
-                classes = vocabulary.class_of[buckets_of(words)]
+                group = groups.groups_of(words)
+                classes = groups.class_of[group]
                 around = windows(classes, words.first)
+                if count:
+                    for k, side in enumerate(NEXT):
+                        contexts[k * places : (k + 1) * places] += np.bincount(group * (CLASSES + 1) + around[:, side], minlength=places)
                 order = np.random.default_rng(len(classes)).permutation(len(classes))
                 for k in range(0, len(order), BATCH):
                     pick = order[k : k + BATCH]
                     net.train(around[pick], classes[pick], rate * min(1.0, len(pick) / BATCH))
                 seen += len(classes)
         if seen:
+            some, w = np.flatnonzero(contexts), len(net.weights)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(net.weights))), pa.array(net.weights.astype(np.float64) * seen), pa.array(np.full(len(net.weights), float(seen)))],
+                [pa.array(np.concatenate([np.arange(w), w + some])), pa.array(np.concatenate([net.weights.astype(np.float64) * seen, contexts[some]])), pa.array(np.full(w + len(some), float(seen)))],
                 names=["i", "x", "w"],
             )
 
     return run
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and weights from all texts (one column). The averages are summed in Spark; the driver
-    gets one number per weight."""
+def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE, hot: int = HOT) -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """Vocabulary, weights and the counts of all words from all texts (one column). The averages are
+    summed in Spark; the driver gets one number per weight, per group and neighbour, and per frequent word."""
     spark = docs.sparkSession
-    vocabulary = Vocabulary.from_counts(corpus_counts(docs))
-    weights = WindowNetwork.start(vocabulary.class_prior)
+    counts = corpus_counts(docs)
+    top = frequent_words(counts, hot)
+    hashes, n = top["hash"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
+    groups = Groups.of(hashes, top["form"].to_numpy(dtype=np.int64), counts.count())
+    total, distinct = np.zeros(len(groups)), np.zeros(len(groups))
+    total[groups.number], distinct[groups.number] = n[groups.number], 1
+    names = spark.createDataFrame([(int(h),) for h in groups.named.view(np.int64)], "hash bigint")
+    rest = counts.join(F.broadcast(names), "hash", "left_anti").groupBy(group_column(groups).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).toPandas()
+    at = rest["g"].to_numpy(dtype=np.int64)
+    total[at], distinct[at] = rest["n"].to_numpy(dtype=np.float64), rest["d"].to_numpy(dtype=np.float64)
+    prior = np.bincount(groups.class_of, weights=total, minlength=CLASSES) + 1.0
+    weights = WindowNetwork.start((prior / prior.sum()).astype(np.float32))
+    contexts = np.zeros(2 * len(groups) * (CLASSES + 1))
     for r in range(rounds):
-        sent = spark.sparkContext.broadcast((vocabulary, weights))
-        got = docs.mapInArrow(_train(sent, rate / (1 + r)), "i bigint, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()
+        sent = spark.sparkContext.broadcast((groups, weights))
+        got = docs.mapInArrow(_train(sent, rate / (1 + r), r == 0), "i bigint, x double, w double").groupBy("i").agg(F.sum("x").alias("x"), F.sum("w").alias("w")).toPandas().sort_values("i")
         if len(got):
-            weights = got.sort_values("i")["x"].to_numpy(dtype=np.float32)
-    return vocabulary, weights
+            w, i, x = len(weights), got["i"].to_numpy(dtype=np.int64), got["x"].to_numpy(dtype=np.float64)
+            contexts[i[w:] - w] = x[w:]
+            weights = (x[:w] / got["w"].to_numpy(dtype=np.float64)[:w]).astype(np.float32)
+    return Vocabulary.of(groups, contexts.reshape(2, len(groups), CLASSES + 1), hashes, n, total, distinct), weights, counts
 
 
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = sent.value
         net = WindowNetwork(weights)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             text = plain(batch.column(1))
             for a, b in text_chunks(text):
                 words = words_of(text.slice(a, b - a))
-                bucket = buckets_of(words)
-                classes = vocabulary.class_of[bucket]
+                group = vocabulary.groups.groups_of(words)
+                classes = vocabulary.groups.class_of[group]
                 around = windows(classes, words.first)
-                logp = vocabulary.log_inside[bucket].astype(np.float64)
+                logp, open_ = vocabulary.log_inside(group, words.hash)
+                logp += vocabulary.log_group(group, around[:, NEXT[0]], around[:, NEXT[1]])
                 for k in range(0, len(classes), 8192):
                     part = classes[k : k + 8192]
                     _, lp = net.log_probs(around[k : k + 8192])
                     logp[k : k + 8192] += lp[np.arange(len(part)), part]
-                sums = np.concatenate([[0.0], np.cumsum(logp)])
-                total = np.diff(sums[words.first])
-                n = words.counts
-                mean = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(total), mean], names=["id", "n", "s", "m"])
+                total = np.diff(np.concatenate([[0.0], np.cumsum(logp)])[words.first])
+                held = np.concatenate([[0], np.cumsum(open_)])[words.first]
+                rare = lambda x, held=held: pa.ListArray.from_arrays(pa.array(held.astype(np.int32)), pa.array(x))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row + np.arange(b - a)), batch.column(0).slice(a, b - a), pa.array(words.counts), pa.array(total), rare(words.hash[open_].view(np.int64)), rare(group[open_].astype(np.int32))],
+                    names=["row", "id", "n", "s", "hashes", "groups"],
+                )
+                row += b - a
 
     return run
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: DataFrame | None = None, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
     """One row per row of df: id, n_words, log_likelihood (summed over words), mean_log_likelihood.
 
-    The model is trained on all of df's texts, or on those of `training`. Null, empty and blank texts have
-    no words, a sum of 0 and a null mean. Null ids and repeated rows are kept; an empty table gives no
-    rows; other columns are left out.
+    The model is trained on all of df's texts, or on those of `training`. A word without a count there is
+    taken for one of twice as many unseen words as its group has seen ones. The counts of the `hot` most
+    frequent words go to all tasks. Null, empty and blank texts have no words, a sum of 0 and a null mean.
+    Null ids and repeated rows are kept; an empty table gives no rows; other columns are left out.
     """
     spark = df.sparkSession
     ship(spark)
     source = df if training is None else training
-    model = fit(source.select(F.col(f"`{text_col}`").alias("text")), rounds)
-    sent = spark.sparkContext.broadcast(model)
+    vocabulary, weights, counts = fit(source.select(F.col(f"`{text_col}`").alias("text")), rounds, hot=hot)
+    sent = spark.sparkContext.broadcast((vocabulary, weights))
     kind = dict(df.dtypes)[id_col]
-    out = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_score(sent), f"id {kind}, n bigint, s double, m double")
+    schema = f"row bigint, id {kind}, n bigint, s double, hashes array<bigint>, groups array<int>"
+    rows = cut(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_score(sent), schema), "lm-scores")
+    sizes = spark.createDataFrame([(i, float(t), float(d)) for i, (t, d) in enumerate(zip(vocabulary.total, vocabulary.distinct))], "g int, total double, distinct double")
+    rare = rows.select("row", F.explode(F.arrays_zip("hashes", "groups")).alias("x")).select("row", F.col("x.hashes").alias("hash"), F.col("x.groups").alias("g"))
+    share = F.coalesce(F.col("n") - 0.5, (F.col("distinct") / 2 + 1) / (2 * F.col("distinct") + 2)) / (F.col("total") + 1)
+    least = int(vocabulary.hot_count.min()) if len(vocabulary.hot) else None
+    cold = counts.select("hash", "n").filter(F.col("n") < least if least is not None else F.lit(True))
+    more = rare.join(cold, "hash", "left").join(F.broadcast(sizes), "g").groupBy("row").agg(F.sum(F.log(share)).alias("more"))
+    s = F.col("s") + F.coalesce("more", F.lit(0.0))
+    out = rows.select("row", "id", "n", "s").join(more, "row", "left").select("id", "n", s.alias("s"), F.when(F.col("n") > 0, s / F.col("n")).alias("m"))
     return out.toDF(id_col, "n_words", "log_likelihood", "mean_log_likelihood")

@@ -263,3 +263,38 @@ def test_network_gradient():
     for _ in range(200):
         net.train(around, target, 0.01)
     assert loss() < 0.1 * before
+
+
+def test_lm_counts_words_exactly(spark):
+    """Rare words have their own counts, however many words share their form; the model grows."""
+    r = random.Random(3)
+    w = lambda i: "".join(chr(97 + int(c)) for c in f"{i:09d}")
+    twice, once = [w(i) for i in range(30000)], [w(10**8 + i) for i in range(30000)]
+    pool = twice + twice + once
+    r.shuffle(pool)
+    train = spark.createDataFrame([(" ".join(pool[i : i + 100]),) for i in range(0, len(pool), 100)], "text string")
+    _, _, counts = lm_score.fit(train, hot=64)
+    assert {tuple(x) for x in counts.groupBy("n").count().collect()} == {(1, 30000), (2, 30000)}
+    rows = [(i, twice[i]) for i in range(100)] + [(1000 + i, once[i]) for i in range(100)] + [(2000 + i, w(5 * 10**8 + i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (64, lm_score.HOT):
+        got = {x["doc_id"]: x["log_likelihood"] for x in lm_score.score_documents(df, training=train, hot=hot).collect()}
+        mean = [sum(got[k + i] for i in range(100)) / 100 for k in (0, 1000, 2000)]
+        assert mean[0] > mean[1] + 0.9 and mean[1] > mean[2] + 0.3
+    small, large = (lm_score.Groups.of(np.arange(5000, dtype=np.uint64), np.zeros(5000, np.int64), n) for n in (10**4, 10**6))
+    assert len(large) > 5 * len(small)
+
+
+def test_lm_groups_depend_on_neighbours():
+    """Two words of one class, outside the most frequent ones: each is likelier beside its own neighbour."""
+    groups = lm_score.Groups.of(np.arange(100, dtype=np.uint64), np.zeros(100, np.int64), 10**4)
+    contexts = np.zeros((2, len(groups), lm_score.CLASSES + 1))
+    contexts[0, 50, 1] = contexts[0, 51, 2] = contexts[1, 50, 3] = contexts[1, 51, 3] = 100
+    n = contexts[0].sum(axis=1)
+    v = lm_score.Vocabulary.of(groups, contexts, np.arange(100, dtype=np.uint64), n[:100], n, np.ones(len(groups)))
+    assert groups.class_of[50] == groups.class_of[51]
+    a, b = v.log_group(np.array([50, 50]), np.array([1, 2]), np.array([3, 3]))
+    assert a > b + 0.5
+    members = np.flatnonzero(groups.class_of == groups.class_of[50])
+    p = np.exp(v.log_group(members, np.full(len(members), 1), np.full(len(members), 3)))
+    assert abs(p.sum() - 1) < 1e-5
