@@ -127,6 +127,21 @@ def mmr_sim(spark, sf_dir):
     return j.select("a", "b", F.round(X.mmr_similarity("day", "day", "ta", "tb"), 6).alias("sim"))
 
 
+@query(
+    """
+WITH t AS (SELECT doc_id, doc_id // 64 AS query, CAST(doc_id % 5 AS VARCHAR) AS day, list_distinct(string_split(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' ')) AS tags FROM documents),
+p AS (SELECT a.query, a.doc_id AS a, b.doc_id AS b, a.day = b.day AS same, len(list_intersect(a.tags, b.tags)) AS i, len(list_distinct(list_concat(a.tags, b.tags))) AS u FROM t a JOIN t b ON a.query = b.query AND a.doc_id < b.doc_id)
+SELECT query, a, b, round(CASE WHEN same THEN 0.5 ELSE 0 END + 0.5 * i / u, 6) AS sim FROM p"""
+)
+def mmr_sim_all(spark, sf_dir):
+    """All documents with all their words: each run of 64 ids stands for a query's candidates."""
+    tags = F.array_distinct(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " "))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 64).alias("query"), (F.col("doc_id") % 5).cast("string").alias("day"), tags.alias("tags"))
+    a = t.select("query", F.col("doc_id").alias("a"), F.col("day").alias("da"), F.col("tags").alias("ta"))
+    b = t.select("query", F.col("doc_id").alias("b"), F.col("day").alias("db"), F.col("tags").alias("tb"))
+    return a.join(b, "query").filter("a < b").select("query", "a", "b", F.round(X.mmr_similarity("da", "db", "ta", "tb"), 6).alias("sim"))
+
+
 @query()
 def mmr_topk(spark, sf_dir):
     """Greedy re-ranking per user; tests check the visible contract."""

@@ -43,3 +43,10 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, FOLDER).count() >= 0
+
+
+def test_mmr_sim_all_takes_all_documents(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    pairs = QUERIES["mmr_sim_all"](spark, FOLDER)
+    ids = {x for r in pairs.select("a", "b").collect() for x in r}
+    assert ids == {r["doc_id"] for r in docs.select("doc_id").collect()} and max(ids) >= 120
