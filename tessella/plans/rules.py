@@ -201,6 +201,48 @@ def keyed_update(spark, sf_dir):
     return C.update_from(old, new, ["c_custkey"], ["c_acctbal"])
 
 
+def _all_accounts(spark, sf_dir):
+    """Old and new accounts by attributes, so that both and what they share grow with the table."""
+    c = table(spark, sf_dir, "customer")
+    old = c.filter("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_acctbal", "c_mktsegment")
+    new = c.filter("c_nationkey % 3 <> 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(F.col("c_custkey") % 2 == 0, "NEW").alias("c_mktsegment"))
+    return old, new
+
+
+_ALL = _ACC.replace("WHERE c_custkey < 900", "WHERE c_mktsegment <> 'BUILDING'").replace("WHERE c_custkey >= 600", "WHERE c_nationkey % 3 <> 0")
+
+
+@query(_ALL + "SELECT * FROM n UNION ALL SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n)")
+def upsert_replace_all(spark, sf_dir):
+    return C.replace(*_all_accounts(spark, sf_dir), ["c_custkey"])
+
+
+@query(_ALL + "SELECT * FROM o UNION ALL SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM o)")
+def upsert_ignore_all(spark, sf_dir):
+    return C.ignore(*_all_accounts(spark, sf_dir), ["c_custkey"])
+
+
+@query(
+    _ALL
+    + """SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, coalesce(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment
+  FROM o FULL JOIN n ON o.c_custkey = n.c_custkey"""
+)
+def upsert_update_all(spark, sf_dir):
+    return C.upsert(*_all_accounts(spark, sf_dir), ["c_custkey"], {"c_acctbal": "new", "c_mktsegment": "coalesce"})
+
+
+@query(_ALL + "SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n WHERE c_acctbal > 5000)")
+def delete_in_all(spark, sf_dir):
+    old, new = _all_accounts(spark, sf_dir)
+    return C.delete(old, new.filter("c_acctbal > 5000"), ["c_custkey"])
+
+
+@query(_ALL + "SELECT o.c_custkey, CASE WHEN n.c_custkey IS NULL THEN o.c_acctbal ELSE n.c_acctbal END AS c_acctbal, o.c_mktsegment FROM o LEFT JOIN n ON n.c_custkey = o.c_custkey")
+def keyed_update_all(spark, sf_dir):
+    old, new = _all_accounts(spark, sf_dir)
+    return C.update_from(old, new, ["c_custkey"], ["c_acctbal"])
+
+
 @query("SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) = 1 AS is_best FROM supplier")
 def exclusive_flag(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
@@ -234,6 +276,17 @@ def reassign(spark, sf_dir):
     return C.reassign_person(f, people, "7", "N", "R")[0] if n else f
 
 
+@query(
+    """
+SELECT l_orderkey AS asset_id, l_linenumber, CASE WHEN l_orderkey = 7 AND l_returnflag = 'N' THEN 'R' ELSE l_returnflag END AS person_id, CASE WHEN l_orderkey = 7 AND l_returnflag = 'N' THEN 1 ELSE 0 END AS person_locked FROM lineitem"""
+)
+def reassign_all(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("asset_id"), "l_linenumber", F.col("l_returnflag").alias("person_id"), F.lit(0).alias("person_locked"))
+    people = spark.createDataFrame([("A",), ("N",), ("R",)], "person_id string")
+    n = f.filter("asset_id = 7 and person_id = 'N'").count()
+    return C.reassign_person(f, people, "7", "N", "R")[0] if n else f
+
+
 @query("SELECT * FROM (VALUES ('person', 'b', '', 1, 1), ('person', 'a', '', 0, 1), ('person', 'z', 'p', 7, 0)) t(kind, target, parent, sort_order, show_on_home)")
 def layout_sort(spark, sf_dir):
     old = spark.createDataFrame([("person", "b", "", 5, 1), ("person", "z", "p", 7, 0)], "kind string, target string, parent string, sort_order int, show_on_home int")

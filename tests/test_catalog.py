@@ -50,3 +50,14 @@ def test_mmr_sim_all_takes_all_documents(spark):
     pairs = QUERIES["mmr_sim_all"](spark, FOLDER)
     ids = {x for r in pairs.select("a", "b").collect() for x in r}
     assert ids == {r["doc_id"] for r in docs.select("doc_id").collect()} and max(ids) >= 120
+
+
+def test_mutations_over_whole_tables(spark):
+    """All lines stay, and accounts of all ids take part."""
+    assert QUERIES["reassign_all"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    c = spark.read.parquet(f"{FOLDER}/customer.parquet")
+    any_ = c.filter("c_mktsegment <> 'BUILDING' or c_nationkey % 3 <> 0").count()
+    for name in ("upsert_replace_all", "upsert_ignore_all", "upsert_update_all"):
+        assert QUERIES[name](spark, FOLDER).count() == any_
+    old = c.filter("c_mktsegment <> 'BUILDING'").count()
+    assert QUERIES["keyed_update_all"](spark, FOLDER).count() == old > QUERIES["delete_in_all"](spark, FOLDER).count() > 0
