@@ -11,6 +11,8 @@ from .relational import top
 
 #: Reference rows of a broadcast nearest-neighbour join, at most; more are joined in blocks.
 BROADCAST_ROWS = 20_000
+#: Rows of a block, about; one fits the buffer of a merge join.
+BLOCK_ROWS = 2_000
 
 
 def digest_links(df: DataFrame, key: str, digest: str) -> DataFrame:
@@ -106,24 +108,31 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: st
 
 def knn(queries: DataFrame, refs: DataFrame, key: str, vector: str, label: str, k: int, valid: Column | None = None, skip_self: bool = False) -> DataFrame:
     """query, ref, label, sim, rank: the k references with the largest dot product. References up to
-    BROADCAST_ROWS go to every task; more are refused, as a blocked search must be chosen knowingly.
-    valid may use q_* and r_* columns; invalid references score -1."""
-    n = refs.limit(BROADCAST_ROWS + 1).count()
+    BROADCAST_ROWS go to every task, more are joined in blocks. valid may use q_* and r_* columns; invalid
+    references score -1."""
+    n = refs.count()
     if n > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} references; join them in blocks with knn_blocks")
+        return knn_blocks(queries, refs, key, vector, label, k, -(-n // BLOCK_ROWS), valid, skip_self)
     return _knn(queries, F.broadcast(refs.select([F.col(c).alias(f"r_{c}") for c in refs.columns])), key, vector, label, k, valid, skip_self)
 
 
 def knn_blocks(queries: DataFrame, refs: DataFrame, key: str, vector: str, label: str, k: int, blocks: int, valid: Column | None = None, skip_self: bool = False) -> DataFrame:
     """The same for any number of references: each block's best k, then the best of those."""
-    r = refs.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    q = queries.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q, r = _cells(queries, refs, key, blocks)
     q = q.select([F.col(c).alias(f"q_{c}") for c in q.columns])
     r = r.select([F.col(c).alias(f"r_{c}") for c in r.columns])
-    j = q.join(r, F.col("q___block") == F.col("r___block"))
+    j = q.join(r, (F.col("q___block") == F.col("r___block")) & (F.col("q___slice") == F.col("r___slice")))
     return _ranked(_scored(j, vector, key, label, valid, skip_self, ["q___block"]), k, ["q___block"]).transform(lambda d: _ranked(d.drop("rank"), k, []))
 
 
+def _cells(queries, refs, key, blocks):
+    """Both sides with __slice (of queries) and __block (of references): each query meets each reference in
+    one cell; with blocks in proportion to the tables' rows a cell doesn't grow."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    return queries.withColumn("__slice", own).withColumn("__block", every), refs.withColumn("__block", own).withColumn("__slice", every)
+
+
 def _knn(queries, refs, key, vector, label, k, valid, skip_self):
     q = queries.select([F.col(c).alias(f"q_{c}") for c in queries.columns])
     return _ranked(_scored(q.crossJoin(refs), vector, key, label, valid, skip_self, []), k, [])
@@ -144,12 +153,15 @@ def _ranked(d, k, more):
 
 
 def class_similarity(df: DataFrame, key: str, vector: str, label: str, best: int = 3) -> DataFrame:
-    """query, own, label, score: the mean of the best similarities to each class, self left out."""
-    q = df.select(F.col(key).alias("query"), F.col(label).alias("own"), F.col(vector).alias("vq"))
-    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} rows")
-    r = F.broadcast(df.select(F.col(key).alias("ref"), F.col(label).alias("label"), F.col(vector).alias("vr")))
-    j = q.crossJoin(r).filter("query != ref").withColumn("sim", dot("vq", "vr"))
+    """query, own, label, score: the mean of the best similarities to each class, self left out. Up to
+    BROADCAST_ROWS rows go to every task, more are joined in blocks."""
+    n = df.count()
+    d = df.select(key, label, vector)
+    q, r = (d, d) if n <= BROADCAST_ROWS else _cells(d, d, key, -(-n // BLOCK_ROWS))
+    q = q.withColumnsRenamed({key: "query", label: "own", vector: "vq"})
+    r = r.withColumnsRenamed({key: "ref", label: "label", vector: "vr"})
+    j = q.crossJoin(F.broadcast(r)) if n <= BROADCAST_ROWS else q.join(r, ["__block", "__slice"])
+    j = j.filter("query != ref").withColumn("sim", dot("vq", "vr"))
     w = Window.partitionBy("query", "label").orderBy(F.col("sim").desc(), "ref")
     return j.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= best).groupBy("query", "own", "label").agg(F.avg("sim").alias("score"))
 

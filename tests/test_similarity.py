@@ -78,6 +78,22 @@ def test_knn_blocks_agree(spark):
     assert a == b and len(a) == 300
 
 
+def test_larger_tables_are_joined_in_blocks(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, [float(r.randrange(4)) for _ in range(4)], i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, c int")
+
+    def results():
+        near = M.knn(df, df, "id", "v", "c", 5, valid=F.col("r_id") < F.col("q_id"), skip_self=True)
+        classes = M.class_similarity(df, "id", "v", "c")
+        return sorted(map(tuple, near.collect())), sorted((x["query"], x["own"], x["label"], round(x["score"], 9)) for x in classes.collect())
+
+    whole = results()
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 40)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 13, raising=False)
+    assert results() == whole and len(whole[0]) == 450 and len(whole[1]) == 270
+
+
 def test_suppression(spark):
     boxes = [(1, "i", 0.0, 0.0, 1.0, 1.0, 0.9), (2, "i", 0.05, 0.0, 1.0, 1.0, 0.8), (3, "i", 2.0, 2.0, 1.0, 1.0, 0.1)]
     df = spark.createDataFrame(boxes, "id int, img string, x double, y double, w double, h double, s double")
