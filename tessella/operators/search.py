@@ -42,12 +42,11 @@ def contains(df: DataFrame, index: DataFrame, key: str, text: str, needle: str)
 
 
 def _greedy(pdf: pd.DataFrame, k: int, weight: float) -> pd.DataFrame:
+    """id, pick of the k picks among rows with their query's least, most and n."""
     rows = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-    if len(rows) <= k + 5:
-        return rows.assign(rank=range(1, len(rows) + 1))[["id", "rank"]]
     days, tags = rows["day"].tolist(), [frozenset(t) if t is not None else frozenset() for t in rows["tags"]]
-    span = max(rows["score"].max() - rows["score"].min(), 1e-12)
-    value = ((rows["score"] - rows["score"].min()) / span).tolist()
+    span = max(rows["most"].iloc[0] - rows["least"].iloc[0], 1e-12)
+    value = ((rows["score"] - rows["least"]) / span).tolist()
 
     def alike(i: int, j: int) -> float:
         same = 0.5 if (days[i] == days[j] or (pd.isna(days[i]) and pd.isna(days[j]))) else 0.0
@@ -62,25 +61,34 @@ def _greedy(pdf: pd.DataFrame, k: int, weight: float) -> pd.DataFrame:
         chosen.append(best)
         for i in left:
             near[i] = max(near[i], alike(i, best))
-    order = chosen + left
-    return pd.DataFrame({"id": rows["id"].iloc[order].tolist(), "rank": range(1, len(order) + 1)})
+    return pd.DataFrame({"id": rows["id"].iloc[chosen].tolist(), "pick": range(1, len(chosen) + 1)})
 
 
-def rerank(df: DataFrame, k: int, weight: float = 0.7, candidates: int = 300) -> DataFrame:
-    """query, id, rank: greedy diversity over each query's best `candidates` rows (query, id, score, day,
-    tags). Up to k + 5 rows keep their order. `candidates` is the re-ranked depth of a query and bounds
-    its group."""
-    from .relational import top
+def rerank(df: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+    """query, id, rank of all rows (query, id, score, day, tags; an id once a query): k picks by greedy
+    diversity, then the others by score. Up to k + 5 rows keep their order. Rows of one day and tag set
+    are equally near to any pick, so only the best k of each such class can be picked: a query's group has
+    k rows a class, whatever its number of rows. The others are numbered by a distributed position."""
+    from .relational import positions, top
 
     kinds = dict(df.dtypes)
-    best = top(df, "query", [F.col("score").desc(), F.col("id")], candidates)
+    stats = df.groupBy("query").agg(F.min("score").alias("least"), F.max("score").alias("most"), F.count("*").alias("n")).filter(F.col("n") > k + 5)
+    order = [F.col("score").desc(), F.col("id")]
+    classed = df.withColumn("__tags", F.array_sort(F.array_distinct(F.coalesce("tags", F.expr("cast(array() as " + kinds["tags"] + ")")))))
+    best = top(classed, ["query", "day", "__tags"], order, k).drop("__tags").join(stats, "query")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = _greedy(pdf, k, weight)
         out.insert(0, "query", key[0])
         return out
 
-    return best.groupBy("query").applyInPandas(run, f"query {kinds['query']}, id {kinds['id']}, rank long")
+    picks = best.groupBy("query").applyInPandas(run, f"query {kinds['query']}, id {kinds['id']}, pick long")
+    taken = picks.groupBy("query").agg(F.count("*").alias("taken"))
+    others = positions(df.select("query", "id", "score").join(picks, ["query", "id"], "left_anti"), [F.col("query"), *order], "__at")
+    first = others.groupBy("query").agg(F.min("__at").alias("__first"))
+    offset = first.join(taken, "query", "left").select("query", (F.coalesce("taken", F.lit(0)) + 1 - F.col("__first")).alias("__offset"))
+    rest = others.join(offset, "query").select("query", "id", (F.col("__at") + F.col("__offset")).alias("rank"))
+    return picks.select("query", "id", F.col("pick").alias("rank")).unionByName(rest)
 
 
 #: Words by which a plain request names a kind of media, and an unconfirmed identity.

@@ -124,6 +124,28 @@ def test_rerank(spark):
     assert set(top) == {"a", "b"}
 
 
+def test_rerank_takes_all_rows(spark):
+    """Against a plain greedy choice over whole queries; the row unlike all others is below place 300."""
+    r = random.Random(7)
+    rows = [("q", i, 1.0 + r.randrange(50) / 100, f"d{i % 3}", [r.choice("ab"), "t"]) for i in range(400)] + [("q", 400, 0.9, "d9", ["z"])]
+    rows += [("p", i, float(i % 4), "d1", None) for i in range(30)] + [("s", i, float(i), "d1", ["t"]) for i in range(12)]
+    df = spark.createDataFrame(rows, "query string, id int, score double, day string, tags array<string>")
+    got, want = {tuple(x) for x in Q.rerank(df, 10).select("query", "id", "rank").collect()}, set()
+    for q in "qps":
+        left = sorted((x for x in rows if x[0] == q), key=lambda x: (-x[2], x[1]))
+        low, high, chosen = min(x[2] for x in left), max(x[2] for x in left), []
+
+        def gain(x):
+            near = [0.5 * (x[3] == y[3]) + (0.5 * len(set(x[4]) & set(y[4])) / len(set(x[4]) | set(y[4])) if x[4] and y[4] else 0) for y in chosen]
+            return 0.7 * (x[2] - low) / (high - low) - 0.3 * max(near, default=0)
+
+        while len(left) + len(chosen) > 15 and len(chosen) < 10:
+            chosen.append(max(left, key=gain))
+            left.remove(chosen[-1])
+        want |= {(q, x[1], i + 1) for i, x in enumerate(chosen + left)}
+    assert got == want and len(got) == len(rows)
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "Hello World"), (2, "help"), (3, None), (4, "héllo")], "id int, text string")
     index = Q.trigram_index(df, "id", "text")
