@@ -22,6 +22,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20260101)
 _TERM = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
+_TERM_2 = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
 _STEP = 0xD6E8FEB86659FD93 | 3
 _MASK = (1 << 64) - 1
@@ -118,11 +119,8 @@ def plain(column) -> pa.Array:
     return column
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """The words of a (slice of a) string array without nulls."""
-    if len(column) == 0 or column.buffers()[1] is None:
-        z = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint8), z, z, np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64), np.zeros(len(column) + 1, np.int64))
+def _spans(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Bytes of a string array without nulls, bounds of its texts in them, first and last bytes of words."""
     off = _offsets(column).astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8)[off[0] : off[-1]] if raw is not None else np.zeros(0, np.uint8)
@@ -134,12 +132,25 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     after = np.concatenate([inside[1:], [False]]) if len(data) else inside
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return data, off, start, end
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
+    """A hash of each byte range; `second` gives one that is independent of the first."""
     up, down = _BYTE_POWERS.upto(len(data) + 1)
-    term = _TERM[_LOWER[data] if lower else data]
+    terms = _TERM_2 if second else _TERM
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(term * up[: len(data)], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(data, start, end, h, np.searchsorted(start, off), off)
+    np.cumsum((terms[_LOWER] if lower else terms)[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def words_of(column: pa.Array, lower: bool = False) -> Words:
+    """The words of a (slice of a) string array without nulls."""
+    if len(column) == 0 or column.buffers()[1] is None:
+        z = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint8), z, z, np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64), np.zeros(len(column) + 1, np.int64))
+    data, off, start, end = _spans(column)
+    return Words(data, start, end, hash_spans(data, start, end, lower), np.searchsorted(start, off), off)
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,3 +172,31 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[keep], doc[keep]
     return h, np.searchsorted(doc, np.arange(len(count) + 1))
+
+
+class HashIndex:
+    """Places of distinct 64-bit keys, found in an open hash table of NumPy arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.slots = 1 << max(4, (3 * len(keys)).bit_length())
+        self.key, self.at = np.zeros(self.slots, dtype=np.uint64), np.full(self.slots, -1, dtype=np.int32)
+        slot, open_ = (keys & U64(self.slots - 1)).astype(np.int64), np.arange(len(keys))
+        while len(open_):
+            free = open_[self.at[slot[open_]] < 0]
+            self.at[slot[free]] = free
+            won = free[self.at[slot[free]] == free]
+            self.key[slot[won]] = keys[won]
+            open_ = np.setdiff1d(open_, won, assume_unique=True)
+            slot[open_] = (slot[open_] + 1) & (self.slots - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those that aren't there."""
+        slot = (keys & U64(self.slots - 1)).astype(np.int64)
+        out = self.at[slot].astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (self.slots - 1)
+            at = slot[open_]
+            out[open_] = self.at[at]
+            open_ = open_[(out[open_] >= 0) & (self.key[at] != keys[open_])]
+        return out
