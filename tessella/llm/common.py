@@ -31,7 +31,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` has written, once nothing reads them again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -80,11 +89,30 @@ def bounds_below(bounds: list, key: Column, kind: str = "bigint") -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
-def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n-1 cut points that split the integer key into ranges of about equal counts. The sketch
-    behind them is merged map-side; n numbers come to the driver."""
+#: Bounds in one literal list, at most; more are looked up in two steps.
+LITERAL_BOUNDS = 256
+
+
+def with_range(df: DataFrame, bounds: list[int], key: str, name: str) -> DataFrame:
+    """Adds the number of the range that an integer column falls into. Up to LITERAL_BOUNDS sorted bounds are
+    searched as a literal list; of more, every so many are, and the bounds between two of them come from
+    a table of 16 bytes a bound that goes to all tasks, so expressions don't grow with the bounds."""
+    if len(bounds) <= LITERAL_BOUNDS:
+        return df.withColumn(name, bounds_below(bounds, F.col(key)))
+    step = -(-len(bounds) // LITERAL_BOUNDS)
+    heads = bounds[step - 1 :: step]
+    rows = [(i, i * step, bounds[i * step : (i + 1) * step]) for i in range(len(heads) + 1)]
+    table = df.sparkSession.createDataFrame(rows, "__part int, __from int, __bounds array<bigint>")
+    df = df.withColumn("__part", bounds_below(heads, F.col(key))).join(F.broadcast(table), "__part")
+    within = F.size(F.filter("__bounds", lambda b: b <= F.col(key)))
+    return df.withColumn(name, F.col("__from") + within).drop("__part", "__from", "__bounds")
+
+
+def range_bounds(df: DataFrame, key: str, n: int, each: int = 50) -> list[int]:
+    """At most n-1 cut points that split the integer key into ranges of about equal counts: quantiles of a
+    sample of about `each` keys per range, drawn by the key's hash. Cut points only deal out the work."""
     if n < 2:
         return []
-    at = [i / n for i in range(1, n)]
-    got = df.agg(F.percentile_approx(key, at, max(10000, 20 * n)).alias("b")).first()["b"] or []
-    return sorted(set(got))
+    rate = max(1, df.count() // (n * each))
+    keys = sorted(r[0] for r in df.select(key).filter(F.pmod(F.xxhash64(key), F.lit(rate)) == 0).toLocalIterator())
+    return sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []

@@ -3,10 +3,12 @@
 A window of so many words that starts in two places of the corpus is removed from both. The reference is
 the corpus itself, which has no size bound, so its automata aren't broadcast: each window is assigned to
 an anchor inside it, the smallest hash among its shorter word runs. Equal windows have equal anchors, so
-a shard of anchors holds every place where a window of its own can start. Contexts of anchors that occur
-once go no further. Over the rest each shard builds suffix automata, streams its contexts through them
-and marks the windows that end in states seen at two places. `strip_reference` is the same search for a
-reference whose size is checked; there the automata are broadcast and documents stream through whole.
+an anchor's contexts hold every place where a window of its own can start. Anchors that occur once go no
+further. For each other one a suffix automaton is built over its contexts, these stream through it for
+their matching statistics, and the windows that end in states seen at two places are marked. Contexts of
+an anchor that has too many for one task are dealt anew by longer anchors, the longest being the window
+itself; the windows are still judged by automata. `strip_reference` is the same search for a reference
+whose size is checked; there the automata are broadcast and documents stream through whole.
 """
 
 from __future__ import annotations
@@ -16,18 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ship
+from .common import cut, discard, partitions, ship
 from .wordhash import U64, _WORD_POWERS, Words, mix, plain, text_chunks, words_of
 
 WINDOW = 35
-#: Words of an anchor; a window of 35 words has 24 runs of 12.
-ANCHOR = 12
-#: An anchor with more distinct contexts than this isn't one task's work: its windows are dealt by their
-#: own hashes and counted.
-HOT_CONTEXTS = 2_000
+#: Distinct contexts of one automaton, at most; an anchor with more is split by longer anchors.
+CONTEXTS = 500
 #: Words of a broadcast reference, at most, and of one of its automata.
 MAX_REFERENCE_WORDS, SHARD_WORDS = 5_000_000, 250_000
 
@@ -94,16 +94,25 @@ class SuffixAutomaton:
                 s, n = 0, 0
             yield s, n
 
-    def repeated(self, sequence, window: int) -> int:
-        """Bit i is set if the window from position i occurs at two places or more."""
-        mask = 0
+    def repeated(self, sequence, window: int) -> list[tuple[int, int]]:
+        """Runs (first, number) of windows of the sequence that occur at two places or more."""
+        runs: list[tuple[int, int]] = []
         for at, (s, n) in enumerate(self.statistics(sequence)):
             if n >= window:
                 while self.length[self.link[s]] >= window:
                     s = self.link[s]
                 if self.seen[s] > 1:
-                    mask |= 1 << (at - window + 1)
-        return mask
+                    first = at - window + 1
+                    if runs and sum(runs[-1]) == first:
+                        runs[-1] = (runs[-1][0], runs[-1][1] + 1)
+                    else:
+                        runs.append((first, 1))
+        return runs
+
+
+def ladder(window: int) -> list[int]:
+    """Words of an anchor: about a third of the window, two thirds, the window."""
+    return sorted({max(1, (window + 1) // 3), max(1, 2 * window // 3), window})
 
 
 def anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -141,55 +150,79 @@ def anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
 def _anchor_rows(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = plain(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            text = plain(batch.column(2))
+            key, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             for a, b in text_chunks(text):
                 doc, first, count, fp, ctx = anchors(words_of(text.slice(a, b - a)), window, anchor)
                 if len(doc):
+                    doc = a + doc
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a + doc]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(fp), pa.array(ctx)],
-                        names=["key", "first", "wins", "fp", "ctx"],
+                        [pa.array(key[doc]), pa.array(th[doc]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(fp), pa.array(ctx)],
+                        names=["key", "th", "first", "wins", "fp", "ctx"],
                     )
 
     return run
 
 
+def _slices(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """A list array of ranges of the values."""
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values[at]))
+
+
 def _contexts(window: int):
-    """Words of the contexts asked for, from each text and its list of (fp, ctx, first, wins, n, hot)."""
+    """Words of the contexts asked for, from each text and its list of (fp, ctx, first, wins, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, asked = plain(batch.column(0)), batch.column(1)
             for a, b in text_chunks(text):
                 words = words_of(text.slice(a, b - a))
-                h = words.hash.view(np.int64)
-                rows = asked.slice(a, b - a).to_pylist()
-                out: list[tuple] = []
-                for d, wanted in enumerate(rows):
-                    for r in wanted:
-                        at = words.first[d] + r["first"]
-                        out.append((r["fp"], r["ctx"], r["n"], r["hot"], h[at : at + r["wins"] + window - 1]))
-                for c in range(0, len(out), 20_000):
-                    part = out[c : c + 20_000]
-                    ends = np.cumsum([0] + [len(x[4]) for x in part]).astype(np.int32)
-                    seq = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[4] for x in part])))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part]) for i in range(4)] + [seq], names=["fp", "ctx", "n", "hot", "words"])
+                part = asked.slice(a, b - a)
+                rows, doc = part.flatten(), np.repeat(np.arange(b - a), pc.list_value_length(part).to_numpy(zero_copy_only=False))
+                first = words.first[doc] + rows.field("first").to_numpy()
+                size = rows.field("wins").to_numpy() + (window - 1)
+                for c in range(0, len(doc), 20_000):
+                    d = min(len(doc), c + 20_000)
+                    seq = _slices(words.hash.view(np.int64), first[c:d], size[c:d])
+                    yield pa.RecordBatch.from_arrays([*(rows.field(x).slice(c, d - c) for x in ("fp", "ctx", "n")), seq], names=["fp", "ctx", "n", "words"])
+
+    return run
+
+
+def _again(window: int, anchor: int):
+    """The longer anchors inside contexts (fp, ctx, n, words): place is where a new context starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(3)
+            values, ends = flat.values.to_numpy().view(np.uint64), flat.offsets.to_numpy().astype(np.int64)
+            values, ends = values[ends[0] : ends[-1]], ends - ends[0]
+            none = np.zeros(0, dtype=np.int64)
+            row, place, count, fp, ctx = anchors(Words(none, none, none, values, ends, ends), window, anchor)
+            take, seq = pa.array(row), _slices(values.view(np.int64), ends[row] + place, count + (window - 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(place), pa.array(fp), pa.array(ctx), batch.column(2).take(take), seq],
+                names=["fp", "ctx", "place", "fp2", "ctx2", "n", "words"],
+            )
 
     return run
 
 
 def _automata(window: int):
-    """Rows sorted by fp come in; each fp's contexts make one automaton and stream through it."""
+    """Rows sorted by fp come in; each fp's contexts make one automaton and stream through it. A run of
+    repeated windows of a context comes out as a row."""
 
-    def masks(group: list[tuple]):
+    def marks(group: list[tuple]):
         auto = SuffixAutomaton()
         for _, _, n, seq in group:
             auto.add(seq, n)
         auto.close()
-        return [(fp, ctx, auto.repeated(seq, window)) for fp, ctx, _, seq in group]
+        return [(fp, ctx, at, size) for fp, ctx, _, seq in group for at, size in auto.repeated(seq, window)]
 
     def table(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["fp", "ctx", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["fp", "ctx", "at", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, out = [], []
@@ -198,55 +231,28 @@ def _automata(window: int):
             ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
             for i, (fp, ctx, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
                 if group and group[0][0] != fp:
-                    out += masks(group)
+                    out += marks(group)
                     group = []
                     if len(out) > 10_000:
                         yield table(out)
                         out = []
                 group.append((fp, ctx, n, values[ends[i] : ends[i + 1]].tolist()))
         if group:
-            out += masks(group)
+            out += marks(group)
         if out:
             yield table(out)
 
     return run
 
 
-def _windows(window: int):
-    """fp, ctx, place, the window's hash and the context's count, for contexts of hot anchors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column(3)
-            ends, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
-            up, down = _WORD_POWERS.upto(len(values) + 1)
-            sums = np.zeros(len(values) + 1, dtype=np.uint64)
-            np.cumsum(values * up[: len(values)], out=sums[1:])
-            wins = np.diff(ends) - window + 1
-            row = np.repeat(np.arange(len(wins)), wins)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(wins) - wins, wins)
-            at = ends[:-1][row] + place
-            h = mix((sums[at + window] - sums[at]) * down[at]).view(np.int64)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(place), pa.array(h), batch.column(2).take(take)],
-                names=["fp", "ctx", "place", "h", "n"],
-            )
-
-    return run
-
-
-def _cover(n_words: int, spans, window: int) -> np.ndarray:
-    """Which words the marked windows cover."""
+def _cover(n_words: int, spans: pa.Array, doc_first: np.ndarray, window: int) -> np.ndarray:
+    """Which of all words the runs of windows in `spans`, a list of (first, size) per text, cover."""
+    doc = np.repeat(np.arange(len(spans)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    rows = spans.flatten()
+    first = doc_first[doc] + rows.field("first").to_numpy(zero_copy_only=False)
     delta = np.zeros(n_words + 1, dtype=np.int64)
-    for r in spans:
-        first, mask = r["first"], r["mask"]
-        while mask:
-            low = mask & -mask
-            i = first + low.bit_length() - 1
-            delta[i] += 1
-            delta[i + window] -= 1
-            mask ^= low
+    np.add.at(delta, first, 1)
+    np.add.at(delta, first + rows.field("size").to_numpy(zero_copy_only=False) + (window - 1), -1)
     return np.cumsum(delta[:n_words]) > 0
 
 
@@ -273,11 +279,7 @@ def _finish(window: int, with_text: bool):
             for a, b in text_chunks(text):
                 part = text.slice(a, b - a)
                 words = words_of(part)
-                removed = np.zeros(len(words.hash), dtype=bool)
-                for d, rows in enumerate(spans.slice(a, b - a).to_pylist()):
-                    if rows:
-                        f, t = words.first[d], words.first[d + 1]
-                        removed[f:t] = _cover(t - f, rows, window)
+                removed = _cover(len(words.hash), spans.slice(a, b - a), words.first, window)
                 gone = np.concatenate([[0], np.cumsum(removed)])
                 gone = gone[words.first[1:]] - gone[words.first[:-1]]
                 data, ends = kept_bytes(words, removed)
@@ -296,30 +298,51 @@ def _finish(window: int, with_text: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """key, spans for each text (key bigint, text) that has a repeated window; a span is the first word of
-    a context and a mask of the windows in it that are repeated."""
-    occ = cut(docs.mapInArrow(_anchor_rows(window, anchor), "key bigint, first int, wins int, fp bigint, ctx bigint"), "sub-anchors")
-    twice = occ.groupBy("fp").agg(F.count("*").alias("m"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("m > 1")
-    cand = cut(occ.join(twice.select("fp", (F.col("a") != F.col("b")).alias("mixed")), "fp"), "sub-candidates")
-    same = cand.filter("not mixed").select("key", "first", F.expr("shiftleft(1L, wins) - 1").alias("mask"))
-    kinds = cand.filter("mixed").groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "wins")).alias("at"))
-    many = kinds.groupBy("fp").count().filter(F.col("count") > hot).select("fp", F.lit(True).alias("hot"))
-    kinds = kinds.join(many, "fp", "left")
-    asked = kinds.groupBy(F.col("at.key").alias("key")).agg(
-        F.collect_list(F.struct("fp", "ctx", F.col("at.first").alias("first"), F.col("at.wins").alias("wins"), "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked")
+def _marked(held: DataFrame, window: int, anchors_: list[int], most: int) -> DataFrame:
+    """fp, ctx, at, size: runs of repeated windows in the contexts (fp, ctx, n, words). Anchors with more than
+    `most` contexts are dealt by the next longer anchor; the last one is a whole window, whose contexts
+    are all equal."""
+    spark = held.sparkSession
+    crowded = held.groupBy("fp").count().filter(F.col("count") > most).select("fp")
+    crowded = cut(crowded, "sub-crowded") if anchors_ else None
+    split = crowded is not None and not crowded.isEmpty()
+    alone = held.join(crowded, "fp", "left_anti") if split else held
+    out = alone.select("fp", "ctx", "n", "words").repartition(partitions(spark), "fp").sortWithinPartitions("fp", "ctx")
+    out = out.mapInArrow(_automata(window), "fp bigint, ctx bigint, at int, size int")
+    if not split:
+        return cut(out, "sub-marks")
+    out = cut(out, "sub-marks")
+    schema = "fp bigint, ctx bigint, place bigint, fp2 bigint, ctx2 bigint, n bigint, words array<bigint>"
+    inner = held.join(crowded, "fp", "left_semi").select("fp", "ctx", "n", "words").mapInArrow(_again(window, anchors_[0]), schema)
+    inner = cut(inner, "sub-inner")
+    kinds = inner.groupBy(F.col("fp2").alias("fp"), F.col("ctx2").alias("ctx")).agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    kinds = cut(kinds, "sub-contexts")
+    more = _marked(kinds, window, anchors_[1:], most).withColumnsRenamed({"fp": "fp2", "ctx": "ctx2"})
+    back = inner.join(more, ["fp2", "ctx2"]).select("fp", "ctx", (F.col("at") + F.col("place")).cast("int").alias("at"), "size")
+    return cut(out.union(back), "sub-marks")
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = CONTEXTS) -> DataFrame:
+    """key, th, spans for each text (key bigint, th int, text) that has a repeated window; a span is the first
+    word of the first of some consecutive windows that are repeated, and their number."""
+    anchor, *longer = ladder(window)
+    occ = cut(docs.mapInArrow(_anchor_rows(window, anchor), "key bigint, th int, first int, wins int, fp bigint, ctx bigint"), "sub-anchors")
+    # Aggregates are written before they are joined: Spark splits a hot key of a join only between scans.
+    twice = cut(occ.groupBy("fp").count().filter("count > 1").select("fp"), "sub-twice")
+    cand = cut(occ.join(twice, "fp"), "sub-candidates")
+    discard(occ, twice)
+    kinds = cand.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "th", "first", "wins")).alias("at"))
+    asked = kinds.groupBy(F.col("at.key").alias("key"), F.col("at.th").alias("th")).agg(
+        F.collect_list(F.struct("fp", "ctx", F.col("at.first").alias("first"), F.col("at.wins").alias("wins"), "n")).alias("asked")
     )
+    asked = cut(asked, "sub-asked")
     # Of repeated rows with one key any serves; their texts are equal.
-    held = docs.join(asked, "key").select("text", "asked").mapInArrow(_contexts(window), "fp bigint, ctx bigint, n bigint, hot boolean, words array<bigint>")
+    held = docs.join(asked, ["key", "th"]).select("text", "asked").mapInArrow(_contexts(window), "fp bigint, ctx bigint, n bigint, words array<bigint>")
     held = cut(held, "sub-contexts")
-    rest = held.filter("not hot").select("fp", "ctx", "n", "words")
-    marked = rest.repartition(partitions(docs.sparkSession), "fp").sortWithinPartitions("fp", "ctx").mapInArrow(_automata(window), "fp bigint, ctx bigint, mask bigint")
-    wide = held.filter("hot").select("fp", "ctx", "n", "words").mapInArrow(_windows(window), "fp bigint, ctx bigint, place bigint, h bigint, n bigint")
-    often = wide.groupBy("h").agg(F.sum("n").alias("m")).filter("m > 1").select("h")
-    wide = wide.join(often, "h").groupBy("fp", "ctx").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
-    masks = cut(marked.union(wide).filter("mask != 0"), "sub-masks")
-    mixed = cand.filter("mixed").join(masks, ["fp", "ctx"]).select("key", "first", "mask")
-    return same.union(mixed).groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("spans"))
+    marks = _marked(held, window, longer, most)
+    discard(asked, held)
+    spans = cand.join(marks, ["fp", "ctx"]).select("key", "th", (F.col("first") + F.col("at")).alias("first"), "size")
+    return spans.groupBy("key", "th").agg(F.collect_list(F.struct("first", "size")).alias("spans"))
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -329,18 +352,22 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are compared unchanged. Each word covered by a window of `window` words whose sequence also
     starts anywhere else, in another document or the same, is removed; windows are judged on the input.
     Null, empty and short texts lose nothing; a text that loses nothing is returned as it was, one that
-    loses words has single spaces between the others. Rows with a null id are told apart by their text;
-    repeated rows repeat each other's windows, so they lose them. An empty table gives no rows.
+    loses words has single spaces between the others. Rows with a null id, or with one id, are told apart
+    by their texts; repeated rows repeat each other's windows, so they lose them. An empty table gives no
+    rows. Any window of at least one word will do.
     """
     ship(df.sparkSession)
+    if window < 1:
+        raise ValueError("a window has at least one word")
     kind = dict(df.dtypes)[id_col]
-    key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    spans = repeated_spans(df.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), window)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(text))
+    spans = repeated_spans(df.select(key.alias("key"), F.hash(text).alias("th"), F.col(f"`{text_col}`").alias("text")), window)
     others = [c for c in df.columns if c not in (id_col, text_col, "n_words", "n_removed")] if with_text else []
     rows = df.select(
-        key.alias("__key"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(others)]
+        key.alias("key"), F.hash(text).alias("th"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(others)]
     )
-    rows = rows.join(spans, rows["__key"] == spans["key"], "left").select("__id", "__text", "spans", *[f"__{i}" for i in range(len(others))])
+    rows = rows.join(spans, ["key", "th"], "left").select("__id", "__text", "spans", *[f"__{i}" for i in range(len(others))])
     kinds = dict(df.dtypes)
     schema = f"c0 {kind}, c1 bigint, c2 bigint, c3 string" + "".join(f", c{i + 4} {kinds[c]}" for i, c in enumerate(others))
     out = rows.mapInArrow(_finish(window, with_text), schema)

@@ -136,16 +136,23 @@ def test_substrings(odd, odd_rows):
     check_substrings(odd, odd_rows)
 
 
-@pytest.mark.parametrize("hot", [2000, 0])
-def test_substrings_of_periodic_and_overlapping_texts(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (35, 12, hot))
+@pytest.mark.parametrize("most, window", [(500, 35), (0, 35), (2, 5), (500, 100), (1, 1)])
+def test_substrings_of_periodic_and_overlapping_texts(spark, monkeypatch, most, window):
+    monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (35, most))
     r = random.Random(4)
     v = [f"w{i}" for i in range(40)]
     p = r.choices(v, k=80)
     rows = [(0, "a b " * 60), (1, "a " * 34), (2, "a " * 35), (3, "a " * 36), (4, " ".join(p)), (5, " ".join(r.choices(v, k=20) + p[10:50] + r.choices(v, k=20)))]
     rows += [(6 + i, " ".join(r.choices(v, k=5) + p[i : i + 34 + i % 4] + r.choices(v, k=9))) for i in range(30)]
     rows += [(100 + i, " ".join((["x", "y", "z"][: 1 + i % 3]) * 40)) for i in range(6)]
-    check_substrings(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    check_substrings(spark.createDataFrame(rows, "doc_id long, text string"), rows, window)
+
+
+def test_substrings_of_one_id_with_several_texts(spark):
+    p = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "short"), (1, "a b " + p), (1, p + " tail"), (2, p), (2, None)]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 1, 0), (1, 41, 40), (1, 42, 40), (2, 0, 0), (2, 40, 40)]
 
 
 def test_substrings_with_text(spark, odd, odd_rows):
@@ -174,10 +181,10 @@ def test_suffix_automaton():
         for at, (_, n) in enumerate(auto.statistics(text)):
             assert n == max((k for k in range(at + 2) if k == 0 or tuple(text[at + 1 - k : at + 1]) in subs), default=0)
         for s in seqs:
-            mask = auto.repeated(s, 4)
+            marked = {i for a, n in auto.repeated(s, 4) for i in range(a, a + n)}
             for i in range(len(s) - 3):
                 count = sum(x[k : k + 4] == s[i : i + 4] for x in seqs for k in range(len(x) - 3))
-                assert bool(mask >> i & 1) == (count > 1)
+                assert (i in marked) == (count > 1)
 
 
 def test_strip_reference(spark):
@@ -198,19 +205,41 @@ def test_records(spark, odd, odd_rows):
         assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
         start += len(ids)
     assert len(got) == len(odd_rows)
+    same = spark.createDataFrame([(7, f"t{i % 5}") for i in range(40)] + [(None, "x")] * 3, "doc_id long, text string")
+    got = records.read_records(spark, *records.write_records(same, WORDS)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 3 + [7] * 40 and [b["start"] - a["start"] for a, b in zip(got, got[1:])] == [r["n_tokens"] for r in got[:-1]]
     uri, files, width = records.write_records(odd.limit(0), WORDS)
     assert files == [] and records.read_records(spark, uri, files, width).count() == 0
 
 
+def encodes_alike(enc, tok, texts):
+    flat, at = enc.encode(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_word_encoder_equals_whole_texts(odd_rows):
     tok, enc = Tokenizer.from_file(WORDS), records.WordEncoder(WORDS, cache_words=300)
     texts = [t or "" for _, t in odd_rows]
     texts += ["İstanbul Σίσυφος ΣΑΣ. ÀÉÎ, ǅ straße! don't. O'Neil's Aé? x<|endoftext|>y a\u0301b e\u0301. \u00a0nbsp\u00a0 fin", "A" * 3000 + "."]
     for _ in range(2):
-        assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        encodes_alike(enc, tok, texts)
+        for t in texts:
+            encodes_alike(enc, tok, [t])
     assert enc.short
 
 
+def test_word_encoder_on_random_characters():
+    """Marks, capitals, contractions, combining and odd white-space characters in every order."""
+    r = random.Random(11)
+    tok = Tokenizer.from_file(WORDS)
+    parts = [*"aAbTsSdéÉÇñßİıΣσςKǅ.,;:!?'\"-_<>|019²٣中の\u0301\u0307\u00a0\u0085\u2003\x1c\x1f\x0b\n \t×÷…»👍", "'S", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>.", "I\u0307", " "]
+    for words in (40, 5000):
+        enc = records.WordEncoder(WORDS, cache_words=words)
+        for _ in range(6):
+            encodes_alike(enc, tok, ["".join(r.choices(parts, k=r.randrange(0, 60))) for _ in range(250)])
+    encodes_alike(enc, tok, [])
+
+
 def test_record_frames():
     data = b"".join(map(records.frame, (b"", b"abc", b"x" * 1000)))
     at, out = 0, []
