@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,23 @@ def dot(a, b) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
 
+def floats(blob, dimension: int | None = None) -> Column:
+    """A vector from its little-endian 32-bit floats; null for a length that isn't 4 bytes each (or the
+    dimension's), and for values that aren't finite. Decoded in Arrow batches."""
+
+    @F.pandas_udf("array<float>")
+    def decode(column: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None or len(x) % 4 or (dimension is not None and len(x) != 4 * dimension):
+                return None
+            v = np.frombuffer(x, dtype="<f4")
+            return v if np.isfinite(v).all() else None
+
+        return column.map(one)
+
+    return decode(_c(blob))
+
+
 def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -135,6 +154,32 @@ def json_payload(text) -> Column:
     return F.nullif(F.regexp_replace(got, r",\s*([}\]])", "$1"), F.lit(""))
 
 
+def like(c, pattern: str) -> Column:
+    """LIKE that takes A-Z for a-z and no other letters for each other."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(_c(c), upper, lower).like(pattern.translate(str.maketrans(upper, lower)))
+
+
+def shortened(c, most: int) -> Column:
+    """Trimmed and cut to so many characters; null counts as empty."""
+    return F.substring(F.trim(F.coalesce(_c(c), F.lit(""))), 1, most)
+
+
+def known_first(values, vocabulary: list[str], most: int) -> Column:
+    """The first few values that a vocabulary has, in the values' order, each once."""
+    return F.slice(F.array_distinct(F.filter(_c(values), lambda x: x.isin(*vocabulary))), 1, most)
+
+
+def number_or(c, kind: str, otherwise) -> Column:
+    """The text as a number, or another value where it isn't one."""
+    return F.coalesce(_c(c).try_cast(kind), F.lit(otherwise).cast(kind))
+
+
+def is_date(c) -> Column:
+    """Whether a text starts like a date."""
+    return F.coalesce(_c(c).rlike(r"^\d{4}-\d{2}-\d{2}"), F.lit(False))
+
+
 # Labels and scores --------------------------------------------------------------------------------------
 def round_even(c, digits: int) -> Column:
     """Half to even, as Python rounds."""
@@ -166,8 +211,8 @@ def combined_quality(aesthetic, label) -> Column:
 
 
 def evidence_kind(reason) -> Column:
-    r = F.lower(_c(reason))
-    return F.when(F.endswith(r, F.lit("_filename")), "filename").when(F.endswith(r, F.lit("_path")), "path").otherwise("rule")
+    """By the reason's ending; path for any other, as a check of the evidence table allows no further kind."""
+    return F.when(F.endswith(_c(reason), F.lit("_FILENAME")), "filename").otherwise("path")
 
 
 def mercator_y(lat) -> Column:
@@ -187,12 +232,58 @@ def crop_window(width, height, cx, cy) -> Column:
     """The largest 4:3 window centred near a point, inside the image."""
     w = F.least(_c(width).cast("double"), _c(height) * 4.0 / 3.0)
     h = w * 3.0 / 4.0
-    x = F.least(F.greatest(_c(cx) - w / 2, F.lit(0.0)), _c(width) - w)
-    y = F.least(F.greatest(_c(cy) - h / 2, F.lit(0.0)), _c(height) - h)
-    return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    return _window(_c(width), _c(height), _c(cx) - w / 2, _c(cy) - h / 2, w, h)
+
+
+def _within(x: Column, most: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(x, most))
+
+
+def _window(width: Column, height: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    return F.struct(_within(x, width - w).alias("x"), _within(y, height - h).alias("y"), w.alias("w"), h.alias("h"))
+
+
+def smart_crop(width, height, faces, subject, horizon) -> Column:
+    """method, x, y, w, h (shares of the image, 4 decimals) of the first strategy that applies: around the
+    faces (array of x, y, w, h in pixels), a salient subject (struct cx, cy), the horizon (its row), or the
+    centre. Faces too tall for a 4:3 window get a 3:4 one; a window that cuts the topmost face moves up. A
+    horizon in the upper half shows more of what is below it, else it comes to the window's lower third."""
+    W, H = _c(width).cast("double"), _c(height).cast("double")
+    f = _c(faces)
+    edge = lambda how, at: how(F.transform(f, at))
+    x1, y1 = F.greatest(F.lit(0.0), edge(F.array_min, lambda b: b["x"])), F.greatest(F.lit(0.0), edge(F.array_min, lambda b: b["y"]))
+    x2, y2 = F.least(W, edge(F.array_max, lambda b: b["x"] + b["w"])), F.least(H, edge(F.array_max, lambda b: b["y"] + b["h"]))
+    tall, cx = y2 - y1, (x1 + x2) / 2
+    top = y1 - tall * 0.2
+    upright_h = F.least(H, W * 4.0 / 3.0)
+    upright_w = upright_h * 3.0 / 4.0
+    upright = _window(W, H, cx - upright_w / 2, F.when(upright_h >= tall, top).otherwise((y1 + y2) / 2 - upright_h / 2), upright_w, upright_h)
+    flat_w = F.least(W, H * 4.0 / 3.0)
+    flat_h = flat_w * 3.0 / 4.0
+    placed = _within((y1 + y2) / 2 - tall * 0.12 - flat_h / 2, H - flat_h)
+    flat = _window(W, H, cx - flat_w / 2, F.when(placed > top, top).otherwise(placed), flat_w, flat_h)
+    line = _c(horizon).cast("double")
+    level = F.when(line / H < 0.5, F.least(line + (H - line) * 0.5, H - H * 3 / 8)).otherwise(F.greatest(line - H * 3 / 16, H * 3 / 8))
+    ways = [
+        ("face", F.size(F.coalesce(f, F.array())) > 0, F.when(tall * 4.0 / 3.0 > W, upright).otherwise(flat)),
+        ("saliency", _c(subject).isNotNull(), crop_window(W, H, _c(subject)["cx"], _c(subject)["cy"])),
+        ("horizon", line.isNotNull(), crop_window(W, H, W / 2, level)),
+        ("center", F.lit(True), crop_window(W, H, W / 2, H / 2)),
+    ]
+    out = None
+    for name, applies, r in reversed(ways):
+        r = F.struct(F.lit(name).alias("method"), *[round_even(r[k] / size, 4).alias(k) for k, size in (("x", W), ("y", H), ("w", W), ("h", H))])
+        out = r if out is None else F.when(applies, r).otherwise(out)
+    return out
+
+
+#: Eyes are open above this height over width, a smile above this width over eye distance; places
+#: of the right eye, the left eye and the mouth's corners among 106 landmarks.
+EYES_OPEN, SMILING = 0.28, 0.72
+RIGHT_EYE, LEFT_EYE, MOUTH = (33, 43), (88, 96), (52, 58)
 
 
-def point_metrics(points, open_at: float = 0.2, smile_at: float = 0.62) -> Column:
+def point_metrics(points, open_at: float = EYES_OPEN, smile_at: float = SMILING) -> Column:
     """Eye and mouth measures of 106 landmarks (array of struct x, y); null where they can't be a face's."""
 
     def spread(a: int, b: int, axis: str) -> Column:
@@ -206,9 +297,9 @@ def point_metrics(points, open_at: float = 0.2, smile_at: float = 0.62) -> Colum
     def ratio(a: int, b: int) -> Column:
         return F.when(spread(a, b, "x") >= 1, round_even(spread(a, b, "y") / spread(a, b, "x"), 3))
 
-    right, left = ratio(33, 43), ratio(88, 96)
-    eyes = F.sqrt(F.pow(mean(33, 43, "x") - mean(88, 96, "x"), 2) + F.pow(mean(33, 43, "y") - mean(88, 96, "y"), 2)) + 1e-6
-    p, q = F.get(_c(points), F.lit(52)), F.get(_c(points), F.lit(58))
+    right, left = ratio(*RIGHT_EYE), ratio(*LEFT_EYE)
+    eyes = F.sqrt(F.pow(mean(*RIGHT_EYE, "x") - mean(*LEFT_EYE, "x"), 2) + F.pow(mean(*RIGHT_EYE, "y") - mean(*LEFT_EYE, "y"), 2)) + 1e-6
+    p, q = F.get(_c(points), F.lit(MOUTH[0])), F.get(_c(points), F.lit(MOUTH[1]))
     smile = round_even(F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2)) / eyes, 3)
     return F.when(
         (right <= 1) & (left <= 1) & (smile <= 1.1),

@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
-
-
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.tables import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of undirected edges (a, b). Every round each node takes
     the least label among its neighbours' and then its label's label; the pointer jump halves the rounds
     on long paths. Rounds are written to the shared folder."""
-    e = edges.select("a", "b").filter("a is not null and b is not null and a != b")
-    e = _cut(e.union(e.select(F.col("b"), F.col("a"))).toDF("a", "b").distinct(), "edges")
-    labels = _cut(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    e = cut(edges.select("a", "b").filter("a is not null and b is not null and a != b"), "edges")
+    e = cut(e.union(e.select(F.col("b"), F.col("a"))).toDF("a", "b").distinct(), "edges")
+    old = labels = cut(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = e.join(labels, e["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", F.least("label", "m").alias("to"), "label")
         parents = labels.select(F.col("node").alias("to"), F.col("label").alias("up"))
-        new = _cut(step.join(parents, "to", "left").select("node", F.least("to", F.coalesce("up", "to")).alias("label"), (F.least("to", F.coalesce("up", "to")) != F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
+        new = cut(step.join(parents, "to", "left").select("node", F.least("to", F.coalesce("up", "to")).alias("label"), (F.least("to", F.coalesce("up", "to")) != F.col("label")).alias("moved")), "labels")
+        discard(old)
+        old, labels = new, new.select("node", "label")
         if new.filter("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")
 
@@ -42,7 +35,7 @@ def star_clusters(edges: DataFrame, cap: int | None = 40) -> DataFrame:
     seed without a free neighbour isn't a cluster. The greedy order matters only inside a component, so
     components are found first, and each is one group; a group's size is its component's.
     """
-    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
+    e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     comp = components(e)
     grouped = e.join(comp, e["a"] == comp["node"]).select("component", "a", "b")
     kind = dict(e.dtypes)["a"]

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
 from .mutations import upsert
 
 
@@ -43,6 +44,42 @@ def pending(counts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def cached(old: DataFrame, assets: DataFrame, key: str, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A derived-value table with the missing assets' values added; derive gets only those. Values of assets
+    that are gone are left out."""
+    kept = old.join(assets.select(key), key, "left_semi")
+    fresh = cut(derive(assets.join(old.select(key), key, "left_anti")), "derived")
+    return kept.unionByName(fresh.select(*old.columns))
+
+
+def catalogue_backlog(photos: DataFrame, files: DataFrame, marks_: dict[str, DataFrame], hidden: DataFrame, allowed: DataFrame, misses: DataFrame, grouped: DataFrame, vision: bool = True, logcolor: bool = True) -> DataFrame:
+    """step, n of the six kinds of pending work, each with its own predicate; a step that is switched off
+    owes nothing. photos (asset_id, media_type), files (asset_id, sha256, byte_size), marks_ by step:
+    similar, junk, blur, vision, logcolor (asset_id); misses (asset_id, step); grouped (asset_id)."""
+
+    def left(df: DataFrame, *gone: DataFrame) -> DataFrame:
+        for g in gone:
+            df = df.join(g.select("asset_id"), "asset_id", "left_anti")
+        return df
+
+    missed = lambda step: misses.filter(F.col("step") == step)
+    only = photos.filter("media_type = 'photo'")
+    of_photos = files.join(only.select("asset_id"), "asset_id", "left_semi")
+    sizes = of_photos.filter("byte_size is not null").groupBy("byte_size").count().filter("count > 1")
+    unhashed = left(of_photos.filter("sha256 is null"), missed("hash")).join(sizes.select("byte_size"), "byte_size", "left_semi")
+    none = photos.limit(0)
+    return pending(
+        {
+            "similar": left(only, marks_["similar"], grouped, missed("similar"), hidden),
+            "junk": left(photos, marks_["junk"], allowed),
+            "blur": left(only, marks_["blur"]),
+            "sha256": unhashed,
+            "vision": left(only, marks_["vision"], allowed, missed("vision"), hidden) if vision else none,
+            "logcolor": left(photos, marks_["logcolor"], missed("logcolor")) if logcolor else none,
+        }
+    )
+
+
 def touched_groups(old: DataFrame, new: DataFrame, bucket: str) -> DataFrame:
     """All rows whose bucket a new row falls into, so that late arrivals pull old rows in."""
     return old.unionByName(new).join(new.select(bucket).distinct(), bucket, "left_semi")
@@ -66,14 +103,15 @@ class Report:
 
 def run_steps(assets: DataFrame, state: DataFrame, misses: DataFrame, steps: list[Step], key: str = "asset_id", limit: int = 0) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], Report]:
     """Runs steps in order over their backlogs; one that fails is reported and leaves its marks alone, the
-    others go on. Returns state, misses, the processed rows by step, and a report."""
+    others go on. Returns state, misses, the processed rows by step, and a report. What a step gives is
+    written to the shared folder once, before it is marked, so its work runs once and marks fit results."""
     out, report = {}, Report()
     for step in steps:
         todo = backlog(assets if step.gate is None else assets.filter(step.gate), state, step.name, key, step.version, misses)
         if limit:
             todo = todo.orderBy(key).limit(limit)
         try:
-            done, missed = step.run(todo)
+            done, missed = (cut(x, step.name) for x in step.run(cut(todo, "backlog")))
             n = done.count()
         except Exception as e:  # a step's own failure mustn't stop the others
             report.errors[step.name] = f"{type(e).__name__}: {e}"[:500]

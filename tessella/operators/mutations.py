@@ -10,21 +10,36 @@ class ConstraintError(ValueError):
     """A key, check or argument that must hold doesn't."""
 
 
-def replace(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows win over old ones with their key."""
-    return old.join(new.select(*key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
-
-
-def ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Old rows win; of new rows with one key one is taken."""
-    fresh = new.dropDuplicates(key).join(old.select(*key), key, "left_anti")
+def last_of(delta: DataFrame, key: list[str], order: list[Column] | None = None, first: bool = False) -> DataFrame:
+    """One row per key of a delta, as if its rows came one after the other in the order: the last one, or the
+    first. Without an order, rows of a key are ordered by all their columns, which is at least the same on
+    every run."""
+    cols = order or [F.col(f"`{c}`").asc_nulls_first() for c in delta.columns if c not in key]
+    if not cols:
+        return delta.dropDuplicates(key)
+    rn = F.row_number().over(Window.partitionBy(*key).orderBy(*cols))
+    n = F.count("*").over(Window.partitionBy(*key))
+    return delta.withColumns({"__rn": rn, "__n": n}).filter(F.col("__rn") == (F.lit(1) if first else F.col("__n"))).drop("__rn", "__n")
+
+
+def replace(old: DataFrame, new: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
+    """New rows win over old ones with their key; of new rows with one key the last."""
+    new = last_of(new.select(*old.columns), key, order)
+    return old.join(new.select(*key), key, "left_anti").select(*old.columns).unionByName(new)
+
+
+def ignore(old: DataFrame, new: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Old rows win; of new rows with one key the first."""
+    fresh = last_of(new.select(*old.columns), key, order, first=True).join(old.select(*key), key, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], update: dict[str, str] | None = None) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: list[str], update: dict[str, str] | None = None, order: list[Column] | None = None) -> DataFrame:
     """Column-wise merge. update names columns and how they change: `new` takes the new value, `keep` the
-    old one, `coalesce` the new one unless it is null. Columns not named keep the old value."""
+    old one, `coalesce` the new one unless it is null. Columns not named keep the old value. Of new rows
+    with one key the last counts."""
     update = update or {c: "new" for c in old.columns if c not in key}
+    new = last_of(new.select(*old.columns), key, order)
     o = old.select(*key, F.struct(*old.columns).alias("__o"))
     n = new.select(*key, F.struct(*old.columns).alias("__n"))
     both = o.join(n, key, "full")
@@ -142,3 +157,26 @@ def sort_layout(layout: DataFrame, kind: str, targets: list[str], parent: str =
     spark = layout.sparkSession
     new = spark.createDataFrame([(kind, t, parent, i, 1) for i, t in enumerate(dict.fromkeys(targets))], "kind string, target string, parent string, sort_order int, show_on_home int")
     return upsert(layout.select("kind", "target", "parent", "sort_order", "show_on_home"), new, ["kind", "target"], {"sort_order": "new"})
+
+
+def audit_rows(found: DataFrame, audit: DataFrame, reason: Column, at: str, key: str = "face_id") -> DataFrame:
+    """INSERT INTO audit SELECT: the audit table with a row per finding (key, person_id) that it doesn't hold
+    yet for the same person, with the reason and the time given."""
+    new = found.select(F.col(key), "person_id", reason.alias("reason"), F.lit(at).cast("timestamp").alias("created_at"))
+    fresh = new.join(audit.select(key, "person_id"), [key, "person_id"], "left_anti")
+    return audit.select(*new.columns).unionByName(fresh.select(*new.columns))
+
+
+def review_labels(reviews: DataFrame, answers: DataFrame, order: list[Column]) -> DataFrame:
+    """Blind-review answers (item, side, choice, at) merged into the reviews; a later answer replaces an
+    earlier one of the same item and side."""
+    return upsert(reviews, answers, ["item", "side"], order=order)
+
+
+def review_progress(items: DataFrame, reviews: DataFrame) -> DataFrame:
+    """side, total, done, left of a review."""
+    sides = reviews.select("side").distinct()
+    total = items.agg(F.count("*").alias("total"))
+    done = reviews.join(items, "item", "left_semi").groupBy("side").agg(F.countDistinct("item").alias("done"))
+    out = sides.join(done, "side", "left").join(F.broadcast(total), how="cross").withColumn("done", F.coalesce("done", F.lit(0)))
+    return out.select("side", "total", "done", (F.col("total") - F.col("done")).alias("left"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.tables import cut
 
 
 def without(df: DataFrame, gone: DataFrame, on: str | list[str]) -> DataFrame:
@@ -46,14 +51,32 @@ def largest(df: DataFrame, by: str, size: str, tie: list[str]) -> DataFrame:
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 0, cap: int = 4000) -> DataFrame:
     """A page of already visible rows, with total and has_more on each. A limit above cap is cap, a limit
     of 0 or less gives all rows from offset; past the end there are no rows."""
-    total = df.count()
-    rows = df.orderBy(*order).offset(max(0, offset))
+    total, offset = df.count(), max(0, offset)
     if limit > 0:
-        rows = rows.limit(min(limit, cap))
-    end = total if limit <= 0 else min(total, max(0, offset) + min(limit, cap))
+        rows, end = df.orderBy(*order).offset(offset).limit(min(limit, cap)), min(total, offset + min(limit, cap))
+    else:
+        rows, end = resume(df, order, offset) if offset else df.orderBy(*order), total
     return rows.withColumns({"total": F.lit(total).cast("bigint"), "has_more": F.lit(end < total)})
 
 
+def resume(df: DataFrame, order: list[Column], start: int) -> DataFrame:
+    """The rows of a total order from the start-th on, by global positions, as an offset without a limit
+    takes one partition."""
+    return positions(df, order, "__at").filter(F.col("__at") >= start).drop("__at")
+
+
+def optional_filters(df: DataFrame, given: dict[str, object], rules: dict[str, Callable[[object], Column]]) -> DataFrame:
+    """Applies the rules whose argument is given: None, an empty text, an empty list and False count as not
+    given. An argument without a rule is an error."""
+    unknown = set(given) - set(rules)
+    if unknown:
+        raise KeyError(f"no filter named {sorted(unknown)}")
+    for name, value in given.items():
+        if value is not None and value is not False and value != "" and value != []:
+            df = df.filter(rules[name](value))
+    return df
+
+
 def flagged(df: DataFrame, filtered: DataFrame, recycled: DataFrame, on: str) -> DataFrame:
     """Unpaged listing: recycled rows are left out, filtered ones stay with hidden set."""
     marks = filtered.select(on).distinct().withColumn("hidden", F.lit(True))
@@ -74,20 +97,29 @@ def override(base: DataFrame, over: DataFrame, on: str, columns: list[str]) -> D
     return out.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
-def stride(df: DataFrame, order: list[Column], shards: int, k: int, by: str | None = None) -> DataFrame:
+def stride(df: DataFrame, order: list[Column], shards: int, k: int) -> DataFrame:
     """Every shards-th row of a total order, from the k-th. Positions are global: partitions are range
     sorted and counted, so no task holds the table."""
     return positions(df, order, "__at").filter(F.pmod("__at", F.lit(shards)) == k).drop("__at")
 
 
 def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """The 0-based place of each row in a total order, by a range exchange, counts per partition and a
-    row number inside each."""
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").count()
-    before = counts.withColumn("__from", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__from")
-    rn = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return ranged.withColumn("__r", rn).join(F.broadcast(before), "__p").withColumn(name, F.col("__from") + F.col("__r") - 1).drop("__p", "__r", "__from")
+    """The 0-based place of each row in an order; rows that tie in it follow a hash of all their columns.
+
+    One range exchange sorts the rows, and each gets its partition's number and its place there; the table
+    is then written, so that counting the partitions and numbering the rows see the same ranges. The tie
+    hash also lets Spark part a key that many rows share."""
+    ties = F.xxhash64(*[f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    keyed = df.withColumn("__tie", ties)
+    ranged = keyed.repartitionByRange(*order, F.col("__tie")).sortWithinPartitions(*order, F.col("__tie")).drop("__tie")
+    # The identifier's upper bits are the partition, its lower 33 bits the place.
+    ranged = cut(ranged.withColumn("__id", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("__id", 33)
+    counts = ranged.groupBy(part.alias("__p")).count()
+    before = F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    starts = counts.select("__p", F.coalesce(before, F.lit(0)).alias("__from"))
+    within = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("__p", part).join(F.broadcast(starts), "__p").withColumn(name, F.col("__from") + within).drop("__p", "__id", "__from")
 
 
 def hash_order(seed: int, *keys: str) -> Column:

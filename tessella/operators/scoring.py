@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import dot, last_folder, normalised
+from ..functions.expr import age_bin, dot, last_folder, normalised
+from ..sources.tables import cut
+from .relational import hash_order, positions
 
 
 # Votes and audits ---------------------------------------------------------------------------------------
@@ -186,38 +192,97 @@ def centroid_similarity(df: DataFrame, key: str, vector: str, label: str, size:
     return j.withColumn("rest", rest).select(key, label, dot(normalised("rest"), normalised(vector)).alias("sim"))
 
 
+def order_statistics(df: DataFrame, column: str, points: list[float]) -> list[float] | None:
+    """Exact, linearly interpolated quantiles of a column's values, as many as points; None without values.
+    The values are sorted over all tasks by one range exchange, and only the asked places come back."""
+    rows = positions(df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), [F.col("v")], "at")
+    n = rows.count()
+    if not n:
+        return None
+    places = [p * (n - 1) for p in points]
+    asked = sorted({x for p in places for x in (math.floor(p), math.ceil(p))})
+    wanted = df.sparkSession.createDataFrame([(x,) for x in asked], "at bigint")
+    got = {r["at"]: r["v"] for r in rows.join(F.broadcast(wanted), "at").collect()}  # two per point
+    return [got[math.floor(p)] + (got[math.ceil(p)] - got[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
+def _above(scores: DataFrame, score: str, same: str, cuts: list[float]) -> list[tuple[int, int]]:
+    """For each ascending cut the numbers of rows of the same and of different kinds at or above it. A task
+    counts its rows between neighbouring cuts; one row per cut and task comes together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(cuts) + 1), dtype=np.int64)
+        for b in batches:
+            at = np.searchsorted(np.array(cuts), b.column(0).to_numpy(zero_copy_only=False), "right")
+            kind = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for k in range(2):
+                total[k] += np.bincount(at[kind == (k == 0)], minlength=len(cuts) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts) + 1)), pa.array(total[0]), pa.array(total[1])], names=["at", "tp", "fp"])
+
+    rows = scores.filter(F.col(score).isNotNull() & F.col(same).isNotNull()).select(F.col(score).cast("double"), F.col(same).cast("boolean"))
+    got = rows.mapInArrow(run, "at bigint, tp bigint, fp bigint").groupBy("at").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")).collect()
+    tp, fp, out = 0, 0, []
+    for r in sorted(got, key=lambda r: -r["at"]):
+        tp, fp = tp + r["tp"], fp + r["fp"]
+        out.append((tp, fp))
+    return out[::-1]  # the first is of all rows
+
+
 def best_f1(scores: DataFrame, score: str, same: str, thresholds: int = 400) -> DataFrame:
-    """threshold, f1, precision, recall that maximise F1 over so many quantiles of all scores; ties go to
-    the lower threshold. One aggregation counts the scores between neighbouring thresholds; running sums
-    over those few rows give the counts above each."""
-    qs = scores.agg(F.expr(f"percentile(`{score}`, array({', '.join(str(i / (thresholds - 1)) for i in range(thresholds))}))").alias("q")).first()["q"]
+    """threshold, f1, precision, recall that maximise F1 over so many quantiles, from 1 to 99 %, of all
+    scores; ties go to the lower threshold. Precision is that of the rates of both kinds, as if there were
+    as many pairs of one as of the other."""
+    qs = order_statistics(scores.filter(F.col(same).isNotNull()), score, [0.01 + 0.98 * i / (thresholds - 1) for i in range(thresholds)])
+    schema = "threshold double, f1 double, precision double, recall double"
     if qs is None:
-        return scores.sparkSession.createDataFrame([], "threshold double, f1 double, precision double, recall double")
+        return scores.sparkSession.createDataFrame([], schema)
     cuts = sorted(set(qs))
-    lit = F.array(*[F.lit(c) for c in cuts])
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-    reached = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(cuts)) & (F.get(lit, at + s - 1) <= F.col(score)), at + s).otherwise(at))
-    bins = scores.groupBy(reached.alias("at")).agg(F.count_if(F.col(same)).alias("tp"), F.count_if(~F.col(same)).alias("fp"))
-    tp = fp = 0
-    rows = []
-    for r in sorted(bins.collect(), key=lambda r: -r["at"]):  # one row per threshold
-        tp, fp = tp + r["tp"], fp + r["fp"]
-        if r["at"]:
-            rows.append((cuts[r["at"] - 1], tp, fp))
-    p = tp
-    counted = scores.sparkSession.createDataFrame(rows, "threshold double, tp bigint, fp bigint")
-    m = counted.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp"), F.lit(p))})
-    m = m.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
-    return m.orderBy(F.col("f1").desc(), "threshold").limit(1).select("threshold", "f1", "precision", "recall")
+    counts = _above(scores, score, same, cuts)
+    best = None
+    for t, (tp, fp) in zip(cuts, counts[1:]):
+        r, f = (x / n if n else 0.0 for x, n in zip((tp, fp), counts[0]))
+        p = r / (r + f) if r + f else 0.0
+        f1 = 2 * p * r / (p + r) if p + r else 0.0
+        if best is None or f1 > best[1]:
+            best = (t, f1, p, r)
+    return scores.sparkSession.createDataFrame([best], schema)
+
+
+def rates_table(scores: DataFrame, score: str, same: str, fprs: list[float] = (), tprs: list[float] = ()) -> DataFrame:
+    """kind, rate, threshold, other: for each rate of false matches the threshold that gives it and the rate
+    of true ones there; for each rate of true matches the threshold and the rate of false ones. Thresholds
+    are exact interpolated quantiles."""
+    rows, schema = [], "kind string, rate double, threshold double, other double"
+    for kind, rates, of_same in (("fpr", fprs, False), ("tpr", tprs, True)):
+        own = scores.filter(F.col(same) == of_same)
+        cuts = order_statistics(own, score, [1 - r for r in rates]) if rates else None
+        if cuts is None:
+            continue
+        order = sorted(range(len(rates)), key=lambda i: cuts[i])
+        counts = _above(scores, score, same, [cuts[i] for i in order])
+        at = 1 if kind == "tpr" else 0
+        for place, i in enumerate(order):
+            n = counts[0][at]
+            rows.append((kind, rates[i], cuts[i], counts[place + 1][at] / n if n else None))
+    return scores.sparkSession.createDataFrame(rows, schema)
 
 
 def tpr_at_fpr(scores: DataFrame, score: str, same: str, rates: list[float]) -> DataFrame:
-    """fpr, threshold, tpr: the threshold is the exact interpolated quantile of different-pair scores."""
-    t = scores.filter(~F.col(same)).agg(F.expr(f"percentile(`{score}`, array({', '.join(str(1 - r) for r in rates)}))").alias("t")).first()["t"]
-    rows = [(r, x) for r, x in zip(rates, t or [None] * len(rates))]
-    table = scores.sparkSession.createDataFrame(rows, "fpr double, threshold double")
-    hits = F.broadcast(table).join(scores.filter(F.col(same)), how="cross")
-    return hits.groupBy("fpr", "threshold").agg(F.avg((F.col(score) >= F.col("threshold")).cast("double")).alias("tpr"))
+    """fpr, threshold, tpr."""
+    return rates_table(scores, score, same, fprs=rates).select(F.col("rate").alias("fpr"), "threshold", F.col("other").alias("tpr"))
+
+
+def fpr_at_tpr(scores: DataFrame, score: str, same: str, rates: list[float]) -> DataFrame:
+    """tpr, threshold, fpr."""
+    return rates_table(scores, score, same, tprs=rates).select(F.col("rate").alias("tpr"), "threshold", F.col("other").alias("fpr"))
+
+
+def retrieval_margin(scored: DataFrame, least: int = 3) -> DataFrame:
+    """query, n, pos_sim, neg_sim, margin of rows (query, sim, relevant): mean similarity of relevant items
+    less that of the others, for queries with at least `least` relevant ones."""
+    pos, neg = F.when(F.col("relevant"), F.col("sim")), F.when(~F.col("relevant"), F.col("sim"))
+    m = scored.groupBy("query").agg(F.count(pos).alias("n"), F.avg(pos).alias("pos_sim"), F.avg(neg).alias("neg_sim")).filter(F.col("n") >= least)
+    return m.withColumn("margin", F.col("pos_sim") - F.col("neg_sim"))
 
 
 def recall_at(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -229,26 +294,31 @@ def recall_at(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 def quantiles(df: DataFrame, column: str, points: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """One row of exact, linearly interpolated percentiles p1, p5, ..."""
-    return df.agg(*[F.expr(f"percentile(`{column}`, {p})").alias(f"p{round(p * 100)}") for p in points])
+    got = order_statistics(df, column, list(points)) or [None] * len(points)
+    return df.sparkSession.createDataFrame([tuple(got)], ", ".join(f"p{round(p * 100)} double" for p in points))
 
 
 def sample_pairs(df: DataFrame, key: str, label: str, cap: int = 400, least: int = 5, seed: int = 7) -> DataFrame:
     """a, b, same: per class of at least `least` rows, up to cap pairs inside it and up to cap with other
-    classes. Each row is paired with rows a few steps on in seeded orders, so no pair table is built."""
-    from .relational import hash_order
-
+    classes. A class's rows stand in a seeded order, and pairs are taken by the distance of their places,
+    nearest first, so a class with up to cap pairs gives all of them, and no other pairs are built."""
+    far = 1
+    while far * (far + 1) // 2 < cap:  # a class of more rows has cap pairs within this distance
+        far += 1
     rows = df.select(F.col(key).alias("k"), F.col(label).alias("l"))
-    rows = rows.join(rows.groupBy("l").count().filter(F.col("count") >= least).select("l"), "l", "left_semi")
+    rows = rows.join(cut(rows.groupBy("l").count().filter(F.col("count") >= least).select("l"), "classes"), "l", "left_semi")
     w = Window.partitionBy("l").orderBy(hash_order(seed, "k"), "k")
-    steps = [F.lead("k", s).over(w) for s in (1, 2, 3)]
-    ahead = rows.withColumn("ahead", F.array(*steps))
-    same = ahead.select("l", F.col("k").alias("a"), F.explode("ahead").alias("b")).filter("b is not null").withColumn("same", F.lit(True))
-    mixed = rows.withColumn("slot", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(64)))
-    v = Window.partitionBy("slot").orderBy(hash_order(seed + 1, "k"), "k")
-    diff = mixed.select("l", F.col("k").alias("a"), F.lead("k").over(v).alias("b"), F.lead("l").over(v).alias("m")).filter("b is not null and l != m").select("l", "a", "b").withColumn("same", F.lit(False))
-    both = same.union(diff)
-    rank = F.row_number().over(Window.partitionBy("l", "same").orderBy(hash_order(seed + 2, "a", "b"), "a", "b"))
-    return both.withColumn("rn", rank).filter(F.col("rn") <= cap).select("a", "b", "same")
+    placed = cut(rows.withColumn("p", F.row_number().over(w)).filter(F.col("p") <= cap + far), "places")
+    ahead = placed.select("l", F.col("k").alias("a"), F.col("p").alias("q"), F.explode(F.sequence(F.lit(1), F.lit(far))).alias("d")).withColumn("p", F.col("q") + F.col("d"))
+    near = ahead.join(placed.select("l", "p", F.col("k").alias("b")), ["l", "p"])
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("d", "q"))
+    same = near.withColumn("rn", rank).filter(F.col("rn") <= cap).select("a", "b", F.lit(True).alias("same"))
+    # All classes' sampled rows in one seeded order: a row meets those of other classes a few places on.
+    mixed = positions(placed.filter(F.col("p") <= cap).select("l", "k"), [hash_order(seed + 1, "k"), F.col("k")], "p")
+    on = mixed.select(F.col("l").alias("m"), F.col("k").alias("a"), F.col("p").alias("q"), F.explode(F.array(*[F.lit(d) for d in (1, 2, 3)])).alias("d")).withColumn("p", F.col("q") + F.col("d"))
+    apart = on.join(mixed.withColumnRenamed("k", "b"), "p").filter("l != m")
+    rank = F.row_number().over(Window.partitionBy("m").orderBy("d", "q"))
+    return same.union(apart.withColumn("rn", rank).filter(F.col("rn") <= cap).select("a", "b", F.lit(False).alias("same")))
 
 
 def histogram(df: DataFrame, label: str) -> DataFrame:
@@ -258,13 +328,61 @@ def histogram(df: DataFrame, label: str) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select(label, "n", (F.col("n") / F.col("t")).alias("share"))
 
 
-def prediction_errors(df: DataFrame, predicted: str, actual: str, child: float = 12.0) -> DataFrame:
-    """n, median and p90 absolute error, share of equal age bins, share of children found."""
-    from ..functions.expr import age_bin
-
+def prediction_errors(df: DataFrame, predicted: str, actual: str, child: float = 16.0) -> DataFrame:
+    """n, median and p90 absolute error, share of equal age bins, share of children (below `child`) found."""
     e = df.filter(F.col(predicted).isNotNull() & F.col(actual).isNotNull()).withColumn("err", F.abs(F.col(predicted) - F.col(actual)))
+    median, p90 = order_statistics(e, "err", [0.5, 0.9]) or (None, None)
     return e.agg(
-        F.count("*").alias("n"), F.median("err").alias("median_error"), F.expr("percentile(err, 0.9)").alias("p90_error"),
+        F.count("*").alias("n"), F.lit(median).cast("double").alias("median_error"), F.lit(p90).cast("double").alias("p90_error"),
         F.avg((age_bin(predicted) == age_bin(actual)).cast("double")).alias("bin_hit"),
         F.avg(F.when(F.col(actual) < child, (F.col(predicted) < child).cast("double"))).alias("child_hit"),
     )
+
+
+# Assignment by nearest neighbours -----------------------------------------------------------------------
+#: Least similarity by embedding model, and for other models.
+LEAST_BY_MODEL = {"SFace-2021dec": 0.5437, "AdaFace-IR18-WebFace4M": 0.51}
+LEAST_OTHERWISE = 0.55
+#: What children's matches need more, of similarity and of votes, and the most votes asked.
+CHILD_SIM, CHILD_RATIO, MOST_RATIO = 0.07, 0.1, 0.85
+
+
+def least_similarity(model: str, setting: str | None = None) -> float:
+    """A model's threshold, unless a setting's text gives a number."""
+    try:
+        return float(setting)
+    except (TypeError, ValueError):
+        return LEAST_BY_MODEL.get(model, LEAST_OTHERWISE)
+
+
+def usable_references(faces: DataFrame) -> DataFrame:
+    """Faces that people confirmed, of usable or small quality: no automatic match may feed another."""
+    return faces.filter((F.col("sample_role") == "manual") & F.col("quality_class").isin("usable", "small"))
+
+
+def assign_people(neighbours: DataFrame, children: DataFrame, least: float, k: int = 10, ratio: float = 0.6) -> DataFrame:
+    """query, label, votes, decision of kNN rows (query, ref, label, sim, rank). In order: the nearest one
+    isn't valid (below 0): abstain_invalid; it is below `least`, more for a child: abstain_similarity; the
+    top label leads by less than two votes: abstain_margin; it has too small a share, children need more:
+    abstain_ratio; else assign. Tied labels go to the one with the nearest neighbour. children: (label)."""
+    kids = children.select("label").distinct().withColumn("child", F.lit(True))
+    first = neighbours.filter("rank = 1").join(F.broadcast(kids), "label", "left").select("query", F.col("sim").alias("top_sim"), F.coalesce("child", F.lit(False)).alias("top_child"))
+    votes = neighbours.groupBy("query", "label").agg(F.count("*").alias("votes"), F.min("rank").alias("nearest"))
+    w = Window.partitionBy("query").orderBy(F.col("votes").desc(), "nearest")
+    best = votes.withColumns({"rn": F.row_number().over(w), "second": F.coalesce(F.lead("votes").over(w), F.lit(-2)), "n": F.sum("votes").over(Window.partitionBy("query"))})
+    best = best.filter("rn = 1").join(F.broadcast(kids), "label", "left").join(first, "query")
+    need = F.lit(least) + F.when(F.col("top_child"), CHILD_SIM).otherwise(0.0)
+    share = F.least(F.lit(MOST_RATIO), F.lit(ratio) + F.when(F.coalesce("child", F.lit(False)), CHILD_RATIO).otherwise(0.0))
+    decision = (
+        F.when(F.col("top_sim") < 0, "abstain_invalid").when(F.col("top_sim") < need, "abstain_similarity")
+        .when(F.col("votes") - F.col("second") < 2, "abstain_margin")
+        .when(F.col("votes") / F.least(F.lit(k), F.col("n")) < share, "abstain_ratio").otherwise("assign")
+    )
+    return best.select("query", "label", "votes", decision.alias("decision"))
+
+
+def screenshot_suspect(width: Column, height: Column, edge_spreads: Column, top_spread: Column) -> Column:
+    """An image's shape of a full screen, no edge with texture (spreads of the four edges up to 12) and an
+    even top (below 18), from statistics that an adapter gives. Null statistics give false."""
+    shape = F.greatest(width, height) / F.least(width, height) >= 1.9
+    return F.coalesce(shape & (F.array_max(edge_spreads) <= 12) & (top_spread < 18), F.lit(False))

@@ -29,13 +29,13 @@ def refresh(index: DataFrame, df: DataFrame, key: str, fresh: DataFrame) -> Data
     return index.join(df.select(key).distinct(), key, "left_anti").select(*index.columns).unionByName(fresh.select(*index.columns))
 
 
-def contains(df: DataFrame, index: DataFrame, key: str, text: str, needle: str) -> DataFrame:
+def contains(df: DataFrame, index: DataFrame | None, key: str, text: str, needle: str) -> DataFrame:
     """Rows whose text contains the needle, ignoring case. Keys that have all its trigrams are candidates;
-    the text confirms. Needles under three characters scan the texts."""
+    the text confirms. Without an index, and for needles under three characters, the texts are scanned."""
     low = needle.lower()
     hit = F.contains(F.lower(F.col(text)), F.lit(low))
     grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
-    if not grams:
+    if not grams or index is None:
         return df.filter(hit)
     found = index.filter(F.col("gram").isin(grams)).groupBy(key).agg(F.countDistinct("gram").alias("n")).filter(F.col("n") == len(grams))
     return df.join(found.select(key), key, "left_semi").filter(hit)

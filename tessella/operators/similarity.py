@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import cosine, dot, hamming, iou
+from ..functions.expr import cosine, hamming, iou
+from ..sources.tables import cut
 from .relational import top
 
-#: Reference rows of a broadcast nearest-neighbour join, at most; more are joined in blocks.
-BROADCAST_ROWS = 20_000
-#: Rows of a block, about; one fits the buffer of a merge join.
-BLOCK_ROWS = 2_000
+#: Rows of a block, about: a product of two blocks is one task's work.
+BLOCK_ROWS = 4_096
 
 
 def digest_links(df: DataFrame, key: str, digest: str) -> DataFrame:
     """digest, first, key for each later row of a digest that occurs more than once: links to the group's
     first key, which connect a group of any size by one link a row."""
     w = df.filter(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    w = cut(w.drop("n"), "digests")  # written first: Spark splits a hot digest's join only between scans
     return df.join(w, digest).filter(F.col(key) != F.col("first")).select(digest, "first", key)
 
 
@@ -58,14 +62,20 @@ def hamming_pairs(df: DataFrame, key: str, code: str, distance: int, bits: int =
 
 
 def interval_pairs(df: DataFrame, key: str, source: str, at: str, width: float, residual: Column | None = None, carry: list[str] = ()) -> DataFrame:
-    """a < b of the same source within width of each other. Buckets of the width: one side goes to its own
-    and the next ones, so the range join is an equi-join on (source, bucket). carry columns come as a_x
-    and b_x, for the residual."""
-    rows = df.select(F.col(key), F.col(source), F.col(at), *carry)
+    """a < b of the same source within width of each other. Buckets of the width: the earlier row of a pair
+    goes to its own and the next one, the later row to its own, so the range join is an equi-join on
+    (source, bucket). carry columns come as a_x and b_x, for the residual."""
     bucket = F.floor(F.col(at) / F.lit(width))
-    a = rows.select(F.col(source).alias("src"), F.col(key).alias("a"), F.col(at).alias("ta"), *[F.col(c).alias(f"a_{c}") for c in carry], bucket.alias("bucket"))
-    b = rows.select(F.col(source).alias("src"), F.col(key).alias("b"), F.col(at).alias("tb"), *[F.col(c).alias(f"b_{c}") for c in carry], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    j = a.join(b, ["src", "bucket"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= F.lit(width)))
+    row = F.struct(F.col(at).alias("t"), F.col(key).alias("k"), *carry)
+    rows = df.filter(F.col(at).isNotNull()).select(F.col(source).alias("src"), row.alias("x"), bucket.alias("bucket"))
+    early = rows.select("src", F.col("x").alias("e"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    j = early.join(rows, ["src", "bucket"])
+    before = (F.col("e.t") < F.col("x.t")) | ((F.col("e.t") == F.col("x.t")) & (F.col("e.k") < F.col("x.k")))
+    j = j.filter(before & (F.col("x.t") - F.col("e.t") <= F.lit(width)))
+    a, b = (F.when((F.col("e.k") < F.col("x.k")) == F.lit(first), F.col("e")).otherwise(F.col("x")) for first in (True, False))
+    j = j.select("src", a.alias("__a"), b.alias("__b")).filter("__a.k != __b.k")
+    named = [F.col(f"__{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in carry]
+    j = j.select("src", F.col("__a.k").alias("a"), F.col("__b.k").alias("b"), F.col("__a.t").alias("ta"), F.col("__b.t").alias("tb"), *named)
     return j.filter(residual) if residual is not None else j
 
 
@@ -75,95 +85,147 @@ def nearest_in_time(pairs: DataFrame, by: str, cap: int = 120) -> DataFrame:
 
 
 def anchored_pairs(df: DataFrame, key: str, source: str, at: str, vector: str, width: float, least: float) -> DataFrame:
-    """a, b, sim inside windows that start at the first row after the last window's end, per source. The
-    anchor of each row needs the rows before it in turn, so a source is one group; the pairs of a window
-    are then joined by (source, anchor)."""
+    """a, b, sim inside windows that start at the first row after the last window's end, per source.
+
+    A gap of more than the width always ends a window, and the row behind it starts one whatever came
+    before; so a source falls into stretches without such gaps, and only the distinct times of a stretch
+    are walked in turn. The pairs of a window are then joined by (source, anchor)."""
     kinds = dict(df.dtypes)
+    times = df.filter(F.col(at).isNotNull()).select(source, F.col(at).alias("t")).distinct()
+    w = Window.partitionBy(source).orderBy("t")
+    gap = (F.col("t") - F.lag("t").over(w) > F.lit(width)).cast("int")
+    times = times.withColumn("stretch", F.sum(F.coalesce(gap, F.lit(1))).over(w))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, key])
+        pdf = pdf.sort_values("t")
         anchors, start = [], None
-        for t in pdf[at]:
+        for t in pdf["t"]:
             if start is None or t - start > width:
                 start = t
             anchors.append(start)
-        return pd.DataFrame({key: pdf[key], source: pdf[source], "anchor": anchors})
+        return pd.DataFrame({source: pdf[source], "t": pdf["t"], "anchor": anchors})
 
-    marks = df.select(key, source, F.col(at)).groupBy(source).applyInPandas(assign, f"{key} {kinds[key]}, {source} {kinds[source]}, anchor {kinds[at]}")
-    rows = df.select(key, F.col(vector).alias("v")).join(marks, key)
+    marks = times.groupBy(source, "stretch").applyInPandas(assign, f"{source} {kinds[source]}, t {kinds[at]}, anchor {kinds[at]}")
+    rows = df.select(key, source, F.col(at).alias("t"), F.col(vector).alias("v")).join(marks, [source, "t"])
     a = rows.select(source, "anchor", F.col(key).alias("a"), F.col("v").alias("va"))
     b = rows.select(source, "anchor", F.col(key).alias("b"), F.col("v").alias("vb"))
     return a.join(b, [source, "anchor"]).filter("a < b").withColumn("sim", cosine("va", "vb")).filter(F.col("sim") >= least).select("a", "b", "sim")
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: str | None = None, digits: int = 4) -> DataFrame:
-    """a < b, sim of unit vectors whose dot product is at least `least`, all pairs of the table or of each
-    group. Quadratic, so meant for groups or tables of a checked size; see interval_pairs for time series."""
-    cols = [within] if within else []
-    a = df.select(*cols, F.col(key).alias("a"), F.col(vector).alias("va"))
-    b = df.select(*cols, F.col(key).alias("b"), F.col(vector).alias("vb"))
-    j = a.join(b, within).filter("a < b") if within else a.join(b, F.col("a") < F.col("b"))
-    return j.withColumn("sim", dot("va", "vb")).filter(F.col("sim") >= least).select("a", "b", F.round("sim", digits).alias("sim"))
-
-
-def knn(queries: DataFrame, refs: DataFrame, key: str, vector: str, label: str, k: int, valid: Column | None = None, skip_self: bool = False) -> DataFrame:
-    """query, ref, label, sim, rank: the k references with the largest dot product. References up to
-    BROADCAST_ROWS go to every task, more are joined in blocks. valid may use q_* and r_* columns; invalid
-    references score -1."""
-    n = refs.count()
-    if n > BROADCAST_ROWS:
-        return knn_blocks(queries, refs, key, vector, label, k, -(-n // BLOCK_ROWS), valid, skip_self)
-    return _knn(queries, F.broadcast(refs.select([F.col(c).alias(f"r_{c}") for c in refs.columns])), key, vector, label, k, valid, skip_self)
-
-
-def knn_blocks(queries: DataFrame, refs: DataFrame, key: str, vector: str, label: str, k: int, blocks: int, valid: Column | None = None, skip_self: bool = False) -> DataFrame:
-    """The same for any number of references: each block's best k, then the best of those."""
-    q, r = _cells(queries, refs, key, blocks)
-    q = q.select([F.col(c).alias(f"q_{c}") for c in q.columns])
-    r = r.select([F.col(c).alias(f"r_{c}") for c in r.columns])
-    j = q.join(r, (F.col("q___block") == F.col("r___block")) & (F.col("q___slice") == F.col("r___slice")))
-    return _ranked(_scored(j, vector, key, label, valid, skip_self, ["q___block"]), k, ["q___block"]).transform(lambda d: _ranked(d.drop("rank"), k, []))
+# Dot products of blocks ---------------------------------------------------------------------------------
+def _packed(df: DataFrame, key: str, vector: str, blocks: int, more: list[str], groups: list[str]) -> DataFrame:
+    """A row per block (and group): its rows as a list. Blocks are dealt by the key's hash, and there are as
+    many as the counted rows need, so a list has about BLOCK_ROWS rows."""
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    row = F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(more)])
+    return df.filter(F.col(vector).isNotNull()).groupBy(*groups, block.alias("block")).agg(F.collect_list(row).alias("rows"))
 
 
-def _cells(queries, refs, key, blocks):
-    """Both sides with __slice (of queries) and __block (of references): each query meets each reference in
-    one cell; with blocks in proportion to the tables' rows a cell doesn't grow."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    return queries.withColumn("__slice", own).withColumn("__block", every), refs.withColumn("__block", own).withColumn("__slice", every)
+def _side(rows: pa.ListArray, i: int, more: int) -> tuple:
+    part = rows.slice(i, 1).flatten()
+    v = part.field("v")
+    n = len(part)
+    flat = v.flatten().to_numpy(zero_copy_only=False)
+    return part.field("k"), flat.reshape(n, -1) if n else flat.reshape(0, 0), [part.field(f"m{j}") for j in range(more)]
 
 
-def _knn(queries, refs, key, vector, label, k, valid, skip_self):
-    q = queries.select([F.col(c).alias(f"q_{c}") for c in queries.columns])
-    return _ranked(_scored(q.crossJoin(refs), vector, key, label, valid, skip_self, []), k, [])
+def _cells(queries: DataFrame, refs: DataFrame, key: str, vector: str, q_more: list[str], r_more: list[str], kernel: Callable, schema: str, same: bool = False, group: str | None = None) -> DataFrame:
+    """kernel(q, r, sims) for each pair of blocks of queries and references: both sides are (keys, vectors,
+    more columns), sims their dot products, rounded so that equal vectors tie; it gives the columns of
+    schema. same: both sides are one table and a pair of blocks counts once."""
+    n = max(queries.count(), refs.count())
+    blocks = max(4, -(-n // BLOCK_ROWS)) if n > 256 else 1
+    groups = [group] if group else []
+    q = _packed(queries, key, vector, blocks, q_more, groups).withColumnRenamed("rows", "q")
+    r = _packed(refs, key, vector, blocks, r_more, groups).withColumnRenamed("rows", "r").withColumnRenamed("block", "other")
+    q = q.withColumn("other", F.explode(F.sequence(F.col("block") if same else F.lit(0), F.lit(blocks - 1))))
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = _side(batch.column(0), i, len(q_more)), _side(batch.column(1), i, len(r_more))
+                if len(a[0]) and len(b[0]):
+                    out = kernel(a, b, np.round(a[1] @ b[1].T, 12))
+                    if len(out[0]):
+                        yield pa.RecordBatch.from_arrays(list(out), names=names)
 
-def _scored(j, vector, key, label, valid, skip_self, more):
-    if skip_self:
-        j = j.filter(F.col(f"q_{key}") != F.col(f"r_{key}"))
-    sim = dot(f"q_{vector}", f"r_{vector}")
-    if valid is not None:
-        sim = F.when(valid, sim).otherwise(F.lit(-1.0))
-    return j.select(*more, F.col(f"q_{key}").alias("query"), F.col(f"r_{key}").alias("ref"), F.col(f"r_{label}").alias("label"), sim.alias("sim"))
+    return q.join(r, [*groups, "other"]).select("q", "r").repartition(max(1, min(blocks * blocks, 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(run, schema)
 
 
-def _ranked(d, k, more):
-    w = Window.partitionBy("query", *more).orderBy(F.col("sim").desc(), F.col("ref"))
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop(*more)
+def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: str | None = None, digits: int = 4) -> DataFrame:
+    """a < b, sim of unit vectors whose dot product is at least `least`, all pairs of the table or of each
+    group. Blocks of about BLOCK_ROWS rows meet each other once, as matrix products inside tasks, and only
+    pairs that are near enough leave them. The work is quadratic; see interval_pairs for time series."""
+    kind = dict(df.dtypes)[key]
+
+    def kernel(a, b, sims):
+        i, j = np.nonzero(sims >= least)
+        x, y = a[0].take(pa.array(i)), b[0].take(pa.array(j))
+        return x, y, pa.array(sims[i, j])
+
+    j = _cells(df, df, key, vector, [], [], kernel, f"x {kind}, y {kind}, sim double", same=True, group=within).filter("x != y")
+    # In a block's product with itself each pair comes twice.
+    return j.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("sim", digits).alias("sim")).dropDuplicates(["a", "b"])
+
+
+def _best(sims: np.ndarray, k: int) -> np.ndarray:
+    """Which of each row's values may be among its k largest, ties included."""
+    if sims.shape[1] <= k:
+        return np.ones_like(sims, dtype=bool)
+    return sims >= -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+
+
+def knn(queries: DataFrame, refs: DataFrame, key: str, vector: str, label: str, k: int, valid: tuple[str, str] | None = None, skip_self: bool = False) -> DataFrame:
+    """query, ref, label, sim, rank: the k references with the largest dot product; ties go to the smaller
+    key. valid names a column of each side: a reference counts where the query's value isn't below its own
+    (a date before a birth) or either is null; others score -1. Each pair of blocks gives its best k."""
+    kinds, r_kinds = dict(queries.dtypes), dict(refs.dtypes)
+    q_more, r_more = ([valid[0]] if valid else []), [label, *([valid[1]] if valid else [])]
+
+    def kernel(a, b, sims):
+        if valid:
+            x, y = (np.array(c.to_pylist(), dtype=object) for c in (a[2][0], b[2][1]))
+            known = np.array([v is not None for v in x])[:, None] & np.array([v is not None for v in y])[None, :]
+            early = np.zeros(sims.shape, dtype=bool)
+            early[known] = (x[:, None] < y[None, :])[known] if known.all() else [p < q for p, q in zip(*(np.broadcast_to(z, sims.shape)[known] for z in (x[:, None], y[None, :])))]
+            sims = np.where(early, -1.0, sims)
+        if skip_self:
+            own = np.array(a[0].to_pylist(), dtype=object)[:, None] == np.array(b[0].to_pylist(), dtype=object)[None, :]
+            sims = np.where(own, -np.inf, sims)
+        i, j = np.nonzero(_best(sims, k) & np.isfinite(sims))
+        q, r = pa.array(i), pa.array(j)
+        return a[0].take(q), b[0].take(r), b[2][0].take(r), pa.array(sims[i, j])
+
+    found = _cells(queries, refs, key, vector, q_more, r_more, kernel, f"query {kinds[key]}, ref {r_kinds[key]}, label {r_kinds[label]}, sim double")
+    w = Window.partitionBy("query").orderBy(F.col("sim").desc(), "ref")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def class_similarity(df: DataFrame, key: str, vector: str, label: str, best: int = 3) -> DataFrame:
-    """query, own, label, score: the mean of the best similarities to each class, self left out. Up to
-    BROADCAST_ROWS rows go to every task, more are joined in blocks."""
-    n = df.count()
-    d = df.select(key, label, vector)
-    q, r = (d, d) if n <= BROADCAST_ROWS else _cells(d, d, key, -(-n // BLOCK_ROWS))
-    q = q.withColumnsRenamed({key: "query", label: "own", vector: "vq"})
-    r = r.withColumnsRenamed({key: "ref", label: "label", vector: "vr"})
-    j = q.crossJoin(F.broadcast(r)) if n <= BROADCAST_ROWS else q.join(r, ["__block", "__slice"])
-    j = j.filter("query != ref").withColumn("sim", dot("vq", "vr"))
+    """query, own, label, score: the mean of the best similarities to each class, self left out. Each pair of
+    blocks gives its best per class."""
+    kinds = dict(df.dtypes)
+
+    def kernel(a, b, sims):
+        own = np.array(a[0].to_pylist(), dtype=object)[:, None] == np.array(b[0].to_pylist(), dtype=object)[None, :]
+        sims = np.where(own, -np.inf, sims)
+        labels = b[2][0].dictionary_encode()
+        codes = labels.indices.to_numpy(zero_copy_only=False)
+        rows, cols = [], []
+        for c in range(len(labels.dictionary)):
+            at = np.flatnonzero(codes == c)
+            i, j = np.nonzero(_best(sims[:, at], best) & np.isfinite(sims[:, at]))
+            rows.append(i)
+            cols.append(at[j])
+        i, j = np.concatenate(rows), np.concatenate(cols)
+        q, r = pa.array(i), pa.array(j)
+        return a[0].take(q), a[2][0].take(q), b[2][0].take(r), b[0].take(r), pa.array(sims[i, j])
+
+    d = df.filter(F.col(label).isNotNull())
+    found = _cells(d, d, key, vector, [label], [label], kernel, f"query {kinds[key]}, own {kinds[label]}, label {kinds[label]}, ref {kinds[key]}, sim double")
     w = Window.partitionBy("query", "label").orderBy(F.col("sim").desc(), "ref")
-    return j.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= best).groupBy("query", "own", "label").agg(F.avg("sim").alias("score"))
+    return found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= best).groupBy("query", "own", "label").agg(F.avg("sim").alias("score"))
 
 
 def box_pairs(df: DataFrame, key: str, group: str, box: tuple[str, str, str, str], least: float) -> DataFrame:
@@ -174,6 +236,11 @@ def box_pairs(df: DataFrame, key: str, group: str, box: tuple[str, str, str, str
     return a.join(b, group).filter("a < b").withColumn("iou", over).filter(F.col("iou") > least).select(group, "a", "b", "iou")
 
 
+def first_hit(pairs: DataFrame, new: str, old: str) -> DataFrame:
+    """Of overlapping boxes (new, old) the first old one of each new box."""
+    return pairs.groupBy(new).agg(F.min(old).alias(old))
+
+
 def suppress(df: DataFrame, key: str, group: str, box: tuple[str, str, str, str], score: str, most: float) -> DataFrame:
     """Greedy non-maximum suppression per group (an image's boxes, so groups are small): by descending
     score a box stays unless it overlaps one that stays by more than `most`."""
@@ -207,3 +274,22 @@ def first_match(new: DataFrame, matches: list[DataFrame], key: str, group: str)
     for m in matches[1:]:
         union = union.union(m.select(key, group))
     return new.join(union.groupBy(key).agg(F.min(group).alias(group)), key)
+
+
+def strong_arms(new: DataFrame, leaders: DataFrame, source: str, at: str, code: tuple[str, int, float] | None = None, vector: tuple[str, float, float] | None = None, digest: str | None = None) -> list[DataFrame]:
+    """Tables (asset_id, group_id) for `first_match`: new rows (asset_id) whose digest equals a group leader's
+    (group_id), or that lie in its source within so many seconds and have a near code (column, most bits,
+    seconds) or vector (column, least cosine, seconds)."""
+    out = []
+    if digest:
+        keys = leaders.filter(F.col(digest).isNotNull()).groupBy(digest).agg(F.min("group_id").alias("group_id"))
+        out.append(new.join(cut(keys, "digests"), digest).select("asset_id", "group_id"))
+    for arm, fits in ((code, lambda c, x: hamming(f"n_{c}", f"o_{c}") <= x), (vector, lambda c, x: cosine(f"n_{c}", f"o_{c}") >= x)):
+        if arm:
+            column, bound, width = arm
+            bucket = F.floor(F.col(at) / F.lit(width))
+            n = new.filter(F.col(at).isNotNull()).select("asset_id", F.col(source).alias("src"), F.col(at).alias("tn"), F.col(column).alias(f"n_{column}"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+            o = leaders.filter(F.col(at).isNotNull()).select("group_id", F.col(source).alias("src"), F.col(at).alias("to"), F.col(column).alias(f"o_{column}"), bucket.alias("bucket"))
+            j = n.join(o, ["src", "bucket"]).filter((F.abs(F.col("tn") - F.col("to")) <= width) & fits(column, bound))
+            out.append(j.select("asset_id", "group_id"))
+    return out

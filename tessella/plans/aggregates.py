@@ -109,9 +109,9 @@ def _pair_scores(spark, sf_dir):
 @query(
     """
 WITH s AS (SELECT l_extendedprice / 100000 AS score, l_quantity > 30 AS same FROM lineitem),
-q AS (SELECT DISTINCT unnest(quantile_cont(score, [i / 399.0 for i in range(400)])) AS threshold FROM s),
-m AS (SELECT threshold, sum(CASE WHEN same THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN same THEN 0 ELSE 1 END) AS fp FROM q JOIN s ON score >= threshold GROUP BY 1),
-f AS (SELECT threshold, 2.0 * tp / (tp + fp + (SELECT count(*) FROM s WHERE same)) AS f1 FROM m)
+q AS (SELECT DISTINCT unnest(quantile_cont(score, [0.01 + 0.98 * i / 399.0 for i in range(400)])) AS threshold FROM s),
+m AS (SELECT threshold, count(*) FILTER (same) / (SELECT count(*) FROM s WHERE same) AS tp, count(*) FILTER (NOT same) / (SELECT count(*) FROM s WHERE NOT same) AS fp FROM q JOIN s ON score >= threshold GROUP BY 1),
+f AS (SELECT threshold, 2 * (tp / (tp + fp)) * tp / (tp / (tp + fp) + tp) AS f1 FROM m WHERE tp > 0)
 SELECT round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f.f1 DESC, f.threshold LIMIT 1"""
 )
 def best_f1(spark, sf_dir):
@@ -129,6 +129,27 @@ def tpr_at_fpr(spark, sf_dir):
     return t.select("fpr", F.round("threshold", 6).alias("threshold"), F.round("tpr", 6).alias("tpr"))
 
 
+@query(
+    """
+WITH s AS (SELECT l_extendedprice / 100000 AS score, l_quantity > 30 AS same FROM lineitem),
+t AS (SELECT 0.95 AS tpr, quantile_cont(score, 0.05) AS threshold FROM s WHERE same UNION ALL SELECT 0.99, quantile_cont(score, 0.01) FROM s WHERE same)
+SELECT CAST(tpr AS DOUBLE) AS tpr, round(threshold, 6) AS threshold, round(avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END), 6) AS fpr FROM t, s WHERE NOT same GROUP BY tpr, threshold"""
+)
+def fpr_at_tpr(spark, sf_dir):
+    t = S.fpr_at_tpr(_pair_scores(spark, sf_dir), "score", "same", [0.95, 0.99])
+    return t.select("tpr", F.round("threshold", 6).alias("threshold"), F.round("fpr", 6).alias("fpr"))
+
+
+@query(
+    """
+SELECT user_id AS query, count(*) FILTER (event_type = 'purchase') AS n, round(avg(value) FILTER (event_type = 'purchase') - avg(value) FILTER (event_type <> 'purchase'), 6) AS margin
+FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'purchase') >= 3"""
+)
+def retrieval_margin(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query"), F.col("value").alias("sim"), (F.col("event_type") == "purchase").alias("relevant"))
+    return S.retrieval_margin(e).select("query", "n", F.round("margin", 6).alias("margin"))
+
+
 @query(
     """
 WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events),
@@ -146,13 +167,15 @@ def recall_at_10(spark, sf_dir):
 
 @query(
     """
-SELECT count(*) AS n, round(median(abs(p_size - 25.0)), 6) AS median_error, round(quantile_cont(abs(p_size - 25.0), 0.9), 6) AS p90_error,
-  round(avg(CASE WHEN p_size >= 18 AND p_size < 60 THEN 1.0 ELSE 0.0 END), 6) AS bin_hit FROM part"""
+WITH e AS (SELECT p_partkey % 60 AS predicted, p_size AS actual, abs(p_partkey % 60 - p_size) AS err FROM part),
+b AS (SELECT *, CASE WHEN predicted < 12 THEN 0 WHEN predicted < 18 THEN 1 WHEN predicted < 60 THEN 2 ELSE 3 END = CASE WHEN actual < 12 THEN 0 WHEN actual < 18 THEN 1 WHEN actual < 60 THEN 2 ELSE 3 END AS hit FROM e)
+SELECT count(*) AS n, CAST(median(err) AS DOUBLE) AS median_error, round(quantile_cont(err, 0.9), 6) AS p90_error, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS bin_hit,
+  round(avg(CASE WHEN predicted < 16 THEN 1.0 ELSE 0.0 END) FILTER (actual < 16), 6) AS child_hit FROM b"""
 )
 def prediction_errors(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.lit(25.0).alias("predicted"), F.col("p_size").cast("double").alias("actual"))
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 60).cast("double").alias("predicted"), F.col("p_size").cast("double").alias("actual"))
     e = S.prediction_errors(p, "predicted", "actual")
-    return e.select("n", *[F.round(c, 6).alias(c) for c in ("median_error", "p90_error", "bin_hit")])
+    return e.select("n", *[F.round(c, 6).alias(c) for c in ("median_error", "p90_error", "bin_hit", "child_hit")])
 
 
 @query("SELECT 'duplicate_key' AS constraint_name, count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'vector_length', count(*) FROM embeddings WHERE len(embedding) <> 64")

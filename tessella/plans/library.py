@@ -117,9 +117,9 @@ def vision_filter(spark, sf_dir):
     return S.vision_gate(d, faces, {"document": "DOC", "meme": "MEME"}, 0.5).withColumnRenamed("asset_id", "doc_id")
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4)) AS vec FROM embeddings WHERE vec_id < 0")
+@query("SELECT vec_id, abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) <= 0.001 AND len(embedding) = 64 AS ok FROM embeddings")
 def vector_contract(spark, sf_dir):
-    """Vectors whose length isn't 1 or that aren't finite; none are in the tables."""
+    """Whether each vector has 64 finite elements and the length 1."""
     e = table(spark, sf_dir, "embeddings")
-    bad = (F.abs(X.norm("embedding") - 1) > 1e-3) | F.exists("embedding", lambda x: F.isnan(x))
-    return e.filter(bad).select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("vec"))
+    ok = (F.abs(X.norm("embedding") - 1) <= 1e-3) & (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x))
+    return e.select("vec_id", ok.alias("ok"))

@@ -77,9 +77,12 @@ def corr_count_filter(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey").join(n, "o_orderkey")
 
 
-@query("SELECT page_id, url FROM pages WHERE url LIKE 'https://m.%' AND url NOT LIKE '%#%'")
+_FOLD = "translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"SELECT page_id, url FROM pages WHERE {_FOLD} LIKE 'https://m.%' AND {_FOLD} NOT LIKE '%#%'")
 def like_prefix(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "url").filter(F.col("url").like("https://m.%") & ~F.col("url").like("%#%"))
+    return table(spark, sf_dir, "pages").select("page_id", "url").filter(X.like("url", "HTTPS://M.%") & ~X.like("url", "%#%"))
 
 
 @query("SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-01-01') / 365.25 AS age FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-01-01') / 365.25 < 3")
@@ -248,7 +251,7 @@ def seeded_sample(spark, sf_dir):
 
 @query("SELECT vec_id FROM embeddings ORDER BY vec_id OFFSET 100")
 def resume_offset(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id").orderBy("vec_id").offset(100)
+    return R.resume(table(spark, sf_dir, "embeddings").select("vec_id"), [F.col("vec_id")], 100)
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'fr' UNION SELECT doc_id FROM labels WHERE quality = 1 EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -83,27 +85,47 @@ def secret_line_scan(spark, sf_dir):
 
 @query(
     """
-SELECT page_id, CASE WHEN regexp_matches(n, '_d.(mp4|jpg|mov)$') THEN 'DJI' WHEN regexp_matches(n, '.insp$|.insv$') THEN 'Insta360' WHEN contains(n, 'dji') THEN 'DJI' WHEN contains(n, 'insta360') THEN 'Insta360'
-  WHEN (starts_with(n, 'vid_') AND contains(n, '_00_')) OR starts_with(n, 'gx') THEN 'Insta360' END AS camera FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'a_d.mp4' WHEN 1 THEN 'b.insv' WHEN 2 THEN 'dji_1.mp4' WHEN 3 THEN 'vid_2_00_1.mp4' WHEN 4 THEN 'gx01.mp4' ELSE 'x.mp4' END AS n FROM pages)"""
+WITH f AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'a_d.mp4' WHEN 1 THEN 'b.insv' WHEN 2 THEN 'dji_1.mp4' WHEN 3 THEN 'vid_2_00_1.mp4' WHEN 4 THEN 'gx01.mp4' WHEN 5 THEN 'insta360.mp4' ELSE lower(url) END AS n FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(n, '_d[.](mp4|jpg|mov)$') THEN 'DJI' WHEN regexp_matches(n, '[.](insp|insv)$') THEN 'Insta360' WHEN contains(n, 'dji') THEN 'DJI' WHEN contains(n, 'insta360') THEN 'Insta360'
+  WHEN (starts_with(n, 'vid_') AND contains(n, '_00_')) OR starts_with(n, 'gx') THEN 'Insta360' END AS camera,
+  CASE WHEN regexp_matches(n, '_d[.](mp4|jpg|mov)$') THEN 'dlog' WHEN regexp_matches(n, '[.](insp|insv)$') THEN 'flat' WHEN contains(n, 'dji') OR contains(n, 'insta360') OR (starts_with(n, 'vid_') AND contains(n, '_00_')) OR starts_with(n, 'gx') THEN 'unknown' END AS profile,
+  CASE WHEN regexp_matches(n, '_d[.](mp4|jpg|mov)$') THEN 0.95 WHEN regexp_matches(n, '[.](insp|insv)$') THEN 0.9 WHEN contains(n, 'dji') OR contains(n, 'insta360') OR (starts_with(n, 'vid_') AND contains(n, '_00_')) OR starts_with(n, 'gx') THEN 0.3 END AS confidence,
+  CASE WHEN regexp_matches(n, '_d[.](mp4|jpg|mov)$|[.](insp|insv)$') THEN 1 END AS is_log FROM f"""
 )
 def log_profiles(spark, sf_dir):
-    m = F.col("page_id") % 6
-    name = F.when(m == 0, "A_D.MP4").when(m == 1, "b.insv").when(m == 2, "DJI_1.mp4").when(m == 3, "vid_2_00_1.mp4").when(m == 4, "GX01.mp4").otherwise("x.mp4")
-    return table(spark, sf_dir, "pages").select("page_id", S.log_profile(name)["camera"].alias("camera"))
+    """File names of each kind by the page's id; every seventh is the page's own address."""
+    m = F.col("page_id") % 7
+    name = F.when(m == 0, "A_D.MP4").when(m == 1, "b.insv").when(m == 2, "DJI_1.mp4").when(m == 3, "vid_2_00_1.mp4").when(m == 4, "GX01.mp4").when(m == 5, "insta360.mp4").otherwise(F.col("url"))
+    got = S.log_profile(name)
+    return table(spark, sf_dir, "pages").select("page_id", *[got[c].alias(c) for c in ("camera", "profile", "confidence", "is_log")])
 
 
 @query(
     """
-SELECT c AS code, k AS kind FROM (VALUES ('wxp://f2f0', 'payment_qrcode_wechat'), ('https://qr.alipay.com/x', 'payment_qrcode_alipay'), ('hello', 'qrcode')) t(c, k)"""
+WITH c AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'WXP://f2f0' || page_id WHEN 1 THEN ' https://qr.alipay.com/' || page_id ELSE url END AS code FROM pages)
+SELECT page_id, CASE WHEN starts_with(lower(trim(code)), 'wxp://') OR contains(lower(code), 'wx.tenpay.com') THEN 'payment_qrcode_wechat' WHEN contains(lower(code), 'alipay') THEN 'payment_qrcode_alipay' WHEN code IS NOT NULL THEN 'qrcode' ELSE 'qrcode' END AS kind FROM c"""
 )
 def qr_classes(spark, sf_dir):
-    return spark.createDataFrame([("wxp://f2f0",), ("https://qr.alipay.com/x",), ("hello",)], "code string").select("code", S.qr_class(F.col("code")).alias("kind"))
+    m, n = F.col("page_id") % 3, F.col("page_id").cast("string")
+    code = F.when(m == 0, F.concat(F.lit("WXP://f2f0"), n)).when(m == 1, F.concat(F.lit(" https://qr.alipay.com/"), n)).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", S.qr_class(code).alias("kind"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion')")
 def trigram_search(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Q.contains(d, Q.trigram_index(d, "doc_id", "text"), "doc_id", "text", "Tion").select("doc_id")
+    return Q.contains(d, None, "doc_id", "text", "Tion").select("doc_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'tion')")
+def trigram_lookup(spark, sf_dir):
+    """The same through an index that is written by gram, of which a lookup reads the asked grams."""
+    from ..sources.tables import shared_folder
+
+    c = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "conv_id", "turn", "text")
+    path = f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}"
+    Q.trigram_index(c, "key", "text").repartition("gram").sortWithinPartitions("gram").write.parquet(path)
+    return Q.contains(c, spark.read.parquet(path), "key", "text", "Tion").select("conv_id", "turn")
 
 
 @query("SELECT gram, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, substr(t, i, 3) AS gram FROM (SELECT conv_id, turn, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM conversations)) GROUP BY 1")
@@ -114,17 +136,17 @@ def trigram_counts(spark, sf_dir):
 
 @query(
     """
-WITH t AS (SELECT doc_id, CAST(doc_id % 5 AS VARCHAR) AS day, list_distinct(string_split(lower(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40)), ' ')) AS tags FROM documents WHERE doc_id < 120),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.day = b.day AS same, len(list_intersect(a.tags, b.tags)) AS i, len(list_distinct(list_concat(a.tags, b.tags))) AS u FROM t a JOIN t b ON a.doc_id < b.doc_id AND a.day = b.day)
-SELECT a, b, round(CASE WHEN same THEN 0.5 ELSE 0 END + 0.5 * i / u, 6) AS sim FROM p"""
+WITH t AS (SELECT conv_id, turn, role AS day, list_distinct(string_split(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' ')) AS tags FROM conversations),
+p AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, a.day IS NOT DISTINCT FROM b.day AS same, len(list_intersect(a.tags, b.tags)) AS i, len(list_distinct(list_concat(a.tags, b.tags))) AS u FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn)
+SELECT conv_id, a, b, round(CASE WHEN same THEN 0.5 ELSE 0 END + coalesce(0.5 * i / nullif(u, 0), 0), 6) AS sim FROM p"""
 )
 def mmr_sim(spark, sf_dir):
-    """The first 120 documents are a query's candidates here: the operator re-ranks a bounded depth."""
-    tags = F.array_distinct(F.split(F.lower(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40)), " "))
-    t = table(spark, sf_dir, "documents").filter("doc_id < 120").select("doc_id", (F.col("doc_id") % 5).cast("string").alias("day"), tags.alias("tags"))
-    a, b = t.select(F.col("doc_id").alias("a"), "day", F.col("tags").alias("ta")), t.select(F.col("doc_id").alias("b"), "day", F.col("tags").alias("tb"))
-    j = a.join(b, "day").filter("a < b")
-    return j.select("a", "b", F.round(X.mmr_similarity("day", "day", "ta", "tb"), 6).alias("sim"))
+    """All turns with all their words: a conversation stands for a query's candidates, a role for a day."""
+    tags = F.array_distinct(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " "))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", tags.alias("tags"))
+    a = t.select("conv_id", F.col("turn").alias("a"), F.col("role").alias("da"), F.col("tags").alias("ta"))
+    b = t.select("conv_id", F.col("turn").alias("b"), F.col("role").alias("db"), F.col("tags").alias("tb"))
+    return a.join(b, "conv_id").filter("a < b").select("conv_id", "a", "b", F.round(X.mmr_similarity("da", "db", "ta", "tb"), 6).alias("sim"))
 
 
 @query(
@@ -151,23 +173,27 @@ def mmr_topk(spark, sf_dir):
     return Q.rerank(e, 10)
 
 
-@query("SELECT doc_id, media_type, year FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'photo' END AS media_type, CASE WHEN doc_id % 2 = 0 THEN 2019 END AS year FROM documents)")
+@query(
+    """
+WITH t AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' Video 2019' WHEN 1 THEN ' photo' ELSE '' END AS text FROM conversations)
+SELECT conv_id, turn, CASE WHEN contains(lower(text), '视频') OR contains(lower(text), '录像') OR contains(lower(text), 'video') THEN 'video' WHEN contains(lower(text), '照片') OR contains(lower(text), '相片') OR contains(lower(text), 'photo') THEN 'photo' END AS media_type,
+  TRY_CAST(nullif(regexp_extract(text, '((?:19|20)[0-9]{2})', 1), '') AS INTEGER) AS year FROM t"""
+)
 def request_intents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    m = F.col("doc_id") % 3
-    text = F.concat(F.when(F.col("doc_id") % 2 == 0, "2019年的").otherwise(""), F.when(m == 0, "视频").when(m == 1, "照片").otherwise("孩子"))
-    got = Q.intent(text, ["孩子"], [])
-    return d.select("doc_id", got["media_type"].alias("media_type"), got["year"].alias("year"))
+    """Turns as requests; most name no kind of media by themselves, so some get a word or two."""
+    c, m = table(spark, sf_dir, "conversations"), F.col("turn") % 3
+    got = Q.intent(F.concat("text", F.when(m == 0, " Video 2019").when(m == 1, " photo").otherwise("")), ["孩子"], [])
+    return c.select("conv_id", "turn", got["media_type"].alias("media_type"), got["year"].alias("year"))
 
 
 # Mutations ----------------------------------------------------------------------------------------------
 def _accounts(spark, sf_dir):
-    old = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").filter("c_custkey < 900")
-    new = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(F.col("c_custkey") % 2 == 0, "NEW").alias("c_mktsegment")).filter("c_custkey >= 600")
+    old = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").filter("c_acctbal < 6000")
+    new = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(F.col("c_custkey") % 2 == 0, "NEW").alias("c_mktsegment"), F.col("c_acctbal").alias("b")).filter("b >= 3000").drop("b")
     return old, new
 
 
-_ACC = "WITH o AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey < 900), n AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN 'NEW' END AS c_mktsegment FROM customer WHERE c_custkey >= 600) "
+_ACC = "WITH o AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 6000), n AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN 'NEW' END AS c_mktsegment FROM customer WHERE customer.c_acctbal >= 3000) "
 
 
 @query(_ACC + "SELECT * FROM n UNION ALL SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n)")
@@ -209,7 +235,7 @@ def _all_accounts(spark, sf_dir):
     return old, new
 
 
-_ALL = _ACC.replace("WHERE c_custkey < 900", "WHERE c_mktsegment <> 'BUILDING'").replace("WHERE c_custkey >= 600", "WHERE c_nationkey % 3 <> 0")
+_ALL = _ACC.replace("WHERE c_acctbal < 6000", "WHERE c_mktsegment <> 'BUILDING'").replace("WHERE customer.c_acctbal >= 3000", "WHERE c_nationkey % 3 <> 0")
 
 
 @query(_ALL + "SELECT * FROM n UNION ALL SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n)")
@@ -267,13 +293,14 @@ def retag(spark, sf_dir):
 
 @query(
     """
-SELECT l_orderkey AS asset_id, l_linenumber, CASE WHEN l_orderkey = 7 AND l_returnflag = 'N' THEN 'R' ELSE l_returnflag END AS person_id, CASE WHEN l_orderkey = 7 AND l_returnflag = 'N' THEN 1 ELSE 0 END AS person_locked FROM lineitem WHERE l_orderkey < 50"""
+SELECT l_orderkey AS asset_id, l_linenumber, CASE WHEN l_orderkey = 7 AND l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS person_id, CASE WHEN l_orderkey = 7 AND l_returnflag = 'N' THEN 1 ELSE 0 END AS person_locked FROM lineitem"""
 )
 def reassign(spark, sf_dir):
-    f = table(spark, sf_dir, "lineitem").filter("l_orderkey < 50").select(F.col("l_orderkey").alias("asset_id"), "l_linenumber", F.col("l_returnflag").alias("person_id"), F.lit(0).alias("person_locked"))
+    """A blank target: nobody, and locked."""
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("asset_id"), "l_linenumber", F.col("l_returnflag").alias("person_id"), F.lit(0).alias("person_locked"))
     people = spark.createDataFrame([("A",), ("N",), ("R",)], "person_id string")
     n = f.filter("asset_id = 7 and person_id = 'N'").count()
-    return C.reassign_person(f, people, "7", "N", "R")[0] if n else f
+    return C.reassign_person(f, people, "7", "N", " ")[0] if n else f
 
 
 @query(

@@ -71,15 +71,54 @@ def capped_candidates(spark, sf_dir):
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 4) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND {_DOT} >= 0.3")
-def interval_cosine(spark, sf_dir):
+def label_cosine(spark, sf_dir):
     return M.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3, within="label")
 
 
-@query()
+_MOMENTS = "m AS (SELECT vec_id, label, vec_id * 37 % 1000 AS sec, embedding FROM embeddings)"
+_COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+def _moments(spark, sf_dir):
+    """Vectors of sources (labels) at seconds made from their ids."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") * 37 % 1000).alias("at"), "embedding")
+
+
+@query(f"WITH {_MOMENTS} SELECT a.vec_id AS a, b.vec_id AS b, round({_COSINE}, 4) AS sim FROM m a JOIN m b ON a.label = b.label AND a.vec_id < b.vec_id AND abs(a.sec - b.sec) <= 90 AND {_COSINE} >= 0.2")
+def interval_cosine(spark, sf_dir):
+    near = X.cosine("a_embedding", "b_embedding")
+    return M.interval_pairs(_moments(spark, sf_dir), "vec_id", "label", "at", 90, near >= 0.2, ["embedding"]).select("a", "b", F.round(near, 4).alias("sim"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {_MOMENTS},
+n(label, anchor) AS (SELECT label, min(sec) FROM m GROUP BY 1 UNION ALL SELECT n.label, min(m.sec) FROM n JOIN m ON m.label = n.label AND m.sec > n.anchor + 90 GROUP BY n.label),
+w AS (SELECT m.*, (SELECT max(anchor) FROM n WHERE n.label = m.label AND n.anchor <= m.sec) AS anchor FROM m)
+SELECT a.vec_id AS a, b.vec_id AS b, round({_COSINE}, 4) AS sim FROM w a JOIN w b ON a.label = b.label AND a.anchor = b.anchor AND a.vec_id < b.vec_id AND {_COSINE} >= 0.25"""
+)
 def anchored_pairs(spark, sf_dir):
-    """Windows need a running anchor, which plain SQL lacks; tests compare with a loop."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") * 37 % 1000).alias("at"), "embedding")
-    return M.anchored_pairs(e, "vec_id", "label", "at", "embedding", 90, 0.25).select("a", "b", F.round("sim", 4).alias("sim"))
+    return M.anchored_pairs(_moments(spark, sf_dir), "vec_id", "label", "at", "embedding", 90, 0.25).select("a", "b", F.round("sim", 4).alias("sim"))
+
+
+_NEW_OLD = f"WITH {_MOMENTS}, o AS (SELECT * FROM m WHERE label % 2 = 0), n AS (SELECT *, label - 1 AS source FROM m WHERE label % 2 = 1), b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"
+
+
+@query(
+    _NEW_OLD
+    + f""", p AS (SELECT a.vec_id AS asset_id, b.vec_id AS group_id, {_COSINE} AS sim, abs(a.sec - b.sec) AS dt, a.embedding = b.embedding AS same,
+  list_sum(list_transform(list_zip(x.bits, y.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS dist FROM n a JOIN o b ON a.source = b.label AND abs(a.sec - b.sec) <= 90 JOIN b x ON x.vec_id = a.vec_id JOIN b y ON y.vec_id = b.vec_id),
+q AS (SELECT asset_id, group_id FROM p WHERE dist <= 20 AND dt <= 60 OR sim >= 0.3 UNION ALL SELECT a.vec_id, b.vec_id FROM n a JOIN o b ON a.embedding = b.embedding)
+SELECT asset_id, min(group_id) AS group_id FROM q GROUP BY 1"""
+)
+def strong_matches(spark, sf_dir):
+    """Vectors of odd labels come anew into the source before theirs; each vector of an even label leads a
+    group. Equal digests, near codes within a minute, or near vectors within 90 seconds match."""
+    m = _moments(spark, sf_dir).withColumns({"code": X.sign_bits("embedding", 64), "digest": F.sha2(F.to_json("embedding"), 256)})
+    new = m.filter("label % 2 = 1").withColumn("label", F.col("label") - 1).withColumnRenamed("vec_id", "asset_id")
+    old = m.filter("label % 2 = 0").withColumnRenamed("vec_id", "group_id")
+    arms = M.strong_arms(new, old, "label", "at", code=("code", 20, 60), vector=("embedding", 0.3, 90), digest="digest")
+    return M.first_match(new.select("asset_id"), arms, "asset_id", "group_id").select("asset_id", "group_id")
 
 
 @query()
@@ -139,7 +178,7 @@ WHERE rank <= 3 AND sim > -1"""
 def knn_gated(spark, sf_dir):
     """References that come after the query aren't valid for it."""
     e = table(spark, sf_dir, "embeddings")
-    near = M.knn(e.select("vec_id", "embedding"), e, "vec_id", "embedding", "label", 3, valid=F.col("r_vec_id") < F.col("q_vec_id"), skip_self=True)
+    near = M.knn(e.select("vec_id", "embedding"), e, "vec_id", "embedding", "label", 3, valid=("vec_id", "vec_id"), skip_self=True)
     return near.filter("sim > -1").select("query", "ref", F.round("sim", 4).alias("sim"), "rank")
 
 
@@ -180,9 +219,17 @@ def iou_pairs(spark, sf_dir):
     return M.box_pairs(_boxes(spark, sf_dir), "vec_id", "label", ("x", "y", "w", "h"), 0.6).withColumn("iou", F.round("iou", 4))
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE {_BOX}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY w DESC, vec_id) AS rn FROM b),
+k(label, rn, kept) AS (SELECT label, CAST(0 AS BIGINT), CAST([] AS STRUCT(i BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[]) FROM (SELECT DISTINCT label FROM o)
+  UNION ALL SELECT k.label, o.rn, CASE WHEN len(list_filter(k.kept, lambda z: greatest(0, least(z.x + z.w, o.x + o.w) - greatest(z.x, o.x)) * greatest(0, least(z.y + z.h, o.y + o.h) - greatest(z.y, o.y))
+    > 0.6 * (z.w * z.h + o.w * o.h - greatest(0, least(z.x + z.w, o.x + o.w) - greatest(z.x, o.x)) * greatest(0, least(z.y + z.h, o.y + o.h) - greatest(z.y, o.y))))) = 0
+    THEN list_append(k.kept, {{'i': o.vec_id, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}}) ELSE k.kept END FROM k JOIN o ON o.label = k.label AND o.rn = k.rn + 1),
+f AS (SELECT label, arg_max(kept, rn) AS kept FROM k GROUP BY 1)
+SELECT label, unnest(list_transform(kept, lambda z: z.i)) AS vec_id FROM f"""
+)
 def box_suppression(spark, sf_dir):
-    """Greedy suppression; tests compare with a loop."""
     return M.suppress(_boxes(spark, sf_dir), "vec_id", "label", ("x", "y", "w", "h"), "w", 0.6)
 
 
@@ -203,10 +250,18 @@ def asset_score_pick(spark, sf_dir):
     return best.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "score")
 
 
-@query()
+@query(
+    """
+WITH c AS (SELECT label FROM embeddings GROUP BY 1 HAVING count(*) >= 5),
+p AS (SELECT vec_id AS k, label AS l, row_number() OVER (PARTITION BY label ORDER BY sha256('7' || chr(31) || vec_id), vec_id) AS p FROM embeddings JOIN c USING (label)),
+s AS (SELECT a.k AS a, b.k AS b, row_number() OVER (PARTITION BY a.l ORDER BY b.p - a.p, a.p) AS rn FROM p a JOIN p b ON a.l = b.l AND b.p > a.p AND b.p <= a.p + 28),
+m AS (SELECT k, l, row_number() OVER (ORDER BY sha256('8' || chr(31) || k), k) AS p FROM p WHERE p <= 400),
+d AS (SELECT a.k AS a, b.k AS b, row_number() OVER (PARTITION BY a.l ORDER BY b.p - a.p, a.p) AS rn FROM m a JOIN m b ON a.l <> b.l AND b.p > a.p AND b.p <= a.p + 3)
+SELECT a, b, true AS same FROM s WHERE rn <= 400 UNION ALL SELECT a, b, false FROM d WHERE rn <= 400"""
+)
 def calibration_pairs(spark, sf_dir):
-    """Seeded pairs of the same and of different classes; tests check caps and labels."""
-    return S.sample_pairs(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label", cap=40)
+    """Seeded pairs of the same and of different classes, up to 400 of each per class."""
+    return S.sample_pairs(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label")
 
 
 @query("SELECT n_regionkey AS source, n_nationkey AS target FROM nation WHERE n_regionkey IN (1, 3)")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import exists
+from .tables import exists, move
 
 
 class SchemaError(RuntimeError):
@@ -33,11 +34,19 @@ class Registry:
         return T.StructType(fields)
 
     def ensure(self, spark: SparkSession, folder: str) -> dict[str, list[str]]:
-        """Creates missing tables, adds missing columns of migrations as nulls into a new version beside
-        the old, and fails on a table without its first columns. A second run changes nothing."""
+        """Creates missing tables, applies pending migrations in order of version, and fails on a table
+        without its first columns. A migration adds its columns as nulls in a rewritten table, which then
+        takes the old one's place; the old one stays beside it as `<name>.before-<version>`. Columns that
+        exist already are left as they are. Applied versions are kept in `schema_migrations`, so a second
+        run changes nothing."""
         created, applied = [], []
+        log = f"{folder}/schema_migrations.parquet"
+        done = {r["version"] for r in spark.read.parquet(log).select("version").distinct().collect()} if exists(spark, log) else set()
+        pending = [m for m in sorted(self.migrations) if m[0] not in done]
         for name in sorted(self.tables):
-            path = f"{folder}/{name}.parquet"
+            path, staged = f"{folder}/{name}.parquet", f"{folder}/{name}.next"
+            if not exists(spark, path) and exists(spark, staged):  # a run ended between the two renames
+                move(spark, staged, path)
             if not exists(spark, path):
                 spark.createDataFrame([], self.schema(name)).write.parquet(path)
                 created.append(name)
@@ -46,7 +55,16 @@ class Registry:
             base = {f.name for f in T.StructType.fromDDL(self.tables[name]).fields}
             if base - have:
                 raise SchemaError(f"{name} lacks {sorted(base - have)}")
-            applied += [v for v, table, ddl in sorted(self.migrations) if table == name and {f.name for f in T.StructType.fromDDL(ddl).fields} - have]
+        for version, name, ddl in pending:
+            path, staged = f"{folder}/{name}.parquet", f"{folder}/{name}.next"
+            old = spark.read.parquet(path)
+            new = [f for f in T.StructType.fromDDL(ddl).fields if f.name not in old.columns]
+            if new:
+                old.withColumns({f.name: F.lit(None).cast(f.dataType) for f in new}).write.mode("overwrite").parquet(staged)
+                move(spark, path, f"{folder}/{name}.before-{version}")
+                move(spark, staged, path)
+            spark.createDataFrame([(version,)], "version string").write.mode("append").parquet(log)
+            applied.append(version)
         return {"created": created, "applied": applied}
 
     def read(self, spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +74,10 @@ class Registry:
     def missing(self, spark: SparkSession, folder: str) -> list[str]:
         return [n for n in sorted(self.tables) if not exists(spark, f"{folder}/{n}.parquet")]
 
+    def extra(self, spark: SparkSession, names: list[str]) -> list[str]:
+        """Names that the store has and the registry doesn't declare."""
+        return sorted(set(names) - set(self.tables) - {"schema_migrations"})
+
     def columns(self, spark: SparkSession) -> DataFrame:
         rows = [(n, f.name, f.dataType.simpleString()) for n in sorted(self.tables) for f in self.schema(n).fields]
         return spark.createDataFrame(rows, "table_name string, column_name string, type string")

@@ -25,11 +25,38 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _store(spark: SparkSession, path: str):
+    """A path and its own file system, so any store that Spark reads will do."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    """Asks the path's own file system, so any store that Spark reads will do."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _store(spark, path)
+    return fs.exists(p)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    fs, p = _store(spark, old)
+    if not fs.rename(p, _store(spark, new)[1]):
+        raise OSError(f"{old} can't become {new}")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes df into the shared folder and reads it back: later steps read the table instead of running df
+    again, also after a lost executor."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` has written, once nothing reads them again."""
+    for t in tables:
+        fs, p = _store(t.sparkSession, t.written_to)
+        fs.delete(p, True)
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -60,6 +87,20 @@ def snapshot(df: DataFrame, folder: str, name: str) -> str:
     return path
 
 
+def undo_log(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """key and old_<c> of the rows whose columns a change gives other values, or that it removes: written
+    before the change, `undo` takes it back."""
+    o = old.select(*key, F.struct(*columns).alias("o"))
+    n = new.select(*key, F.struct(*columns).alias("n"))
+    return o.join(n, key, "left").filter(~F.col("o").eqNullSafe(F.col("n"))).select(*key, *[F.col("o")[c].alias(f"old_{c}") for c in columns])
+
+
+def undo(new: DataFrame, log: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """The logged columns as they were; rows that the change added or left alone stay as they are."""
+    back = new.join(log.withColumn("__hit", F.lit(True)), key, "left")
+    return back.withColumns({c: F.when(F.col("__hit"), F.col(f"old_{c}")).otherwise(F.col(c)) for c in columns}).select(*new.columns)
+
+
 def binary_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
 

@@ -29,8 +29,29 @@ def test_paradox_prefers_gender(spark):
 
 
 def test_sampled_pairs(spark):
-    df = spark.createDataFrame([(i, i % 4) for i in range(200)] + [(900 + i, 9) for i in range(4)], "k int, l int")
+    df = spark.createDataFrame([(i, i % 4) for i in range(200)] + [(900 + i, 9) for i in range(4)] + [(950 + i, 8) for i in range(6)], "k int, l int")
     rows = S.sample_pairs(df, "k", "l", cap=30).collect()
-    label = lambda k: 9 if k >= 900 else k % 4
+    label = lambda k: 8 if k >= 950 else 9 if k >= 900 else k % 4
     assert all(r["same"] == (label(r["a"]) == label(r["b"])) and r["a"] != r["b"] for r in rows)
-    assert max(sum(r["same"] for r in rows if label(r["a"]) == c) for c in range(4)) <= 30 and not any(label(r["a"]) == 9 for r in rows)
+    inside = [sum(r["same"] for r in rows if label(r["a"]) == c) for c in (0, 1, 2, 3, 8, 9)]
+    assert inside == [30, 30, 30, 30, 15, 0]  # six rows have 15 pairs, four rows are too few
+    assert len({(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in rows if r["same"]}) == sum(inside)
+    assert max(sum(not r["same"] for r in rows if label(r["a"]) == c) for c in range(4)) <= 30
+
+
+def test_extensions_on_event_time(spark, tmp_path):
+    """Windows and sessions drop nothing that comes within the lateness."""
+    from tessella.streaming import once
+
+    rows = [(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:04:00", 2.0), (1, "2024-01-01 01:00:00", 4.0), (2, "2024-01-01 00:01:00", 8.0), (1, "2024-01-01 00:00:00", 1.0)]
+    spark.createDataFrame(rows, "u int, t string, v double").withColumn("t", F.to_timestamp("t")).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema("u int, t timestamp, v double").parquet(str(tmp_path / "in"))
+
+    def run(stream, name):
+        q = stream.writeStream.format("memory").queryName(name).outputMode("append" if name == "first_" else "complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return spark.table(name)
+
+    assert run(once.windowed(read(), "t", "1 hour", "10 minutes", None, ["u"], "v"), "windowed_").agg(F.sum("total")).first()[0] == 16.0
+    assert run(once.sessions(read(), "t", "1 hour", "10 minutes", ["u"]), "sessions_").count() == 3
+    assert run(once.first_seen(read(), "u", "t", "1 hour"), "first_").count() == 2

@@ -101,3 +101,41 @@ def test_marks_and_steps(spark):
     assert report2.done == {"half": 0, "all": 0} and state2.count() == state.count() and misses2.count() == 2
     assert I.backlog(assets, state, "half", misses=I.retry(misses, "half")).count() == 2
     assert I.backlog(assets, state, "all", version="2").count() == 4
+
+
+def test_repeated_keys_of_a_delta(spark):
+    """The last row of a key counts, for ignore the first; an order may say which that is."""
+    old = spark.createDataFrame([(1, "a", 1)], "k int, s string, n int")
+    new = spark.createDataFrame([(1, "x", 5), (1, "y", 4), (2, "p", 1), (2, "q", 0)], "k int, s string, n int")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(C.replace(old, new, ["k"])) == rows(C.upsert(old, new, ["k"])) == [(1, "y", 4), (2, "q", 0)]
+    assert rows(C.replace(old, new, ["k"], [F.col("n")])) == rows(C.upsert(old, new, ["k"], order=[F.col("n")])) == [(1, "x", 5), (2, "p", 1)]
+    assert rows(C.ignore(old, new, ["k"])) == [(1, "a", 1), (2, "p", 1)] and rows(C.ignore(old, new, ["k"], [F.col("n")])) == [(1, "a", 1), (2, "q", 0)]
+    assert C.last_of(new.select("k"), ["k"]).count() == 2
+
+
+def test_a_step_runs_once(spark):
+    """What a step gives is the same for its marks, its count and its caller."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def work(todo):
+        def each(parts):
+            for p in parts:
+                runs.add(len(p))
+                yield p
+
+        done = todo.mapInPandas(each, todo.schema)
+        return done, todo.limit(0)
+
+    assets = spark.createDataFrame([(f"a{i}",) for i in range(7)], "asset_id string")
+    state = spark.createDataFrame([], "asset_id string, step string, version string")
+    misses = spark.createDataFrame([], "asset_id string, step string")
+    state, _, out, report = I.run_steps(assets, state, misses, [I.Step("work", work)], limit=5)
+    assert report.done == {"work": 5} and out["work"].count() == 5 and state.count() == 5 and runs.value == 5
+
+
+def test_decision_log_keeps_assets_away(spark):
+    assets = spark.createDataFrame([("a",), ("b",)], "asset_id string")
+    state = spark.createDataFrame([], "asset_id string, step string, version string")
+    removed = spark.createDataFrame([("b",)], "asset_id string")
+    assert [r[0] for r in I.backlog(assets, state, "privacy", gone=removed).collect()] == ["a"]

@@ -60,6 +60,31 @@ def test_positions_and_serials(spark):
     assert ids == ["sim_0000042", "sim_0000043", "sim_0000044"]
 
 
+def test_positions_of_many_rows_with_further_columns(spark):
+    """Two million rows with ties and carried columns: no row is lost or numbered twice."""
+    n = 2_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % 1000).alias("v"), "id", F.concat(F.lit("x"), F.col("id")).alias("s"), F.array("id").alias("a"))
+    out = R.positions(df, [F.col("v").desc()], "at")
+    got = out.agg(F.count("*"), F.countDistinct("at"), F.min("at"), F.max("at"), F.countDistinct("id")).first()
+    assert tuple(got) == (n, n, 0, n - 1, n)
+    assert out.filter(F.col("v") != 999 - F.floor(F.col("at") / (n // 1000))).count() == 0
+
+
+def test_pages_from_an_offset_on(spark):
+    df = spark.range(50)
+    rows = R.page(df, [F.col("id").desc()], offset=45).collect()
+    assert sorted(r["id"] for r in rows) == [0, 1, 2, 3, 4] and {r["total"] for r in rows} == {50} and not any(r["has_more"] for r in rows)
+    assert R.page(df, [F.col("id")], offset=100, limit=5).count() == 0
+
+
+def test_optional_filters(spark):
+    rules = {"least": lambda v: F.col("id") >= v, "only": lambda v: F.col("id").isin(v), "even": lambda v: F.col("id") % 2 == 0}
+    assert R.optional_filters(spark.range(10), {"least": 6, "only": [], "even": False}, rules).count() == 4
+    assert R.optional_filters(spark.range(10), {"least": None, "only": [1, 2], "even": True}, rules).count() == 1
+    with pytest.raises(KeyError):
+        R.optional_filters(spark.range(1), {"other": 1}, rules)
+
+
 def test_even_picks(spark):
     df = spark.createDataFrame([("d", i) for i in range(10)] + [("e", 1), ("e", 2)], "day string, n int")
     got = sorted((r["day"], r["n"]) for r in R.even_picks(df, "day", [F.col("n")]).collect())
@@ -91,10 +116,36 @@ def test_registry(spark, tmp_path):
     reg = Registry({f"t{i}": "id string, n long" for i in range(3)}, [("002", "t0", "extra string"), ("001", "t1", "n long, more int")])
     folder = str(tmp_path)
     assert reg.missing(spark, folder) == ["t0", "t1", "t2"]
-    assert len(reg.ensure(spark, folder)["created"]) == 3
+    assert reg.ensure(spark, folder) == {"created": ["t0", "t1", "t2"], "applied": ["001", "002"]}
     assert reg.ensure(spark, folder) == {"created": [], "applied": []}
     assert reg.read(spark, folder, "t0").columns == ["id", "n", "extra"]
     assert reg.columns(spark).count() == 8
     spark.createDataFrame([("x",)], "id string").write.mode("overwrite").parquet(f"{folder}/t2.parquet")
     with pytest.raises(SchemaError):
         reg.ensure(spark, folder)
+
+
+def test_migrations_are_applied_once(spark, tmp_path):
+    folder = str(tmp_path)
+    Registry({"t": "id string, n long"}).ensure(spark, folder)
+    spark.createDataFrame([("a", 1)], "id string, n long").write.mode("append").parquet(f"{folder}/t.parquet")
+    reg = Registry({"t": "id string, n long"}, [("002", "t", "late array<int>"), ("001", "t", "n long, more int")])
+    assert reg.ensure(spark, folder) == {"created": [], "applied": ["001", "002"]}
+    stored = spark.read.parquet(f"{folder}/t.parquet")
+    assert stored.columns == ["id", "n", "more", "late"] and tuple(stored.first()) == ("a", 1, None, None)
+    assert reg.ensure(spark, folder) == {"created": [], "applied": []}
+    assert reg.extra(spark, ["t", "stranger"]) == ["stranger"]
+
+
+def test_undo(spark):
+    old = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (3, "c", 3.0)], "k int, s string, x double")
+    new = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (4, "d", 4.0)], "k int, s string, x double")
+    log = T.undo_log(old, new, ["k"], ["s", "x"])
+    assert sorted(tuple(r) for r in log.collect()) == [(2, None, 2.0), (3, "c", 3.0)]
+    assert sorted(tuple(r) for r in T.undo(new, log, ["k"], ["s", "x"]).collect()) == [(1, "a", 1.0), (2, None, 2.0), (4, "d", 4.0)]
+
+
+def test_json_document(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"tables": [\n {"name": "a"}, {"name": "b"}\n]}')
+    d = T.json_document(spark, str(tmp_path / "d.json"))
+    assert [r["name"] for r in d.selectExpr("inline(tables)").collect()] == ["a", "b"]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,29 +70,76 @@ def test_votes(spark):
     assert votes(spark, "aaaaaaabbb", least=0.95) == "abstain_empty"
 
 
-def test_knn_blocks_agree(spark):
-    r = random.Random(2)
-    rows = [(i, [r.random() for _ in range(4)], i % 3) for i in range(60)]
-    df = spark.createDataFrame(rows, "id int, v array<double>, c int")
-    a = sorted((x["query"], x["ref"], x["rank"]) for x in M.knn(df, df, "id", "v", "c", 5, skip_self=True).collect())
-    b = sorted((x["query"], x["ref"], x["rank"]) for x in M.knn_blocks(df, df, "id", "v", "c", 5, 7, skip_self=True).collect())
-    assert a == b and len(a) == 300
+def brute_knn(rows, k, valid=False):
+    """(query, ref, label, sim, rank) by comparing everything."""
+    out = []
+    for i, v, _ in rows:
+        sims = [(-1.0 if valid and i < j else round(sum(x * y for x, y in zip(v, w)), 12), j, c) for j, w, c in rows if j != i]
+        out += [(i, j, c, s, n + 1) for n, (s, j, c) in enumerate(sorted(sims, key=lambda x: (-x[0], x[1]))[:k])]
+    return sorted(out)
 
 
-def test_larger_tables_are_joined_in_blocks(spark, monkeypatch):
+def test_knn_and_classes_against_brute_force(spark, monkeypatch):
     r = random.Random(5)
     rows = [(i, [float(r.randrange(4)) for _ in range(4)], i % 3) for i in range(90)]
     df = spark.createDataFrame(rows, "id int, v array<double>, c int")
-
-    def results():
-        near = M.knn(df, df, "id", "v", "c", 5, valid=F.col("r_id") < F.col("q_id"), skip_self=True)
-        classes = M.class_similarity(df, "id", "v", "c")
-        return sorted(map(tuple, near.collect())), sorted((x["query"], x["own"], x["label"], round(x["score"], 9)) for x in classes.collect())
-
-    whole = results()
-    monkeypatch.setattr(M, "BROADCAST_ROWS", 40)
-    monkeypatch.setattr(M, "BLOCK_ROWS", 13, raising=False)
-    assert results() == whole and len(whole[0]) == 450 and len(whole[1]) == 270
+    classes = {}
+    for i, v, own in rows:
+        for c in range(3):
+            best = sorted((sum(x * y for x, y in zip(v, w)) for j, w, d in rows if d == c and j != i), reverse=True)[:3]
+            classes[i, own, c] = round(sum(best) / 3, 9)
+    for size in (4096, 13):  # one block, and many
+        monkeypatch.setattr(M, "BLOCK_ROWS", size)
+        for valid in (None, ("id", "id")):
+            got = sorted(tuple(x) for x in M.knn(df, df, "id", "v", "c", 5, valid=valid, skip_self=True).collect())
+            assert got == brute_knn(rows, 5, valid is not None)
+        got = {(x["query"], x["own"], x["label"]): round(x["score"], 9) for x in M.class_similarity(df, "id", "v", "c").collect()}
+        assert got == classes
+        pairs = sorted((x["a"], x["b"]) for x in M.similar_pairs(df, "id", "v", 20.0).collect())
+        assert pairs == [(i, j) for i, v, _ in rows for j, w, _ in rows if i < j and sum(x * y for x, y in zip(v, w)) >= 20]
+        inside = sorted((x["a"], x["b"]) for x in M.similar_pairs(df, "id", "v", 20.0, within="c").collect())
+        assert inside == [(a, b) for a, b in pairs if a % 3 == b % 3]
+    empty = df.limit(0)
+    assert M.knn(df, empty, "id", "v", "c", 5).count() == M.knn(empty, df, "id", "v", "c", 5).count() == M.similar_pairs(empty, "id", "v", 0.0).count() == 0
+
+
+def test_knn_with_unknown_dates(spark):
+    refs = spark.createDataFrame([(1, [1.0, 0.0], "a", "2019-01-01"), (2, [0.9, 0.0], "b", None), (3, None, "c", None)], "id int, v array<double>, c string, born string")
+    queries = spark.createDataFrame([(10, [1.0, 0.0], "2010-05-05"), (11, [1.0, 0.0], None)], "id int, v array<double>, taken string")
+    got = sorted((x["query"], x["ref"], x["sim"]) for x in M.knn(queries, refs, "id", "v", "c", 2, valid=("taken", "born")).collect())
+    assert got == [(10, 1, -1.0), (10, 2, 0.9), (11, 1, 1.0), (11, 2, 0.9)]
+
+
+def test_larger_tables_have_whole_results(spark):
+    """30,000 references: each query has its nearest ten."""
+    df = spark.range(30_000).select(F.col("id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.sin(F.col("id") * (i + 1))).alias("v"), (F.col("id") % 5).alias("c"))
+    near = M.knn(df.filter("id < 50"), df, "id", "v", "c", 10)
+    assert near.count() == 500 and near.filter("rank = 1 and query != ref").filter("sim < 0").count() == 0
+
+
+def test_order_statistics(spark):
+    r = random.Random(4)
+    values = [r.choice([1.5, 2.0, 7.25, r.random() * 10]) for _ in range(501)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    points = [0.0, 0.01, 0.33, 0.5, 0.999, 1.0]
+    assert S.order_statistics(df, "v", points) == pytest.approx([float(x) for x in np.quantile(values, points)])
+    assert S.order_statistics(df.limit(0), "v", points) is None
+    assert S.best_f1(df.limit(0).withColumn("same", F.lit(True)), "v", "same").count() == 0
+
+
+def test_assignment_rules(spark):
+    """In order: not valid, too far, too small a lead, too small a share."""
+    def decide(labels, sims=None, least=0.5, kids=("kid",)):
+        sims = sims or [0.9 - i / 100 for i in range(len(labels))]
+        rows = [("q", i, x, s, i + 1) for i, (x, s) in enumerate(zip(labels, sims))]
+        near = spark.createDataFrame(rows, "query string, ref int, label string, sim double, rank int")
+        return S.assign_people(near, spark.createDataFrame([(k,) for k in kids], "label string"), least).first()["decision"]
+
+    assert decide(["a"] * 10, [-1.0] * 10) == "abstain_invalid" and decide(["a"] * 10, least=0.95) == "abstain_similarity"
+    assert decide(["kid"] * 10, least=0.85) == "abstain_similarity" and decide(["a"] * 10, least=0.85) == "assign"
+    assert decide(["a"] * 5 + ["b"] * 4 + ["c"]) == "abstain_margin" and decide(["a"] * 5 + ["b"] * 3 + ["c"] * 2) == "abstain_ratio"
+    assert decide(["a"] * 6 + ["b"] * 4) == "assign" and decide(["kid"] * 6 + ["b"] * 4) == "abstain_ratio" and decide(["a"]) == "assign"
+    assert S.least_similarity("SFace-2021dec") == 0.5437 and S.least_similarity("x") == 0.55 and S.least_similarity("x", "0.61") == 0.61 and S.least_similarity("x", "off") == 0.55
 
 
 def test_suppression(spark):
@@ -206,6 +254,17 @@ def test_expressions(spark):
     assert one(spark, X.combined_quality(F.lit(-4.0), F.lit("blurry")))[0] == -2.0
     assert tuple(one(spark, X.age_parts(F.lit("2020-03-15").cast("date"), F.lit("2024-01-20").cast("date")).alias("a"))["a"]) == (3, 10)
     assert one(spark, X.rewrite_prefix(F.lit("/old/x"), "/old", "/new"))[0] == "/new/x"
+    kinds = [one(spark, X.evidence_kind(F.lit(x)))[0] for x in ("A_FILENAME", "A_PATH", "vision_meme")]
+    assert kinds == ["filename", "path", "path"]
+    assert [one(spark, X.like(F.lit(x), "Ab%É"))[0] for x in ("aBcÉ", "abé", "xab")] == [True, False, False]
+
+
+def test_blob_vectors(spark):
+    good = np.array([0.5, -2.25, 3e-8], "<f4")
+    rows = [(good.tobytes(),), (good.tobytes()[:-1],), (np.array([1, np.nan, 2], "<f4").tobytes(),), (None,), (b"",), (good.tobytes() * 2,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "b binary").select(X.floats("b", 3)).collect()]
+    assert got == [good.tolist(), None, None, None, None, None]
+    assert len(spark.createDataFrame(rows[-1:], "b binary").select(X.floats("b")).first()[0]) == 6
 
 
 def test_landmarks(spark):
@@ -221,6 +280,9 @@ def test_landmarks(spark):
     good = one(spark, X.point_metrics(points(6.0)).alias("m"))["m"]
     assert good["eyes_open"] and good["is_smiling"]
     assert one(spark, X.point_metrics(points(40.0)).alias("m"))["m"] is None
+    # Eyes 18 and 14 wide; both sides of the thresholds of 0.28 and 0.72.
+    assert not one(spark, X.point_metrics(points(4.0)).alias("m"))["m"]["eyes_open"] and one(spark, X.point_metrics(points(4.6)).alias("m"))["m"]["eyes_open"]
+    assert good["smile_ratio"] > 0.72 and not one(spark, X.point_metrics(points(4.6), smile_at=0.8).alias("m"))["m"]["is_smiling"]
 
 
 def test_adapters(spark):
