@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,24 +44,25 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for each node of the edges (u, v, both bigint); a node
     without a smaller neighbour is its own component. Null ends are ignored, loops and repeats harmless.
 
-    Each round joins every node's neighbours to its smallest one, by an aggregate with map-side combine
-    and a join that Spark can split for a hot node, and is written to the shared folder. Rounds grow with
-    the logarithm of a component's size.
+    Each round joins every node's neighbours to its smallest one. The smallest ones are an aggregate with
+    map-side combine, written before the join, so that Spark can split the join for a node with many larger
+    neighbours. A round's tables go when the next one is written. Rounds grow with the logarithm of a
+    component's size.
     """
     e = edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).filter("u is not null and v is not null and u != v")
     e = cut(e.mapInArrow(_forest, "u bigint, v bigint").distinct(), "cc")
     state = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
         # Large star: larger neighbours move to the smallest.
         j = both.join(low, "u")
-        e = j.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        moved = j.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         # Small star: smaller neighbours and the node itself move to the smallest neighbour.
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        j = e.join(low, "u")
-        e = j.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        e = cut(e, "cc")
+        least = moved.groupBy("u").agg(F.min("v").alias("m"))
+        j = moved.join(least, "u")
+        old, e = e, cut(j.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "cc")
+        discard(old, low)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))).alias("h")).first()
         if state == (now["n"], now["h"]):
             break

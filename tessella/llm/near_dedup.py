@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ship
+from .common import cut, discard, partitions, ship
 from .components import components
 from .wordhash import U64, mix, plain, shingle_sets, text_chunks, words_of
 
@@ -28,8 +28,10 @@ SHINGLE, PERCENT = 5, 80
 BLOCK = 2_000
 #: Ids that are broadcast to pick texts, at most: 8 bytes each.
 BROADCAST_IDS = 4_000_000
-#: By so much may an estimate fall short of the similarity and the pair still be compared on whole sets.
-HOPE = 0.1
+#: By so much may an estimate fall short of the similarity and the pair still be compared on whole sets: 5.5
+#: standard deviations, so that this passes over a pair at the threshold with probability 2e-8 or less,
+#: far below what banding does.
+HOPE = 0.13
 _TOP = U64((1 << 64) - 1)
 
 
@@ -88,8 +90,8 @@ def _signer(shingle: int, bands: int, rows: int, slots: int):
                 sig = band_keys(superminhash(h, first, slots), bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(sig.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(size.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists],
-                    names=["id", "n", "k1", "k2", "bands"],
+                    [batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(size.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists],
+                    names=["id", "th", "n", "k1", "k2", "bands"],
                 )
 
     return run
@@ -297,9 +299,10 @@ def open_links(shared: DataFrame, comp: DataFrame, docs: DataFrame, shingle: int
     link that joins two components."""
     left = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
     mixed = left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).filter("a != b")
-    left = cut(left.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key"), "near-open")
+    mixed = cut(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "near-mixed")
+    left = cut(left.join(mixed, "key"), "near-open")
     ids = left.select("id").distinct()
-    made = _of_ids(docs, ids).dropDuplicates(["id"])
+    made = _of_ids(docs, ids).dropDuplicates(["id"])  # of repeated rows one; their texts are equal
     sets = cut(made.mapInArrow(_set_rows(shingle, bands, rows, slots), "id bigint, bands array<bigint>, short binary, set array<int>"), "near-sets")
     left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
@@ -325,34 +328,59 @@ def near_duplicates(
     rows: int = ROWS,
     slots: int = SLOTS,
 ) -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id, kept.
+    """One row per row of df: id, n_shingles, component_id, kept, text_hash, group.
 
     Words are A-Z lower-cased; documents link when 100 * intersection >= percent * union of their shingle
     sets. component_id is the smallest id reachable over links, kept marks it. Documents without words
     (null, empty or blank texts) link with nothing. Equal sets form one class first and are compared
-    through its smallest id. Rows with a null id are left out; repeated rows are repeated. An empty table
-    gives no rows.
+    through its smallest id. Rows with a null id are left out; repeated rows are repeated; rows of one id
+    with different texts are documents of their own, told apart by text_hash, and group is one number per
+    component even where two components have one smallest id. An empty table gives no rows.
 
     In a band's bucket every class is compared with the one of smallest id. Once components are known,
     buckets that still hold several are compared across them, inside a task; classes in one component need
-    no further comparison.
+    no further comparison. Aggregates are written before they are joined, as Spark splits a hot key of a
+    join only between scans.
     """
     ship(df.sparkSession)
-    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null")
-    signed = cut(docs.mapInArrow(_signer(shingle, bands, rows, slots), "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "near-signed")
-    classes = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    text = F.col(f"`{text_col}`")
+    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")).filter("id is not null")
+    schema = "id bigint, th bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
+    signed = cut(docs.select("id", "text", "th").mapInArrow(_signer(shingle, bands, rows, slots), schema), "near-signed")
+    several = cut(signed.groupBy("id").agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a != b").select("id", F.lit(True).alias("many")), "near-several")
+    one_text = several.isEmpty()
+
+    def noded(rows: DataFrame) -> DataFrame:
+        """Adds node: the id, or a hash where rows of one id have different texts."""
+        if one_text:
+            return rows.withColumn("node", F.col("id"))
+        return rows.join(several, "id", "left").withColumn("node", F.when(F.col("many"), F.xxhash64("id", "th")).otherwise(F.col("id"))).drop("many")
+
+    texts = noded(docs).select(F.col("node").alias("id"), "text")
+    named = noded(signed)
+    classes = named.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "node")).alias("r"))
+    classes = cut(classes.select("k1", "k2", F.col("r.id").alias("least"), F.col("r.node").alias("rep")), "near-classes")
+    reps = named.select(F.col("node").alias("id"), "n", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     buckets = reps.select("id", "n", F.explode("bands").alias("key"))
     centres = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
-    shared = cut(buckets.join(centres.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "key"), "near-buckets")
+    centres = cut(centres.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "near-centres")
+    shared = cut(buckets.join(centres, "key"), "near-buckets")
     edges = shared.filter("c != id").filter(_fits("n", "cn", percent)).select(F.col("c").alias("u"), F.col("id").alias("v"))
     edges = cut(edges.distinct(), "near-edges")
-    links = cut(verified(edges, docs, shingle, percent), "near-links")
+    links = cut(verified(edges, texts, shingle, percent), "near-links")
+    discard(centres, edges)
     comp = cut(components(links), "near-components")
-    more = cut(open_links(shared.select("key", "id", "n"), comp, docs, shingle, percent, bands, rows, slots).distinct(), "near-more")
-    links = links.union(cut(verified(more, docs, shingle, percent), "near-links"))
-    comp = cut(components(links), "near-components")
-    of_class = classes.join(comp, classes["rep"] == comp["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2"], "left")
+    more = cut(open_links(shared.select("key", "id", "n"), comp, texts, shingle, percent, bands, rows, slots).distinct(), "near-more")
+    links = links.union(cut(verified(more, texts, shingle, percent), "near-links"))
+    discard(shared, more)
+    of_class = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "least", F.coalesce("component", "rep").alias("group"))
+    of_class = cut(of_class, "near-groups")
+    if one_text:
+        of_class = of_class.select("k1", "k2", "group", F.col("group").alias("component_id"))
+    else:
+        smallest = cut(of_class.groupBy("group").agg(F.min("least").alias("component_id")), "near-smallest")
+        of_class = cut(of_class.join(smallest, "group").select("k1", "k2", "group", "component_id"), "near-groups")
+    out = named.select("id", "th", "node", "n", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     cid = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), cid.alias("component_id"), (cid == F.col("id")).alias("kept"))
+    group = F.when(F.col("n") > 0, F.col("group")).otherwise(F.col("node"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), cid.alias("component_id"), (cid == F.col("id")).alias("kept"), F.col("th").alias("text_hash"), group.alias("group"))

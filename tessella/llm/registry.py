@@ -19,7 +19,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=80)
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=80).drop("text_hash", "group")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Fingerprints, URL filters, quality rules, sharding, packing."""
 
+import bisect
 import itertools
+import random
+import struct
 from collections import defaultdict
 
 import brute
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import fingerprint as P
@@ -148,7 +152,143 @@ def test_packing(odd, odd_rows):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
-def test_long_lengths_round_up(spark):
-    df = spark.createDataFrame([(x,) for x in (0, 1, 1024, 1025, 5000, 123457, 10**7)], "n long")
-    for r in df.select("n", packing.rounded(F.col("n")).alias("r")).collect():
-        assert r["n"] <= r["r"] <= r["n"] * (1 + 1 / 128) + 1 and (r["n"] > 1024 or r["r"] == r["n"])
+def test_boundaries_of_many_lengths_are_optimal():
+    """Against the plain quadratic recurrence, on lengths far apart and counts far apart."""
+    r = random.Random(6)
+    for n, k in ((40, 6), (120, 16), (7, 9), (1, 3)):
+        lengths = sorted(r.sample(range(10**7), n))
+        counts = [r.choice([1, 2, 50, 10**6]) for _ in lengths]
+        best = [0] + [float("inf")] * n
+        for _ in range(min(k, n)):
+            best = [0] + [min(best[i] + sum(counts[j] * (lengths[e - 1] - lengths[j]) for j in range(i, e)) for i in range(e)) for e in range(1, n + 1)]
+        bounds = packing.choose_boundaries(lengths, counts, k)
+        assert len(bounds) <= k and bounds[-1] == lengths[-1]
+        assert sum(c * (min(b for b in bounds if b >= x) - x) for x, c in zip(lengths, counts)) == best[n]
+
+
+def h64(x, seed=42):
+    """Spark's xxhash64 of a text, or of a hash after another one."""
+    return xxhash.xxh64_intdigest(x, seed)
+
+
+def sketch(text):
+    """The kept hashes of a text, without Spark."""
+    w = [h64(x.encode()) for x in brute.words(text)]
+    hashes = set()
+    for i in range(len(w) - 4 if len(w) >= 5 else min(1, len(w))):
+        h = 42
+        for x in w[i : i + 5]:
+            h = h64(struct.pack("<Q", x), h)
+        hashes.add(h % P._SPACE)
+    return sorted(x for x in hashes if x < 1 << P.KEPT_BITS) or sorted(hashes)[:1]
+
+
+def test_fingerprints_recomputed(odd, odd_rows):
+    got = {r["doc_id"]: r for r in P.fingerprint_edits(odd).collect()}
+    order = sorted(odd_rows, key=lambda x: -x[0])
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+
+    def union(a, b):
+        low = {x for x in {*a, *b} if x < 1 << P.KEPT_BITS}
+        return low or set(sorted({*a, *b})[:1])
+
+    for k, (i, t) in enumerate(order):
+        t, u = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        own, edited, after = sketch(t), sketch(t[: len(t) - half] + u[:half]), sketch(u)
+        text = lambda s: ",".join(f"{x:x}" for x in s)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (text(own), text(edited)), i
+        for name, other in (("near_edited", edited), ("near_next", after)):
+            both = union(own, other)
+            assert got[i][name] == pytest.approx(len(set(own) & set(other)) / len(both) if both else 1.0)
+    assert like(set(), set()) == 1.0
+
+
+def test_containment_of_short_and_long_texts(spark):
+    """A short text held by a long one is held wholly or, where all its hashes are above the threshold, unknown."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(" ".join(words[i : i + 5]), " ".join(words)) for i in range(0, 200, 5)] + [(" ".join(words[i : i + 60]), " ".join(words)) for i in range(0, 600, 60)] + [("a b c", "a b c"), ("", "x")]
+    df = P.with_sketch(P.with_sketch(spark.createDataFrame(rows, "a string, b string"), "a", "p"), "b", "q")
+    held = [r["c"] for r in df.select(P.containment(F.col("p"), F.col("q")).alias("c")).collect()]
+    assert set(held[:40]) == {1.0, None} and held[:40].count(1.0) in range(3, 22) and held[40:] == [1.0] * 12
+    back = [r["c"] for r in df.select(P.containment(F.col("q"), F.col("p")).alias("c")).collect()]
+    assert all(x < 0.1 for x in back[:40])
+
+
+def test_ranges_beyond_a_literal_list(spark):
+    from tessella.llm.common import range_bounds, with_range
+
+    r = random.Random(2)
+    for n in (0, 1, 255, 256, 257, 1000):
+        bounds = sorted(r.sample(range(-5000, 5000), n))
+        rows = with_range(spark.range(-5100, 5100, 7), bounds, "id", "at").collect()
+        assert all(x["at"] == bisect.bisect_right(bounds, x["id"]) for x in rows) and len(rows) == 1458
+    cuts = range_bounds(spark.range(100_000).select((F.col("id") * 3).alias("k")), "k", 20)
+    sizes = with_range(spark.range(100_000).select((F.col("id") * 3).alias("k")), cuts, "k", "at").groupBy("at").count().collect()
+    assert len(sizes) == 20 and max(x["count"] for x in sizes) < 2 * 5000
+    assert range_bounds(spark.range(0).withColumnRenamed("id", "k"), "k", 9) == []
+
+
+def test_shards_recomputed(odd, odd_rows):
+    """Keys are hashes of texts; shards are ranges of (key, id), slots the places in them."""
+    for shards in (3, 8):
+        got = {r["doc_id"]: r for r in sharding.shard(odd, shards).collect()}
+        key = {i: h64((t or "").encode()) >> 2 for i, t in odd_rows}
+        order = sorted(key, key=lambda i: (key[i], i))
+        numbers = [got[i]["shard"] for i in order]
+        assert numbers == sorted(numbers)
+        seen = defaultdict(int)
+        for i in order:
+            assert got[i]["slot"] == seen[got[i]["shard"]], i
+            seen[got[i]["shard"]] += 1
+        # Each boundary is the nearest to its target that lies between two texts.
+        size, total, ends = 0, sum(r["size"] for r in got.values()), [0]
+        for a, b in zip(order, [*order[1:], None]):
+            size += got[a]["size"]
+            if b is None or key[a] != key[b]:
+                ends.append(size)
+        below = [sum(r["size"] for r in got.values() if r["shard"] < s) for s in range(1, shards)]
+        for s, b in enumerate(below, 1):
+            nearest = min(abs(e - total * s / shards) for e in ends)
+            assert abs(b - total * s / shards) <= nearest + 0.01 * total / shards
+
+
+def test_sharding_with_odd_names_and_ids(spark):
+    rows = [(-5, "a"), (-5, "a"), (None, "a"), (3, None), (0, "")]
+    out = sharding.shard(spark.createDataFrame(rows, "`the id` long, `my text` string"), 2, "the id", "my text").collect()
+    assert len(out) == 5 and len({(r["shard"], r["slot"]) for r in out}) == 5
+    hot = spark.createDataFrame([(i - 500, "same text") for i in range(1000)] + [(None, "same text")], "doc_id long, text string")
+    got = sharding.shard(hot, 4).collect()
+    assert len(got) == 1001 and max(sum(r["shard"] == s for r in got) for s in range(4)) <= 263
+    assert next(r for r in got if r["doc_id"] is None)["shard"] == 0 and {r["shard"] for r in got if r["doc_id"] == 499} == {3}
+
+
+def test_url_filters_keep_columns_whatever_their_names(spark):
+    df = spark.createDataFrame([("http://b.net/x", "v", "r", 1, "p")], "url string, __verdict string, __rest string, c0 int, prefix string")
+    r = url_filter.filter_urls(df).first().asDict()
+    assert r == {"url": "http://b.net/x", "__verdict": "v", "__rest": "r", "c0": 1, "prefix": "p", "host": "b.net", "path": "/x", "rule": "net/", "verdict": "block"}
+
+
+def test_url_rules_without_a_slash(spark):
+    df = spark.createDataFrame([("http://example.comde/",), ("http://example.com/de/x",), ("http://example.com",)], "url string")
+    got = [r["verdict"] for r in url_filter.filter_urls(df, [url_filter.Rule("block", "example.com", "de/")]).collect()]
+    assert got == ["allow", "block", "allow"]
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(df, [url_filter.Rule("block", ".".join("a" * (1 + i % 150)), "/" + "x" * i) for i in range(150)])
+
+
+def test_quality_keeps_columns_whatever_their_names(spark):
+    df = spark.createDataFrame([(1, "a b c", None, True, "x", 2)], "doc_id long, text string, source string, host_ok boolean, __words string, __host int")
+    r = quality.judge(df).first().asDict()
+    assert (r["host_ok"], r["__words"], r["__host"], r["n_words"], r["kept"]) == (True, "x", 2, 3, False)
+
+
+def test_long_texts_and_texts_without_spaces(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(30_000))
+    df = spark.createDataFrame([(1, long, "s"), (2, "x" * 200_000, "s"), (3, "\n" * 50_000, "s")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert [got[i]["n_words"] for i in (1, 2, 3)] == [30_000, 1, 0] and got[1]["n_repeat_words"] == brute.rules(long)["n_repeat_words"]
+    assert {r["doc_id"]: r["n_tokens"] for r in packing.pack(df).collect()} == {1: 30_000, 2: 1, 3: 0}
+    prints = {r["doc_id"]: r for r in P.fingerprint_edits(df).collect()}
+    assert prints[1]["n_chars"] == len(long) and prints[3]["fingerprint"] == ""
+    assert sharding.shard(df, 3).count() == 3

@@ -43,6 +43,17 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
         assert stage(spark, none, "").count() == 0
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    """Only near copies go, whatever ids they share."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, c), (3, c + " end"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"][:2]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == [(1, "a0"), (1, "b0"), (3, "c0"), (4, "")]
+    out = corpus_pipeline.substring_dedup(spark, docs.filter("doc_id <> 4"), "")
+    assert sorted(r["text"][:3] for r in out.collect()) == ["b0 ", "end"]
+
+
 def test_names():
     import __spark_entry__
 
