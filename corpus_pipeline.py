@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import shared_dir
+from tessella.llm.common import cut, shared_dir
 from tessella.llm.near_dedup import near_duplicates
 from tessella.llm.packing import pack
 from tessella.llm.quality import judge
@@ -24,15 +24,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; of rows repeated with one id, one. Rows
-    without an id stay."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps of each group the document with the smallest id; of rows of that id that are near copies, the
+    one whose text has the smallest hash; of repeated rows, one. Rows without an id stay."""
+    found = near_duplicates(docs)
+    stay = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.doc_id", F.col("x.text_hash").alias("__hash"))
+    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = hashed.join(cut(stay, "pipeline-stay"), ["doc_id", "__hash"], "left_semi").unionByName(hashed.filter("doc_id is null"))
     again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+        return kept.select(*docs.columns)
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
