@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pixels
+
 _REGISTRY: dict[tuple[str, str], Callable] = {}
 
 
@@ -24,9 +26,15 @@ def register(kind: str, name: str) -> Callable:
 
 def create(kind: str, name: str = "stub", **options) -> Callable:
     """The function of an adapter; unknown names raise KeyError with the known ones."""
+    return factory(kind, name)(**options)
+
+
+def factory(kind: str, name: str) -> Callable:
+    """What makes an adapter's function; looked up on the driver and sent to the tasks, so that they need no
+    registration of their own."""
     if (kind, name) not in _REGISTRY:
         raise KeyError(f"no {kind} adapter {name!r}; known: {sorted(n for k, n in _REGISTRY if k == kind)}")
-    return _REGISTRY[kind, name](**options)
+    return _REGISTRY[kind, name]
 
 
 def _unit(data: bytes, n: int) -> list[float]:
@@ -61,6 +69,33 @@ def _stub_vision() -> Callable[[bytes], dict]:
     return lambda data: {"is_junk": False, "kind": "photo", "confidence": 0.5}
 
 
+@register("attributes", "stub")
+def _stub_attributes() -> Callable[[bytes], dict]:
+    return lambda data: {"gender": "f" if data and data[0] % 2 else "m", "age": len(data) % 90}
+
+
+@register("text", "stub")
+def _stub_text() -> Callable[[bytes], list[dict]]:
+    return lambda data: [{"text": w.decode("utf-8", "replace"), "confidence": 0.9 if w.isalnum() else 0.3} for w in data.split()]
+
+
+def _of_pixels(measure: Callable) -> Callable[[], Callable]:
+    def make() -> Callable:
+        def run(data: bytes):
+            image = pixels.read(data)
+            return None if image is None else measure(image)
+
+        return run
+
+    return make
+
+
+register("hash", "pixels")(_of_pixels(pixels.difference_hash))
+register("blur", "pixels")(_of_pixels(pixels.sharpness))
+register("tones", "pixels")(_of_pixels(pixels.tone_stats))
+register("edges", "pixels")(_of_pixels(pixels.edge_stats))
+
+
 class RateLimited(Exception):
     """The service asks to come back later."""
 
@@ -88,15 +123,38 @@ def apply(df: DataFrame, kind: str, name: str, column: str, out: str, schema: st
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     _parse_datatype_string(schema)
+    make = factory(kind, name)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = create(kind, name, **options)
+        f = make(**options)
         for pdf in parts:
             yield pdf.assign(**{out: [None if x is None else f(bytes(x)) for x in pdf[column]]})
 
     return df.mapInPandas(run, f"{kinds}, `{out}` {schema}")
 
 
+def call(df: DataFrame, kind: str, name: str, column: str, schema: str, waits: tuple[float, ...] = (5, 10, 20, 40), **options) -> DataFrame:
+    """Adds result and error: a service's answer per row, called again after the waits when it is rate-limited.
+    A row that fails has an error and no result; the others go on. Null input isn't sent."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    make = factory(kind, name)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = with_backoff(make(**options), waits)
+        for pdf in parts:
+            got = [{"result": None, "error": None} if x is None else f(bytes(x) if isinstance(x, (bytes, bytearray)) else x) for x in pdf[column]]
+            yield pdf.assign(result=[g["result"] for g in got], error=[g["error"] for g in got])
+
+    return df.mapInPandas(run, f"{kinds}, result {schema}, error string")
+
+
+def found(df: DataFrame, kind: str, name: str, column: str, out: str, schema: str, **options) -> DataFrame:
+    """A row per thing that an adapter finds in a row's content, none or many; schema is one thing's."""
+    many = apply(df, kind, name, column, "__found", f"array<{schema}>", **options)
+    return many.withColumn(out, F.explode("__found")).drop("__found")
+
+
 def frames(df: DataFrame, media_type: str = "media_type", duration: str = "duration") -> DataFrame:
     """Adds at, the seconds to look at: 0 for a photo, 10, 50 and 90 % of a video's duration."""
     spots = F.transform(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), lambda p: p * F.col(duration))

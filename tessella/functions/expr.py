@@ -170,6 +170,22 @@ def known_first(values, vocabulary: list[str], most: int) -> Column:
     return F.slice(F.array_distinct(F.filter(_c(values), lambda x: x.isin(*vocabulary))), 1, most)
 
 
+def linear_head(vector, weights: list[float], bias: float, digits: int = 3) -> Column:
+    """A score of a vector: its product with the weights, plus the bias."""
+    return F.round(dot(vector, F.array(*[F.lit(float(w)) for w in weights])) + F.lit(float(bias)), digits)
+
+
+def text_regions(regions, least: float = 0.5, most: int = 600) -> Column:
+    """n_regions, mean_conf (3 decimals) and text of recognised regions (text, confidence): blank ones and
+    those below the least confidence don't count, the text is cut to its most characters."""
+    clean = F.transform(F.coalesce(_c(regions), F.array().cast("array<struct<text:string,confidence:double>>")), lambda r: F.struct(F.trim(r["text"]).alias("text"), F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence")))
+    kept = F.filter(clean, lambda r: (r["text"] != "") & (r["confidence"] >= least))
+    n = F.size(kept)
+    total = F.aggregate(kept, F.lit(0.0), lambda s, r: s + r["confidence"].cast("double"))
+    mean = F.when(n > 0, round_even(total / n, 3)).otherwise(F.lit(0.0))
+    return F.struct(n.alias("n_regions"), mean.alias("mean_conf"), F.substring(F.array_join(F.transform(kept, lambda r: r["text"]), " "), 1, most).alias("text"))
+
+
 def number_or(c, kind: str, otherwise) -> Column:
     """The text as a number, or another value where it isn't one."""
     return F.coalesce(_c(c).try_cast(kind), F.lit(otherwise).cast(kind))

@@ -1,5 +1,9 @@
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessella.functions import adapters as A
+from tessella.functions import expr as X
+from tessella.functions import pixels
 from tessella.operators import library as L
 from tessella.operators import scoring as S
 
@@ -55,3 +59,65 @@ def test_extensions_on_event_time(spark, tmp_path):
     assert run(once.windowed(read(), "t", "1 hour", "10 minutes", None, ["u"], "v"), "windowed_").agg(F.sum("total")).first()[0] == 16.0
     assert run(once.sessions(read(), "t", "1 hour", "10 minutes", ["u"]), "sessions_").count() == 3
     assert run(once.first_seen(read(), "u", "t", "1 hour"), "first_").count() == 2
+
+
+def pgm(g):
+    return b"P5 %d %d 255\n" % (g.shape[1], g.shape[0]) + np.clip(np.round(g), 0, 255).astype(np.uint8).tobytes()
+
+
+def smooth(g, sigma):
+    k = np.exp(-0.5 * (np.arange(-3 * int(sigma + 1), 3 * int(sigma + 1) + 1) / sigma) ** 2)
+    k /= k.sum()
+    for axis in (0, 1):
+        g = np.apply_along_axis(lambda v: np.convolve(np.pad(v, len(k) // 2, mode="reflect"), k, "valid"), axis, g)
+    return g
+
+
+def test_pixel_measures(spark):
+    """A sharp board, blurred by two amounts, a flat one; hashes of a scene, lighter and inverted."""
+    r = np.random.default_rng(1)
+    y, x = np.mgrid[0:240, 0:320]
+    sharp = np.where((x // 12 + y // 12) % 2 == 0, 255, 30) + r.integers(-20, 20, x.shape)
+    scene = np.clip(60 + x * 0.3 + 60 * ((x - 150) ** 2 + (y - 90) ** 2 < 2500), 0, 190)
+    images = {"sharp": sharp, "soft": smooth(sharp, 2.2), "blurry": smooth(sharp, 9), "flat": np.full(x.shape, 128), "scene": scene, "again": scene, "light": scene + 60, "inverted": 255 - scene}
+    rows = [(k, bytearray(pgm(g))) for k, g in images.items()] + [("cut", bytearray(pgm(sharp)[:500])), ("none", None), ("other", bytearray(b"GIF89a"))]
+    df = spark.createDataFrame(rows, "k string, content binary")
+    blur = {x["k"]: x["b"] for x in A.apply(df, "blur", "pixels", "content", "b", "struct<sharp_score:double,med_score:double,label:string>").collect()}
+    assert blur["sharp"]["label"] == "sharp" and blur["blurry"]["label"] == "blurry" and blur["flat"]["sharp_score"] == 0
+    assert blur["blurry"]["sharp_score"] < blur["soft"]["sharp_score"] < blur["sharp"]["sharp_score"] and blur["cut"] is blur["none"] is blur["other"] is None
+    h = {x["k"]: x["h"] for x in A.apply(df, "hash", "pixels", "content", "h", "bigint").collect()}
+    far = lambda a, b: bin((h[a] ^ h[b]) & (1 << 64) - 1).count("1")
+    assert far("scene", "again") == 0 and far("scene", "light") <= 8 and far("scene", "inverted") > 16
+    edges = A.apply(df.filter("k in ('flat', 'sharp')"), "edges", "pixels", "content", "e", "struct<height:int,width:int,edges:array<double>,top:double>").select("k", "e.*")
+    got = edges.select("k", S.screenshot_suspect(F.lit(100), F.lit(220), F.col("edges"), F.col("top")), S.screenshot_suspect(F.lit(100), F.lit(150), F.col("edges"), F.col("top"))).collect()
+    assert {tuple(r) for r in got} == {("flat", True, False), ("sharp", False, False)}
+    red = np.zeros((20, 30, 3), np.uint8)
+    red[:, :, 0] = 200
+    t = pixels.tone_stats(pixels.read(b"P6\n# made here\n30 20\n255\n" + red.tobytes()))
+    assert t["sat"] == 1.0 and abs(t["p99"] - 200 * 0.299 / 255) < 1e-9
+    assert pixels.first_readable(None, b"", pgm(sharp)).shape == (240, 320) and pixels.shrunk(pixels.read(pgm(sharp)), 48).shape == (36, 48)
+
+
+def test_services_and_things_found(spark):
+    df = spark.createDataFrame([("a", bytearray(b"two words")), ("b", bytearray(b"")), ("c", None)], "k string, content binary")
+    got = {(r["k"], r["t"]["text"]) for r in A.found(df, "text", "stub", "content", "t", "struct<text:string,confidence:double>").collect()}
+    assert got == {("a", "two"), ("a", "words")}
+
+    def make():
+        def run(data):
+            if not data:
+                raise A.RateLimited("later")
+            return len(data)
+
+        return run
+
+    A.register("counter", "here")(make)
+    rows = {r["k"]: (r["result"], r["error"]) for r in A.call(df, "counter", "here", "content", "bigint", waits=(0, 0)).collect()}
+    assert rows == {"a": (9, None), "b": (None, "rate limited: later"), "c": (None, None)}
+
+
+def test_text_regions_and_heads(spark):
+    rows = [([(" a ", 0.9), ("", 0.9), ("b", 0.2), ("c" * 700, 0.6)],), ([],), (None,)]
+    out = [r["x"] for r in spark.createDataFrame(rows, "r array<struct<text:string,confidence:double>>").select(X.text_regions("r").alias("x")).collect()]
+    assert (out[0]["n_regions"], out[0]["mean_conf"], len(out[0]["text"])) == (2, 0.75, 600) and tuple(out[1]) == tuple(out[2]) == (0, 0.0, "")
+    assert spark.range(1).select(X.linear_head(F.array(F.lit(1.0), F.lit(2.0)), [0.5, 0.25], 3.0)).first()[0] == 4.0
