@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import star_clusters
+from .mutations import exclusive
 from .relational import numbered
 from .similarity import first_match
 
@@ -66,3 +67,18 @@ def regions(assets: DataFrame, geo: DataFrame, manual: DataFrame) -> DataFrame:
     m = manual.select("asset_id", F.col("region").alias("__m"))
     g = geo.select("asset_id", "region", "lat").join(m, "asset_id", "full").withColumn("region", F.coalesce("__m", "region"))
     return assets.join(g, "asset_id").groupBy("region").agg(F.count("*").alias("n"), F.count("lat").alias("gps_n"))
+
+
+def pick_best(members: DataFrame, group: str, score: str, key: str, again: bool = False) -> DataFrame:
+    """members with is_best for the row of the highest score in each group: a tie goes to the larger key where
+    groups are new, to the smaller, its first member, where they are picked again. A null score is the lowest."""
+    tie = F.col(key).asc() if again else F.col(key).desc()
+    return exclusive(members, group, [F.col(score).desc_nulls_last(), tie], "is_best")
+
+
+def set_best(members: DataFrame, chosen: DataFrame, group: str, key: str) -> DataFrame:
+    """members (with is_best) where groups that chosen (group, key) names have that member as their only best
+    one; a choice that isn't a member of its group changes nothing."""
+    valid = chosen.join(members.select(group, key), [group, key], "left_semi").groupBy(group).agg(F.min(key).alias("__best"))
+    out = members.join(valid, group, "left")
+    return out.withColumn("is_best", F.when(F.col("__best").isNotNull(), F.col(key) == F.col("__best")).otherwise(F.col("is_best"))).select(*members.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import graph as G
 from ..operators import incremental as I
+from ..operators import library as L
 from ..operators import mutations as C
 from ..operators import relational as R
 from ..operators import rollup as D
@@ -230,6 +231,38 @@ def keep_largest(spark, sf_dir):
     return kept.select("seed", "keep", F.size("members").cast("bigint").alias("members"), F.aggregate("members", F.lit(0).cast("bigint"), lambda s, x: s + x["size"]).alias("total"))
 
 
+_SCORED = "m AS (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS member, CASE WHEN l_tax > 0.01 THEN floor(l_quantity / 10) END AS score FROM lineitem)"
+
+
+def _scored_members(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select("l_orderkey", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("member"), F.when(F.col("l_tax") > 0.01, F.floor(F.col("l_quantity") / 10)).alias("score"))
+
+
+@query(
+    f"""
+WITH {_SCORED} SELECT l_orderkey, member, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC NULLS LAST, member DESC) = 1 AS is_best,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC NULLS LAST, member) = 1 AS again FROM m"""
+)
+def best_picks(spark, sf_dir):
+    """Many ties: the first pick and a later one break them differently."""
+    first = L.pick_best(_scored_members(spark, sf_dir), "l_orderkey", "score", "member")
+    return L.pick_best(first.withColumnRenamed("is_best", "first"), "l_orderkey", "score", "member", again=True).select("l_orderkey", "member", F.col("first").alias("is_best"), F.col("is_best").alias("again"))
+
+
+@query(
+    f"""
+WITH {_SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC NULLS LAST, member DESC) = 1 AS is_best FROM m),
+c AS (SELECT l_orderkey, min(member) AS chosen FROM m WHERE score = 0 GROUP BY 1)
+SELECT b.l_orderkey, member, CASE WHEN chosen IS NULL THEN is_best ELSE member = chosen END AS is_best FROM b LEFT JOIN c ON c.l_orderkey = b.l_orderkey"""
+)
+def chosen_best(spark, sf_dir):
+    """Groups with a member of score 0 get the first of those as their best; strangers are ignored."""
+    m = L.pick_best(_scored_members(spark, sf_dir), "l_orderkey", "score", "member")
+    chosen = m.filter("score = 0").select("l_orderkey", "member").union(m.select("l_orderkey", F.lit(-1).cast("bigint")))
+    return L.set_best(m, chosen, "l_orderkey", "member").select("l_orderkey", "member", "is_best")
+
+
 @query("SELECT o_orderkey, o_orderstatus = 'F' AS first FROM orders ORDER BY first DESC, coalesce(nullif(o_orderpriority, '5-LOW'), '999'), o_orderkey LIMIT 25")
 def flagged_first(spark, sf_dir):
     """A boolean as the first order key, a default for missing ones as the second."""

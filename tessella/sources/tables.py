@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,25 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(p, True)
 
 
+def stored(spark: SparkSession, folder: str, ending: str = ".parquet") -> list[str]:
+    """Names of the tables that a folder holds."""
+    fs, p = _store(spark, folder)
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n.removesuffix(ending) for n in names if n.endswith(ending))
+
+
+def sweep(spark: SparkSession, folder: str, older_than: float = 3600.0) -> list[str]:
+    """Deletes what in a folder wasn't changed for so many seconds, such as tables of runs that ended early;
+    returns their names. Not for a folder that a running job may still read from."""
+    fs, p = _store(spark, folder)
+    now, gone = time.time(), []
+    for x in fs.listStatus(p) if fs.exists(p) else []:
+        if now - x.getModificationTime() / 1000 > older_than:
+            fs.delete(x.getPath(), True)
+            gone.append(x.getPath().getName())
+    return sorted(gone)
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Records of a JSON-lines file or folder; a missing one is empty."""
     if not exists(spark, path):

@@ -149,3 +149,17 @@ def test_json_document(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"tables": [\n {"name": "a"}, {"name": "b"}\n]}')
     d = T.json_document(spark, str(tmp_path / "d.json"))
     assert [r["name"] for r in d.selectExpr("inline(tables)").collect()] == ["a", "b"]
+
+
+def test_stored_tables_and_sweep(spark, tmp_path):
+    import os
+
+    for n in ("a", "b"):
+        spark.range(1).write.parquet(f"{tmp_path}/{n}.parquet")
+    assert T.stored(spark, str(tmp_path)) == ["a", "b"] and T.stored(spark, f"{tmp_path}/none") == []
+    os.utime(f"{tmp_path}/a.parquet", (1, 1))
+    assert T.sweep(spark, str(tmp_path)) == ["a.parquet"] and T.stored(spark, str(tmp_path)) == ["b"]
+    x = T.cut(spark.range(3), "x")
+    assert x.count() == 3 and T.exists(spark, x.written_to)
+    T.discard(x)
+    assert not T.exists(spark, x.written_to)
