@@ -187,7 +187,7 @@ def centroid_similarity(df: DataFrame, key: str, vector: str, label: str, size:
     parts = df.select(key, label, F.posexplode(vector).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     sums = parts.groupBy(label, "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     total = sums.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("total"), F.max("n").alias("n"))
-    j = df.join(total, label).filter("n > 1")
+    j = df.join(cut(total, "centroids"), label).filter("n > 1")
     rest = F.zip_with("total", F.transform(F.col(vector), lambda x: x.cast("double")), lambda s, x: s - x)
     return j.withColumn("rest", rest).select(key, label, dot(normalised("rest"), normalised(vector)).alias("sim"))
 
@@ -321,6 +321,17 @@ def sample_pairs(df: DataFrame, key: str, label: str, cap: int = 400, least: int
     return same.union(apart.withColumn("rn", rank).filter(F.col("rn") <= cap).select("a", "b", F.lit(False).alias("same")))
 
 
+def median_and_top(df: DataFrame, by: str, value: str) -> DataFrame:
+    """by, med, top_quarter: the median and the mean of the largest quarter (of one value at least) per group, by
+    places in a sorted window, which spills where a group is large."""
+    group = Window.partitionBy(by)
+    rows = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    rows = rows.withColumns({"rn": F.row_number().over(group.orderBy(F.col("v").desc())), "n": F.count("*").over(group)})
+    middle = F.col("rn").isin(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2))
+    top = F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") / 4))
+    return rows.groupBy(by).agg(F.avg(F.when(middle, F.col("v"))).alias("med"), F.avg(F.when(top, F.col("v"))).alias("top_quarter"))
+
+
 def histogram(df: DataFrame, label: str) -> DataFrame:
     """label, n, share."""
     n = df.groupBy(label).agg(F.count("*").alias("n"))

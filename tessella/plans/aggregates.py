@@ -78,9 +78,8 @@ def percentiles(spark, sf_dir):
 
 @query("SELECT user_id, round(median(value), 6) AS med, round(list_avg(list_slice(list_sort(list(value), 'DESC'), 1, greatest(1, len(list(value)) // 4))), 6) AS top_quarter FROM events GROUP BY 1")
 def median_top_quarter(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.median("value").alias("med"), F.sort_array(F.collect_list("value"), asc=False).alias("v"))
-    part = F.slice("v", F.lit(1), F.greatest(F.lit(1), F.floor(F.size("v") / 4).cast("int")))
-    return e.select("user_id", F.round("med", 6).alias("med"), F.round(F.aggregate(part, F.lit(0.0), lambda s, x: s + x) / F.size(part), 6).alias("top_quarter"))
+    e = S.median_and_top(table(spark, sf_dir, "events"), "user_id", "value")
+    return e.select("user_id", F.round("med", 6).alias("med"), F.round("top_quarter", 6).alias("top_quarter"))
 
 
 @query("SELECT l_returnflag AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lineitem GROUP BY 1")
