@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 import sys
 import unicodedata
@@ -25,8 +24,6 @@ from .wordhash import plain, text_chunks
 
 #: Pieces remembered per worker; beyond it the memory starts anew.
 CACHE_PIECES = 1_000_000
-#: Longer pieces would need a round per merge; they go through a heap, which contracts the same pairs.
-LONG_PIECE = 256
 #: Bytes of text taken at once: more give larger queries, of which each round builds tables anew.
 CHUNK = 1 << 22
 #: Bytes of new pieces in one recursive query, and tokens in one decoding query.
@@ -88,25 +85,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-#: One row per token: id is word * 512 + place of its first byte; nid and ntok are the id and token to its
-#: right. A round looks up every pair of the words still open, takes each word's leftmost pair of minimum
-#: rank, drops that pair's right row and mends its neighbours; a word without a pair passes once as done.
+#: One row per token: id is word * 2**32 + place of its first byte; nid and ntok are the id and token to its
+#: right. A round looks up every pair of the words still open and takes each word's pairs of minimum rank:
+#: the leftmost, and where `safe` says that the merged token is in no pair of lower rank, so that the
+#: others are next in turn, every second one of each run of overlapping pairs. Their right rows are
+#: dropped and neighbours mended; a word without a pair passes once as done.
 CONTRACT = """
 WITH RECURSIVE t(id, tok, nid, ntok, done) AS (
   SELECT id, tok, nid, ntok, false FROM seed
   UNION ALL
   (WITH r AS MATERIALIZED (
-     SELECT t.id, t.tok, t.nid, t.ntok, m.merged FROM t LEFT JOIN merges m
+     SELECT t.id, t.tok, t.nid, t.ntok, m.merged, m.safe FROM t LEFT JOIN merges m
      ON m.ab = CAST(t.tok AS UBIGINT) * 4294967296 + CAST(t.ntok AS UBIGINT) WHERE NOT t.done),
-   g AS (SELECT id // 512 AS word, min(CAST(merged AS BIGINT) * 512 + id % 512) AS best FROM r GROUP BY 1),
-   h AS (SELECT word, word * 512 + best % 512 AS at, CAST(best // 512 AS INTEGER) AS merged FROM g WHERE best IS NOT NULL),
-   left_row AS (SELECT h.word, h.at, h.merged, r.nid AS gone FROM h JOIN r ON r.id = h.at),
-   k AS (SELECT l.word, l.at, l.merged, l.gone, r.nid, r.ntok FROM left_row l JOIN r ON r.id = l.gone)
-   SELECT r.id, CASE WHEN r.id = k.at THEN k.merged ELSE r.tok END, CASE WHEN r.id = k.at THEN k.nid ELSE r.nid END,
-     CASE WHEN r.id = k.at THEN k.ntok WHEN r.nid = k.at THEN k.merged ELSE r.ntok END, k.word IS NULL
-   FROM r LEFT JOIN k ON k.word = r.id // 512 WHERE k.gone IS NULL OR r.id <> k.gone)
+   g AS MATERIALIZED (SELECT id >> 32 AS word, min((CAST(merged AS BIGINT) << 32) + (id & 4294967295)) AS best FROM r GROUP BY 1),
+   s AS MATERIALIZED (SELECT r.*, g.best FROM r JOIN g ON g.word = r.id >> 32),
+   c AS MATERIALIZED (SELECT id, nid, merged FROM s WHERE merged = best >> 32 AND (safe OR id & 4294967295 = best & 4294967295)),
+   e AS MATERIALIZED (SELECT c.id, c.nid, c.merged, q.id IS NOT NULL AS follows FROM c LEFT JOIN c q ON q.nid = c.id),
+   f AS (SELECT id, nid, merged, CASE WHEN lag(nid) OVER (ORDER BY id) IS DISTINCT FROM id THEN 1 ELSE 0 END AS head FROM e WHERE follows),
+   n AS (SELECT id, nid, merged, sum(head) OVER (ORDER BY id) AS run FROM f),
+   p AS (SELECT id, nid, merged, row_number() OVER (PARTITION BY run ORDER BY id) AS place FROM n),
+   k AS MATERIALIZED (SELECT x.id AS at, x.merged, x.nid AS gone, r.nid, r.ntok
+     FROM (SELECT id, nid, merged FROM e WHERE NOT follows UNION ALL SELECT id, nid, merged FROM p WHERE place % 2 = 0) x JOIN r ON r.id = x.nid),
+   m AS (SELECT s.id, coalesce(k.merged, s.tok) AS tok, CASE WHEN k.at IS NULL THEN s.nid ELSE k.nid END AS nid, CASE WHEN k.at IS NULL THEN s.ntok ELSE k.ntok END AS ntok, s.best IS NULL AS done
+     FROM s LEFT JOIN k ON k.at = s.id ANTI JOIN k z ON z.gone = s.id)
+   SELECT m.id, m.tok, m.nid, coalesce(k.merged, m.ntok), m.done FROM m LEFT JOIN k ON k.at = m.nid)
 )
-SELECT id // 512 AS word, tok FROM t WHERE done ORDER BY id
+SELECT id >> 32 AS word, tok FROM t WHERE done ORDER BY id
 """
 
 
@@ -129,7 +133,9 @@ class BytePairs:
                     merged.append(rank)
         self.con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         pair = (np.array(a, dtype=np.uint64) << np.uint64(32)) | np.array(b, dtype=np.uint64)
-        self._table("merges", ab=pair, merged=pa.array(merged, pa.int32()))
+        # A merged token that is itself in a pair of lower rank could change whose turn it is.
+        lower = {x for p, q, m in zip(a, b, merged) for x in (p, q) if m < x}
+        self._table("merges", ab=pair, merged=pa.array(merged, pa.int32()), safe=np.array([m not in lower for m in merged], dtype=bool))
         self._table("vocab", tok=pa.array(list(self.ranks.values()), pa.int32()), part=pa.array(list(self.ranks), pa.binary()))
         self.known: dict[str, bytes] = {}
         self.limit = cache_pieces
@@ -143,7 +149,7 @@ class BytePairs:
         """Ids of each piece as little-endian 32-bit integers."""
         size = np.array([len(p) for p in pieces])
         begin = np.cumsum(size) - size
-        ident = np.repeat(np.arange(len(pieces)) * 512 - begin, size) + np.arange(size.sum())
+        ident = np.repeat((np.arange(len(pieces)) << 32) - begin, size) + np.arange(size.sum())
         tok = self.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         last = np.zeros(len(tok), dtype=bool)
         last[begin + size - 1] = True
@@ -153,35 +159,6 @@ class BytePairs:
         ends = (np.searchsorted(got["word"].to_numpy(), np.arange(len(pieces) + 1)) * 4).tolist()
         return [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
-    def contract_long(self, piece: bytes) -> bytes:
-        """The same contraction of one piece by a heap of (rank, position), for pieces of any length."""
-        tok = list(self.bytes[np.frombuffer(piece, dtype=np.uint8)].tolist())
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-        after, before = list(range(1, len(tok) + 1)), list(range(-1, len(tok) - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j < len(tok):
-                rank = self.ranks.get(part[i] + part[j])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, len(part[i]), len(part[j])))
-
-        for i in range(len(tok) - 1):
-            offer(i)
-        while heap:
-            rank, i, n, m = heapq.heappop(heap)
-            if part[i] is None or len(part[i]) != n or after[i] >= len(tok) or len(part[after[i]]) != m:
-                continue
-            j = after[i]
-            part[i], tok[i], part[j], after[i] = part[i] + part[j], rank, None, after[j]
-            if after[j] < len(tok):
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return np.array([t for t, p in zip(tok, part) if p is not None], dtype="<u4").tobytes()
-
     def learn(self, pieces: list[str]) -> None:
         block, held = [], 0
         for p in pieces:
@@ -189,8 +166,6 @@ class BytePairs:
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.known[p] = whole.to_bytes(4, "little")
-            elif len(raw) > LONG_PIECE:
-                self.known[p] = self.contract_long(raw)
             else:
                 block.append((p, raw))
                 held += len(raw)
