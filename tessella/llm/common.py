@@ -109,10 +109,11 @@ def with_range(df: DataFrame, bounds: list[int], key: str, name: str) -> DataFra
 
 
 def range_bounds(df: DataFrame, key: str, n: int, each: int = 50) -> list[int]:
-    """At most n-1 cut points that split the integer key into ranges of about equal counts: quantiles of a
-    sample of about `each` keys per range, drawn by the key's hash. Cut points only deal out the work."""
+    """At most n-1 cut points that split the integer key into ranges of about equal counts of keys: quantiles
+    of a sample of about `each` distinct keys per range, drawn by the key's hash. Cut points only deal out
+    the work."""
     if n < 2:
         return []
     rate = max(1, df.count() // (n * each))
-    keys = sorted(r[0] for r in df.select(key).filter(F.pmod(F.xxhash64(key), F.lit(rate)) == 0).toLocalIterator())
+    keys = sorted(r[0] for r in df.select(key).filter(F.pmod(F.xxhash64(key), F.lit(rate)) == 0).distinct().collect())
     return sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
