@@ -162,7 +162,7 @@ def sort_layout(layout: DataFrame, kind: str, targets: list[str], parent: str =
 def audit_rows(found: DataFrame, audit: DataFrame, reason: Column, at: str, key: str = "face_id") -> DataFrame:
     """INSERT INTO audit SELECT: the audit table with a row per finding (key, person_id) that it doesn't hold
     yet for the same person, with the reason and the time given."""
-    new = found.select(F.col(key), "person_id", reason.alias("reason"), F.lit(at).cast("timestamp").alias("created_at"))
+    new = found.select(F.col(key), "person_id", reason.alias("reason"), F.lit(at).cast("timestamp_ntz").alias("created_at"))
     fresh = new.join(audit.select(key, "person_id"), [key, "person_id"], "left_anti")
     return audit.select(*new.columns).unionByName(fresh.select(*new.columns))
 

@@ -38,8 +38,14 @@ def digest_pairs(df: DataFrame, key: str, digest: str) -> DataFrame:
 def hamming_pairs(df: DataFrame, key: str, code: str, distance: int, bits: int = 64) -> DataFrame:
     """a < b, dist of all pairs of codes within the distance. distance + 1 bands of the code: two such
     codes agree in one at least, so an equi-join on (band, value) finds every pair. A pair is taken in its
-    first common band only, which needs no distinct. Equal codes are compared once."""
+    first common band only, which needs no distinct. Equal codes are compared once. Bands of fewer than 8
+    bits would meet almost everywhere; such distances are dot products of the bits as +1 and -1, in blocks."""
     n = distance + 1
+    if bits < 8 * n:
+        signs = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(F.getbit(F.col(code), i) == 1, 1.0).otherwise(-1.0))
+        rows = df.filter(F.col(code).isNotNull()).select(key, signs.alias("__signs"))
+        near = similar_pairs(rows, key, "__signs", bits - 2 * distance, digits=0)
+        return near.select("a", "b", ((F.lit(bits) - F.col("sim")) / 2).cast("int").alias("dist"))
     edges = [bits * i // n for i in range(n + 1)]
 
     def band(c: Column, i: int) -> Column:

@@ -122,7 +122,7 @@ UNION ALL SELECT face_id, person_id, 'conflict:' || person_id, TIMESTAMP '2026-0
 )
 def audit_insert(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("face_id"), F.concat(F.lit("p"), F.col("quality").cast("string")).alias("person_id"), "quality", "toxic")
-    old = lab.filter("quality = 0").select("face_id", "person_id", F.lit("old").alias("reason"), F.lit("2025-01-01").cast("timestamp").alias("created_at"))
+    old = lab.filter("quality = 0").select("face_id", "person_id", F.lit("old").alias("reason"), F.lit("2025-01-01").cast("timestamp_ntz").alias("created_at"))
     return C.audit_rows(lab.filter("toxic = 1 or quality = 0"), old, F.concat(F.lit("conflict:"), "person_id"), "2026-01-01")
 
 
