@@ -1,12 +1,13 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths is aggregated, dynamic programming chooses the bucket boundaries with the
+The global histogram of exact lengths is aggregated, dynamic programming chooses the bucket boundaries with the
 least padding, and batches under a token budget form inside each bucket.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,44 +15,49 @@ from .common import WORD_BREAK, bounds_below, cut, partitions
 
 BUCKETS = 16
 BUDGET = 8192
-#: Lengths above this are rounded up to 1/256 of their magnitude before the histogram, so that it has at
-#: most 256 entries per power of two and stays small on the driver. Shorter ones are exact.
-EXACT = 1024
-
-
-def rounded(length):
-    """The histogram's length for a document's length: the same, or slightly larger above EXACT."""
-    bits = F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int") - 8, F.lit(0))
-    step = F.pow(F.lit(2.0), bits).cast("bigint")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step) * step).cast("bigint")
 
 
 def choose_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Boundaries (the longest length of each bucket) with the least total padding when each document is
-    padded to its bucket's boundary. Exact dynamic programming over the distinct lengths, one vector step
-    per (bucket, length)."""
-    x = np.asarray(lengths, dtype=np.float64)
-    n = len(x)
+    padded to its bucket's boundary. Exact dynamic programming over the ascending distinct lengths: for
+    one more bucket, the best place of the boundary before each length is the lowest of lines with falling
+    slopes, which a hull of those still in question gives in one pass. All numbers are Python integers."""
+    n = len(lengths)
     if not n:
         return []
-    c = np.concatenate([[0.0], np.cumsum(counts)])
-    s = np.concatenate([[0.0], np.cumsum(x * np.asarray(counts, dtype=np.float64))])
-    k = min(buckets, n)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    back = np.zeros((k, n + 1), dtype=np.int64)
-    for j in range(k):
-        new = np.full(n + 1, np.inf)
-        new[0] = 0.0
+    c, s = [0], [0]
+    for x, k in zip(lengths, counts):
+        c.append(c[-1] + k)
+        s.append(s[-1] + x * k)
+    # One bucket: everything up to length e is padded to it.
+    best = [0] + [lengths[e] * c[e + 1] - s[e + 1] for e in range(n)]
+    back = [[0] * (n + 1)]
+    for _ in range(min(buckets, n) - 1):
+        new, choice = [0] * (n + 1), [0] * (n + 1)
+        hull: list[int] = []  # places i; the line of i is best[i] + s[i] - x * c[i]
+        at = 0
         for e in range(1, n + 1):
-            cost = best[:e] + x[e - 1] * (c[e] - c[:e]) - (s[e] - s[:e])
-            i = int(np.argmin(cost))
-            new[e], back[j, e] = cost[i], i
+            i = e - 1
+            while len(hull) - at >= 2:
+                a, b = hull[-2], hull[-1]
+                # b is never lowest if i overtakes a no later than b does.
+                if (best[i] + s[i] - best[a] - s[a]) * (c[b] - c[a]) <= (best[b] + s[b] - best[a] - s[a]) * (c[i] - c[a]):
+                    hull.pop()
+                else:
+                    break
+            hull.append(i)
+            x = lengths[e - 1]
+            while at + 1 < len(hull) and best[hull[at + 1]] + s[hull[at + 1]] - x * c[hull[at + 1]] <= best[hull[at]] + s[hull[at]] - x * c[hull[at]]:
+                at += 1
+            i = hull[at]
+            new[e], choice[e] = best[i] + x * (c[e] - c[i]) - (s[e] - s[i]), i
         best = new
-    out, e, j = [], n, k - 1
-    while e > 0:
-        out.append(int(x[e - 1]))
-        e, j = int(back[j, e]), j - 1
+        back.append(choice)
+    out, e = [], n
+    for choice in reversed(back):
+        if e > 0:
+            out.append(lengths[e - 1])
+            e = choice[e]
     return sorted(set(out))
 
 
@@ -72,15 +78,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     spark = df.sparkSession
     n = word_count(F.col(f"`{text_col}`")) if length is None else length.cast("bigint")
     rows = cut(df.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(n, F.lit(0)).alias("n_tokens")), "packing")
-    rows = rows.withColumn("__len", rounded(F.col("n_tokens")))
-    hist = sorted((r["__len"], r["count"]) for r in rows.groupBy("__len").count().collect())
+    # One row per distinct length comes to the driver, at most as many as the longest document has tokens.
+    hist = sorted((r["n_tokens"], r["count"]) for r in rows.groupBy("n_tokens").count().collect())
     bounds = choose_boundaries([a for a, _ in hist], [b for _, b in hist], buckets)
-    rows = rows.withColumn("__bucket", bounds_below([b + 1 for b in bounds], F.col("__len")))
+    rows = rows.withColumn("__bucket", bounds_below([b + 1 for b in bounds], F.col("n_tokens")))
     # Places: each bucket is dealt over slices of the id's hash, sized by the bucket's count; counts of
     # slices give the offsets, so no bucket is ranked in one task.
     total: dict[int, int] = {}
     for a, b in hist:
-        i = next(i for i, x in enumerate(bounds) if a <= x)
+        i = bisect_left(bounds, a)
         total[i] = total.get(i, 0) + b
     all_rows = sum(total.values())
     slices = [max(1, -(-4 * partitions(spark) * total.get(i, 0) // max(1, all_rows))) for i in range(len(bounds))]
