@@ -3,7 +3,9 @@
 A sketch keeps every hash of a five-word shingle below a fixed fraction of the hash space, so sketches
 of any two documents, however unequal, are comparable, and the union's sketch is the union of sketches.
 A document with no hash below the threshold keeps its smallest one, an anchor above the threshold; a union
-drops anchors as soon as it has a hash below, or else keeps the smaller, so merging stays exact.
+drops anchors as soon as it has a hash below, or else keeps the smaller, so merging stays exact. An anchor
+says nothing about what lies above the threshold elsewhere, so such a document's containment is unknown
+(null), unless the other sketch is the same; with n shingles this happens with probability 0.75**n.
 """
 
 from __future__ import annotations
@@ -11,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, bounds_below, partitions, range_bounds
+from .common import WORD_BREAK, partitions, range_bounds, with_range
 
 SHINGLE = 5
 #: One hash in so many is kept.
-SCALE = 8
+SCALE = 4
 KEPT_BITS = 48
 _SPACE = SCALE << KEPT_BITS
 
@@ -52,8 +54,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, from a's hashes below the threshold (or its anchor)."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of a's shingles that b has, from a's hashes below the threshold; null if a has none
+    there and b isn't alike. A document without words is held by any."""
+    below = F.get(a, F.lit(0)) < (1 << KEPT_BITS)
+    return F.when((F.size(a) == 0) | (a == b), F.lit(1.0)).when(below, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def as_text(sketch: Column) -> Column:
@@ -65,25 +69,22 @@ def next_texts(df: DataFrame, id_col: str, carry: list[str]) -> DataFrame:
     """Adds next_<c> for each carried column: its value in the next row by descending id; the last row is
     followed by the first. Ids fall into ranges; each range's highest row also goes, as a copy, to the end
     of the range above it, so one exchange is enough and no range sees another's rows. A null id counts
-    as the lowest."""
+    as the lowest; rows of one id follow each other by the first carried column."""
     spark = df.sparkSession
-    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
+    key = F.coalesce(F.col(f"`{id_col}`"), F.lit(-(1 << 63)))
     df = df.withColumn("__id", key)
-    bounds = range_bounds(df, "__id", 4 * partitions(spark))
-    df = df.withColumn("__range", bounds_below(bounds, F.col("__id")))
-    tops = df.groupBy("__range").agg(F.max("__id").alias("top")).orderBy("__range").collect()  # one row per range
+    bounds = range_bounds(df.select("__id"), "__id", 4 * partitions(spark))
+    df = with_range(df, bounds, "__id", "__range")
+    tops = sorted((r["__range"], r["top"]) for r in df.groupBy("__range").agg(F.max("__id").alias("top")).collect())  # one row per range
     if not tops:
         for c in carry:
             df = df.withColumn(f"next_{c}", F.col(c))
         return df.drop("__id", "__range")
-    above = {r["__range"]: tops[(i + 1) % len(tops)]["__range"] for i, r in enumerate(tops)}
-    ids = F.array(*[F.lit(r["top"]).cast("bigint") for r in tops])
-    to = F.array(*[F.lit(above[r["__range"]]) for r in tops])
-    own = F.array_position(ids, F.col("__id")).cast("int")
-    dest = F.when(own > 0, F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("copy")), F.struct(F.get(to, own - 1).alias("r"), F.lit(1).alias("copy")))).otherwise(
-        F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("copy")))
-    )
-    df = df.withColumn("__dest", F.explode(dest)).drop("__range")
+    ends = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
+    df = df.join(F.broadcast(spark.createDataFrame(ends, "__id bigint, __above int")), "__id", "left")
+    own = F.struct(F.col("__range").alias("r"), F.lit(0).alias("copy"))
+    copy = F.struct(F.col("__above").alias("r"), F.lit(1).alias("copy"))
+    df = df.withColumn("__dest", F.explode(F.when(F.col("__above").isNotNull(), F.array(own, copy)).otherwise(F.array(own)))).drop("__range", "__above")
     df = df.withColumn("__range", F.col("__dest.r")).withColumn("__copy", F.col("__dest.copy")).drop("__dest")
     w = Window.partitionBy("__range").orderBy(F.col("__copy"), F.col("__id").desc(), F.col(carry[0]).asc_nulls_first())
     for c in carry:
@@ -99,7 +100,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints; texts of equal ids are ordered by text. A single document follows itself. An empty table
     gives no rows. Other columns of df are left out.
     """
-    df = df.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    df = df.select(F.col(f"`{id_col}`").alias("__doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     df = next_texts(with_sketch(df, "__text", "__fp"), "__doc", ["__text", "__fp"])
     df = df.withColumn("n_chars", F.length("__text").cast("bigint")).withColumn("__half", F.floor(F.col("n_chars") / 2).cast("int"))
     head = F.substring("__text", F.lit(1), F.col("n_chars").cast("int") - F.col("__half"))

@@ -87,14 +87,17 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", keep_text: bo
 
     kept is false for a document that fails a base rule, or whose host has a shrunk failure rate above
     max_rate. Documents without a host form one host. Repeated rows count as often as they occur. An
-    empty table gives no rows. Columns named like the new ones are replaced; others are kept.
+    empty table gives no rows. Columns named like the new ones are replaced; others are kept whatever their
+    names.
     """
-    df = df.drop(*[c for c in ("shrunk_rate", "kept") if c in df.columns])
-    judged = text_features(df, text)
-    judged = cut(judged if keep_text else judged.drop(text), "quality")
-    hosts = host_verdicts(judged, host, max_rate).select("__host", "shrunk_rate", "host_ok")
-    hosts = cut(hosts, "quality-hosts")
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "shrunk_rate", "kept"]
+    others = [c for c in df.columns if c not in made and (keep_text or c != text)]
+    # The user's columns travel as c0, c1, ... and get their names back at the end.
+    df = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text}`").alias("__text"), F.col(f"`{host}`").alias("__source"))
+    judged = cut(text_features(df, "__text").drop("__text"), "quality")
+    hosts = cut(host_verdicts(judged, "__source", max_rate).select("__host", "shrunk_rate", "host_ok"), "quality-hosts")
     if hosts.count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
-    out = judged.join(hosts, judged[f"`{host}`"].eqNullSafe(hosts["__host"]), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("__host", "host_ok")
+    out = judged.join(hosts, judged["__source"].eqNullSafe(hosts["__host"]), "left")
+    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True)))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], *made)

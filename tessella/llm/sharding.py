@@ -66,7 +66,7 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     the new ones are replaced. With fewer rows than shards some shards stay empty.
     """
     spark = df.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     plain = df.drop(*[c for c in ("size", "text_crc32", "shard", "slot") if c not in (id_col, text_col)])
     keep = [F.col(f"`{c}`") for c in plain.columns if c != text_col]
     rows = cut(
@@ -100,16 +100,16 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
             splitters.append((k, None))
             continue
         members = rows.filter(F.col("__key") == group)
-        ends = members.agg(F.min(id_col).alias("a"), F.max(id_col).alias("b")).first()
+        ends = members.agg(F.min(f"`{id_col}`").alias("a"), F.max(f"`{id_col}`").alias("b")).first()
         if ends["a"] is None:
             splitters.append((k, None))
             continue
-        at = find_splitters(members, [targets[i] - below[0]], id_col, "size", tolerance * each, ends["a"], ends["b"] + 1)[0][0]
+        at = find_splitters(members.withColumn("__id", F.coalesce(F.col(f"`{id_col}`"), F.lit(ends["a"]))), [targets[i] - below[0]], "__id", "size", tolerance * each, ends["a"], ends["b"] + 1)[0][0]
         splitters.append((group, at))
     key, ident = F.col("__key"), F.col(f"`{id_col}`")
     number = F.lit(0)
     for k, at in splitters:
-        past = key >= F.lit(k) if at is None else (key > F.lit(k)) | ((key == F.lit(k)) & (F.coalesce(ident, F.lit(-1)) >= F.lit(at)))
+        past = key >= F.lit(k) if at is None else (key > F.lit(k)) | ((key == F.lit(k)) & F.coalesce(ident >= F.lit(at), F.lit(False)))
         number = number + past.cast("int")
     rows = rows.withColumn("shard", number)
     # Slots: fine ranges of the key are counted, then numbered apart; a hot key spreads over salts of the id.
@@ -128,5 +128,5 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
         start[r["shard"]] = start.get(r["shard"], 0) + r["count"]
     table = spark.createDataFrame(offsets, "shard int, __fine int, __salt int, __from bigint")
     rows = rows.join(F.broadcast(table), parts)
-    w = Window.partitionBy(*parts).orderBy("__key", id_col, "size", "text_crc32")
+    w = Window.partitionBy(*parts).orderBy("__key", F.col(f"`{id_col}`"), "size", "text_crc32")
     return rows.withColumn("slot", F.col("__from") + F.row_number().over(w) - 1).drop("__key", "__fine", "__salt", "__from")

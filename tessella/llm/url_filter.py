@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_case
+from .common import cut, fold_case
 
 #: Rules are broadcast up to this many; beyond it they are joined by shuffle.
 BROADCAST_RULES = 100_000
 PREFIX_HEX = 8
+#: Expressions per URL, at most: numbers of host labels times lengths of paths that rules have.
+MAX_SHAPES = 10_000
 
 
 @dataclass(frozen=True)
@@ -40,14 +42,11 @@ _RULE_SCHEMA = T.StructType(
 )
 
 
-def split_url(df: DataFrame, url: str, host: str = "host", path: str = "path") -> DataFrame:
-    """Adds host (A-Z lower-cased) and path; both are empty for a null URL or one without '://'."""
+def url_parts(url: str) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path; both are empty for a null URL or one without '://'."""
     at = F.expr(f"position('://' IN `{url}`)")
-    rest = F.when(at > 0, F.expr(f"substring(`{url}`, position('://' IN `{url}`) + 3)")).otherwise(F.lit(""))
-    df = df.withColumn("__rest", F.coalesce(rest, F.lit("")))
-    df = df.withColumn(host, fold_case(F.regexp_extract("__rest", r"(?s)^([^/?#]*)", 1)))
-    df = df.withColumn(path, F.regexp_extract("__rest", r"(?s)^[^/?#]*([^?#]*)", 1))
-    return df.drop("__rest")
+    rest = F.coalesce(F.when(at > 0, F.expr(f"substring(`{url}`, position('://' IN `{url}`) + 3)")), F.lit(""))
+    return fold_case(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
 def rule_table(spark, rules) -> DataFrame:
@@ -63,31 +62,43 @@ def filter_urls(df: DataFrame, rules=PRODUCTION_RULES, url: str = "url", default
     fitting rules the longest (host and path together) wins, then the one with the longer host, then
     block. A null URL has an empty host and path, no rule and the default verdict. An empty rule set or
     table gives default verdicts or no rows. Only suffixes and prefixes of lengths that some rule has are
-    expanded; this loses none. Other columns of df, even ones named like the helper columns, are kept,
-    but host, path, rule and verdict are replaced.
+    expanded; this loses none, and MAX_SHAPES bounds how many different ones a rule set may have. A rule's
+    path starts with "/", which is added where it is missing. Other columns of df are kept whatever their
+    names, but host, path, rule and verdict are replaced.
     """
     spark = df.sparkSession
-    df = split_url(df.drop("host", "path", "rule", "verdict"), url)
-    r = rule_table(spark, rules).filter("host is not null and host != ''").withColumn("path", F.coalesce("path", F.lit("")))
+    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    host, path = url_parts(url)
+    # The user's columns travel as c0, c1, ... and get their names back at the end.
+    df = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], host.alias("host"), path.alias("path"))
+
+    def named(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "host", "path", "rule", "verdict")
+
+    slashed = F.concat(F.lit("/"), F.regexp_replace(F.coalesce("path", F.lit("")), "^/", ""))
+    r = rule_table(spark, rules).filter("host is not null and host != ''").withColumn("path", slashed)
     shape = r.agg(
         F.count("*").alias("n"),
         F.collect_set(F.size(F.split("host", r"\."))).alias("labels"),
         F.collect_set(F.length("path")).alias("lengths"),
     ).first()
     if not shape["n"]:
-        return df.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+        return named(df.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default)))
+    if len(shape["labels"]) * len(shape["lengths"]) > MAX_SHAPES:
+        raise ValueError(f"rules of {len(shape['labels'])} x {len(shape['lengths'])} lengths of host and path, more than {MAX_SHAPES}")
+    # No host holds a "/" and every path starts with one, so the joined text is unambiguous.
     expr = F.concat("host", "path")
     lookup = r.select(
         F.substring(F.sha2(expr, 256), 1, PREFIX_HEX).alias("prefix"),
         F.sha2(expr, 256).alias("digest"),
-        F.concat("host", F.lit("/"), F.regexp_replace("path", "^/", "")).alias("rule"),
+        expr.alias("rule"),
         F.col("verdict").alias("rule_verdict"),
         (F.length("host") + F.length("path")).alias("long"),
         F.length("host").alias("host_long"),
     )
     if shape["n"] <= BROADCAST_RULES:
         lookup = F.broadcast(lookup)
-    known = df.select("host", "path").filter("host != ''").distinct()
+    known = df.select("host", "path").filter("host != '' and path like '/%'").distinct()
     labels, lengths = sorted(shape["labels"]), sorted(shape["lengths"])
     hosts = known.withColumn("labels", F.split("host", r"\.")).withColumn(
         "suffix",
@@ -101,7 +112,7 @@ def filter_urls(df: DataFrame, rules=PRODUCTION_RULES, url: str = "url", default
     best = hits.groupBy("host", "path").agg(
         F.max(F.struct("long", "host_long", (F.col("rule_verdict") == "block").alias("block"), "rule", "rule_verdict")).alias("best")
     )
-    best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("__verdict"))
-    out = df.join(best, ["host", "path"], "left")
-    kept = [c for c in df.columns if c not in ("host", "path")]
-    return out.select(*[out[f"`{c}`"] for c in kept], "host", "path", "rule", F.coalesce("__verdict", F.lit(default)).alias("verdict"))
+    best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("verdict"))
+    # Written first: a hot (host, path) is then a join that Spark can split.
+    out = df.join(cut(best, "url-rules"), ["host", "path"], "left")
+    return named(out.withColumn("verdict", F.coalesce("verdict", F.lit(default))))
