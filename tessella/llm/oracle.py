@@ -65,3 +65,48 @@ r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JO
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT m.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id
 """
+
+#: The unsigned crc32 of a conversation's decimal id, bit by bit.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"""
+
+SQL["op11_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+        strlen(coalesce(text, '')) AS b, md5(concat(length(coalesce(role, '')), ':', role, text)) AS k FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, len, conv_id - conv_id % 5 AS base, {_CRC32} % 9 AS h FROM (SELECT conv_id, count(*) AS len FROM t GROUP BY 1)),
+d AS (SELECT c.conv_id, c.len, c.base, c.h, least(c.h, coalesce(o.len, 0)) AS taken FROM c LEFT JOIN c o ON o.conv_id = c.base),
+r AS (SELECT d.conv_id, t.i, t.b, t.k FROM d JOIN t ON t.conv_id = d.base AND t.i <= d.taken
+      UNION ALL SELECT d.conv_id, t.i - d.h + d.taken, t.b, t.k FROM d JOIN t ON t.conv_id = d.conv_id AND t.i > d.h),
+m AS (SELECT conv_id, taken + greatest(len - h, 0) AS n FROM d),
+p AS (SELECT conv_id, i, b, md5(string_agg(k, ',') OVER w) AS key, md5(string_agg(k, ',') OVER v) AS up FROM r
+      WINDOW w AS (PARTITION BY conv_id ORDER BY i), v AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT conv_id, i, b, key, coalesce(up, 'root') AS up FROM p UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM m),
+n AS (SELECT key, any_value(up) AS up, any_value(i) AS depth, any_value(b) AS b, min(q.conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(q.conv_id AS VARCHAR), ',' ORDER BY q.conv_id) FILTER (WHERE m.n = q.i), '')) AS ends_sha256
+      FROM q JOIN m ON m.conv_id = q.conv_id GROUP BY key),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+s AS (SELECT q.key, sum((n.n_convs - 1) * n.b) AS saved, count(*) FILTER (WHERE k.up IS NULL) AS leaves
+      FROM n LEFT JOIN k ON k.up = n.key JOIN q ON q.conv_id = n.conv_id AND q.i <= n.depth GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, o.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n o ON o.key = n.up LEFT JOIN k ON k.up = n.key JOIN s ON s.key = n.key
+"""
+
+SQL["op12_source_audit"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+w AS (SELECT id, lang, source, term, count(*) AS c FROM (SELECT id, lang, source, unnest(ts) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT l.lang, count(kept.term) AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept ON kept.lang = l.lang GROUP BY 1),
+c AS (SELECT g.lang, g.source, kept.term, coalesce(x.c, 0) AS c FROM g JOIN kept ON kept.lang = g.lang
+      LEFT JOIN (SELECT lang, source, term, sum(c) AS c FROM w GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = kept.term),
+s AS (SELECT lang, source, term, c, sum(c) OVER (PARTITION BY lang, source) AS n, sum(c) OVER (PARTITION BY lang, term) AS lc, sum(c) OVER (PARTITION BY lang) AS ln FROM c),
+p AS (SELECT s.lang, source, term, c, 1 + (CAST(1000000000 AS HUGEINT) * (c + 5)) // (n + 5 * v) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (lc + 5)) // (ln + 5 * v) AS q FROM s JOIN v ON v.lang = s.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+o AS (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
