@@ -35,7 +35,8 @@ _COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa
 
 def _count(texts: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """term, group, docs, count of a slice of texts: each text's terms are counted, then texts of a group added up."""
-    parts = pc.split_pattern_regex(pc.ascii_lower(texts.cast(pa.large_string())), pattern=GAP)
+    # Lower case of a slice is only right for strings with 32-bit offsets.
+    parts = pc.split_pattern_regex(pc.ascii_lower(texts.cast(pa.string())), pattern=GAP)
     doc = pc.list_parent_indices(parts).to_numpy()
     flat = pc.list_flatten(parts)
     full = pc.not_equal(flat, "")

@@ -9,6 +9,8 @@ from fractions import Fraction
 from math import exp, log
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import mixing, prefix_trie, source_audit
@@ -163,6 +165,23 @@ def test_audit(spark, monkeypatch, least, top):
     assert source_audit.audit_sources(df.limit(0)).count() == 0
 
 
+def test_counts_of_slices():
+    """Terms of slices that begin anywhere in a large batch."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("Aé中\U0001f600b -1\n") for _ in range(r.randrange(400))) for _ in range(6000)]
+    whole = pa.array(texts)
+    for start, n in ((0, 500), (1000, 1000), (4321, 1500)):
+        group = np.array([i % 3 for i in range(n)])
+        terms, groups, docs, count = source_audit._count(whole.slice(start, n), group)
+        want, seen = Counter(), Counter()
+        for i, t in enumerate(texts[start : start + n]):
+            found = [x.translate(brute.LOWER) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t)]
+            want.update((x, i % 3) for x in found)
+            seen.update((x, i % 3) for x in set(found))
+        keys = list(zip(terms.to_pylist(), groups.tolist()))
+        assert dict(zip(keys, count.tolist())) == want and dict(zip(keys, docs.tolist())) == seen and len(keys) == len(want)
+
+
 MIXED = "doc_id long, text string, source string, size string, rate string"
 
 
