@@ -336,13 +336,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = CONTEXTS)
         F.collect_list(F.struct("fp", "ctx", F.col("at.first").alias("first"), F.col("at.wins").alias("wins"), "n")).alias("asked")
     )
     asked = cut(asked, "sub-asked")
-    # Of repeated rows with one key any serves; their texts are equal.
-    held = docs.join(asked, ["key", "th"]).select("text", "asked").mapInArrow(_contexts(window), "fp bigint, ctx bigint, n bigint, words array<bigint>")
+    # Rows of one key and text repeat each other: all of them count in n, but one of them gives the contexts, and
+    # their places are taken once.
+    repeats = cut(docs.groupBy("key", "th").count().filter("count > 1").select("key", "th"), "sub-repeats")
+    repeated = not repeats.isEmpty()
+    texts = docs
+    if repeated:
+        one = docs.join(repeats, ["key", "th"], "left_semi").groupBy("key", "th").agg(F.first("text").alias("text"))
+        texts = docs.join(repeats, ["key", "th"], "left_anti").unionByName(one)
+        cand = cut(cand.select("key", "th", "first", "fp", "ctx").distinct(), "sub-candidates")
+    held = texts.join(asked, ["key", "th"]).select("text", "asked").mapInArrow(_contexts(window), "fp bigint, ctx bigint, n bigint, words array<bigint>")
     held = cut(held, "sub-contexts")
     marks = _marked(held, window, longer, most)
-    discard(asked, held)
+    discard(asked, held, repeats)
     spans = cand.join(marks, ["fp", "ctx"]).select("key", "th", (F.col("first") + F.col("at")).alias("first"), "size")
-    return spans.groupBy("key", "th").agg(F.collect_list(F.struct("first", "size")).alias("spans"))
+    spans = spans.groupBy("key", "th").agg(F.collect_list(F.struct("first", "size")).alias("spans"))
+    # Repeated rows make a hot key of the join with their spans, which Spark splits only between scans.
+    return cut(spans, "sub-spans") if repeated else spans
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:

@@ -411,3 +411,17 @@ def test_lm_counts_words_exactly(spark):
         got = {x["doc_id"]: x["log_likelihood"] for x in lm_score.score_documents(df, training=train.select("text"), hot=hot).collect()}
         mean = [sum(got[k + i] for i in range(100)) / 100 for k in (0, 1000, 2000)]
         assert mean[0] > mean[1] + 0.9 and mean[1] > mean[2] + 0.3
+
+
+def test_repeated_rows_of_one_id(spark):
+    """Ten thousand rows of one id and text, as many without an id, and texts that share a passage with them: all
+    are judged, and their number costs no more than their rows."""
+    r = random.Random(12)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    one, none, alone = text(400), text(400), text(300)
+    half = " ".join(one.split(" ")[100:200]) + " " + text(50)
+    rows = spark.range(10_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(one).alias("text"))
+    rows = rows.union(spark.range(10_000).select(F.lit(None).cast("bigint"), F.lit(none)))
+    rows = rows.union(spark.createDataFrame([(1, alone), (2, half), (7, text(80))], "doc_id long, text string"))
+    got = substring_dedup.dedup_substrings(rows.repartition(8)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(x) for x in got} == {(7, 400, 400, 10_000), (None, 400, 400, 10_000), (1, 300, 0, 1), (2, 150, 100, 1), (7, 80, 0, 1)}
