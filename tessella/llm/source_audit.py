@@ -1,8 +1,8 @@
 """Audit of how sources of a language differ in their terms, by sorted streams.
 
 Tasks count terms per document and add documents of one (language, term, source) up; the partial counts are
-repartitioned and sorted by (language, term, source, part), and a run-length scan gives each source's counts. A
-second sorted scan sees a term's sources one after another: it gives the term's document frequency, and later, when
+repartitioned and sorted by (language, term, source), and a run-length scan gives each source's counts. A
+second sorted scan sees all sources of a term together: it gives the term's document frequency, and later, when
 the totals are known, what the term adds to each pair of sources that both have it, and its divergence from the
 language in each source.
 """
@@ -27,6 +27,8 @@ UNIT = 1_000_000_000
 TOP = 50
 #: Bytes of texts that are split at once, partial counts that a task holds, pairs of sources that it holds.
 BYTES, HELD, PAIRS = 8 << 20, 400_000, 200_000
+#: Shares of terms in sources that are compared at once.
+CELLS = 1 << 20
 #: (language, source) groups up to this many are sent to all tasks; more are joined by shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -56,10 +58,6 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """lang, source, text -> lang, term, source, docs, count, added up over as many documents as HELD allows."""
     held: list[pa.Table] = []
 
-    def added() -> pa.Table:
-        t = pa.concat_tables(held).group_by(["lang", "term", "source"], use_threads=False).aggregate([("docs", "sum"), ("count", "sum")])
-        return t.rename_columns({"docs_sum": "docs", "count_sum": "count"}).select(_COUNTS.names).cast(_COUNTS)
-
     for b in batches:
         lang, source = (b.column(i).dictionary_encode() for i in (0, 1))
         n = max(1, len(source.dictionary))
@@ -73,103 +71,121 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             held.append(pa.table([lang.dictionary.take(pa.array(groups // n)), terms, source.dictionary.take(pa.array(groups % n)), pa.array(docs), pa.array(count)], schema=_COUNTS))
             start = stop
             if len(held) >= 16 or sum(map(len, held)) > HELD:
-                held = [added()]
+                held = [_added(pa.concat_tables(held))]
                 if len(held[0]) > HELD // 2:
                     yield from held[0].to_batches(max_chunksize=20_000)
                     held = []
     if held:
-        yield from added().to_batches(max_chunksize=20_000)
+        yield from _added(pa.concat_tables(held)).to_batches(max_chunksize=20_000)
 
 
-def _starts(columns: list[pa.Array]) -> np.ndarray:
-    """Where in sorted columns a row differs from the one before; the first row does."""
-    n = len(columns[0])
-    new = np.zeros(n, bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new)
+def _added(t: pa.Table) -> pa.Table:
+    """One row per (lang, term, source)."""
+    t = t.group_by(["lang", "term", "source"], use_threads=False).aggregate([("docs", "sum"), ("count", "sum")])
+    return t.rename_columns({"docs_sum": "docs", "count_sum": "count"}).select(_COUNTS.names).cast(_COUNTS)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted partial counts -> one row per (lang, term, source). A run that a batch leaves open is carried on."""
-    open_run: pa.Table | None = None
-    for b in batches:
-        t = pa.Table.from_batches([b]).select(_COUNTS.names).cast(_COUNTS)
-        t = pa.concat_tables([open_run, t]) if open_run is not None else t
-        if not len(t):
-            continue
-        t = t.combine_chunks()
-        at = _starts([t.column(i).chunk(0) for i in range(3)])
-        sums = [np.add.reduceat(t.column(c).to_numpy(), at) for c in ("docs", "count")]
-        t = pa.table([*[t.column(i).take(pa.array(at)) for i in range(3)], pa.array(sums[0]), pa.array(sums[1])], schema=_COUNTS)
-        open_run = t.slice(len(t) - 1)
-        yield from t.slice(0, len(t) - 1).combine_chunks().to_batches()
-    if open_run is not None:
-        yield from open_run.combine_chunks().to_batches()
-
-
-def _whole_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows in tables that hold all rows of each (lang, term) they begin."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, a key's hash, in tables that hold all rows of each hash they begin: a run
+    that a batch leaves open is carried on. Keys of one hash are told apart by whoever adds the rows up."""
     left: list[pa.Table] = []
     for b in batches:
-        if not len(b):
+        if not b.num_rows:
             continue
-        t = pa.concat_tables([*left, pa.Table.from_batches([b])]).combine_chunks()
-        last = int(_starts([t.column(i).chunk(0) for i in (0, 1)])[-1])
-        if last:
-            yield t.slice(0, last).combine_chunks()
-        left = [t.slice(last)]
+        t = pa.Table.from_batches([b])
+        if left and left[-1].column(0)[-1] == b.column(0)[-1]:  # the whole batch may go on with the open run
+            if b.column(0)[0] == b.column(0)[-1]:
+                left.append(t)
+                continue
+        h = b.column(0).to_numpy()
+        last = int(np.searchsorted(h, h[-1], side="left"))
+        if last or left and left[-1].column(0)[-1].as_py() != h[0]:
+            yield pa.concat_tables([*left, t.slice(0, last)]).combine_chunks()
+            left = []
+        left.append(t.slice(last))
     if left:
-        yield left[0].combine_chunks()
+        yield pa.concat_tables(left).combine_chunks()
+
+
+def _source_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted partial counts -> one row per (lang, term, source)."""
+    for t in _runs(batches):
+        yield from _added(t.drop_columns(["h"])).combine_chunks().to_batches(max_chunksize=20_000)
 
 
 def _frequent(least: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of the terms in at least so many documents."""
-        for t in _whole_terms(batches):
-            at = _starts([t.column(i).chunk(0) for i in (0, 1)])
-            docs = np.add.reduceat(t.column("docs").to_numpy(), at)
-            kept = np.repeat(docs >= least, np.diff(np.r_[at, len(t)]))
-            yield from t.filter(pa.array(kept)).combine_chunks().to_batches()
+        for t in _runs(batches):
+            t = _added(t.drop_columns(["h"]))
+            docs = t.group_by(["lang", "term"], use_threads=False).aggregate([("docs", "sum")]).filter(pc.field("docs_sum") >= least)
+            yield from t.join(docs.drop_columns(["docs_sum"]), ["lang", "term"], join_type="left semi", use_threads=False).select(_COUNTS.names).combine_chunks().to_batches(max_chunksize=20_000)
 
     return scan
 
 
+def _beyond(p: np.ndarray, p0: np.ndarray) -> np.ndarray:
+    """For each pair of columns, sources, the sum over the rows, terms, of what they differ by beyond what they'd differ by if each
+    lacked what the other has. p has p0 where a source lacks a term, which adds nothing."""
+    out = np.zeros((len(p0), len(p0)), dtype=np.int64)
+    for i in range(len(p0) - 1):
+        x, y = p[:, i : i + 1], p[:, i + 1 :]
+        out[i, i + 1 :] = (np.abs(x - y) - np.abs(x - p0[i + 1 :]) - np.abs(p0[i] - y) + np.abs(p0[i] - p0[i + 1 :])).sum(axis=0)
+    return out
+
+
 def _divergences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows lang, term, source, count, p, p0 (of a term that the source lacks), below (the language's
-    divisor): rows `pair`, what a term adds for two sources that have it beyond what they'd add if each lacked
-    what the other has, and rows `term`, where a source's p is above the language's."""
+    """Rows h, lang, term, source, count, p, p0 (of a term that the source lacks), below (the language's
+    divisor), sorted by h, the hash of (lang, term): rows `pair`, what the terms add for two sources that have them (`_beyond`),
+    and rows `term`, where a source's p is above the language's. A task adds pairs up until it holds PAIRS of them."""
     pairs: dict[tuple[str, str, str], int] = {}
-    names = ["lang", "source", "part", "item", "value"]
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 4 else pa.string()) for i in range(5)], names=names)
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
     def flush() -> pa.RecordBatch:
         rows = [(lang, a, "pair", b, v) for (lang, a, b), v in pairs.items()]
         pairs.clear()
-        return batch(rows)
-
-    for t in _whole_terms(batches):
-        at = _starts([t.column(i).chunk(0) for i in (0, 1)]).tolist()
-        rows = []
-        langs, terms, sources, counts, ps, p0s, belows = (t.column(i).to_pylist() for i in range(7))
-        for a, b in zip(at, [*at[1:], len(t)]):
-            lang, term = langs[a], terms[a]
-            q = 1 + UNIT * (sum(counts[a:b]) + SMOOTH) // int(belows[a])
-            rows += [(lang, sources[i], "term", term, ps[i] - q) for i in range(a, b) if ps[i] > q]
-            p, p0 = np.array(ps[a:b], np.int64), np.array(p0s[a:b], np.int64)
-            for i in range(b - a - 1):
-                x, y = p[i + 1 :], p0[i + 1 :]
-                more = np.abs(p[i] - x) - np.abs(p[i] - y) - np.abs(p0[i] - x) + np.abs(p0[i] - y)
-                for j, v in enumerate(more.tolist(), a + i + 1):
-                    k = (lang, sources[a + i], sources[j])
-                    pairs[k] = pairs.get(k, 0) + v
-            if len(pairs) > PAIRS:
-                yield flush()
-        if rows:
-            yield batch(rows)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(5)], schema=schema)
+
+    def add(lang: str, names: list[str], found: np.ndarray) -> None:
+        for i, j in zip(*np.nonzero(found)):
+            k = (lang, *sorted((names[i], names[j]), key=str.encode))
+            pairs[k] = pairs.get(k, 0) + int(found[i, j])
+
+    for t in _runs(batches):
+        for lang in pc.unique(t.column("lang")).to_pylist():
+            part = t.filter(pc.equal(t.column("lang"), lang)).combine_chunks()
+            term, source = (part.column(c).chunk(0).dictionary_encode() for c in ("term", "source"))
+            tc, sc = term.indices.to_numpy(), source.indices.to_numpy()
+            names, n = source.dictionary.to_pylist(), len(term.dictionary)
+            count, p, p0 = (part.column(c).to_numpy() for c in ("count", "p", "p0"))
+            below = int(part.column("below")[0].as_py())
+            order = np.argsort(tc, kind="stable")
+            at = np.searchsorted(tc[order], np.arange(n))
+            totals = np.add.reduceat(count[order], at)
+            # Whole numbers of any size: a term's count times UNIT may need more than 64 bits.
+            q = np.array([1 + UNIT * (int(x) + SMOOTH) // below for x in totals.tolist()], dtype=np.int64)
+            over = np.flatnonzero(p > q[tc])
+            if len(over):
+                take = pa.array(over)
+                columns = [pa.array([lang] * len(over)), part.column("source").take(take).combine_chunks(), pa.array(["term"] * len(over)), part.column("term").take(take).combine_chunks(), pa.array(p[over] - q[tc[over]])]
+                yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=schema)
+            lacked = np.zeros(len(names), dtype=np.int64)
+            lacked[sc] = p0
+            if 4 * len(p) >= n * len(names):  # most sources have most terms
+                step = max(1, CELLS // len(names))
+                for first in range(0, n, step):
+                    inside = (tc >= first) & (tc < first + step)
+                    table = np.repeat(lacked[None], min(step, n - first), axis=0)
+                    table[tc[inside] - first, sc[inside]] = p[inside]
+                    add(lang, names, _beyond(table, lacked))
+            else:
+                for a, b in zip(at.tolist(), [*at[1:].tolist(), len(tc)]):
+                    rows = order[a:b]
+                    add(lang, [names[i] for i in sc[rows]], _beyond(p[rows][None], p0[rows]))
+                    if len(pairs) > PAIRS:
+                        yield flush()
+        if len(pairs) > PAIRS:
+            yield flush()
     yield flush()
 
 
@@ -179,6 +195,11 @@ def _share(count: Column, below: Column) -> Column:
     return F.when(below > 0, 1 + F.call_function("div", top, below.cast("decimal(28,0)")))
 
 
+def _sorted(df: DataFrame, key: Column) -> DataFrame:
+    """df by the hash of a key, in front as h: one number sorts much faster than texts, and puts a key's rows together."""
+    return df.select(key.alias("h"), *df.columns).repartition("h").sortWithinPartitions("h")
+
+
 def audit_sources(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank.
 
@@ -192,9 +213,9 @@ def audit_sources(df: DataFrame, text: str = "text", lang: str = "lang", source:
     ship(spark)
     docs = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     parts = docs.mapInArrow(_partial_counts, "lang string, term string, source string, docs bigint, count bigint")
-    by = ["lang", "term", "source"]
-    runs = parts.repartition(*by).sortWithinPartitions(*by).mapInArrow(_runs, parts.schema)
-    kept = runs.repartition("lang", "term").sortWithinPartitions(*by).mapInArrow(_frequent(least_docs), parts.schema)
+    key, term_key = F.xxhash64("lang", "term", "source"), F.xxhash64("lang", "term")
+    runs = _sorted(parts, key).mapInArrow(_source_counts, parts.schema)
+    kept = _sorted(runs, term_key).mapInArrow(_frequent(least_docs), parts.schema)
     kept = cut(kept, "audit-counts")
     # Totals: of each source and language over its frequent terms; V is the number of the language's.
     terms = kept.groupBy("lang", "term").agg(F.lit(1).alias("x")).groupBy("lang").agg(F.count("*").alias("v"))
@@ -208,8 +229,8 @@ def audit_sources(df: DataFrame, text: str = "text", lang: str = "lang", source:
     few = groups.count() <= BROADCAST_GROUPS
     side = groups.select("lang", "source", "below", "all_below", "p0")
     shares = kept.join(F.broadcast(side) if few else side, ["lang", "source"]).withColumn("p", _share(F.col("count"), F.col("below")))
-    shares = cut(shares.select("lang", "term", "source", "count", "p", "p0", "all_below"), "audit-terms")
-    found = shares.repartition("lang", "term").sortWithinPartitions(*by).mapInArrow(_divergences, "lang string, source string, part string, item string, value bigint")
+    shares = cut(shares.select("lang", "term", "source", "count", "p", "p0", F.col("all_below").alias("below")), "audit-terms")
+    found = _sorted(shares, term_key).mapInArrow(_divergences, "lang string, source string, part string, item string, value bigint")
     found = cut(found, "audit-found")
     # A pair's value: each source's terms against the other's share of a term that it lacks, the terms that both
     # lack, and what the scan has added for those that both have. A source has at most about the square root
