@@ -32,6 +32,8 @@ BROADCAST_IDS = 4_000_000
 #: standard deviations, so that this passes over a pair at the threshold with probability 2e-8 or less,
 #: far below what banding does.
 HOPE = 0.13
+#: Stands for no id while documents are compared, after all ids.
+NO_ID = (1 << 63) - 1
 _TOP = U64((1 << 64) - 1)
 
 
@@ -134,7 +136,7 @@ def verified(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """The edges (u, v) whose full shingle sets are similar enough. Texts come by two joins and stream
     through the check pair by pair; a node with many edges is a skewed join, which Spark splits."""
     ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
-    texts = _of_ids(texts, ends)
+    texts = _of_ids(texts, ends).groupBy("id").agg(F.first("text").alias("text"))  # of repeated rows one; their texts are equal
     pairs = edges.join(texts.select(F.col("id").alias("v"), F.col("text").alias("y")), "v")
     pairs = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("x")), "u")
     return pairs.select("u", "v", "x", "y").mapInArrow(_verifier(shingle, percent), "u bigint, v bigint")
@@ -236,7 +238,7 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int, more) -> Iterator[l
 def _hopeful(percent: int, slots: int, bands: int):
     """key, pair, id of members that meet one of another component first in this bucket and whose signature
     is near enough to its: within HOPE of the similarity, so that a pair that has it is lost with
-    probability about 1e-5."""
+    probability 2e-8."""
     least = max(1, int((percent / 100 - HOPE) * slots))
 
     def found(group: list[tuple]) -> list[tuple]:
@@ -331,11 +333,13 @@ def near_duplicates(
     """One row per row of df: id, n_shingles, component_id, kept, text_hash, group.
 
     Words are A-Z lower-cased; documents link when 100 * intersection >= percent * union of their shingle
-    sets. component_id is the smallest id reachable over links, kept marks it. Documents without words
-    (null, empty or blank texts) link with nothing. Equal sets form one class first and are compared
-    through its smallest id. Rows with a null id are left out; repeated rows are repeated; rows of one id
-    with different texts are documents of their own, told apart by text_hash, and group is one number per
-    component even where two components have one smallest id. An empty table gives no rows.
+    sets. Ids are integers. component_id is the smallest id reachable over links, kept marks it. Documents
+    without words (null, empty or blank texts) link with nothing. Equal sets form one class first and are
+    compared through its smallest id. Rows without an id are documents told apart by their texts, and come after
+    all others: their component_id is null where none of its component has an id, and then kept marks the text with
+    the smallest hash. Repeated rows are repeated; rows of one id with different texts are documents of
+    their own, told apart by text_hash, and group is one number per component even where two components
+    have one smallest id. An empty table gives no rows.
 
     In a band's bucket every class is compared with the one of smallest id. Once components are known,
     buckets that still hold several are compared across them, inside a task; classes in one component need
@@ -344,14 +348,16 @@ def near_duplicates(
     """
     ship(df.sparkSession)
     text = F.col(f"`{text_col}`")
-    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")).filter("id is not null")
+    docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
     schema = "id bigint, th bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
     signed = cut(docs.select("id", "text", "th").mapInArrow(_signer(shingle, bands, rows, slots), schema), "near-signed")
-    several = cut(signed.groupBy("id").agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a != b").select("id", F.lit(True).alias("many")), "near-several")
-    one_text = several.isEmpty()
+    again = signed.groupBy("id").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.count("*").alias("n")).filter(f"n > 1 or id = {NO_ID}")
+    again = cut(again.select("id", (F.expr(f"a != b or id = {NO_ID}")).alias("many"), (F.col("n") > 1).alias("repeated")), "near-several")
+    several = again.filter("many").select("id", "many")
+    one_text, repeated = several.isEmpty(), not again.filter("repeated").isEmpty()
 
     def noded(rows: DataFrame) -> DataFrame:
-        """Adds node: the id, or a hash where rows of one id have different texts."""
+        """Adds node: the id, or a hash where rows of one id, or of none, have different texts."""
         if one_text:
             return rows.withColumn("node", F.col("id"))
         return rows.join(several, "id", "left").withColumn("node", F.when(F.col("many"), F.xxhash64("id", "th")).otherwise(F.col("id"))).drop("many")
@@ -361,6 +367,8 @@ def near_duplicates(
     classes = named.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "node")).alias("r"))
     classes = cut(classes.select("k1", "k2", F.col("r.id").alias("least"), F.col("r.node").alias("rep")), "near-classes")
     reps = named.select(F.col("node").alias("id"), "n", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    if repeated:  # rows alike are one member of a bucket
+        reps = reps.groupBy("id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     buckets = reps.select("id", "n", F.explode("bands").alias("key"))
     centres = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
     centres = cut(centres.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "near-centres")
@@ -383,4 +391,11 @@ def near_duplicates(
     out = named.select("id", "th", "node", "n", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     cid = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     group = F.when(F.col("n") > 0, F.col("group")).otherwise(F.col("node"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), cid.alias("component_id"), (cid == F.col("id")).alias("kept"), F.col("th").alias("text_hash"), group.alias("group"))
+    out = out.select("id", "th", "n", cid.alias("cid"), group.alias("group"))
+    kept = F.col("cid") == F.col("id")
+    if not one_text:
+        nameless = cut(out.filter(f"cid = {NO_ID}").groupBy("group").agg(F.min("th").alias("least_text")), "near-nameless")
+        out = out.join(nameless, "group", "left")
+        kept = kept & F.coalesce(F.col("th") == F.col("least_text"), F.lit(True))
+    named_id = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
+    return out.select(named_id("id").alias(id_col), F.col("n").alias("n_shingles"), named_id("cid").alias("component_id"), kept.alias("kept"), F.col("th").alias("text_hash"), "group")

@@ -37,7 +37,9 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(1, text), (1, text), (2, text), (None, text), (3, " ".join(f"v{k}" for k in range(30)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 1, 3]
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+    alone = docs.filter("doc_id is null or doc_id = 3").union(docs.filter("doc_id is null"))
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.near_dedup(spark, alone, "").collect()) == [0, 3]
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").count() == 0
@@ -58,5 +60,5 @@ def test_names():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)

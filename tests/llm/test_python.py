@@ -90,7 +90,27 @@ def test_near_duplicates_edges(spark, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
     twice = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (6, "a b c"), (None, "a b c")], "doc_id long, text string")
     columns = ["doc_id", "n_shingles", "component_id", "kept"]
-    assert sorted(tuple(r) for r in near_dedup.near_duplicates(twice).select(*columns).collect()) == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False)]
+    rows = lambda df: sorted(map(str, map(tuple, near_dedup.near_duplicates(df).select(*columns).collect())))
+    assert rows(twice) == sorted(map(str, [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (None, 1, 5, False)]))
+    # Rows without an id: each text is a document, alike ones are linked, and one text of a group is kept.
+    base = [f"w{i}" for i in range(60)]
+    nameless = [(None, " ".join(base)), (None, " ".join(base)), (None, " ".join([*base, "end"])), (None, None), (None, "other words"), (8, "x y z")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(nameless, "doc_id long, text string")).collect()
+    assert len(got) == 6 and [r["component_id"] for r in got if r["doc_id"] == 8] == [8]
+    assert all(r["component_id"] is None for r in got if r["doc_id"] is None) and len({r["group"] for r in got}) == 4
+    kept = sorted((r["n_shingles"], r["kept"]) for r in got if r["doc_id"] is None)
+    assert kept in ([(0, True), (1, True), (56, False), (56, False), (57, True)], [(0, True), (1, True), (56, True), (56, True), (57, False)])
+
+
+def test_near_duplicates_of_many_repeated_rows(spark):
+    """Rows alike are one member of a bucket, so their number costs no more than their rows."""
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    near = [" ".join([*base[:i], f"e{i}", *base[i + 1 :]]) for i in (5, 50, 150)]
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(3)).cast("bigint").alias("doc_id"), F.lit(" ".join(base)).alias("text"))
+    rows = rows.union(spark.createDataFrame([(10 + i, t) for i, t in enumerate(near)] * 50, "doc_id long, text string"))
+    got = near_dedup.near_duplicates(rows.repartition(8)).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(x) for x in got} == {(3, 3, True, 2000), (None, 3, False, 2000), *((10 + i, 3, False, 50) for i in range(3))}
 
 
 def test_near_duplicates_of_one_id_with_several_texts(spark):
