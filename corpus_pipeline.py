@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, shared_dir
-from tessella.llm.near_dedup import near_duplicates
+from tessella.llm.near_dedup import NO_ID, near_duplicates
 from tessella.llm.packing import pack
 from tessella.llm.quality import judge
 from tessella.llm.substring_dedup import dedup_substrings
@@ -24,17 +24,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the document with the smallest id; of rows of that id that are near copies, the
-    one whose text has the smallest hash; of repeated rows, one. Rows without an id stay."""
+    """Keeps of each group the document with the smallest id; of rows of that id, or without one, that are near
+    copies, the one whose text has the smallest hash; of repeated rows, one."""
     found = near_duplicates(docs)
-    stay = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.doc_id", F.col("x.text_hash").alias("__hash"))
-    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(cut(stay, "pipeline-stay"), ["doc_id", "__hash"], "left_semi").unionByName(hashed.filter("doc_id is null"))
-    again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    ident = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(NO_ID)).alias("__id")
+    stay = found.groupBy("group").agg(F.min(F.struct(ident("doc_id"), "text_hash")).alias("x")).select("x.__id", F.col("x.text_hash").alias("__hash"))
+    hashed = docs.withColumns({"__id": ident("doc_id"), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = hashed.join(cut(stay, "pipeline-stay"), ["__id", "__hash"], "left_semi")
+    again = docs.groupBy(ident("doc_id")).count().filter("count > 1").select("__id")
     if again.isEmpty():
         return kept.select(*docs.columns)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "__hash"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    once = kept.join(again, "__id", "left_semi").dropDuplicates(["__id", "__hash"])
+    return kept.join(again, "__id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

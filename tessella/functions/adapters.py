@@ -149,6 +149,26 @@ def call(df: DataFrame, kind: str, name: str, column: str, schema: str, waits: t
     return df.mapInPandas(run, f"{kinds}, result {schema}, error string")
 
 
+def ask_json(df: DataFrame, kind: str, name: str, column: str, schema: str, waits: tuple[float, ...] = (5, 10, 20, 40), **options) -> DataFrame:
+    """Adds answer, a struct of the schema, and error: a model's answer per row (`call`), of which the first JSON object or array is
+    read. An answer without any, or one that isn't of the schema, is an error of its row; null input has neither."""
+    from .expr import json_payload
+
+    said = call(df, kind, name, column, "string", waits, **options)
+    answer = F.from_json(json_payload("result"), schema, {"mode": "PERMISSIVE"})
+    said = said.withColumn("answer", F.when(F.trim(F.coalesce(json_payload("result"), F.lit(""))) != "", answer))
+    empty = F.col("answer").isNull() | F.forall(F.array(*[F.col(f"answer.{f}").isNull() for f in _fields(schema)]), lambda x: x)
+    bad = F.col("result").isNotNull() & empty
+    said = said.withColumn("error", F.when(bad, F.concat(F.lit("no such JSON: "), F.substring("result", 1, 200))).otherwise(F.col("error")))
+    return said.withColumn("answer", F.when(~bad, F.col("answer"))).drop("result")
+
+
+def _fields(schema: str) -> list[str]:
+    from pyspark.sql.types import _parse_datatype_string
+
+    return _parse_datatype_string(schema).fieldNames()
+
+
 def found(df: DataFrame, kind: str, name: str, column: str, out: str, schema: str, **options) -> DataFrame:
     """A row per thing that an adapter finds in a row's content, none or many; schema is one thing's."""
     many = apply(df, kind, name, column, "__found", f"array<{schema}>", **options)

@@ -147,6 +147,11 @@ def serial_id(prefix: str, n, digits: int = 7) -> Column:
     return F.format_string(f"{prefix}%0{digits}d", _c(n).cast("bigint"))
 
 
+def json_text(*columns) -> Column:
+    """The columns as one JSON object, without spaces; nulls are written as such."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def json_payload(text) -> Column:
     """The first object or array in a model's answer: fences and trailing commas go."""
     t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"```(?:json)?", "")
@@ -175,7 +180,7 @@ def linear_head(vector, weights: list[float], bias: float, digits: int = 3) -> C
     return F.round(dot(vector, F.array(*[F.lit(float(w)) for w in weights])) + F.lit(float(bias)), digits)
 
 
-def text_regions(regions, least: float = 0.5, most: int = 600) -> Column:
+def text_regions(regions, least: float = 0.55, most: int = 600) -> Column:
     """n_regions, mean_conf (3 decimals) and text of recognised regions (text, confidence): blank ones and
     those below the least confidence don't count, the text is cut to its most characters."""
     clean = F.transform(F.coalesce(_c(regions), F.array().cast("array<struct<text:string,confidence:double>>")), lambda r: F.struct(F.trim(r["text"]).alias("text"), F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence")))

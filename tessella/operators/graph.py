@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut, discard
@@ -27,38 +27,94 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+#: Edges of a component that one task may hold; larger components are clustered in rounds over all tasks.
+TASK_EDGES = 200_000
+#: Rounds before what is left falls into components anew.
+ROUNDS = 16
+
+
 def star_clusters(edges: DataFrame, cap: int | None = 40) -> DataFrame:
     """seed, member, degree of greedy star clusters over undirected edges (a, b).
 
     Nodes become seeds by descending degree (distinct neighbours), then ascending id; a free seed takes
     its free neighbours, most connected first, up to cap members with itself; the rest stay free, and a
-    seed without a free neighbour isn't a cluster. The greedy order matters only inside a component, so
-    components are found first, and each is one group; a group's size is its component's.
+    seed without a free neighbour isn't a cluster. The order matters only inside a component: a component of up to
+    TASK_EDGES edges is done by one task, a larger one by `_star_rounds`, with the same clusters.
     """
     e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    comp = components(e)
-    grouped = e.join(comp, e["a"] == comp["node"]).select("component", "a", "b")
+    both = e.union(e.select("b", "a"))
+    degrees = cut(both.groupBy("a").agg(F.count("*").alias("d")), "degrees")
+    e = e.join(degrees.withColumnRenamed("d", "da"), "a").join(degrees.select(F.col("a").alias("b"), F.col("d").alias("db")), "b").select("a", "b", "da", "db")
     kind = dict(e.dtypes)["a"]
+    left, done = cut(e, "edges"), []
+    while True:
+        comp = components(left.select("a", "b"))
+        placed = cut(left.join(comp, left["a"] == comp["node"]).select("component", *left.columns), "placed")
+        large = cut(placed.groupBy("component").count().filter(F.col("count") > TASK_EDGES).select("component"), "large")
+        small = placed.join(large, "component", "left_anti")
+        done.append(cut(small.groupBy("component").applyInPandas(_greedy_stars(cap), f"seed {kind}, member {kind}, degree long"), "stars"))
+        if large.isEmpty():
+            return edges.sparkSession.read.schema(done[0].schema).parquet(*[d.written_to for d in done])
+        left, rounds = _star_rounds(placed.join(large, "component", "left_semi").drop("component"), cap)
+        done += rounds
+
 
+def _greedy_stars(cap: int | None):
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
+        degree: dict = {}
+        for a, b, da, db in zip(pdf["a"], pdf["b"], pdf["da"], pdf["db"]):
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
-        rank = sorted(near, key=lambda x: (-len(near[x]), x))
+            degree[a], degree[b] = da, db
+        rank = sorted(near, key=lambda x: (-degree[x], x))
         taken, out = set(), []
         for s in rank:
             if s in taken:
                 continue
-            free = sorted((m for m in near[s] if m not in taken), key=lambda x: (-len(near[x]), x))
+            free = sorted((m for m in near[s] if m not in taken), key=lambda x: (-degree[x], x))
             if not free:
                 continue
             members = [s, *free][:cap]
             taken.update(members)
-            out += [(s, m, len(near[m])) for m in members]
+            out += [(s, m, degree[m]) for m in members]
         return pd.DataFrame(out, columns=["seed", "member", "degree"])
 
-    return grouped.groupBy("component").applyInPandas(greedy, f"seed {kind}, member {kind}, degree long")
+    return greedy
+
+
+def _star_rounds(e: DataFrame, cap: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left of the edges (a, b, da, db: degrees in the whole graph) after some rounds, and their clusters.
+
+    In a round every free node that comes before all others within two steps, along edges between free nodes,
+    is a seed: no seed before it can take it or any of its neighbours, so its cluster is that of the greedy order.
+    Seeds of one round have no neighbour in common. The edges of taken nodes go. The first free node of a component
+    always is a seed, so every round gets on."""
+    first = F.struct((-F.col("da")).alias("d"), F.col("a").alias("i"))
+    other = F.struct((-F.col("db")).alias("d"), F.col("b").alias("i"))
+    both = e.select("a", "b", first.alias("ra"), other.alias("rb"))
+    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb"))), "stars-edges")
+    done: list[DataFrame] = []
+    for _ in range(ROUNDS):
+        # Aggregates are written before they are joined: Spark splits a hot node's join only between scans.
+        near = cut(both.groupBy("a").agg(F.min(F.least("ra", "rb")).alias("best")), "stars-near")
+        two = both.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("ra").alias("ra"), F.min("best").alias("best"))
+        seeds = cut(two.filter(F.col("best") == F.col("ra")).select("a"), "stars-seeds")
+        members = both.join(seeds, "a").select("a", "b", "ra", "rb")
+        if cap is not None:
+            members = members.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy("rb"))).filter(F.col("rn") < cap)
+        rows = members.select(F.col("a").alias("seed"), F.col("b").alias("member"), (-F.col("rb.d")).alias("degree"))
+        heads = members.groupBy("a").agg(F.min("ra").alias("ra")) if cap is None or cap > 1 else both.join(seeds, "a").groupBy("a").agg(F.min("ra").alias("ra"))
+        rows = rows.unionByName(heads.select(F.col("a").alias("seed"), F.col("a").alias("member"), (-F.col("ra.d")).alias("degree")))
+        done.append(cut(rows, "stars"))
+        taken = done[-1].select("member")
+        left = both.join(taken.withColumnRenamed("member", "a"), "a", "left_anti").join(taken.withColumnRenamed("member", "b"), "b", "left_anti").select(*both.columns)
+        old, both = both, cut(left, "stars-edges")
+        discard(old, near, seeds)
+        if both.isEmpty():
+            break
+    once = both.filter("a < b")
+    return cut(once.select("a", "b", (-F.col("ra.d")).alias("da"), (-F.col("rb.d")).alias("db")), "stars-left"), done
 
 
 def keep_largest(members: DataFrame, sizes: DataFrame) -> DataFrame:

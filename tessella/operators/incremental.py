@@ -87,10 +87,11 @@ def touched_groups(old: DataFrame, new: DataFrame, bucket: str) -> DataFrame:
 
 @dataclass
 class Step:
-    """run gets the pending rows and gives (processed, missed); gate says which assets may be taken."""
+    """run gets the pending rows and gives what became of them, a row each, with a boolean column `missed` for those
+    to be left alone until they are retried (without that column none is). gate says which assets may be taken."""
 
     name: str
-    run: Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+    run: Callable[[DataFrame], DataFrame]
     version: str = "1"
     gate: Column | None = None
 
@@ -104,14 +105,18 @@ class Report:
 def run_steps(assets: DataFrame, state: DataFrame, misses: DataFrame, steps: list[Step], key: str = "asset_id", limit: int = 0) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], Report]:
     """Runs steps in order over their backlogs; one that fails is reported and leaves its marks alone, the
     others go on. Returns state, misses, the processed rows by step, and a report. What a step gives is
-    written to the shared folder once, before it is marked, so its work runs once and marks fit results."""
+    written to the shared folder once and then split by `missed`: its work runs once, and every row is either
+    marked or missed. A null counts as not missed."""
     out, report = {}, Report()
     for step in steps:
         todo = backlog(assets if step.gate is None else assets.filter(step.gate), state, step.name, key, step.version, misses)
         if limit:
             todo = todo.orderBy(key).limit(limit)
         try:
-            done, missed = (cut(x, step.name) for x in step.run(cut(todo, "backlog")))
+            given = step.run(cut(todo, "backlog"))
+            given = cut(given if "missed" in given.columns else given.withColumn("missed", F.lit(False)), step.name)
+            missed = F.coalesce("missed", F.lit(False))
+            done = given.filter(~missed).drop("missed")
             n = done.count()
         except Exception as e:  # a step's own failure mustn't stop the others
             report.errors[step.name] = f"{type(e).__name__}: {e}"[:500]
@@ -119,5 +124,5 @@ def run_steps(assets: DataFrame, state: DataFrame, misses: DataFrame, steps: lis
         out[step.name] = done
         report.done[step.name] = n
         state = record(state, marks(done, step.name, key, step.version), key)
-        misses = misses.unionByName(missed.select(key, F.lit(step.name).alias("step"))).distinct()
+        misses = misses.unionByName(given.filter(missed).select(key, F.lit(step.name).alias("step"))).distinct()
     return state, misses, out, report

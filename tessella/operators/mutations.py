@@ -60,9 +60,10 @@ def delete(old: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return old.join(gone.select(*key), key, "left_anti").select(*old.columns)
 
 
-def update_from(old: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Keyed update: listed columns take the change's value where there is one."""
-    c = changes.select(*key, *[F.col(x).alias(f"__{x}") for x in columns], F.lit(True).alias("__hit"))
+def update_from(old: DataFrame, changes: DataFrame, key: list[str], columns: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Keyed update: listed columns take the change's value where there is one; of changes with one key the
+    last counts, so no row of old is multiplied."""
+    c = last_of(changes, key, order).select(*key, *[F.col(x).alias(f"__{x}") for x in columns], F.lit(True).alias("__hit"))
     out = old.join(c, key, "left")
     return out.withColumns({x: F.when(F.col("__hit"), F.col(f"__{x}")).otherwise(F.col(x)) for x in columns}).select(*old.columns)
 

@@ -135,6 +135,12 @@ def stratified(df: DataFrame, by: str, n: int, key: str, seed: int = 42) -> Data
     return top(df, by, [hash_order(seed, key), F.col(key)], n)
 
 
+def stratified_top(df: DataFrame, by: str, strata: int, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """n rows of each of the `strata` commonest values, ties to the smaller value, in a seeded order of the keys."""
+    common = df.filter(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.col("count").desc(), by).limit(strata).select(by)
+    return top(df.join(F.broadcast(common), by), by, [hash_order(seed, *keys), *map(F.col, keys)], n).select(*df.columns)
+
+
 def even_picks(df: DataFrame, by: str, order: list[Column], n: int = 3) -> DataFrame:
     """n rows per group at places floor(i * count / n); all rows of smaller groups."""
     w = Window.partitionBy(by)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import age_bin, dot, last_folder, normalised
 from ..sources.tables import cut
 from .relational import hash_order, positions
+from .sweep import before
 
 
 # Votes and audits ---------------------------------------------------------------------------------------
@@ -192,18 +194,96 @@ def centroid_similarity(df: DataFrame, key: str, vector: str, label: str, size:
     return j.withColumn("rest", rest).select(key, label, dot(normalised("rest"), normalised(vector)).alias("sim"))
 
 
+#: Values that `order_statistics` draws to guess where to look, and that it gathers at most to look there.
+GUESS, GATHER = 20_000, 50_000
+#: Places in a range that a further pass tries.
+TRIES = 64
+_TOP = (1 << 63) - 1
+
+
+def _ordered(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of doubles, NaN last; both zeros are one."""
+    bits = (np.asarray(v, dtype=np.float64) + 0.0).view(np.int64)
+    return np.where(np.isnan(v), _TOP - 1, bits ^ ((bits >> 63) & _TOP))
+
+
+def _value(key: int) -> float:
+    k = np.int64(key)
+    return float("nan") if key >= _TOP - 1 else float((k ^ ((k >> 63) & np.int64(_TOP))).view(np.float64))
+
+
+def _counts(values: DataFrame, cuts: list[int]) -> list[int]:
+    """How many values lie below each ascending cut; a row per task and cut that it has values next to comes together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(cuts) + 1, dtype=np.int64)
+        for b in batches:
+            total += np.bincount(np.searchsorted(np.array(cuts), _ordered(b.column(0).to_numpy(zero_copy_only=False)), "right"), minlength=len(cuts) + 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    got = {r["at"]: r["n"] for r in values.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    return np.cumsum([got.get(i, 0) for i in range(len(cuts))]).tolist()
+
+
+def _inside(values: DataFrame, ranges: list[tuple[int, int]]) -> list[int]:
+    """The values in some ranges, as ordered numbers, sorted."""
+    lo, hi = (np.array([r[i] for r in ranges]) for i in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = _ordered(b.column(0).to_numpy(zero_copy_only=False))
+            at = np.searchsorted(lo, k, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(k[(at >= 0) & (k < hi[at])])], names=["k"])
+
+    return sorted(r["k"] for r in values.mapInArrow(run, "k bigint").collect())
+
+
 def order_statistics(df: DataFrame, column: str, points: list[float]) -> list[float] | None:
     """Exact, linearly interpolated quantiles of a column's values, as many as points; None without values.
-    The values are sorted over all tasks by one range exchange, and only the asked places come back."""
-    rows = positions(df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), [F.col("v")], "at")
-    n = rows.count()
+
+    No value moves: a sample of about GUESS values says where each asked place must be, exact counts over all values tell whether it
+    is there, and ranges that still hold too many are cut into smaller ones and counted again. In the end the
+    few values of the ranges come to the driver, GATHER at most; a range of one value needs none."""
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n = values.count()
     if not n:
         return None
     places = [p * (n - 1) for p in points]
     asked = sorted({x for p in places for x in (math.floor(p), math.ceil(p))})
-    wanted = df.sparkSession.createDataFrame([(x,) for x in asked], "at bigint")
-    got = {r["at"]: r["v"] for r in rows.join(F.broadcast(wanted), "at").collect()}  # two per point
-    return [got[math.floor(p)] + (got[math.ceil(p)] - got[math.floor(p)]) * (p - math.floor(p)) for p in places]
+    drawn = sorted(_ordered(np.array([r["v"] for r in values.sample(min(1.0, GUESS / n), 11).collect()] or [0.0])).tolist())
+    m, cuts = len(drawn), {-_TOP, _TOP}
+    for r in asked:
+        q = r / max(1, n - 1)
+        wide = 4 * math.sqrt(q * (1 - q) / m) + 2 / m
+        cuts |= {drawn[min(m - 1, max(0, int((q - wide) * m)))], drawn[min(m - 1, max(0, int((q + wide) * m) + 1))]}
+    known = {-_TOP: 0, _TOP: n}
+    while True:
+        new = sorted(cuts - set(known))
+        known |= dict(zip(new, _counts(values, new))) if new else {}
+        at = sorted(known)
+        below = [known[c] for c in at]
+        ranges = {}
+        for r in asked:
+            i = bisect.bisect_right(below, r) - 1  # the last cut with at most r values below it
+            ranges[r] = (at[i], at[i + 1])
+        todo = sorted({x for x in ranges.values() if x[1] - x[0] > 1})
+        if sum(known[b] - known[a] for a, b in todo) <= GATHER:
+            break
+        cuts = set()
+        for a, b in todo:
+            if known[b] - known[a] > GATHER // (2 * len(todo)):
+                x, y = _value(max(a, -_TOP + 2)), _value(min(b, _TOP - 2))
+                cuts |= {a + (b - a) * i // TRIES for i in range(1, TRIES)}
+                if math.isfinite(x) and math.isfinite(y):
+                    cuts |= {int(k) for k in _ordered(np.linspace(x, y, TRIES + 1)) if a < k < b}
+    held = _inside(values, todo) if todo else []
+    found = {}
+    for r, (a, b) in ranges.items():
+        first = bisect.bisect_left(held, a)
+        found[r] = _value(a if b - a == 1 else held[first + r - known[a]])
+    at = lambda lo, hi, part: lo if not part or lo == hi else lo + (hi - lo) * part
+    return [at(found[math.floor(p)], found[math.ceil(p)], p - math.floor(p)) for p in places]
 
 
 def _above(scores: DataFrame, score: str, same: str, cuts: list[float]) -> list[tuple[int, int]]:
@@ -298,27 +378,57 @@ def quantiles(df: DataFrame, column: str, points: tuple[float, ...] = (0.01, 0.0
     return df.sparkSession.createDataFrame([tuple(got)], ", ".join(f"p{round(p * 100)} double" for p in points))
 
 
+def _drawn(*parts: Column | str) -> Column:
+    """A number of 60 bits from the parts' hash, the same wherever it is computed."""
+    text = F.concat_ws("\x1f", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
+
+
 def sample_pairs(df: DataFrame, key: str, label: str, cap: int = 400, least: int = 5, seed: int = 7) -> DataFrame:
-    """a, b, same: per class of at least `least` rows, up to cap pairs inside it and up to cap with other
-    classes. A class's rows stand in a seeded order, and pairs are taken by the distance of their places,
-    nearest first, so a class with up to cap pairs gives all of them, and no other pairs are built."""
-    far = 1
-    while far * (far + 1) // 2 < cap:  # a class of more rows has cap pairs within this distance
-        far += 1
-    rows = df.select(F.col(key).alias("k"), F.col(label).alias("l"))
-    rows = rows.join(cut(rows.groupBy("l").count().filter(F.col("count") >= least).select("l"), "classes"), "l", "left_semi")
-    w = Window.partitionBy("l").orderBy(hash_order(seed, "k"), "k")
-    placed = cut(rows.withColumn("p", F.row_number().over(w)).filter(F.col("p") <= cap + far), "places")
-    ahead = placed.select("l", F.col("k").alias("a"), F.col("p").alias("q"), F.explode(F.sequence(F.lit(1), F.lit(far))).alias("d")).withColumn("p", F.col("q") + F.col("d"))
-    near = ahead.join(placed.select("l", "p", F.col("k").alias("b")), ["l", "p"])
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("d", "q"))
-    same = near.withColumn("rn", rank).filter(F.col("rn") <= cap).select("a", "b", F.lit(True).alias("same"))
-    # All classes' sampled rows in one seeded order: a row meets those of other classes a few places on.
-    mixed = positions(placed.filter(F.col("p") <= cap).select("l", "k"), [hash_order(seed + 1, "k"), F.col("k")], "p")
-    on = mixed.select(F.col("l").alias("m"), F.col("k").alias("a"), F.col("p").alias("q"), F.explode(F.array(*[F.lit(d) for d in (1, 2, 3)])).alias("d")).withColumn("p", F.col("q") + F.col("d"))
-    apart = on.join(mixed.withColumnRenamed("k", "b"), "p").filter("l != m")
-    rank = F.row_number().over(Window.partitionBy("m").orderBy("d", "q"))
-    return same.union(apart.withColumn("rn", rank).filter(F.col("rn") <= cap).select("a", "b", F.lit(False).alias("same")))
+    """a, b, same: per class of at least `least` rows, `cap` pairs inside it (all, if it has no more), and as many
+    pairs of different classes as these are together.
+
+    A class's rows are numbered in a seeded order. A pair inside it has a number too: the pair (i, j), i < j, is
+    j (j - 1) / 2 + i. A class with up to four times cap pairs puts all numbers in the order of their hashes, a larger
+    one draws four times cap numbers by hash; the first cap different ones are the sample, so all pairs are
+    equally likely and no others are built. A pair of different classes is drawn as two classes and a row of
+    each; repeats are drawn past, out of four times as many draws."""
+    rows = df.select(F.col(key).alias("k"), F.col(label).alias("l")).filter("l is not null")
+    sizes = cut(rows.groupBy("l").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "classes")
+    name = F.col("l").cast("string")
+    ordered = rows.join(sizes.select("l"), "l", "left_semi").withColumn("h", hash_order(seed, "k"))
+    placed = cut(before(ordered, ["l"], [F.col("h"), F.col("k")], "p", total=F.lit(1)).select("l", "k", "p"), "places")
+    # Numbers of pairs: (class, number, order).
+    total = F.expr("n * (n - 1) div 2")
+    asked = sizes.withColumn("pairs", total).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4 * cap - 1).cast("bigint"))))
+    small = F.col("pairs") <= 4 * cap
+    draw = F.pmod(_drawn(str(seed), "inside", name, F.col("i").cast("string")), F.col("pairs"))
+    asked = asked.filter(~small | (F.col("i") < F.col("pairs"))).withColumn("number", F.when(small, F.col("i")).otherwise(draw))
+    order = F.when(small, _drawn(str(seed), "order", name, F.col("number").cast("string"))).otherwise(F.col("i"))
+    once = asked.withColumn("order", order).groupBy("l", "number").agg(F.min("order").alias("order"))
+    chosen = once.withColumn("rn", F.row_number().over(Window.partitionBy("l").orderBy("order", "number"))).filter(F.col("rn") <= cap)
+    root = F.floor((1 + F.sqrt(1 + 8 * F.col("number").cast("double"))) / 2).cast("bigint")
+    fix = lambda j: F.when(j * (j - 1) / 2 > F.col("number"), j - 1).when((j + 1) * j / 2 <= F.col("number"), j + 1).otherwise(j)
+    chosen = chosen.withColumn("j", fix(root)).withColumn("i", F.expr("number - j * (j - 1) div 2"))
+    one, two = (placed.select("l", F.col("p").alias(i), F.col("k").alias(c)) for i, c in (("i", "a"), ("j", "b")))
+    same = cut(chosen.join(one, ["l", "i"]).join(two, ["l", "j"]).select("a", "b", F.lit(True).alias("same")), "same-pairs")
+    # Classes are numbered by value; draws are (class, row) twice.
+    classes = cut(positions(sizes, [F.col("l")], "c"), "numbered-classes")
+    n, wanted = classes.count(), same.count()
+    if n < 2:
+        return same
+    d = F.col("d").cast("string")
+    draws = df.sparkSession.range(4 * wanted).select(F.col("id").alias("d"))
+    draws = draws.withColumn("ca", F.pmod(_drawn(str(seed), "first", d), F.lit(n))).withColumn("cb", F.pmod(_drawn(str(seed), "second", d), F.lit(n - 1)))
+    draws = draws.withColumn("cb", F.col("cb") + (F.col("cb") >= F.col("ca")).cast("bigint"))
+    for s in "ab":
+        side = classes.select(F.col("c").alias(f"c{s}"), F.col("l").alias(f"l{s}"), F.col("n").alias(f"n{s}"))
+        draws = draws.join(side, f"c{s}").withColumn(f"p{s}", F.pmod(_drawn(str(seed), s, d), F.col(f"n{s}")))
+    for s in "ab":
+        draws = draws.join(placed.select(F.col("l").alias(f"l{s}"), F.col("p").alias(f"p{s}"), F.col("k").alias(s)), [f"l{s}", f"p{s}"])
+    pairs = draws.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
+    ranked = positions(pairs, [F.col("d")], "at").filter(F.col("at") < wanted)
+    return same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").unionByName(ranked.select("a", "b", F.lit(False).alias("same")))
 
 
 def median_and_top(df: DataFrame, by: str, value: str) -> DataFrame:

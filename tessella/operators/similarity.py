@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.expr import cosine, hamming, iou
-from ..sources.tables import cut
+from ..functions.expr import cosine, hamming, iou, normalised
+from ..sources.tables import cut, discard
+from . import sweep
 from .relational import top
 
 #: Rows of a block, about: a product of two blocks is one task's work.
@@ -91,40 +95,53 @@ def nearest_in_time(pairs: DataFrame, by: str, cap: int = 120) -> DataFrame:
 
 
 def anchored_pairs(df: DataFrame, key: str, source: str, at: str, vector: str, width: float, least: float) -> DataFrame:
-    """a, b, sim inside windows that start at the first row after the last window's end, per source.
-
-    A gap of more than the width always ends a window, and the row behind it starts one whatever came
-    before; so a source falls into stretches without such gaps, and only the distinct times of a stretch
-    are walked in turn. The pairs of a window are then joined by (source, anchor)."""
-    kinds = dict(df.dtypes)
-    times = df.filter(F.col(at).isNotNull()).select(source, F.col(at).alias("t")).distinct()
-    w = Window.partitionBy(source).orderBy("t")
-    gap = (F.col("t") - F.lag("t").over(w) > F.lit(width)).cast("int")
-    times = times.withColumn("stretch", F.sum(F.coalesce(gap, F.lit(1))).over(w))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        anchors, start = [], None
-        for t in pdf["t"]:
-            if start is None or t - start > width:
-                start = t
-            anchors.append(start)
-        return pd.DataFrame({source: pdf[source], "t": pdf["t"], "anchor": anchors})
-
-    marks = times.groupBy(source, "stretch").applyInPandas(assign, f"{source} {kinds[source]}, t {kinds[at]}, anchor {kinds[at]}")
-    rows = df.select(key, source, F.col(at).alias("t"), F.col(vector).alias("v")).join(marks, [source, "t"])
-    a = rows.select(source, "anchor", F.col(key).alias("a"), F.col("v").alias("va"))
-    b = rows.select(source, "anchor", F.col(key).alias("b"), F.col("v").alias("vb"))
-    return a.join(b, [source, "anchor"]).filter("a < b").withColumn("sim", cosine("va", "vb")).filter(F.col("sim") >= least).select("a", "b", "sim")
+    """a, b, sim (cosine, 12 digits) of rows in one window, per source: a window starts at the first row after the
+    end of the last one. Anchors are marked by doubled pointers (`sweep.marks`), rows take their time's anchor,
+    and the rows of a window meet as blocks of products of their directions, however many they are."""
+    marked = sweep.marks(df, source, at, width)
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(source), F.col(at), normalised(vector).alias("v")).join(cut(marked, "windows"), [source, at])
+    rows = cut(rows.select("k", "v", F.struct(F.col(source).alias("s"), "anchor").alias("window")), "anchored")
+    return similar_pairs(rows, "k", "v", least, within="window", digits=12)
 
 
 # Dot products of blocks ---------------------------------------------------------------------------------
-def _packed(df: DataFrame, key: str, vector: str, blocks: int, more: list[str], groups: list[str]) -> DataFrame:
-    """A row per block (and group): its rows as a list. Blocks are dealt by the key's hash, and there are as
-    many as the counted rows need, so a list has about BLOCK_ROWS rows."""
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    row = F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(more)])
-    return df.filter(F.col(vector).isNotNull()).groupBy(*groups, block.alias("block")).agg(F.collect_list(row).alias("rows"))
+#: Directions that rows are dealt by, at most: a sample of vectors, which only decides which rows share a block.
+PIVOTS = 512
+#: Bytes of all blocks' summaries, which go to every task; a table with more is compared without bounds.
+SUMMARY_BYTES = 64 << 20
+#: Blocks that each block of queries meets first, to learn how near its neighbours are.
+FIRST = 2
+SLACK = 1e-7
+
+
+def _block_count(n: int) -> int:
+    return max(4, -(-n // BLOCK_ROWS)) if n > 256 else 1
+
+
+def _packed(df: DataFrame, key: str, vector: str, blocks: int, more: list[str], groups: list[str], pivots: np.ndarray | None = None) -> DataFrame:
+    """A row per block (and group): its rows as a list of about BLOCK_ROWS rows at most. Blocks are dealt by the key's
+    hash, or, with pivots, by the nearest pivot's direction and then, where that is more than a block, by the
+    hash."""
+    rows = df.filter(F.col(vector).isNotNull()).select(*groups, F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(more)])
+    row = F.struct("k", "v", *[f"m{i}" for i in range(len(more))])
+    if pivots is None:
+        return rows.groupBy(*groups, F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(row).alias("rows"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                cell = np.argmax(v @ pivots.T, axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=[*b.schema.names, "cell"])
+
+    dealt = cut(rows.mapInArrow(deal, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())])), "dealt")
+    parts, first = {r["cell"]: max(1, -(-r["count"] // BLOCK_ROWS)) for r in dealt.groupBy("cell").count().collect()}, 0
+    starts = []
+    for c in range(len(pivots)):
+        starts.append((first, parts.get(c, 1)))
+        first += parts.get(c, 1)
+    start, n = (F.get(F.array(*[F.lit(x[i]) for x in starts]), F.col("cell")) for i in (0, 1))
+    return dealt.groupBy((start + F.pmod(F.xxhash64("k"), n.cast("bigint"))).cast("int").alias("block")).agg(F.collect_list(row).alias("rows"))
 
 
 def _side(rows: pa.ListArray, i: int, more: int) -> tuple:
@@ -132,37 +149,115 @@ def _side(rows: pa.ListArray, i: int, more: int) -> tuple:
     v = part.field("v")
     n = len(part)
     flat = v.flatten().to_numpy(zero_copy_only=False)
+    if n and len(flat) % n or len(pc.unique(pc.list_value_length(v))) > 1:
+        lengths = pc.list_value_length(v).to_pylist()
+        odd = next((k for k, x in zip(part.field("k").to_pylist(), lengths) if x != lengths[0]), None)
+        raise ValueError(f"vectors have different lengths: {odd} isn't as long as {part.field('k')[0]}")
     return part.field("k"), flat.reshape(n, -1) if n else flat.reshape(0, 0), [part.field(f"m{j}") for j in range(more)]
 
 
-def _cells(queries: DataFrame, refs: DataFrame, key: str, vector: str, q_more: list[str], r_more: list[str], kernel: Callable, schema: str, same: bool = False, group: str | None = None) -> DataFrame:
-    """kernel(q, r, sims) for each pair of blocks of queries and references: both sides are (keys, vectors,
-    more columns), sims their dot products, rounded so that equal vectors tie; it gives the columns of
-    schema. same: both sides are one table and a pair of blocks counts once."""
-    n = max(queries.count(), refs.count())
-    blocks = max(4, -(-n // BLOCK_ROWS)) if n > 256 else 1
-    groups = [group] if group else []
-    q = _packed(queries, key, vector, blocks, q_more, groups).withColumnRenamed("rows", "q")
-    r = _packed(refs, key, vector, blocks, r_more, groups).withColumnRenamed("rows", "r").withColumnRenamed("block", "other")
-    q = q.withColumn("other", F.explode(F.sequence(F.col("block") if same else F.lit(0), F.lit(blocks - 1))))
-    names = [c.split(" ")[0] for c in schema.split(", ")]
+def _products(q: DataFrame, r: DataFrame, pairs: DataFrame, kernel: Callable, schema: str, q_more: int, r_more: int, groups: list[str] = ()) -> DataFrame:
+    """kernel(q, r, sims) for each pair (block, other) of blocks of queries and references: both sides are (keys,
+    vectors, more columns), sims their dot products, rounded so that equal vectors tie; it gives the columns of
+    schema, after the block's number."""
+    names = ["block", *(c.split(" ")[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = _side(batch.column(0), i, len(q_more)), _side(batch.column(1), i, len(r_more))
+                a, b = _side(batch.column(0), i, q_more), _side(batch.column(1), i, r_more)
                 if len(a[0]) and len(b[0]):
+                    if a[1].shape[1] != b[1].shape[1]:
+                        raise ValueError(f"vectors have different lengths: {a[0][0]} isn't as long as {b[0][0]}")
                     out = kernel(a, b, np.round(a[1] @ b[1].T, 12))
                     if len(out[0]):
-                        yield pa.RecordBatch.from_arrays(list(out), names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array([batch.column(2)[i].as_py()] * len(out[0]), pa.int32()), *out], names=names)
+
+    sides = pairs.join(q.withColumnRenamed("rows", "q"), [*groups, "block"]).join(r.withColumnRenamed("rows", "r").withColumnRenamed("block", "other"), [*groups, "other"])
+    tasks = 4 * int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sides.select("q", "r", "block").repartition(tasks).mapInArrow(run, f"block int, {schema}")
+
+
+def _all_pairs(q: DataFrame, r: DataFrame, groups: list[str], same: bool) -> DataFrame:
+    """Every pair of blocks, of each group; same: both sides are one table and a pair counts once."""
+    a, b = q.select(*groups, "block"), r.select(*groups, F.col("block").alias("other"))
+    if groups:
+        met = a.join(b, groups)
+    else:
+        n = (r.agg(F.max("block")).first()[0] or 0) + 1
+        met = a.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return met.filter("other >= block") if same else met
+
+
+def _summaries(packed: DataFrame, n: int) -> tuple[np.ndarray, ...] | None:
+    """Of each block the direction of its mean, the largest angle to it, and the least and the largest length of
+    its vectors; None where they are too large to send to all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                _, v, _ = _side(b.column(1), i, 0)
+                size = np.linalg.norm(v, axis=1)
+                mean = (v / np.maximum(size, 1e-300)[:, None]).mean(axis=0)
+                length = np.linalg.norm(mean)
+                mean = mean / length if length > 1e-9 else mean
+                sure = length > 1e-9 and size.min() > 0
+                wide = float(np.arccos(np.clip((v @ mean) / size, -1, 1)).max()) if sure else math.pi
+                out.append((b.column(0)[i].as_py(), mean.tolist(), wide, float(size.min()), float(size.max())))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64()))], names=["block", "mean", "wide", "lo", "hi"])
+
+    width = packed.select(F.size(F.get("rows", F.lit(0))["v"]).alias("n")).first()
+    if width is None or 8 * n * (width["n"] + 3) > SUMMARY_BYTES:
+        return None
+    got = {r["block"]: r for r in packed.select("block", "rows").mapInArrow(run, "block int, mean array<double>, wide double, lo double, hi double").collect()}
+    none = [0.0] * width["n"]
+    rows = [(got[i]["mean"], got[i]["wide"], got[i]["lo"], got[i]["hi"], 1.0) if i in got else (none, 0.0, 0.0, 0.0, 0.0) for i in range(n)]
+    return tuple(np.array([r[j] for r in rows]) for j in range(5))
+
+
+def _bounded_pairs(spark, q: tuple, r: tuple, same: bool) -> DataFrame:
+    """block, other, most: for all pairs of blocks that hold rows the largest dot product two of their vectors can have. Angles obey
+    the triangle inequality, so it is that at the angle between the means less both widths."""
+    sent = spark.sparkContext.broadcast((q, r))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (means, wide, lo, hi, some), (means2, wide2, lo2, hi2, some2) = sent.value
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                angle = np.arccos(np.clip(means2 @ means[i], -1, 1)) - wide[i] - wide2
+                cosine_ = np.cos(np.clip(angle, 0, math.pi))
+                most = np.where(cosine_ >= 0, cosine_ * hi[i] * hi2, cosine_ * lo[i] * lo2)
+                j = np.flatnonzero((some2 > 0) & (some[i] > 0) & ((np.arange(len(some2)) >= i) | (not same)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i, np.int32)), pa.array(j.astype(np.int32)), pa.array(most[j])], names=["block", "other", "most"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.range(0, len(q[1]), 1, min(len(q[1]), 4 * tasks)).mapInArrow(run, "block int, other int, most double")
 
-    return q.join(r, [*groups, "other"]).select("q", "r").repartition(max(1, min(blocks * blocks, 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(run, schema)
+
+def _pivots(df: DataFrame, key: str, vector: str, n: int) -> np.ndarray:
+    """Vectors of length 1 of up to n rows, those whose keys have the smallest hashes."""
+    rows = df.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit("pivot"), F.col(key).cast("string")), key).limit(n)
+    v = np.array([r[0] for r in rows.select(F.col(vector).cast("array<double>")).collect()])
+    if not len(v):
+        return np.zeros((0, 0))
+    return v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+
+
+def _dealt(df: DataFrame, key: str, vector: str, more: list[str], group: str | None, n: int, pivots: np.ndarray | None) -> tuple[DataFrame, tuple | None]:
+    """Written blocks, and their summaries where they are dealt by direction."""
+    packed = cut(_packed(df, key, vector, _block_count(n), more, [group] if group else [], pivots), "blocks")
+    if pivots is None:
+        return packed, None
+    return packed, _summaries(packed, (packed.agg(F.max("block")).first()[0] or 0) + 1)
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: str | None = None, digits: int = 4) -> DataFrame:
-    """a < b, sim of unit vectors whose dot product is at least `least`, all pairs of the table or of each
-    group. Blocks of about BLOCK_ROWS rows meet each other once, as matrix products inside tasks, and only
-    pairs that are near enough leave them. The work is quadratic; see interval_pairs for time series."""
+    """a < b, sim of vectors whose dot product is at least `least`, all pairs of the table or of each
+    group. Rows stand in blocks of about BLOCK_ROWS that meet once, as matrix products inside tasks, and only
+    pairs that are near enough leave them. Where a table has more than a few blocks its rows are dealt by direction, and
+    pairs of blocks whose angle rules such a product out are skipped; the result's `skipped` says how many of
+    how many. Without clusters in the data the work is quadratic; see interval_pairs for time series."""
     kind = dict(df.dtypes)[key]
 
     def kernel(a, b, sims):
@@ -170,9 +265,61 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: st
         x, y = a[0].take(pa.array(i)), b[0].take(pa.array(j))
         return x, y, pa.array(sims[i, j])
 
-    j = _cells(df, df, key, vector, [], [], kernel, f"x {kind}, y {kind}, sim double", same=True, group=within).filter("x != y")
+    n = df.count()
+    groups = [within] if within else []
+    directed = not within and _block_count(n) > 4
+    pivots = _pivots(df, key, vector, min(PIVOTS, _block_count(n))) if directed else None
+    pivots = pivots if pivots is not None and len(pivots) else None
+    packed, summary = _dealt(df, key, vector, [], within, n, pivots)
+    skipped = None
+    if summary is None:
+        pairs = _all_pairs(packed, packed, groups, True)
+    else:
+        bounded = cut(_bounded_pairs(df.sparkSession, summary, summary, True), "block-pairs")
+        pairs = bounded.filter(F.col("most") >= least - SLACK).select("block", "other")
+        total = bounded.count()
+        skipped = (total - pairs.count(), total)
+    j = _products(packed, packed, pairs, kernel, f"x {kind}, y {kind}, sim double", 0, 0, groups).filter("x != y")
     # In a block's product with itself each pair comes twice.
-    return j.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("sim", digits).alias("sim")).dropDuplicates(["a", "b"])
+    out = j.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("sim", digits).alias("sim")).dropDuplicates(["a", "b"])
+    out.skipped = skipped
+    return out
+
+
+def _nearest(queries: DataFrame, refs: DataFrame, key: str, vector: str, q_more: list[str], r_more: list[str], kernel: Callable, schema: str, k: int, part: list[str], part_of: list[str], floor: float | None) -> tuple[DataFrame, tuple | None]:
+    """Rows of schema (query, ref, sim, ...) that hold the k best of each query and part (columns of schema; part_of are those of
+    refs), and how many pairs of blocks of how many were skipped. Each block of queries first meets the few
+    blocks that can be nearest; a block that can't reach the k-th best of any of its queries isn't met. floor: what a
+    kernel may put in place of a lower product."""
+    n = max(queries.count(), refs.count())
+    directed = _block_count(n) > 4
+    pivots = _pivots(refs, key, vector, min(PIVOTS, _block_count(n))) if directed else None
+    if pivots is not None and not len(pivots):
+        pivots = None
+    (q, qs), (r, rs) = _dealt(queries, key, vector, q_more, None, n, pivots), _dealt(refs, key, vector, r_more, None, n, pivots)
+    sides = dict(kernel=kernel, schema=schema, q_more=len(q_more), r_more=len(r_more))
+    if qs is None or rs is None:
+        return _products(q, r, _all_pairs(q, r, [], False), **sides).drop("block"), None
+    bounded = _bounded_pairs(queries.sparkSession, qs, rs, False)
+    if floor is not None:
+        bounded = bounded.withColumn("most", F.greatest("most", F.lit(floor)))
+    bounded = cut(bounded, "block-pairs")
+    rank = F.row_number().over(Window.partitionBy("block").orderBy(F.col("most").desc(), "other"))
+    first = cut(bounded.withColumn("rn", rank).filter(F.col("rn") <= FIRST).select("block", "other"), "first-pairs")
+    found = cut(_products(q, r, first, **sides), "nearest")
+    # The k-th best of each query and part so far; a block's least one bounds what must still be met.
+    at = F.row_number().over(Window.partitionBy("query", *part).orderBy(F.col("sim").desc()))
+    kth = found.withColumn("rn", at).filter(F.col("rn") == k).groupBy("block", *part).agg(F.min("sim").alias("reach"), F.count("*").alias("have"))
+    sizes = q.select("block", F.size("rows").alias("size"))
+    full = cut(kth.join(sizes, "block").filter("have = size").select("block", *part, "reach"), "reach")
+    left = bounded.join(first, ["block", "other"], "left_anti")
+    if part:
+        holds = cut(r.select(F.col("block").alias("other"), F.explode("rows").alias("x")).select("other", *[F.col(f"x.m{r_more.index(c)}").alias(p) for p, c in zip(part, part_of)]).distinct(), "parts-of-blocks")
+        left = left.join(holds, "other")
+    left = left.join(full, ["block", *part], "left").filter(F.col("reach").isNull() | (F.col("most") >= F.col("reach") - SLACK)).select("block", "other").distinct()
+    left = cut(left, "other-pairs")
+    total, met = bounded.count(), first.count() + left.count()
+    return found.unionByName(_products(q, r, left, **sides)).drop("block"), (total - met, total)
 
 
 def _best(sims: np.ndarray, k: int) -> np.ndarray:
@@ -184,8 +331,8 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
 
 def knn(queries: DataFrame, refs: DataFrame, key: str, vector: str, label: str, k: int, valid: tuple[str, str] | None = None, skip_self: bool = False) -> DataFrame:
     """query, ref, label, sim, rank: the k references with the largest dot product; ties go to the smaller
-    key. valid names a column of each side: a reference counts where the query's value isn't below its own
-    (a date before a birth) or either is null; others score -1. Each pair of blocks gives its best k."""
+    key. `skipped` on the result says how many pairs of blocks of how many weren't met. valid names a column of each side: a reference counts where the query's value isn't below its own
+    (a date before a birth) or either is null; others score -1. Each pair of blocks that is met gives its best k."""
     kinds, r_kinds = dict(queries.dtypes), dict(refs.dtypes)
     q_more, r_more = ([valid[0]] if valid else []), [label, *([valid[1]] if valid else [])]
 
@@ -203,9 +350,12 @@ def knn(queries: DataFrame, refs: DataFrame, key: str, vector: str, label: str,
         q, r = pa.array(i), pa.array(j)
         return a[0].take(q), b[0].take(r), b[2][0].take(r), pa.array(sims[i, j])
 
-    found = _cells(queries, refs, key, vector, q_more, r_more, kernel, f"query {kinds[key]}, ref {r_kinds[key]}, label {r_kinds[label]}, sim double")
+    schema = f"query {kinds[key]}, ref {r_kinds[key]}, label {r_kinds[label]}, sim double"
+    found, skipped = _nearest(queries, refs, key, vector, q_more, r_more, kernel, schema, k, [], [], -1.0 if valid else None)
     w = Window.partitionBy("query").orderBy(F.col("sim").desc(), "ref")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out.skipped = skipped
+    return out
 
 
 def class_similarity(df: DataFrame, key: str, vector: str, label: str, best: int = 3) -> DataFrame:
@@ -229,17 +379,43 @@ def class_similarity(df: DataFrame, key: str, vector: str, label: str, best: int
         return a[0].take(q), a[2][0].take(q), b[2][0].take(r), b[0].take(r), pa.array(sims[i, j])
 
     d = df.filter(F.col(label).isNotNull())
-    found = _cells(d, d, key, vector, [label], [label], kernel, f"query {kinds[key]}, own {kinds[label]}, label {kinds[label]}, ref {kinds[key]}, sim double")
+    schema = f"query {kinds[key]}, own {kinds[label]}, label {kinds[label]}, ref {kinds[key]}, sim double"
+    found, skipped = _nearest(d, d, key, vector, [label], [label], kernel, schema, best, ["label"], [label], None)
     w = Window.partitionBy("query", "label").orderBy(F.col("sim").desc(), "ref")
-    return found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= best).groupBy("query", "own", "label").agg(F.avg("sim").alias("score"))
+    out = found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= best).groupBy("query", "own", "label").agg(F.avg("sim").alias("score"))
+    out.skipped = skipped
+    return out
 
 
 def box_pairs(df: DataFrame, key: str, group: str, box: tuple[str, str, str, str], least: float) -> DataFrame:
-    """a < b of one group whose boxes overlap by more than `least` (intersection over union)."""
-    a = df.select(F.col(group), F.col(key).alias("a"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(box)])
-    b = df.select(F.col(group), F.col(key).alias("b"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(box)])
-    over = iou(tuple(f"a{i}" for i in range(4)), tuple(f"b{i}" for i in range(4)))
-    return a.join(b, group).filter("a < b").withColumn("iou", over).filter(F.col("iou") > least).select(group, "a", "b", "iou")
+    """a < b of one group whose boxes (x, y, w, h) overlap by more than `least` (intersection over union).
+
+    A box lies on the grid whose cells are at least as large as it, a power of two wide, so it touches four of them
+    at most. Boxes that overlap by more than `least` differ in width and height by a factor of 1 / least at
+    most, so a box also goes to so many coarser grids (for 0, to all that the table has). A pair meets on the
+    coarser box's grid and counts in the cell that holds the lower corner of its intersection, once. Boxes without an
+    area, or with a null, overlap nothing."""
+    if least < 0:
+        raise ValueError("an overlap is 0 at least")
+    x, y, w, h = (F.col(c).cast("double") for c in box)
+    boxes = df.select(F.col(group).alias("g"), F.col(key).alias("k"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    boxes = boxes.filter("w > 0 and h > 0 and x is not null and y is not null and g is not null")
+    boxes = boxes.withColumn("level", F.ceil(F.log2(F.greatest("w", "h"))).cast("int"))
+    if least > 0:
+        up = F.sequence(F.col("level"), F.col("level") + math.ceil(math.log2(1 / least)) + 1)
+    else:
+        ends = boxes.agg(F.max("level").alias("m")).first()
+        up = F.sequence(F.col("level"), F.lit(ends["m"] if ends["m"] is not None else 0))
+    at = boxes.withColumn("grid", F.explode(up)).withColumn("side", F.pow(F.lit(2.0), F.col("grid")))
+    span = lambda lo, n: F.sequence(F.floor(F.col(lo) / F.col("side")), F.floor((F.col(lo) + F.col(n)) / F.col("side")))
+    at = at.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
+    names = ["k", "x", "y", "w", "h", "level"]
+    a, b = (at.select("g", "grid", "cx", "cy", *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "ab")
+    met = a.join(b, ["g", "grid", "cx", "cy"]).filter((F.col("k_a") < F.col("k_b")) & (F.col("grid") == F.greatest("level_a", "level_b")))
+    side = F.pow(F.lit(2.0), F.col("grid"))
+    met = met.filter((F.floor(F.greatest("x_a", "x_b") / side) == F.col("cx")) & (F.floor(F.greatest("y_a", "y_b") / side) == F.col("cy")))
+    over = iou(tuple(f"{c}_a" for c in "xywh"), tuple(f"{c}_b" for c in "xywh"))
+    return met.withColumn("iou", over).filter(F.col("iou") > least).select(F.col("g").alias(group), F.col("k_a").alias("a"), F.col("k_b").alias("b"), "iou")
 
 
 def first_hit(pairs: DataFrame, new: str, old: str) -> DataFrame:
@@ -247,31 +423,96 @@ def first_hit(pairs: DataFrame, new: str, old: str) -> DataFrame:
     return pairs.groupBy(new).agg(F.min(old).alias(old))
 
 
+#: Boxes of one group that a single task suppresses; larger groups go in rounds over all tasks.
+TASK_BOXES = 2_000
+#: Rounds before the conflicts that are left are dealt to tasks by their components.
+SUPPRESS_ROUNDS = 16
+
+
 def suppress(df: DataFrame, key: str, group: str, box: tuple[str, str, str, str], score: str, most: float) -> DataFrame:
-    """Greedy non-maximum suppression per group (an image's boxes, so groups are small): by descending
-    score a box stays unless it overlaps one that stays by more than `most`."""
+    """Greedy non-maximum suppression per group: by descending score (null last), then ascending key, a box
+    stays unless it overlaps one that stays by more than `most`. Keys are unique in a group. A group of up to TASK_BOXES boxes, as
+    an image's are, is one task's; of larger ones the conflicts are found by `box_pairs`, and in each round
+    every box that comes before all those it conflicts with stays and the ones it conflicts with go, which is what
+    the greedy order does."""
     kinds = dict(df.dtypes)
-
+    rows = df.select(group, key, *box, F.col(score).cast("double").alias("__score"))
+    large = cut(rows.groupBy(group).count().filter(F.col("count") > TASK_BOXES).select(group), "large-groups")
+    small = rows.join(large, group, "left_anti").groupBy(group).applyInPandas(_suppressed(key, group, list(box), most), f"{group} {kinds[group]}, {key} {kinds[key]}")
+    if large.isEmpty():
+        return small
+    rows = rows.join(large, group, "left_semi")
+    pairs = box_pairs(rows, key, group, box, most)
+    place = F.struct(F.col("__score").isNull().alias("none"), (-F.coalesce("__score", F.lit(0.0))).alias("s"), F.col(key).alias("k"))
+    order = rows.select(F.col(group).alias("g"), F.col(key).alias("a"), place.alias("ra"))
+    edges = pairs.select(F.col(group).alias("g"), "a", "b").join(order, ["g", "a"]).join(order.withColumnsRenamed({"a": "b", "ra": "rb"}), ["g", "b"])
+    edges = edges.select("g", "a", "b", "ra", "rb")
+    edges = cut(edges.unionByName(edges.select("g", F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb"))), "conflicts")
+    gone: list[DataFrame] = []
+    while not edges.isEmpty():
+        for _ in range(SUPPRESS_ROUNDS):
+            ahead = edges.groupBy("g", "a").agg(F.min("rb").alias("best"), F.min("ra").alias("ra")).filter("ra < best").select("g", "a")
+            ahead = cut(ahead, "staying")
+            gone.append(cut(edges.join(ahead, ["g", "a"], "left_semi").select("g", "b").distinct(), "suppressed"))
+            out = gone[-1].unionByName(ahead.withColumnRenamed("a", "b"))
+            left = edges.join(out.withColumnRenamed("b", "a"), ["g", "a"], "left_anti").join(out, ["g", "b"], "left_anti").select(*edges.columns)
+            old, edges = edges, cut(left, "conflicts")
+            discard(old)
+            if edges.isEmpty():
+                break
+        else:
+            edges = _by_components(edges, gone)
+    every = gone[0]
+    for g in gone[1:]:
+        every = every.unionByName(g)
+    kept = rows.select(group, key).join(every.select(F.col("g").alias(group), F.col("b").alias(key)), [group, key], "left_anti")
+    return small.unionByName(kept.select(group, key))
+
+
+def _by_components(edges: DataFrame, gone: list[DataFrame]) -> DataFrame:
+    """Conflicts of long chains, which rounds would follow box by box: each component of up to graph.TASK_EDGES of
+    them is walked by one task. Returns those of larger components."""
+    from . import graph
+
+    node = lambda c: F.struct(F.col("g"), F.col(c).alias("k"))
+    comp = graph.components(edges.select(node("a").alias("a"), node("b").alias("b")))
+    placed = cut(edges.withColumn("node", node("a")).join(comp, "node").drop("node"), "placed-conflicts")
+    large = cut(placed.groupBy("component").count().filter(F.col("count") > 2 * graph.TASK_EDGES).select("component"), "large-conflicts")
+    kinds = dict(edges.dtypes)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        place: dict = {}
+        for a, b, r in zip(pdf["a"], pdf["b"], pdf["ra"]):
+            near.setdefault(a, []).append(b)
+            place[a] = (r["none"], r["s"], r["k"])
+        out: set = set()
+        for a in sorted(place, key=place.__getitem__):
+            if a not in out:
+                out.update(near[a])
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(out), "b": sorted(out)})
+
+    small = placed.join(large, "component", "left_anti")
+    gone.append(cut(small.groupBy("component").applyInPandas(walk, f"g {kinds['g']}, b {kinds['b']}"), "suppressed"))
+    return cut(placed.join(large, "component", "left_semi").select(*edges.columns), "conflicts")
+
+
+def _suppressed(key: str, group: str, box: list[str], most: float):
     def nms(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__score", key], ascending=[False, True])
-        kept: list[tuple] = []
-        ids = []
-        for row in pdf[[key, *box]].itertuples(index=False):
-            i, x, y, w, h = row
-            clear = True
-            for x2, y2, w2, h2 in kept:
-                iw = max(0.0, min(x + w, x2 + w2) - max(x, x2))
-                ih = max(0.0, min(y + h, y2 + h2) - max(y, y2))
-                union = w * h + w2 * h2 - iw * ih
-                if union > 0 and iw * ih / union > most:
-                    clear = False
-                    break
-            if clear:
-                kept.append((x, y, w, h))
-                ids.append(i)
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(ids), key: ids})
-
-    return df.select(group, key, *box, F.col(score).alias("__score")).groupBy(group).applyInPandas(nms, f"{group} {kinds[group]}, {key} {kinds[key]}")
+        x, y, w, h = (pdf[c].to_numpy(dtype=float) for c in box)
+        clear, kept = np.ones(len(pdf), dtype=bool), []
+        for i in range(len(pdf)):
+            if clear[i]:
+                kept.append(i)
+                iw = np.maximum(0.0, np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x))
+                ih = np.maximum(0.0, np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y))
+                union = w[i] * h[i] + w * h - iw * ih
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    clear &= ~((union > 0) & (iw * ih / union > most))
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(kept), key: pdf[key].iloc[kept].tolist()})
+
+    return nms
 
 
 def first_match(new: DataFrame, matches: list[DataFrame], key: str, group: str) -> DataFrame:

@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from . import aggregates, library, media, relational, rules, similar  # noqa: F401
+    from . import aggregates, edits, library, media, relational, rules, similar  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

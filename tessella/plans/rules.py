@@ -138,7 +138,7 @@ def trigram_counts(spark, sf_dir):
     """
 WITH t AS (SELECT conv_id, turn, role AS day, list_distinct(string_split(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' ')) AS tags FROM conversations),
 p AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, a.day IS NOT DISTINCT FROM b.day AS same, len(list_intersect(a.tags, b.tags)) AS i, len(list_distinct(list_concat(a.tags, b.tags))) AS u FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn)
-SELECT conv_id, a, b, round(CASE WHEN same THEN 0.5 ELSE 0 END + coalesce(0.5 * i / nullif(u, 0), 0), 6) AS sim FROM p"""
+SELECT conv_id, a, b, CASE WHEN same THEN 0.5 ELSE 0 END + coalesce(0.5 * i / nullif(u, 0), 0) AS sim FROM p"""
 )
 def mmr_sim(spark, sf_dir):
     """All turns with all their words: a conversation stands for a query's candidates, a role for a day."""
@@ -146,14 +146,14 @@ def mmr_sim(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", tags.alias("tags"))
     a = t.select("conv_id", F.col("turn").alias("a"), F.col("role").alias("da"), F.col("tags").alias("ta"))
     b = t.select("conv_id", F.col("turn").alias("b"), F.col("role").alias("db"), F.col("tags").alias("tb"))
-    return a.join(b, "conv_id").filter("a < b").select("conv_id", "a", "b", F.round(X.mmr_similarity("da", "db", "ta", "tb"), 6).alias("sim"))
+    return a.join(b, "conv_id").filter("a < b").select("conv_id", "a", "b", X.mmr_similarity("da", "db", "ta", "tb").alias("sim"))
 
 
 @query(
     """
 WITH t AS (SELECT doc_id, doc_id // 64 AS query, CAST(doc_id % 5 AS VARCHAR) AS day, list_distinct(string_split(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' ')) AS tags FROM documents),
 p AS (SELECT a.query, a.doc_id AS a, b.doc_id AS b, a.day = b.day AS same, len(list_intersect(a.tags, b.tags)) AS i, len(list_distinct(list_concat(a.tags, b.tags))) AS u FROM t a JOIN t b ON a.query = b.query AND a.doc_id < b.doc_id)
-SELECT query, a, b, round(CASE WHEN same THEN 0.5 ELSE 0 END + 0.5 * i / u, 6) AS sim FROM p"""
+SELECT query, a, b, CASE WHEN same THEN 0.5 ELSE 0 END + 0.5 * i / u AS sim FROM p"""
 )
 def mmr_sim_all(spark, sf_dir):
     """All documents with all their words: each run of 64 ids stands for a query's candidates."""
@@ -161,7 +161,7 @@ def mmr_sim_all(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 64).alias("query"), (F.col("doc_id") % 5).cast("string").alias("day"), tags.alias("tags"))
     a = t.select("query", F.col("doc_id").alias("a"), F.col("day").alias("da"), F.col("tags").alias("ta"))
     b = t.select("query", F.col("doc_id").alias("b"), F.col("day").alias("db"), F.col("tags").alias("tb"))
-    return a.join(b, "query").filter("a < b").select("query", "a", "b", F.round(X.mmr_similarity("da", "db", "ta", "tb"), 6).alias("sim"))
+    return a.join(b, "query").filter("a < b").select("query", "a", "b", X.mmr_similarity("da", "db", "ta", "tb").alias("sim"))
 
 
 @query()

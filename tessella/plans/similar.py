@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import graph as G
+from ..operators import grouping as E
 from ..operators import scoring as S
+from ..operators import sets as K
 from ..operators import similarity as M
+from ..operators import sweep
 from ..operators.relational import top
 from ..sources.tables import table
 from .catalog import query
@@ -70,6 +73,55 @@ def capped_candidates(spark, sf_dir):
     return M.nearest_in_time(pairs, "a", 2).select("a", "dt", "b")
 
 
+@query(
+    """
+SELECT event_id, near, dt, CAST(rank AS INTEGER) AS rank FROM (SELECT a.event_id, b.event_id AS near, abs(epoch_us(a.ts) - epoch_us(b.ts)) AS dt, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(epoch_us(a.ts) - epoch_us(b.ts)), b.event_id) AS rank
+  FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 172800000000) WHERE rank <= 4"""
+)
+def nearest_candidates(spark, sf_dir):
+    """The four events of the same user nearest in time, before or after, within 48 hours."""
+    return sweep.nearest(_timed(spark, sf_dir), "event_id", "user_id", "us", 172800000000, 4)
+
+
+@query(
+    """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events), f AS (SELECT user_id, min(us) AS us FROM e GROUP BY 1),
+n(user_id, us) AS (SELECT * FROM f UNION ALL SELECT n.user_id, min(e.us) FROM n JOIN e ON e.user_id = n.user_id AND e.us > n.us + 86400000000 GROUP BY n.user_id)
+SELECT e.event_id, max(n.us) AS anchor FROM e JOIN n ON n.user_id = e.user_id AND n.us <= e.us GROUP BY 1"""
+)
+def anchor_marks(spark, sf_dir):
+    """Windows of a day that start at a user's first event after the end of the last window."""
+    e = _timed(spark, sf_dir)
+    return e.join(sweep.marks(e, "user_id", "us", 86400000000), ["user_id", "us"]).select("event_id", "anchor")
+
+
+@query(
+    r"""
+WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +'), lambda x: len(x) > 3))) AS s FROM documents),
+c AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS first FROM t WHERE len(s) > 0),
+u AS (SELECT doc_id, unnest(s) AS w FROM c WHERE doc_id = first), n AS (SELECT doc_id, len(s) AS n FROM c WHERE doc_id = first),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a, b, i / (x.n + y.n - i) AS sim FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE i / (x.n + y.n - i) >= 0.6
+UNION ALL SELECT first, doc_id, 1.0 FROM c WHERE first <> doc_id"""
+)
+def similar_token_sets(spark, sf_dir):
+    """Documents whose sets of longer words are alike to six tenths; copies are linked with their first."""
+    words = F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " +"), lambda x: F.length(x) > 3)
+    return K.similar_sets(table(spark, sf_dir, "documents").select("doc_id", words.alias("s")), "doc_id", "s", 0.6)
+
+
+@query(
+    """
+WITH u AS (SELECT DISTINCT doc_id, sha256(line) AS d FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 30),
+f AS (SELECT d, min(doc_id) AS first FROM u GROUP BY 1)
+SELECT DISTINCT first, doc_id FROM u JOIN f USING (d) WHERE first < doc_id"""
+)
+def shared_digests(spark, sf_dir):
+    """Documents that have the digest of any longer line in common, linked with the first that has it."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 30)
+    return K.sharing(table(spark, sf_dir, "documents").select("doc_id", F.transform(lines, lambda x: F.sha2(x, 256)).alias("d")), "doc_id", "d")
+
+
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 4) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND {_DOT} >= 0.3")
 def label_cosine(spark, sf_dir):
     return M.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3, within="label")
@@ -139,6 +191,36 @@ def similarity_components(spark, sf_dir):
     return G.components(M.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4).select("a", "b"))
 
 
+@query(
+    """
+WITH RECURSIVE u AS (SELECT doc_id, sha256(line) AS d FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 30),
+f AS (SELECT d, min(doc_id) AS first FROM u GROUP BY 1), e AS (SELECT DISTINCT first AS a, doc_id AS b FROM u JOIN f USING (d) WHERE first < doc_id),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM s UNION SELECT s.b, r.m FROM r JOIN s ON s.a = r.n)
+SELECT n AS node, min(m) AS component FROM r GROUP BY 1"""
+)
+def incremental_components(spark, sf_dir):
+    """Links over shared lines that come in three batches, by id: each batch only moves the components it touches."""
+    links = shared_digests(spark, sf_dir).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    labels = G.components(links.filter("(a + b) % 3 = 0"))
+    for k in (1, 2):
+        labels = E.extend_components(labels, links.filter(f"(a + b) % 3 = {k}")).select("node", "component")
+    return labels
+
+
+@query()
+def similar_grouping(spark, sf_dir):
+    """One run of the grouping step over new vectors; tests hold it against a loop. Every tenth vector leads an old
+    group of the two after it, every third of the others was done before; bounds fit these vectors."""
+    m = _moments(spark, sf_dir)
+    asset = F.format_string("a%07d", F.col("vec_id"))
+    photos = m.select("vec_id", asset.alias("asset_id"), F.col("label").cast("string").alias("source"), "at", X.sign_bits("embedding", 64).alias("code"), "embedding", F.get("embedding", F.lit(0)).cast("double").alias("score"))
+    photos = photos.withColumn("digest", F.sha2(F.to_json(F.slice("embedding", 1, 1)), 256)).withColumnRenamed("embedding", "vector")
+    old = photos.filter("vec_id % 10 < 3").withColumn("group_id", X.serial_id("sim_", F.expr("vec_id div 10")))
+    groups = old.filter("vec_id % 10 = 0").select("group_id", F.col("asset_id").alias("best"))
+    step = E.similar_step(photos.drop("vec_id"), groups, old.select("group_id", "asset_id"), photos.filter("vec_id % 10 in (5, 8)").select("asset_id"), photos.filter("vec_id % 50 = 0").select("asset_id"), append=(18, 60), near=(20, 400), alike=(0.3, 90))
+    return step[0]
+
+
 @query(
     """
 WITH g AS (SELECT sha256(text) AS d, min(doc_id) AS group_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),
@@ -250,17 +332,25 @@ def asset_score_pick(spark, sf_dir):
     return best.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "score")
 
 
+def _number(*parts: str) -> str:
+    return f"CAST('0x' || substr(sha256(concat_ws(chr(31), {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
 @query(
-    """
-WITH c AS (SELECT label FROM embeddings GROUP BY 1 HAVING count(*) >= 5),
-p AS (SELECT vec_id AS k, label AS l, row_number() OVER (PARTITION BY label ORDER BY sha256('7' || chr(31) || vec_id), vec_id) AS p FROM embeddings JOIN c USING (label)),
-s AS (SELECT a.k AS a, b.k AS b, row_number() OVER (PARTITION BY a.l ORDER BY b.p - a.p, a.p) AS rn FROM p a JOIN p b ON a.l = b.l AND b.p > a.p AND b.p <= a.p + 28),
-m AS (SELECT k, l, row_number() OVER (ORDER BY sha256('8' || chr(31) || k), k) AS p FROM p WHERE p <= 400),
-d AS (SELECT a.k AS a, b.k AS b, row_number() OVER (PARTITION BY a.l ORDER BY b.p - a.p, a.p) AS rn FROM m a JOIN m b ON a.l <> b.l AND b.p > a.p AND b.p <= a.p + 3)
-SELECT a, b, true AS same FROM s WHERE rn <= 400 UNION ALL SELECT a, b, false FROM d WHERE rn <= 400"""
+    f"""
+WITH c AS (SELECT label AS l, count(*) AS n, count(*) * (count(*) - 1) // 2 AS pairs FROM embeddings GROUP BY 1 HAVING count(*) >= 5),
+p AS (SELECT vec_id AS k, label AS l, row_number() OVER (PARTITION BY label ORDER BY sha256('7' || chr(31) || vec_id), vec_id) - 1 AS p FROM embeddings JOIN c ON l = label),
+q AS (SELECT l, CASE WHEN pairs <= 1600 THEN i ELSE {_number("'7'", "'inside'", "l", "i")} % pairs END AS number, CASE WHEN pairs <= 1600 THEN {_number("'7'", "'order'", "l", "i")} ELSE i END AS o FROM c, range(1600) t(i) WHERE pairs > 1600 OR i < pairs),
+r AS (SELECT l, number, row_number() OVER (PARTITION BY l ORDER BY o, number) AS rn FROM (SELECT l, number, min(o) AS o FROM q GROUP BY 1, 2)),
+s AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON a.l = b.l AND a.p < b.p JOIN r ON r.l = a.l AND r.number = b.p * (b.p - 1) // 2 + a.p AND rn <= 400),
+o AS (SELECT l, n, row_number() OVER (ORDER BY l) - 1 AS c, count(*) OVER () AS m FROM c), t AS (SELECT count(*) AS n FROM s),
+d AS (SELECT d, {_number("'7'", "'first'", "d")} % m AS ca, {_number("'7'", "'second'", "d")} % (m - 1) AS cb FROM (SELECT unnest(range(4 * n)) AS d, (SELECT max(m) FROM o) AS m FROM t)),
+e AS (SELECT d, x.l AS la, {_number("'7'", "'a'", "d")} % x.n AS pa, y.l AS lb, {_number("'7'", "'b'", "d")} % y.n AS pb FROM d JOIN o x ON x.c = ca JOIN o y ON y.c = CASE WHEN cb >= ca THEN cb + 1 ELSE cb END),
+f AS (SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, min(d) AS d FROM e JOIN p x ON x.l = la AND x.p = pa JOIN p y ON y.l = lb AND y.p = pb GROUP BY 1, 2)
+SELECT least(a, b) AS a, greatest(a, b) AS b, true AS same FROM s UNION ALL SELECT a, b, false FROM (SELECT a, b, row_number() OVER (ORDER BY d) AS rn FROM f) WHERE rn <= (SELECT n FROM t)"""
 )
 def calibration_pairs(spark, sf_dir):
-    """Seeded pairs of the same and of different classes, up to 400 of each per class."""
+    """Seeded pairs inside each class, up to 400, and as many of different classes; all pairs are equally likely."""
     return S.sample_pairs(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs as pa_fs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +104,56 @@ def write_json_lines(df: DataFrame, path: str, resume: bool = False) -> None:
     df.write.mode("append" if resume else "overwrite").json(path)
 
 
+def publish(df: DataFrame, folder: str, batch: str | int) -> bool:
+    """Writes df as JSON lines into folder/batch=<batch>, once: a batch that is there already changes nothing. Returns
+    whether this call published it.
+
+    Tasks write into a staging folder of this call. When all have succeeded, the driver adds the result line and renames the
+    folder, so a batch appears whole with its result line or not at all; what a failed call has staged is
+    deleted, and readers never look there. With the batch id of foreachBatch a stream's rows are published exactly once."""
+    spark = df.sparkSession
+    target = f"{folder.rstrip('/')}/batch={batch}"
+    if exists(spark, target):
+        return False
+    stage = f"{folder.rstrip('/')}/_staging/{uuid.uuid4().hex}"
+    fs, staged = _store(spark, stage)
+    seen = Observation()
+    began = time.time()
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.json(stage)
+        line = json.dumps({"batch": str(batch), "rows": seen.get["rows"], "seconds": round(time.time() - began, 3)})
+        out = fs.create(_store(spark, f"{stage}/_result.json")[1])
+        out.write(bytearray((line + "\n").encode()))
+        out.close()
+        # A rename onto a folder that has appeared meanwhile would move this one into it.
+        return False if fs.exists(_store(spark, target)[1]) else bool(fs.rename(staged, _store(spark, target)[1]))
+    finally:
+        fs.delete(staged, True)
+
+
+def published(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of all published batches, with their batch."""
+    if not exists(spark, folder) or not _batches(spark, folder):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("string"))
+    return spark.read.schema(f"{schema}, batch string").json(folder)
+
+
+def _batches(spark: SparkSession, folder: str) -> list[str]:
+    fs, p = _store(spark, folder)
+    return sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().startswith("batch=")) if fs.exists(p) else []
+
+
+def result_lines(spark: SparkSession, folder: str) -> list[dict]:
+    """The result line of each published batch."""
+    out = []
+    for b in _batches(spark, folder):
+        fs, p = _store(spark, f"{b}/_result.json")
+        stream = fs.open(p)
+        out.append(json.loads(bytes(stream.readAllBytes()).decode()))
+        stream.close()
+    return out
+
+
 def snapshot(df: DataFrame, folder: str, name: str) -> str:
     """A copy taken before a change; returns its path."""
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
@@ -125,15 +179,45 @@ def binary_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
 
 
+#: Bytes of a file that a task holds at once.
+CHUNK = 1 << 20
+
+
+def large_file_digests(files: DataFrame) -> DataFrame:
+    """path, byte_size, sha256, error of files (path), of any size: each file is read in chunks from its own store by one task, which
+    holds a chunk and the digest's state. A file that can't be read gets an error instead. Paths are dealt by their hash."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path in b.column(0).to_pylist():
+                try:
+                    fs, at = pa_fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}")
+                    state, size = hashlib.sha256(), 0
+                    with fs.open_input_stream(at) as f:
+                        while chunk := f.read(CHUNK):
+                            state.update(chunk)
+                            size += len(chunk)
+                    rows.append((path, size, state.hexdigest(), None))
+                except (OSError, ValueError, TypeError, AttributeError) as e:
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"[:300]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "byte_size", "sha256", "error"])
+
+    tasks = 4 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path").repartition(tasks, "path").mapInArrow(run, "path string, byte_size bigint, sha256 string, error string")
+
+
 def file_digests(files: DataFrame) -> DataFrame:
+    """Of files whose content is a column, each below 2 GB; see `large_file_digests`."""
     return files.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
 
 
 def first_existing(wanted: DataFrame, *candidates: DataFrame, on: str = "asset_id", value: str = "path") -> DataFrame:
-    """For each wanted key the value of the first candidate table that has it, else null."""
+    """For each wanted key the value of the first candidate table that has it, else null; of several values in
+    one table the least."""
     out = wanted
     for i, c in enumerate(candidates):
-        out = out.join(c.select(on, F.col(value).alias(f"__{i}")).dropDuplicates([on]), on, "left")
+        out = out.join(c.groupBy(on).agg(F.min(value).alias(f"__{i}")), on, "left")
     return out.withColumn(value, F.coalesce(*[F.col(f"__{i}") for i in range(len(candidates))])).drop(*[f"__{i}" for i in range(len(candidates))])
 
 
@@ -142,6 +226,21 @@ def constants(spark: SparkSession, rows: dict, key: str, columns: str) -> DataFr
     return spark.createDataFrame([(k, *(v if isinstance(v, tuple) else (v,))) for k, v in rows.items()], f"{key} string, {columns}")
 
 
+#: Rows of a dimension that is sent to all tasks; a larger one is joined by shuffle.
+BROADCAST_PLACES = 100_000
+
+
+def placed(geo: DataFrame, cities: DataFrame) -> DataFrame:
+    """geo (province, city, ...) with lat and lon of its city, or, where the city is blank or unknown, of the first
+    city of its province (least lat, lon); null where neither is known."""
+    known = cities.groupBy("province", "city").agg(F.min(F.struct("lat", "lon")).alias("__city"))
+    capital = cities.groupBy("province").agg(F.min(F.struct("lat", "lon")).alias("__province"))
+    few = cities.count() <= BROADCAST_PLACES
+    known, capital = (F.broadcast(x) if few else x for x in (known, capital))
+    out = geo.join(known, ["province", "city"], "left").join(capital, "province", "left").withColumn("__at", F.coalesce("__city", "__province"))
+    return out.select(*geo.columns, "__at.lat", "__at.lon")
+
+
 def markdown(df: DataFrame, limit: int = 200) -> str:
     """A report table of a small result; limit is the report's length."""
     rows = df.limit(limit).collect()

@@ -29,3 +29,15 @@ def windowed(stream: DataFrame, at: str, late: str, size: str, slide: str | None
 def sessions(stream: DataFrame, at: str, late: str, gap: str, by: list[str]) -> DataFrame:
     """Extension: session windows that end after a gap."""
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap), *by).agg(F.count("*").alias("n"))
+
+
+def interval_pairs(left: DataFrame, right: DataFrame, source: str, at: str, key: str, seconds: int, late: str) -> DataFrame:
+    """a, b, source: pairs of rows of two streams with one source whose times are at most so many seconds apart. Both
+    sides have watermarks and the range bounds how long a row can find partners, so state behind both is
+    dropped: rows later than `late` behind the latest time seen are left out, all others give the pairs that a
+    join of the whole tables gives, each once."""
+    a = left.select(F.col(key).alias("a"), F.col(source).alias("sa"), F.col(at).alias("ta")).withWatermark("ta", late)
+    b = right.select(F.col(key).alias("b"), F.col(source).alias("sb"), F.col(at).alias("tb")).withWatermark("tb", late)
+    width = F.expr(f"interval {int(seconds)} seconds")
+    near = (F.col("sa") == F.col("sb")) & (F.col("tb") >= F.col("ta") - width) & (F.col("tb") <= F.col("ta") + width)
+    return a.join(b, near).select("a", "b", F.col("sa").alias(source))

@@ -117,7 +117,7 @@ def test_services_and_things_found(spark):
 
 
 def test_text_regions_and_heads(spark):
-    rows = [([(" a ", 0.9), ("", 0.9), ("b", 0.2), ("c" * 700, 0.6)],), ([],), (None,)]
+    rows = [([(" a ", 0.9), ("", 0.9), ("b", 0.2), ("d", 0.52), ("c" * 700, 0.6)],), ([],), (None,)]
     out = [r["x"] for r in spark.createDataFrame(rows, "r array<struct<text:string,confidence:double>>").select(X.text_regions("r").alias("x")).collect()]
     assert (out[0]["n_regions"], out[0]["mean_conf"], len(out[0]["text"])) == (2, 0.75, 600) and tuple(out[1]) == tuple(out[2]) == (0, 0.0, "")
     assert spark.range(1).select(X.linear_head(F.array(F.lit(1.0), F.lit(2.0)), [0.5, 0.25], 3.0)).first()[0] == 4.0

@@ -89,12 +89,12 @@ def test_marks_and_steps(spark):
     misses = spark.createDataFrame([], "asset_id string, step string")
 
     def half(todo):
-        return todo.filter("asset_id < 'a2'"), todo.filter("asset_id >= 'a2'").select("asset_id")
+        return todo.withColumn("missed", F.col("asset_id") >= "a2")
 
     def broken(todo):
         raise RuntimeError("no model")
 
-    steps = [I.Step("half", half), I.Step("broken", broken), I.Step("all", lambda t: (t, t.limit(0)))]
+    steps = [I.Step("half", half), I.Step("broken", broken), I.Step("all", lambda t: t)]
     state, misses, out, report = I.run_steps(assets, state, misses, steps)
     assert report.done == {"half": 2, "all": 4} and "no model" in report.errors["broken"]
     state2, misses2, _, report2 = I.run_steps(assets, state, misses, steps)
@@ -115,23 +115,35 @@ def test_repeated_keys_of_a_delta(spark):
 
 
 def test_a_step_runs_once(spark):
-    """What a step gives is the same for its marks, its count and its caller."""
+    """A step that misses half of its assets, and gives another half each time it is run: it runs once for each
+    asset, and every asset is either marked or missed."""
     runs = spark.sparkContext.accumulator(0)
 
     def work(todo):
         def each(parts):
+            import random
+
             for p in parts:
                 runs.add(len(p))
-                yield p
+                yield p.assign(missed=[random.random() < 0.5 for _ in range(len(p))])
 
-        done = todo.mapInPandas(each, todo.schema)
-        return done, todo.limit(0)
+        return todo.mapInPandas(each, "asset_id string, missed boolean")
 
-    assets = spark.createDataFrame([(f"a{i}",) for i in range(7)], "asset_id string")
+    assets = spark.createDataFrame([(f"a{i:02d}",) for i in range(40)], "asset_id string")
     state = spark.createDataFrame([], "asset_id string, step string, version string")
     misses = spark.createDataFrame([], "asset_id string, step string")
-    state, _, out, report = I.run_steps(assets, state, misses, [I.Step("work", work)], limit=5)
-    assert report.done == {"work": 5} and out["work"].count() == 5 and state.count() == 5 and runs.value == 5
+    state, misses, out, report = I.run_steps(assets, state, misses, [I.Step("work", work)], limit=30)
+    ids = lambda df: sorted(r["asset_id"] for r in df.collect())
+    assert runs.value == 30 and report.done["work"] == out["work"].count() == state.count()
+    assert ids(state) == ids(out["work"]) and sorted(ids(state) + ids(misses)) == [f"a{i:02d}" for i in range(30)]
+
+
+def test_update_from_takes_one_change_a_key(spark):
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (None, "c", 0)], "k int, s string, n int")
+    changes = spark.createDataFrame([(1, "x", 5), (1, "y", 4), (3, "z", 1), (None, "w", 1)], "k int, s string, n int")
+    rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert rows(C.update_from(old, changes, ["k"], ["s"])) == rows(spark.createDataFrame([(1, "y", 0), (2, "b", 0), (None, "c", 0)], old.schema))
+    assert rows(C.update_from(old, changes, ["k"], ["s"], [F.col("n")]))[0] == repr((1, "x", 0))
 
 
 def test_decision_log_keeps_assets_away(spark):

@@ -127,6 +127,24 @@ def test_order_statistics(spark):
     assert S.best_f1(df.limit(0).withColumn("same", F.lit(True)), "v", "same").count() == 0
 
 
+@pytest.mark.parametrize("gather", [50_000, 40])
+def test_order_statistics_by_refinement(spark, monkeypatch, gather):
+    """Ties, both signs, both zeros, tiny and infinite values; ranges are cut again and again until few values are left."""
+    monkeypatch.setattr(S, "GATHER", gather)
+    monkeypatch.setattr(S, "GUESS", 60)
+    r = random.Random(5)
+    values = [r.choice([0.0, -0.0, 3.0, r.gauss(0, 1), r.gauss(1e9, 5), -r.random() * 1e-300, 7.5 + r.random() * 1e-9]) for _ in range(4000)] + [float("inf")] * 3 + [float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    order = sorted(values)
+    points = [i / 400 for i in range(1, 400)]
+    for p, got in zip(points, S.order_statistics(df, "v", points)):
+        x = p * (len(order) - 1)
+        lo, hi = order[int(x)], order[min(len(order) - 1, int(x) + 1)]
+        assert got == (lo if x == int(x) else lo + (hi - lo) * (x - int(x)))
+    with_nan = df.unionByName(spark.createDataFrame([(float("nan"),)] * 4000, "v double"))
+    assert np.isnan(S.order_statistics(with_nan, "v", [0.9])[0]) and S.order_statistics(with_nan, "v", [0.0]) == [float("-inf")]
+
+
 def test_assignment_rules(spark):
     """In order: not valid, too far, too small a lead, too small a share."""
     def decide(labels, sims=None, least=0.5, kids=("kid",)):
