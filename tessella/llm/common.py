@@ -89,6 +89,18 @@ def bounds_below(bounds: list, key: Column, kind: str = "bigint") -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
+def spread_alike(rows: DataFrame, like: str, usual: int) -> DataFrame:
+    """rows, a written table with the number of the part it came from (__part), with __sub: 0, but the part's number plus 1 for
+    rows whose value of `like` occurs more than `usual` times. Rows alike can be dealt by it, and as any of them serves in any
+    place, results don't depend on the parts. There are fewer such values than rows / usual."""
+    hot = sorted(r[like] for r in rows.groupBy(like).count().filter(F.col("count") > usual).select(like).collect())
+    if not hot:
+        return rows.withColumn("__sub", F.lit(0))
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(h, 1) for h in hot], f"{like} bigint, __hot int")
+    return rows.join(F.broadcast(table), like, "left").withColumn("__sub", F.when(F.col("__hot") == 1, F.col("__part") + 1).otherwise(F.lit(0))).drop("__hot")
+
+
 #: Bounds in one literal list, at most; more are looked up in two steps.
 LITERAL_BOUNDS = 256
 

@@ -11,7 +11,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, bounds_below, cut, partitions
+from .common import WORD_BREAK, bounds_below, cut, partitions, spread_alike
 
 BUCKETS = 16
 BUDGET = 8192
@@ -71,13 +71,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     n_tokens is `length`, a Column, or the number of words. A batch holds floor(budget / boundary)
     documents of one bucket, at least one, so a document longer than the budget is a batch of its own.
     Batches are numbered from 0 over all buckets by ascending boundary; inside a bucket documents go in
-    an order fixed by the hash of their id, and only the last batch of a bucket can be short. Null and
+    an order fixed by the hash of their id and text, and only the last batch of a bucket can be short.
+    Ids may be null or repeated: texts deal their rows, and many rows alike are dealt by where they were read. Null and
     empty texts have 0 tokens and form batches like others. Repeated rows are packed each. An empty table
     gives no rows. Other columns are left out.
     """
     spark = df.sparkSession
     n = word_count(F.col(f"`{text_col}`")) if length is None else length.cast("bigint")
-    rows = cut(df.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(n, F.lit(0)).alias("n_tokens")), "packing")
+    like = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`") if text_col in df.columns else n)
+    rows = cut(df.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(n, F.lit(0)).alias("n_tokens"), like.alias("__h"), F.spark_partition_id().alias("__part")), "packing")
     # One row per distinct length comes to the driver, at most as many as the longest document has tokens.
     hist = sorted((r["n_tokens"], r["count"]) for r in rows.groupBy("n_tokens").count().collect())
     bounds = choose_boundaries([a for a, _ in hist], [b for _, b in hist], buckets)
@@ -91,18 +93,22 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     all_rows = sum(total.values())
     slices = [max(1, -(-4 * partitions(spark) * total.get(i, 0) // max(1, all_rows))) for i in range(len(bounds))]
     per = F.get(F.array(*[F.lit(s) for s in slices]), F.col("__bucket")) if bounds else F.lit(1)
-    rows = rows.withColumn("__h", F.xxhash64(F.col(f"`{id_col}`"))).withColumn("__slice", F.pmod(F.col("__h"), per.cast("bigint")).cast("int"))
+    rows = spread_alike(rows, "__h", max(1, all_rows // (4 * partitions(spark))))
+    rows = rows.withColumn("__slice", F.pmod(F.col("__h"), per.cast("bigint")).cast("int"))
     first, offsets = 0, []
-    counts = {(r["__bucket"], r["__slice"]): r["count"] for r in rows.groupBy("__bucket", "__slice").count().collect()}
+    held: dict[int, list[tuple[int, int, int]]] = {}
+    for r in rows.groupBy("__bucket", "__slice", "__sub").count().collect():
+        held.setdefault(r["__bucket"], []).append((r["__slice"], r["__sub"], r["count"]))
     for b in range(len(bounds)):
         size, start = max(1, budget // max(1, bounds[b])), 0
-        for s in range(slices[b]):
-            offsets.append((b, s, start, first, size, bounds[b]))
-            start += counts.get((b, s), 0)
+        for s, sub, k in sorted(held.get(b, [])):
+            offsets.append((b, s, sub, start, first, size, bounds[b]))
+            start += k
         first += -(-start // size)
-    table = spark.createDataFrame(offsets, "__bucket int, __slice int, __from bigint, __first bigint, __size bigint, boundary bigint")
-    rows = rows.join(F.broadcast(table), ["__bucket", "__slice"])
-    w = Window.partitionBy("__bucket", "__slice").orderBy("__h", id_col, "n_tokens")
+    table = spark.createDataFrame(offsets, "__bucket int, __slice int, __sub int, __from bigint, __first bigint, __size bigint, boundary bigint")
+    parts = ["__bucket", "__slice", "__sub"]
+    rows = rows.join(F.broadcast(table), parts)
+    w = Window.partitionBy(*parts).orderBy("__h", id_col, "n_tokens")
     at = F.col("__from") + F.row_number().over(w) - 1
     rows = rows.withColumn("__at", at)
     return rows.select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounds_below, cut, partitions
+from .common import bounds_below, cut, partitions, spread_alike
 
 PROBES = 32
 KEY_BITS = 62
@@ -61,8 +61,9 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
 
     Shards are ranges of (hash of text, id). Equal texts stay in one shard, unless a boundary falls into a
     group so large that leaving it whole would miss the target by more than group_tolerance of a shard:
-    then ids split the group. Slots number a shard's rows without gaps in (hash, id) order; repeated rows
-    have a slot each. A null text counts as empty, a null id sorts first. An empty table gives no rows. Columns of df named like
+    then ids split the group. Slots number a shard's rows without gaps, range of hashes by range, in (hash, id)
+    order; a crowded range is dealt by the hash of ids first, and many rows of one id and text by where they
+    were read. Repeated rows have a slot each. A null text counts as empty, a null id sorts first. An empty table gives no rows. Columns of df named like
     the new ones are replaced. With fewer rows than shards some shards stay empty.
     """
     spark = df.sparkSession
@@ -75,12 +76,14 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
             (F.octet_length(text) + 1).cast("bigint").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.shiftrightunsigned(F.xxhash64(text), 64 - KEY_BITS).alias("__key"),
+            F.xxhash64(text, F.col(f"`{id_col}`")).alias("__like"),
+            F.spark_partition_id().alias("__part"),
         ),
         "shard-rows",
     )
     total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     if not total["n"]:
-        return rows.drop("__key").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("bigint"))
+        return rows.drop("__key", "__like", "__part").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("bigint"))
     each = total["b"] / shards
     fine = max(1, -(-2 * partitions(spark) // shards))
     targets = [each * i for i in range(1, shards)]
@@ -115,18 +118,19 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     # Slots: fine ranges of the key are counted, then numbered apart; a hot key spreads over salts of the id.
     width = (1 << KEY_BITS) // (fine * shards) + 1
     rows = rows.withColumn("__fine", F.expr(f"cast(__key div {width} as int)"))
-    parts = ["shard", "__fine", "__salt"]
+    parts = ["shard", "__fine", "__salt", "__sub"]
     usual = max(1, total["n"] // (fine * shards))
+    rows = spread_alike(rows, "__like", usual)
     big = sorted({r["__fine"] for r in rows.groupBy("__fine").count().filter(F.col("count") > 4 * usual).collect()})
     salt = F.pmod(F.xxhash64(ident), F.lit(4 * fine)).cast("int")
     rows = rows.withColumn("__salt", F.when(F.col("__fine").isin(big), salt).otherwise(F.lit(0)) if big else F.lit(0))
     counts = rows.groupBy(*parts).count()
     # One row per (shard, fine range, salt): a few per shuffle partition, whatever the table's size.
     start, offsets = {}, []
-    for r in sorted(counts.collect(), key=lambda r: (r["shard"], r["__fine"], r["__salt"])):
-        offsets.append((r["shard"], r["__fine"], r["__salt"], start.get(r["shard"], 0)))
+    for r in sorted(counts.collect(), key=lambda r: tuple(r[p] for p in parts)):
+        offsets.append((*(r[p] for p in parts), start.get(r["shard"], 0)))
         start[r["shard"]] = start.get(r["shard"], 0) + r["count"]
-    table = spark.createDataFrame(offsets, "shard int, __fine int, __salt int, __from bigint")
+    table = spark.createDataFrame(offsets, "shard int, __fine int, __salt int, __sub int, __from bigint")
     rows = rows.join(F.broadcast(table), parts)
     w = Window.partitionBy(*parts).orderBy("__key", F.col(f"`{id_col}`"), "size", "text_crc32")
-    return rows.withColumn("slot", F.col("__from") + F.row_number().over(w) - 1).drop("__key", "__fine", "__salt", "__from")
+    return rows.withColumn("slot", F.col("__from") + F.row_number().over(w) - 1).drop("__key", "__like", "__part", "__fine", "__salt", "__sub", "__from")

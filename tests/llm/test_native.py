@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tessella.llm import common as C
 from tessella.llm import fingerprint as P
 from tessella.llm import packing, quality, sharding, url_filter
 
@@ -292,3 +293,24 @@ def test_long_texts_and_texts_without_spaces(spark):
     prints = {r["doc_id"]: r for r in P.fingerprint_edits(df).collect()}
     assert prints[1]["n_chars"] == len(long) and prints[3]["fingerprint"] == ""
     assert sharding.shard(df, 3).count() == 3
+
+
+def test_many_rows_alike_are_spread(spark):
+    """Most rows have no id and one text: batches are full and slots gapless all the same, and rows alike are dealt by where
+    they were read; other rows keep their places whatever the partitions."""
+    rows = [(None, "same few words")] * 3000 + [(None, f"other {i}") for i in range(40)] + [(i, f"text {i} more") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (7, 2):
+        packed = packing.pack(df.repartition(parts), buckets=2, budget=30).collect()
+        batches = defaultdict(list)
+        for r in packed:
+            batches[r["batch"]].append(r["place"])
+        assert len(packed) == len(rows) and all(sorted(p) == list(range(len(p))) for p in batches.values()) and sorted(batches) == list(range(len(batches)))
+        cut = sharding.shard(df.repartition(parts), 4).collect()
+        slots = defaultdict(list)
+        for r in cut:
+            slots[r["shard"]].append(r["slot"])
+        assert len(cut) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    part = spark.createDataFrame([(i, i % 5, i % 3) for i in range(90)] + [(500, 9, 1)], "n int, like long, __part int")
+    got = {r["n"]: r["__sub"] for r in C.spread_alike(part, "like", 10).collect()}
+    assert got[500] == 0 and all(got[i] == i % 3 + 1 for i in range(90))
