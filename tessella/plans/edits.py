@@ -97,7 +97,7 @@ def people_suggestions(spark, sf_dir):
 
 @query(
     """
-SELECT doc_id AS asset_id, CASE WHEN k THEN x ELSE 0.0 END AS x, CASE WHEN k THEN 0.25 ELSE 0.0 END AS y, CASE WHEN k THEN 0.5 ELSE 1.0 END AS w, CASE WHEN k THEN 0.5 ELSE 1.0 END AS h, k AS cropped
+SELECT doc_id AS asset_id, CAST(CASE WHEN k THEN x ELSE 0.0 END AS DOUBLE) AS x, CAST(CASE WHEN k THEN 0.25 ELSE 0.0 END AS DOUBLE) AS y, CAST(CASE WHEN k THEN 0.5 ELSE 1.0 END AS DOUBLE) AS w, CAST(CASE WHEN k THEN 0.5 ELSE 1.0 END AS DOUBLE) AS h, k AS cropped
 FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 0.5 ELSE 0.125 END AS x, (doc_id % 2 = 0 OR doc_id % 3 = 1) AND doc_id % 7 > 0 AS k FROM documents)"""
 )
 def crop_edits(spark, sf_dir):
@@ -110,7 +110,7 @@ def crop_edits(spark, sf_dir):
 
 @query(
     """
-SELECT c_custkey AS asset_id, CASE WHEN c_custkey % 5 > 0 THEN n_name ELSE '' END AS city, r_name AS province, CASE WHEN c_custkey % 5 > 0 THEN n_nationkey * 1.5 ELSE m END AS lat
+SELECT c_custkey AS asset_id, CASE WHEN c_custkey % 5 > 0 THEN n_name ELSE '' END AS city, r_name AS province, CAST(CASE WHEN c_custkey % 5 > 0 THEN n_nationkey * 1.5 ELSE m END AS DOUBLE) AS lat
 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN (SELECT n_regionkey AS k, min(n_nationkey) * 1.5 AS m FROM nation GROUP BY 1) ON k = r_regionkey"""
 )
 def city_places(spark, sf_dir):
