@@ -207,6 +207,8 @@ def round_even(c, digits: int) -> Column:
     return F.bround(_c(c), digits)
 
 
+# The thresholds and labels of the next three functions, the penalties of `combined_quality` and the terms
+# of `asset_score`.
 def blur_label(score, blurry: float = 300.0, soft: float = 1200.0) -> Column:
     return F.when(_c(score) < blurry, "blurry").when(_c(score) < soft, "soft").otherwise("sharp")
 
@@ -225,7 +227,7 @@ def face_quality(width, height, blur, pose) -> Column:
 
 
 def combined_quality(aesthetic, label) -> Column:
-    """The aesthetic score with a penalty by blur label, 3 decimals; an unknown label has none. A penalty
+    """Fixed penalties: the aesthetic score with a penalty by blur label, 3 decimals; an unknown label has none. A penalty
     raises a negative score, which is kept as it is known."""
     factor = F.when(_c(label) == "blurry", 0.5).when(_c(label) == "soft", 0.85).otherwise(1.0)
     return round_even(_c(aesthetic) * factor, 3)
@@ -241,7 +243,7 @@ def mercator_y(lat) -> Column:
 
 
 def asset_score(label, aesthetic, mean, spread, width, height, has_face) -> Column:
-    """Sharpness term + 2 tanh of the standardised aesthetic + 0.4 ln(area + 1) + 1.5 with a face; 4
+    """Fixed terms: sharpness term + 2 tanh of the standardised aesthetic + 0.4 ln(area + 1) + 1.5 with a face; 4
     decimals. A missing label counts as sharp, a missing aesthetic as none."""
     blur = F.when(_c(label) == "blurry", -6.0).when(_c(label) == "soft", 0.0).when(_c(label).isNull() | (_c(label) == "sharp"), 2.0).otherwise(0.0)
     z = F.when(_c(aesthetic).isNotNull() & (_c(spread) > 1e-6), 2.0 * F.tanh((_c(aesthetic) - _c(mean)) / (2.0 * _c(spread)))).otherwise(0.0)

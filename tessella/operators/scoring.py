@@ -127,7 +127,7 @@ def junk_reasons(name: Column, path: Column) -> Column:
 
 
 def log_profile(name: Column) -> Column:
-    """camera, profile, confidence, is_log by a video's name; is_log is null where the picture must decide,
+    """camera, profile, confidence, is_log by a video's name (fixed names and confidences); is_log is null where the picture must decide,
     and the struct is null without a hint."""
     low = F.lower(F.coalesce(name, F.lit("")))
 
@@ -487,11 +487,11 @@ def assign_people(neighbours: DataFrame, children: DataFrame, least: float, k: i
     top label leads by less than two votes: abstain_margin; it has too small a share, children need more:
     abstain_ratio; else assign. Tied labels go to the one with the nearest neighbour. children: (label)."""
     kids = children.select("label").distinct().withColumn("child", F.lit(True))
-    first = neighbours.filter("rank = 1").join(F.broadcast(kids), "label", "left").select("query", F.col("sim").alias("top_sim"), F.coalesce("child", F.lit(False)).alias("top_child"))
+    first = neighbours.filter("rank = 1").join(kids, "label", "left").select("query", F.col("sim").alias("top_sim"), F.coalesce("child", F.lit(False)).alias("top_child"))
     votes = neighbours.groupBy("query", "label").agg(F.count("*").alias("votes"), F.min("rank").alias("nearest"))
     w = Window.partitionBy("query").orderBy(F.col("votes").desc(), "nearest")
     best = votes.withColumns({"rn": F.row_number().over(w), "second": F.coalesce(F.lead("votes").over(w), F.lit(-2)), "n": F.sum("votes").over(Window.partitionBy("query"))})
-    best = best.filter("rn = 1").join(F.broadcast(kids), "label", "left").join(first, "query")
+    best = best.filter("rn = 1").join(kids, "label", "left").join(first, "query")
     need = F.lit(least) + F.when(F.col("top_child"), CHILD_SIM).otherwise(0.0)
     share = F.least(F.lit(MOST_RATIO), F.lit(ratio) + F.when(F.coalesce("child", F.lit(False)), CHILD_RATIO).otherwise(0.0))
     decision = (

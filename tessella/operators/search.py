@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 
 def trigrams(c: Column) -> Column:
     """Distinct three-character pieces of the lower-cased text, by a lookahead: linear in its length."""
@@ -82,7 +84,8 @@ def rerank(df: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
         out.insert(0, "query", key[0])
         return out
 
-    picks = best.groupBy("query").applyInPandas(run, f"query {kinds['query']}, id {kinds['id']}, pick long")
+    # Written, as the picks are read four times and the greedy choice should run once.
+    picks = cut(best.groupBy("query").applyInPandas(run, f"query {kinds['query']}, id {kinds['id']}, pick long"), "picks")
     taken = picks.groupBy("query").agg(F.count("*").alias("taken"))
     others = positions(df.select("query", "id", "score").join(picks, ["query", "id"], "left_anti"), [F.col("query"), *order], "__at")
     first = others.groupBy("query").agg(F.min("__at").alias("__first"))

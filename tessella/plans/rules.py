@@ -314,10 +314,20 @@ def reassign_all(spark, sf_dir):
     return C.reassign_person(f, people, "7", "N", "R")[0] if n else f
 
 
-@query("SELECT * FROM (VALUES ('person', 'b', '', 1, 1), ('person', 'a', '', 0, 1), ('person', 'z', 'p', 7, 0)) t(kind, target, parent, sort_order, show_on_home)")
+@query(
+    """
+WITH l AS (SELECT r_name AS kind, n_name AS target, '' AS parent, CAST(n_nationkey AS INTEGER) AS sort_order, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS show_on_home FROM nation JOIN region ON r_regionkey = n_regionkey),
+m AS (SELECT min(kind) AS kind FROM l), p AS (SELECT target, CAST(row_number() OVER (ORDER BY target DESC) - 1 AS INTEGER) AS place FROM l WHERE kind = (SELECT kind FROM m))
+SELECT kind, l.target, parent, CASE WHEN kind = (SELECT kind FROM m) THEN place ELSE sort_order END AS sort_order, show_on_home FROM l LEFT JOIN p ON p.target = l.target AND kind = (SELECT kind FROM m)
+UNION ALL SELECT kind, 'somewhere', '', (SELECT CAST(count(*) AS INTEGER) FROM p), 1 FROM m"""
+)
 def layout_sort(spark, sf_dir):
-    old = spark.createDataFrame([("person", "b", "", 5, 1), ("person", "z", "p", 7, 0)], "kind string, target string, parent string, sort_order int, show_on_home int")
-    return C.sort_layout(old, "person", ["a", "b"])
+    """Nations are laid out by region; those of the first region are put in falling order, a new one behind them."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    old = n.select(F.col("r_name").alias("kind"), F.col("n_name").alias("target"), F.lit("").alias("parent"), F.col("n_nationkey").cast("int").alias("sort_order"), F.when(F.col("n_nationkey") % 2 == 0, 1).otherwise(0).alias("show_on_home"))
+    kind = old.agg(F.min("kind")).first()[0]
+    asked = [r[0] for r in old.filter(F.col("kind") == kind).orderBy(F.col("target").desc()).select("target").collect()]  # a user's list of a page
+    return C.sort_layout(old, kind, [*asked, "somewhere"])
 
 
 @query("SELECT 'unique' AS constraint_name, count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'quantity', count(*) FROM lineitem WHERE l_quantity > 49")

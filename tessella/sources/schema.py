@@ -37,12 +37,14 @@ class Registry:
         """Creates missing tables, applies pending migrations in order of version, and fails on a table
         without its first columns. A migration adds its columns as nulls in a rewritten table, which then
         takes the old one's place; the old one stays beside it as `<name>.before-<version>`. Columns that
-        exist already are left as they are. Applied versions are kept in `schema_migrations`, so a second
-        run changes nothing."""
+        exist already are left as they are. Applied versions are kept in `schema_migrations` by table, so a second
+        run changes nothing and one that ended between two tables of a version goes on with the other."""
         created, applied = [], []
         log = f"{folder}/schema_migrations.parquet"
-        done = {r["version"] for r in spark.read.parquet(log).select("version").distinct().collect()} if exists(spark, log) else set()
-        pending = [m for m in sorted(self.migrations) if m[0] not in done]
+        logged = spark.read.schema("version string, table_name string").parquet(log) if exists(spark, log) else None
+        done = {(r["version"], r["table_name"]) for r in logged.distinct().collect()} if logged is not None else set()
+        # A line without a table was written before lines had one: the version is done for all its tables.
+        pending = [m for m in sorted(self.migrations) if not {(m[0], m[1]), (m[0], None)} & done]
         for name in sorted(self.tables):
             path, staged = f"{folder}/{name}.parquet", f"{folder}/{name}.next"
             if not exists(spark, path) and exists(spark, staged):  # a run ended between the two renames
@@ -63,7 +65,7 @@ class Registry:
                 old.withColumns({f.name: F.lit(None).cast(f.dataType) for f in new}).write.mode("overwrite").parquet(staged)
                 move(spark, path, f"{folder}/{name}.before-{version}")
                 move(spark, staged, path)
-            spark.createDataFrame([(version,)], "version string").write.mode("append").parquet(log)
+            spark.createDataFrame([(version, name)], "version string, table_name string").write.mode("append").parquet(log)
             applied.append(version)
         return {"created": created, "applied": applied}
 

