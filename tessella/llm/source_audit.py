@@ -26,7 +26,7 @@ SMOOTH = 5
 UNIT = 1_000_000_000
 TOP = 50
 #: Bytes of texts that are split at once, partial counts that a task holds, pairs of sources that it holds.
-BYTES, HELD, PAIRS = 8 << 20, 400_000, 200_000
+BYTES, HELD, PAIRS = 2 << 20, 150_000, 200_000
 #: Shares of terms in sources that are compared at once.
 CELLS = 1 << 20
 #: (language, source) groups up to this many are sent to all tasks; more are joined by shuffle.
@@ -75,6 +75,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 if len(held[0]) > HELD // 2:
                     yield from held[0].to_batches(max_chunksize=20_000)
                     held = []
+                pa.default_memory_pool().release_unused()
     if held:
         yield from _added(pa.concat_tables(held)).to_batches(max_chunksize=20_000)
 
@@ -110,16 +111,30 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _source_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted partial counts -> one row per (lang, term, source)."""
     for t in _runs(batches):
-        yield from _added(t.drop_columns(["h"])).combine_chunks().to_batches(max_chunksize=20_000)
+        h = t.column("h").to_numpy()
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        run = pa.array(np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(h)])))
+        heads = t.take(pa.array(at))
+        if all(pc.all(pc.equal(t.column(c), heads.column(c).take(run))).as_py() for c in ("lang", "term", "source")):
+            sums = [pa.array(np.add.reduceat(t.column(c).to_numpy(), at)) for c in ("docs", "count")]
+            out = pa.table([*[heads.column(c) for c in ("lang", "term", "source")], *sums], schema=_COUNTS)
+        else:  # two keys have one hash
+            out = _added(t.drop_columns(["h"]))
+        yield from out.combine_chunks().to_batches(max_chunksize=20_000)
 
 
 def _frequent(least: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of the terms in at least so many documents."""
         for t in _runs(batches):
-            t = _added(t.drop_columns(["h"]))
-            docs = t.group_by(["lang", "term"], use_threads=False).aggregate([("docs", "sum")]).filter(pc.field("docs_sum") >= least)
-            yield from t.join(docs.drop_columns(["docs_sum"]), ["lang", "term"], join_type="left semi", use_threads=False).select(_COUNTS.names).combine_chunks().to_batches(max_chunksize=20_000)
+            lang, term = (t.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term"))
+            lang, term = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (lang, term))
+            key = lang.indices.to_numpy().astype(np.int64) * len(term.dictionary) + term.indices.to_numpy()
+            _, key = np.unique(key, return_inverse=True)
+            docs = np.zeros(key.max() + 1, dtype=np.int64)
+            np.add.at(docs, key, t.column("docs").to_numpy())
+            kept = t.select(_COUNTS.names).filter(pa.array(docs[key] >= least))
+            yield from kept.combine_chunks().to_batches(max_chunksize=20_000)
 
     return scan
 

@@ -181,6 +181,18 @@ def test_counts_of_slices():
         assert dict(zip(keys, count.tolist())) == want and dict(zip(keys, docs.tolist())) == seen and len(keys) == len(want)
 
 
+def test_keys_of_one_hash_are_told_apart():
+    """Two terms with one hash, interleaved, and runs over several batches."""
+    rows = [(1, "de", "a", "s", 1, 2), (1, "de", "b", "s", 1, 1), (1, "de", "a", "s", 2, 3), (2, "fr", "c", "s", 1, 1), (2, "fr", "c", "s", 4, 4), (3, "fr", "d", "t", 1, 1)]
+    names = ["h", "lang", "term", "source", "docs", "count"]
+    for size in (1, 2, 6):
+        batches = pa.Table.from_pylist([dict(zip(names, r)) for r in rows]).to_batches(max_chunksize=size)
+        out = [tuple(r.values()) for b in source_audit._source_counts(iter(batches)) for r in b.to_pylist()]
+        assert sorted(out) == [("de", "a", "s", 3, 5), ("de", "b", "s", 1, 1), ("fr", "c", "s", 5, 5), ("fr", "d", "t", 1, 1)]
+        kept = [r["term"] for b in source_audit._frequent(3)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(kept) == ["a", "a", "c", "c"]
+
+
 MIXED = "doc_id long, text string, source string, size string, rate string"
 
 
