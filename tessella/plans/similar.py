@@ -138,8 +138,7 @@ def _moments(spark, sf_dir):
 
 @query(f"WITH {_MOMENTS} SELECT a.vec_id AS a, b.vec_id AS b, round({_COSINE}, 4) AS sim FROM m a JOIN m b ON a.label = b.label AND a.vec_id < b.vec_id AND abs(a.sec - b.sec) <= 90 AND {_COSINE} >= 0.2")
 def interval_cosine(spark, sf_dir):
-    near = X.cosine("a_embedding", "b_embedding")
-    return M.interval_pairs(_moments(spark, sf_dir), "vec_id", "label", "at", 90, near >= 0.2, ["embedding"]).select("a", "b", F.round(near, 4).alias("sim"))
+    return M.interval_vectors(_moments(spark, sf_dir), "vec_id", "label", "at", "embedding", 90, 0.2).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
 @query(
