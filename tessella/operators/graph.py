@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut, discard
+from .relational import positions
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,7 +40,8 @@ def star_clusters(edges: DataFrame, cap: int | None = 40) -> DataFrame:
     Nodes become seeds by descending degree (distinct neighbours), then ascending id; a free seed takes
     its free neighbours, most connected first, up to cap members with itself; the rest stay free, and a
     seed without a free neighbour isn't a cluster. The order matters only inside a component: a component of up to
-    TASK_EDGES edges is done by one task, a larger one by `_star_rounds`, with the same clusters.
+    TASK_EDGES edges is done by one task, a larger one by `_star_rounds` or, with many edges a node, `_star_fronts`, with the
+    same clusters.
     """
     e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     both = e.union(e.select("b", "a"))
@@ -55,7 +57,10 @@ def star_clusters(edges: DataFrame, cap: int | None = 40) -> DataFrame:
         done.append(cut(small.groupBy("component").applyInPandas(_greedy_stars(cap), f"seed {kind}, member {kind}, degree long"), "stars"))
         if large.isEmpty():
             return edges.sparkSession.read.schema(done[0].schema).parquet(*[d.written_to for d in done])
-        left, rounds = _star_rounds(placed.join(large, "component", "left_semi").drop("component"), cap)
+        rest = cut(placed.join(large, "component", "left_semi").drop("component"), "left")
+        edges_left, nodes = rest.count(), rest.select("a").union(rest.select("b")).distinct().count()
+        dense = cap is not None and 1 < cap <= NEAR and edges_left >= DENSE * nodes
+        left, rounds = (_star_fronts(rest, cap, nodes) if dense else _star_rounds(rest, cap))
         done += rounds
 
 
@@ -117,6 +122,73 @@ def _star_rounds(e: DataFrame, cap: int | None) -> tuple[DataFrame, list[DataFra
     return cut(once.select("a", "b", (-F.col("ra.d")).alias("da"), (-F.col("rb.d")).alias("db")), "stars-left"), done
 
 
+#: Edges a node from which on two steps lead almost anywhere, so that rounds would find a seed at a time.
+DENSE = 32
+#: First free nodes that one task walks, at least and at most, and neighbours of each that it is given.
+FRONT, LARGEST_FRONT, NEAR = 2_000, 20_000, 200
+
+
+def _star_fronts(e: DataFrame, cap: int, nodes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left of the edges (a, b, da, db) after some fronts, and their clusters, for graphs of many edges a node.
+
+    Nodes are numbered in the greedy order and edges stand in the order of their first node's number. A front is the
+    first free nodes; one task walks them, each with its first NEAR free neighbours, in that order, and stops at
+    a node whose neighbours given don't fill its cluster although it has more. That node comes first in the next
+    front, where none of its neighbours given is taken, so every front gets on."""
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("db").alias("da"), F.col("da").alias("db")))
+    names = cut(positions(both.select("a", "da").distinct(), [F.col("da").desc(), F.col("a")], "u"), "numbers")
+    ends = e.join(names.select("a", "u"), "a").join(names.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v")
+    ends = cut(ends.union(ends.select("v", "u")).repartitionByRange("u").sortWithinPartitions("u"), "ordered-edges")
+    size = max(FRONT, min(LARGEST_FRONT, nodes // 32))
+    done: list[DataFrame] = []
+    over: DataFrame | None = None
+    start = 0
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u", "rn"])
+        taken, out, at = set(), [], 0
+        u, v = pdf["u"].to_numpy(), pdf["v"].to_numpy()
+        stop = int(u[-1]) + 1
+        while at < len(u):
+            seed, to = u[at], at
+            while to < len(u) and u[to] == seed:
+                to += 1
+            near, given, at = v[at:to], to - at, to
+            if seed in taken:
+                continue
+            free = [m for m in near if m not in taken][: cap - 1]
+            if len(free) < cap - 1 and given >= NEAR:
+                stop = int(seed)
+                break
+            if free:
+                taken.update([seed, *free])
+                out += [(seed, m, stop) for m in [seed, *free][:cap]]
+        return pd.DataFrame([(s, m, stop) for s, m, _ in out] or [(-1, -1, stop)], columns=["seed", "member", "stop"])
+
+    def apart(df: DataFrame, c: str) -> DataFrame:
+        return df if over is None else df.join(over.select(F.col("member").alias(c)), c, "left_anti")
+
+    for _ in range(ROUNDS):
+        first = apart(names.filter(F.col("u") >= start).select("u"), "u").orderBy("u").limit(size)
+        front = cut(first, "front")
+        last = front.agg(F.max("u")).first()[0]
+        if last is None:
+            break
+        given = apart(ends.filter(F.col("u").between(start, last)).join(front, "u", "left_semi"), "v")
+        given = given.withColumn("rn", F.row_number().over(Window.partitionBy("u").orderBy("v"))).filter(F.col("rn") <= NEAR)
+        found = cut(given.groupBy(F.lit(0).alias("one")).applyInPandas(walk, "seed long, member long, stop long"), "stars-found")
+        end = found.agg(F.max("stop")).first()[0]
+        start = last + 1 if end is None or end > last else end
+        done.append(cut(found.filter("seed >= 0").select("seed", "member"), "stars-numbered"))
+        over = e.sparkSession.read.schema(done[0].schema).parquet(*[d.written_to for d in done])
+    out = over.join(names.select(F.col("u").alias("seed"), F.col("a").alias("s")), "seed").join(names.select(F.col("u").alias("member"), F.col("a").alias("m"), "da"), "member") if over is not None else None
+    stars = [cut(out.select(F.col("s").alias("seed"), F.col("m").alias("member"), F.col("da").alias("degree")), "stars")] if out is not None else []
+    # Free nodes before the start have no free neighbour.
+    free = cut(apart(names.filter(F.col("u") >= start), "u").select("a"), "stars-free")
+    left = e.join(free, "a", "left_semi").join(free.withColumnRenamed("a", "b"), "b", "left_semi").select(*e.columns)
+    return cut(left, "stars-left"), stars
+
+
 def keep_largest(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """keep, duplicates, sizes per cluster (seed, member): the largest member, ties to the smaller id."""
     rows = members.join(sizes, "member", "left").withColumn("size", F.coalesce("size", F.lit(0)))

@@ -312,3 +312,17 @@ def test_suppression_by_fronts(spark, monkeypatch, front):
     assert front == 0 or left.filter("g = 'dense'").isEmpty() and found.filter("g = 'dense'").count() < 20
     got = sorted(x["k"] for x in M.suppress(df, "k", "g", ("x", "y", "w", "h"), "s", 0.4).collect())
     assert got == greedy_boxes(rows, 0.4)
+
+
+def test_star_clusters_by_fronts(spark, monkeypatch):
+    """Graphs of many edges a node go by fronts of first free nodes, in the greedy order."""
+    r = random.Random(4)
+    edges = [(r.randrange(80), r.randrange(80)) for _ in range(700)] + [(100, 101 + i) for i in range(30)] + [(3, 100)]
+    df = spark.createDataFrame(edges, "a int, b int")
+    for name, value in (("TASK_EDGES", 9), ("DENSE", 0), ("FRONT", 12), ("LARGEST_FRONT", 12), ("NEAR", 6), ("ROUNDS", 4)):
+        monkeypatch.setattr(G, name, value)
+    want = stars(edges, 5)
+    with monkeypatch.context() as m:
+        m.setattr(G, "_star_rounds", None)
+        got = G.star_clusters(df, 5).collect()
+    assert {(x["seed"], x["member"], x["degree"]) for x in got} == want and len(got) == len(want)
