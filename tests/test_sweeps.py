@@ -326,3 +326,34 @@ def test_star_clusters_by_fronts(spark, monkeypatch):
         m.setattr(G, "_star_rounds", None)
         got = G.star_clusters(df, 5).collect()
     assert {(x["seed"], x["member"], x["degree"]) for x in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 1.0])
+def test_similar_sets_in_blocks(spark, monkeypatch, least):
+    """Sets of many sizes that share hot tokens: only similar pairs leave a task, and many blocks change nothing."""
+    r = random.Random(2)
+    rows = [(i, [f"t{int(r.paretovariate(0.7)) % 60}" for _ in range(r.choice([2, 5, 9, 30, 60]))] + [f"own{i}"] * (i % 3 == 0) + ["hot"]) for i in range(200)]
+    rows += [(200 + i, r.sample(rows[i][1], len(rows[i][1]))[: 1 + len(rows[i][1]) * 9 // 10]) for i in range(60)]
+    sets = {k: frozenset(v) for k, v in rows}
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(sets[k], k)
+    heads = sorted(first.values())
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in heads for b in heads if a < b}
+    want = {k: v for k, v in want.items() if v >= least} | {(first[s], k): 1.0 for k, s in sets.items() if first[s] != k}
+    df = spark.createDataFrame(rows, "k int, s array<string>").repartition(3)
+    written = []
+    write = K.cut
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(K, "cut", counted)
+    for size, tile in ((4096, 1 << 22), (7, 90)):
+        monkeypatch.setattr(K, "BLOCK_SETS", size)
+        monkeypatch.setattr(K, "TILE", tile)
+        got = K.similar_sets(df, "k", "s", least).collect()
+        assert {(x["a"], x["b"]): x["sim"] for x in got} == want and len(got) == len(want)
+        assert max(n for name, n in written if name != "block-pairs") <= len(rows)
