@@ -103,6 +103,18 @@ def stride(df: DataFrame, order: list[Column], shards: int, k: int) -> DataFrame
     return positions(df, order, "__at").filter(F.pmod("__at", F.lit(shards)) == k).drop("__at")
 
 
+#: Rows, about, that one task joins and counts in `left_distinct`.
+TASK_ROWS = 1_000_000
+
+
+def left_distinct(left: DataFrame, right: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """key and the number of different values that right has for it, for each key of left, 0 without any. Both sides
+    are dealt once, over as many tasks as their rows need, so a task's memory doesn't grow with the tables."""
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(left.count() + right.count()) // TASK_ROWS))
+    a, b = left.select(key).repartition(tasks, key), right.select(key, value).repartition(tasks, key)
+    return a.join(b.hint("merge"), key, "left").groupBy(key).agg(F.countDistinct(value).alias(name))
+
+
 def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """The 0-based place of each row in an order; rows that tie in it follow a hash of all their columns.
 

@@ -113,7 +113,7 @@ def left_join_extra_on(spark, sf_dir):
 @query("SELECT o_orderkey, count(DISTINCT l_partkey) AS n_parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def left_count_distinct(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left").groupBy("o_orderkey").agg(F.countDistinct("l_partkey").alias("n_parts"))
+    return R.left_distinct(table(spark, sf_dir, "orders").select("o_orderkey"), lines, "o_orderkey", "l_partkey", "n_parts")
 
 
 @query("SELECT o_orderkey, (SELECT max(l_extendedprice) FROM lineitem WHERE l_orderkey = o_orderkey) AS largest FROM orders")
