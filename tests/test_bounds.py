@@ -38,3 +38,17 @@ def test_left_distinct_is_dealt_by_rows(spark, monkeypatch):
         assert R.left_distinct(left, right, "k", "v", "n").rdd.getNumPartitions() == 24
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_gram_index_is_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(Q, "TASK_GRAMS", 500)
+    df = spark.range(400).select("id", F.concat(F.lit("same "), F.col("id").cast("string")).alias("t"))
+    dealt = Q.dealt_by_gram(Q.trigram_index(df, "id", "t"), df, "id", "t")
+    want = sorted(map(tuple, Q.trigram_index(df, "id", "t").collect()))
+    assert sorted(map(tuple, dealt.collect())) == want
+    hot = dealt.withColumn("p", F.spark_partition_id()).filter("gram = 'sam'").groupBy("p").count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert hot.count() > 1 and max(x["count"] for x in hot.collect()) < 400
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
