@@ -40,21 +40,23 @@ def star_clusters(edges: DataFrame, cap: int | None = 40) -> DataFrame:
     Nodes become seeds by descending degree (distinct neighbours), then ascending id; a free seed takes
     its free neighbours, most connected first, up to cap members with itself; the rest stay free, and a
     seed without a free neighbour isn't a cluster. The order matters only inside a component: a component of up to
-    TASK_EDGES edges is done by one task, a larger one by `_star_rounds` or, with many edges a node, `_star_fronts`, with the
-    same clusters.
+    TASK_EDGES edges is done by one task, together with others that its hash is dealt with, a larger one by
+    `_star_rounds` or, with many edges a node, `_star_fronts`, with the same clusters.
     """
     e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     both = e.union(e.select("b", "a"))
     degrees = cut(both.groupBy("a").agg(F.count("*").alias("d")), "degrees")
     e = e.join(degrees.withColumnRenamed("d", "da"), "a").join(degrees.select(F.col("a").alias("b"), F.col("d").alias("db")), "b").select("a", "b", "da", "db")
     kind = dict(e.dtypes)["a"]
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, done = cut(e, "edges"), []
     while True:
         comp = components(left.select("a", "b"))
         placed = cut(left.join(comp, left["a"] == comp["node"]).select("component", *left.columns), "placed")
         large = cut(placed.groupBy("component").count().filter(F.col("count") > TASK_EDGES).select("component"), "large")
         small = placed.join(large, "component", "left_anti")
-        done.append(cut(small.groupBy("component").applyInPandas(_greedy_stars(cap), f"seed {kind}, member {kind}, degree long"), "stars"))
+        dealt = F.pmod(F.xxhash64("component"), F.lit(max(tasks, 4 * placed.count() // max(1, TASK_EDGES))))
+        done.append(cut(small.groupBy(dealt.alias("deal")).applyInPandas(_greedy_stars(cap), f"seed {kind}, member {kind}, degree long"), "stars"))
         if large.isEmpty():
             return edges.sparkSession.read.schema(done[0].schema).parquet(*[d.written_to for d in done])
         rest = cut(placed.join(large, "component", "left_semi").drop("component"), "left")

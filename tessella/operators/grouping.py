@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import cosine, hamming
+from ..functions.expr import dot, hamming, norm
 from ..sources.tables import cut
 from . import sweep
 from .graph import components, star_clusters
@@ -50,6 +50,7 @@ def similar_step(
     away = held.unionByName(done.select("asset_id")).unionByName(hidden.select("asset_id")).distinct()
     todo = cut(photos.join(away, "asset_id", "left_anti"), "todo")
     leaders = groups.select("group_id", F.col("best").alias("asset_id")).join(hidden.select("asset_id"), "asset_id", "left_anti").join(photos, "asset_id").drop("asset_id")
+    leaders = cut(leaders, "leaders")
     arms = strong_arms(todo, leaders, "source", "at", code=("code", *append), vector=("vector", *alike), digest="digest")
     appended = cut(first_match(todo.select("asset_id"), arms, "asset_id", "group_id").select("group_id", "asset_id"), "appended")
     rest = todo.join(appended.select("asset_id"), "asset_id", "left_anti")
@@ -61,8 +62,10 @@ def similar_step(
     free = appended.select("asset_id").unionByName(held.join(rest_ids, "asset_id", "left_anti"))
     met = cut(met.join(free.withColumnRenamed("asset_id", "near"), "near", "left_anti").select("asset_id", "near", "dt", "near_code"), "neighbours")
     codes = met.join(timed.select("asset_id", "code"), "asset_id").filter(hamming("code", "near_code") <= near[0])
-    v = photos.filter("vector is not null").select("asset_id", "vector")
-    close = met.filter(F.col("dt") <= alike[1]).join(v, "asset_id").join(v.toDF("near", "other"), "near").filter(cosine("vector", "other") >= alike[0])
+    # Lengths are taken once a photo, not once a pair.
+    v = photos.select("asset_id", "vector", norm("vector").alias("length")).filter("length > 1e-6")
+    close = met.filter(F.col("dt") <= alike[1]).join(v, "asset_id").join(v.toDF("near", "other", "other_length"), "near")
+    close = close.filter(dot("vector", "other") / (F.col("length") * F.col("other_length")) >= alike[0])
     pairs = same.unionByName(codes.select(F.col("asset_id").alias("a"), F.col("near").alias("b"))).unionByName(close.select(F.col("asset_id").alias("a"), F.col("near").alias("b")))
     stars = cut(star_clusters(pairs, cap), "stars")
     last = members.select(F.max(F.expr(f"try_cast(substring(group_id, {len(prefix) + 1}) as bigint)"))).first()[0]

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -337,3 +338,33 @@ def test_streaming(spark, tmp_path):
     spark.range(5, 7).write.mode("append").parquet(src)
     once.process_available(stream(), lambda df, i: seen.append(df.count()), ck).awaitTermination(60)
     assert sum(seen) == 7
+
+
+def test_unit_vectors_take_their_length_once(spark):
+    """Inside the function of each element it would be taken as often as the vector is long."""
+    assert str(X.normalised("v")).count("zip_with") == 1
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1e-9, 0.0]), (5, [1.0, None]), (6, [0.1, 0.7]), (7, [])]
+    got = {r["k"]: r["u"] for r in spark.createDataFrame(rows, "k int, v array<float>").select("k", X.normalised("v").alias("u")).collect()}
+    assert got[1] == [0.6, 0.8] and [got[k] for k in (2, 3, 4, 5, 7)] == [None] * 5
+    v = [float(np.float32(x)) for x in (0.1, 0.7)]
+    n = math.sqrt(0.0 + v[0] * v[0] + v[1] * v[1])
+    assert got[6] == [x / n for x in v]
+
+
+def test_first_leaders_in_steps(spark, monkeypatch):
+    """Rows that have found their leader leave; a few cells don't start a task for each of many partitions."""
+    monkeypatch.setattr(M, "LEADERS", 3)
+    r = np.random.default_rng(5)
+    def photos(n, name):
+        return [(f"{name}{i:03d}", str(r.integers(2)), int(r.integers(200)), [float(x) for x in r.normal(size=4)], int(r.integers(2**16)) << 40 | int(r.integers(8))) for i in range(n)]
+    new, old = photos(120, "a"), photos(90, "g")
+    frame = lambda rows, k: spark.createDataFrame(rows, f"{k} string, source string, at long, v array<double>, code long")
+    code, vector = M.strong_arms(frame(new, "asset_id"), frame(old, "group_id"), "source", "at", code=("code", 5, 60), vector=("v", 0.7, 40))
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    near = {"code": lambda a, g: abs(a[2] - g[2]) <= 60 and bin(a[4] ^ g[4]).count("1") <= 5, "vector": lambda a, g: abs(a[2] - g[2]) <= 40 and unit(a[3]) @ unit(g[3]) >= 0.7}
+    for arm, fits in ((code, near["code"]), (vector, near["vector"])):
+        want = {a[0]: min(g[0] for g in old if a[1] == g[1] and fits(a, g)) for a in new if any(a[1] == g[1] and fits(a, g) for g in old)}
+        got = M.first_match(frame(new, "asset_id").select("asset_id"), [arm], "asset_id", "group_id")
+        assert len(want) > 20 and {x["asset_id"]: x["group_id"] for x in got.collect()} == want
+    one = M.strong_arms(frame(new[:1], "asset_id"), frame([("g", *new[0][1:])], "group_id"), "source", "at", vector=("v", 0.7, 40))[0]
+    assert one.rdd.getNumPartitions() <= 2 and one.count() == 1
