@@ -12,6 +12,7 @@ from ..operators import sets as K
 from ..operators import similarity as M
 from ..operators import sweep
 from ..operators.relational import top
+from ..operators.stars import similar_stars
 from ..sources.tables import table
 from .catalog import query
 
@@ -175,8 +176,7 @@ def strong_matches(spark, sf_dir):
 @query()
 def star_clusters(spark, sf_dir):
     """Greedy clusters; tests compare with a loop."""
-    edges = M.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3)
-    return G.star_clusters(edges.select("a", "b"))
+    return similar_stars(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3)
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.operators import graph as G
 from tessella.operators import sets as K
 from tessella.operators import similarity as M
+from tessella.operators import stars as S
 from tessella.operators import sweep
 
 
@@ -328,6 +329,41 @@ def test_star_clusters_by_fronts(spark, monkeypatch):
     assert {(x["seed"], x["member"], x["degree"]) for x in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("spread,cap,walk", [(0.6, 7, 24), (2.0, 4, 10**6)])
+def test_star_clusters_of_vectors(spark, monkeypatch, spread, cap, walk):
+    """Dense graphs of vectors give the greedy clusters of their pairs, and no table of pairs is written."""
+    monkeypatch.setattr(M, "BLOCK_ROWS", 40)
+    for name, value in (("FEW_PAIRS", 0), ("FEW_ROWS", 0), ("DENSE", 0), ("STRETCH", 8), ("AHEAD", 16), ("NEAR", 7), ("COUNTED", 16)):
+        monkeypatch.setattr(S, name, value)
+    real = S._walks
+    monkeypatch.setattr(S, "_walks", lambda names, n, most, least, cap: real(names, n, walk, least, cap))
+    far = []
+    beyond = S._beyond
+    monkeypatch.setattr(S, "_beyond", lambda *a: far.append(1) or beyond(*a))
+    v = clustered(120, spread=spread)
+    v[17] = v[16]
+    df = spark.createDataFrame([(f"k{i:03d}", [float(x) for x in v[i]]) for i in range(120)] + [("none", None), (None, [1.0] * 6)], "k string, v array<double>").repartition(5)
+    sims = np.round(v @ v.T, 12)
+    edges = [(f"k{i:03d}", f"k{j:03d}") for i in range(120) for j in range(i) if sims[i, j] >= 0.5]
+    written = []
+    for module in (S, M, G):
+        monkeypatch.setattr(module, "cut", lambda df, name, write=module.cut: (out := write(df, name), written.append(out.count()))[0])
+    got = S.similar_stars(df, "k", "v", 0.5, cap).collect()
+    assert {(x["seed"], x["member"], x["degree"]) for x in got} == (want := stars(edges, cap)) and len(got) == len(want)
+    assert max(written) <= 360 < len(edges)
+    assert bool(far) == (walk < 120)
+
+
+def test_star_clusters_of_few_pairs(spark, monkeypatch):
+    """Few pairs, repeated keys and no rows go by the pairs."""
+    monkeypatch.setattr(S, "FEW_ROWS", 0)
+    rows = [(i % 90, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    for some in (df, df.limit(0)):
+        want = {tuple(x) for x in G.star_clusters(M.similar_pairs(some, "k", "v", 0.5).select("a", "b"), 7).collect()}
+        assert {tuple(x) for x in S.similar_stars(some, "k", "v", 0.5, 7).collect()} == want
+
+
 @pytest.mark.parametrize("least", [0.3, 0.6, 1.0])
 def test_similar_sets_in_blocks(spark, monkeypatch, least):
     """Sets of many sizes that share hot tokens: only similar pairs leave a task, and many blocks change nothing."""
