@@ -393,3 +393,27 @@ def test_similar_sets_in_blocks(spark, monkeypatch, least):
         got = K.similar_sets(df, "k", "s", least).collect()
         assert {(x["a"], x["b"]): x["sim"] for x in got} == want and len(got) == len(want)
         assert max(n for name, n in written if name != "block-pairs") <= len(rows)
+
+
+def test_set_blocks_hold_few_tokens(spark, monkeypatch):
+    """Blocks of long sets hold fewer of them, and cells of unequal sides lose and repeat no pair."""
+    monkeypatch.setattr(K, "BLOCK_TOKENS", 100, raising=False)
+    monkeypatch.setattr(K, "HELD", 2, raising=False)
+    monkeypatch.setattr(K, "SEEN", 3, raising=False)
+    r = random.Random(5)
+    rows = [(i, [f"t{x}" for x in r.sample(range(60), 30 + i % 9)]) for i in range(120)]
+    sizes = []
+    write = K.cut
+
+    def seen(df, name):
+        out = write(df, name)
+        if name == "set-blocks":
+            sizes.extend(len([t for x in b["rows"] for t in x["o"]]) for b in out.collect())
+        return out
+
+    monkeypatch.setattr(K, "cut", seen)
+    got = K.similar_sets(spark.createDataFrame(rows, "k int, s array<string>"), "k", "s", 0.6).collect()
+    sets = dict((k, set(s)) for k, s in rows)
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert {(x["a"], x["b"]) for x in got} == want and len(got) == len(want) > 0
+    assert max(sizes) < 500 and sum(sizes) == sum(len(s) for s in sets.values())
